@@ -188,3 +188,30 @@ def with_views(body: str, names: tuple[str, ...]) -> str:
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"
+
+
+# A wide training table: samples plus covariates averaged from the line items of each part.
+CTES["wide"] = (
+    ("samples",),
+    """select s.*, f.f_qty, f.f_disc, f.f_tax, f.f_price from samples s left join
+(select l_partkey, sum(l_quantity) / count(*) as f_qty, sum(cast(round(l_discount * 100) as bigint))::double / count(*)::double as f_disc,
+ sum(cast(round(l_tax * 100) as bigint))::double / count(*)::double as f_tax, sum(cast(round(l_extendedprice * 100) as bigint))::double / count(*)::double as f_price
+ from lineitem where l_quantity > 2 group by l_partkey) f on s.sample_id = f.l_partkey""",
+)
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = (
+        table(spark, sf_dir, "lineitem")
+        .filter(F.col("l_quantity") > 2)
+        .groupBy("l_partkey")
+        .agg(
+            (F.sum("l_quantity") / F.count("*")).alias("f_qty"),
+            *[
+                (F.sum(F.round(F.col(c) * 100).cast("bigint")).cast("double") / F.count("*")).alias(f)
+                for c, f in (("l_discount", "f_disc"), ("l_tax", "f_tax"), ("l_extendedprice", "f_price"))
+            ],
+        )
+    )
+    s = samples(spark, sf_dir)
+    return s.join(f, s.sample_id == f.l_partkey, "left").drop("l_partkey")
