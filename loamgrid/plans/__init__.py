@@ -1,6 +1,6 @@
 """Query modules; importing them fills the registry."""
 
-from loamgrid.plans import gates, schema, uncertainty  # noqa: F401
+from loamgrid.plans import aggregates, gates, schema, spatial, uncertainty  # noqa: F401
 from loamgrid.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

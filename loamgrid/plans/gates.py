@@ -181,11 +181,11 @@ def files_matching_year(df, path, year):
 
 @query(
     "covariate_selection",
-    """with a(alias) as (values ('steel'), ('brass'), ('promo')), x(alias) as (values ('promo'))
-select p_partkey from part where exists (select 1 from a where contains(lower(p_type), a.alias)) and not exists (select 1 from x where contains(lower(p_type), x.alias))""",
+    """with a(alias) as (values ('ring'), ('bolt'), ('blue')), x(alias) as (values ('blue'))
+select p_partkey from part where exists (select 1 from a where contains(lower(p_name), a.alias)) and not exists (select 1 from x where contains(lower(p_name), x.alias))""",
 )
 def q_selection(spark, sf):
-    return covariate_selection(table(spark, sf, "part"), F.lower("p_type"), ["steel", "brass", "promo"], ["promo"]).select("p_partkey")
+    return covariate_selection(table(spark, sf, "part"), F.lower("p_name"), ["ring", "bolt", "blue"], ["blue"]).select("p_partkey")
 
 
 def covariate_selection(df, name, wanted, excluded=()):

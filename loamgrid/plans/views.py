@@ -185,6 +185,8 @@ def with_views(body: str, names: tuple[str, ...]) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in order)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head},\n{body[5:]}"
     return f"with {head}\n{body}"
@@ -215,3 +217,38 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     s = samples(spark, sf_dir)
     return s.join(f, s.sample_id == f.l_partkey, "left").drop("l_partkey")
+
+
+# Areas: one triangle per nation, one enclosing area per region; boxes follow from the corners.
+AREA_CORNERS = ((0.0, 0.0), (60000.0, 10000.0), (20000.0, 50000.0))
+CTES["areas"] = (
+    (),
+    """select n_nationkey as area_id, n_name as name, r_name as parent, cast((n_nationkey * 9001) % 170000 as double) as ax, cast((n_nationkey * 57001) % 126000 as double) as ay
+from nation join region on n_regionkey = r_regionkey""",
+)
+CTES["area_edges"] = (
+    ("areas",),
+    """select area_id, ax + dx1 as x1, ay + dy1 as y1, ax + dx2 as x2, ay + dy2 as y2 from areas cross join
+(values (0.0::double, 0.0::double, 60000.0::double, 10000.0::double), (60000.0::double, 10000.0::double, 20000.0::double, 50000.0::double), (20000.0::double, 50000.0::double, 0.0::double, 0.0::double)) v(dx1, dy1, dx2, dy2)""",
+)
+CTES["inside"] = (
+    ("samples", "area_edges"),
+    """select sample_id, area_id from samples s cross join area_edges e group by sample_id, area_id
+having sum(case when (y1 > s.y) <> (y2 > s.y) and s.x < x1 + (s.y - y1) * (x2 - x1) / (y2 - y1) then 1 else 0 end) % 2 = 1
+ or bool_or(abs((s.x - x1) * (y2 - y1) - (s.y - y1) * (x2 - x1)) <= 1e-9 and s.x between least(x1, x2) and greatest(x1, x2) and s.y between least(y1, y2) and greatest(y1, y2))""",
+)
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    a = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("area_id"),
+        F.col("n_name").alias("name"),
+        F.col("r_name").alias("parent"),
+        ((F.col("n_nationkey").cast("long") * 9001) % 170000).cast("double").alias("ax"),
+        ((F.col("n_nationkey").cast("long") * 57001) % 126000).cast("double").alias("ay"),
+    )
+    ring = F.array(*[F.struct((F.col("ax") + dx).alias("x"), (F.col("ay") + dy).alias("y")) for dx, dy in AREA_CORNERS])
+    from loamgrid.operators.raster import edges_of_ring
+
+    return a.withColumn("edges", edges_of_ring(ring)).drop("ax", "ay")
