@@ -46,27 +46,28 @@ def q_mz(spark, sf):
 
 
 MET = "count(*) as n, round(1 - sum((pred - y_true) * (pred - y_true)) / (var_pop(y_true) * count(*)), 6) as r2, round(sqrt(avg((pred - y_true) * (pred - y_true))), 6) as rmse, round(avg(abs(pred - y_true)), 6) as mae, round(avg(pred - y_true), 6) as bias"
-MCOLS = [r6(c, c) for c in ("r2", "rmse", "mae", "bias")]
+def _mcols():
+    return [r6(c, c) for c in ("r2", "rmse", "mae", "bias")]
 
 
 @query("regression_metrics", f"select {MET} from oof", ("oof",))
 def q_rm(spark, sf):
-    return A.regression_metrics(oof(spark, sf)).select("n", *MCOLS)
+    return A.regression_metrics(oof(spark, sf)).select("n", *_mcols())
 
 
 @query("regression_metrics_medae", f"select {MET}, round(quantile_cont(abs(pred - y_true), 0.5), 6) as medae from oof", ("oof",))
 def q_rmm(spark, sf):
-    return A.regression_metrics(oof(spark, sf), medae=True).select("n", *MCOLS, r6("medae", "medae"))
+    return A.regression_metrics(oof(spark, sf), medae=True).select("n", *_mcols(), r6("medae", "medae"))
 
 
 @query("aoi_subset_metrics", f"select {MET}, round(count(*) / (select count(*) from oof)::double, 6) as share from oof where x < 90000 and y > 60000", ("oof",))
 def q_aoi(spark, sf):
-    return A.aoi_subset_metrics(oof(spark, sf), (F.col("x") < 90000) & (F.col("y") > 60000)).select("n", *MCOLS, r6("share", "share"))
+    return A.aoi_subset_metrics(oof(spark, sf), (F.col("x") < 90000) & (F.col("y") > 60000)).select("n", *_mcols(), r6("share", "share"))
 
 
 @query("fold_metrics", f"select block as fold, {MET} from oof group by block", ("oof",))
 def q_fm(spark, sf):
-    return A.regression_metrics(oof(spark, sf), by=["block"]).select(F.col("block").alias("fold"), "n", *MCOLS)
+    return A.regression_metrics(oof(spark, sf), by=["block"]).select(F.col("block").alias("fold"), "n", *_mcols())
 
 
 @query("residual_summary", "select count(*) as n, round(avg(y_true - pred), 6) as mean, round(stddev_pop(y_true - pred), 6) as std, round(min(y_true - pred), 6) as mn, round(max(y_true - pred), 6) as mx from oof", ("oof",))
