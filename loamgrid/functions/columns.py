@@ -53,7 +53,7 @@ def normalize_feature_name(c: Column) -> Column:
 def mojibake_penalty(c: Column) -> Column:
     """8 per suspicious character, 2 per high Latin one, 20 per replacement character."""
     size = lambda pat: F.length(c) - F.length(F.regexp_replace(c, pat, ""))
-    return size(f"[{V.MOJIBAKE}]") * 8.0 + size("[ -ÿ]") * 2.0 + size("�") * 20.0
+    return size(f"[{V.MOJIBAKE}]") * 8.0 + size(r"[\u00A0-\u00FF]") * 2.0 + size(r"\uFFFD") * 20.0
 
 
 def valid_year(y: Column) -> Column:

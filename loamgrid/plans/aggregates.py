@@ -277,12 +277,12 @@ def q_topv(spark, sf):
     return table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_name").limit(10)
 
 
-TRIALS = """trials as (select s_suppkey as trial, s_nationkey as study, round(abs(s_acctbal) / 1000, 6) as rmse, round(s_acctbal / 20000 + 0.3::double, 6) as r2 from supplier)"""
+TRIALS = """trials as (select s_suppkey as trial, s_nationkey as study, round(abs(s_acctbal) / 1000, 6) as rmse, s_acctbal / 20000 + 0.3::double as r2 from supplier)"""
 
 
 def _trials(spark, sf):
     b = F.col("s_acctbal")
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("trial"), F.col("s_nationkey").alias("study"), F.round(F.abs(b) / 1000, 6).alias("rmse"), F.round(b / 20000 + 0.3, 6).alias("r2"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("trial"), F.col("s_nationkey").alias("study"), F.round(F.abs(b) / 1000, 6).alias("rmse"), (b / 20000 + 0.3).alias("r2"))
 
 
 @query("select_best_candidate", f"with {TRIALS} select study, trial, rmse, r2 from (select *, row_number() over (partition by study order by rmse, r2 desc, trial) as rn from trials) where rn = 1")
@@ -339,10 +339,11 @@ def q_dedup(spark, sf):
     return A.first_per_key(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 
-@query("sort_by_grid_id", "select l_orderkey * 10 + l_linenumber as grid_id, l_quantity, row_number() over (order by l_orderkey, l_linenumber) as pos from lineitem")
+@query("sort_by_grid_id", "select l_orderkey * 10 + l_linenumber as grid_id, l_quantity, row_number() over (order by l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey) as pos from lineitem")
 def q_sort(spark, sf):
-    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("grid_id"), "l_quantity")
-    return global_rank(li, F.floor(F.col("grid_id") / 40960), [F.col("grid_id")], "pos")
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("grid_id"), "l_quantity", "l_partkey", "l_suppkey")
+    order = [F.col(c) for c in ("grid_id", "l_quantity", "l_partkey", "l_suppkey")]
+    return global_rank(li, F.floor(F.col("grid_id") / 40960), order, "pos").drop("l_partkey", "l_suppkey")
 
 
 @query(

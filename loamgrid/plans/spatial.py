@@ -674,13 +674,13 @@ def q_extent(spark, sf):
 
 @query(
     "focal_window",
-    """with q as (select * from raster_cells where layer = 'qty'), f as (select a."row", a."col", a."value", avg(b."value") as m, max(b."value") as mx, min(b."value") as mn, count(*) as n from q a join q b on abs(a."row" - b."row") <= 1 and abs(a."col" - b."col") <= 1 group by 1, 2, 3)
-select "row", "col", round("value" - m, 4) as tpi, round(mx - mn, 4) as roughness, n from f""",
+    """with q as (select * from raster_cells where layer = 'class'), f as (select a."row", a."col", a."value", avg(b."value") as m, max(b."value") as mx, min(b."value") as mn, count(*) as n from q a join q b on abs(a."row" - b."row") <= 1 and abs(a."col" - b."col") <= 1 group by 1, 2, 3)
+select "row", "col", round("value" - m, 5) as tpi, round(mx - mn, 5) as roughness, n from f""",
     ("raster_cells",),
 )
 def q_focal(spark, sf):
-    f = R.terrain_windows(raster_cells(spark, sf).filter("layer = 'qty'"))
-    return f.select("row", "col", F.round("tpi", 4).alias("tpi"), F.round("relief", 4).alias("roughness"), "n")
+    f = R.terrain_windows(raster_cells(spark, sf).filter("layer = 'class'"))
+    return f.select("row", "col", F.round("tpi", 5).alias("tpi"), F.round("relief", 5).alias("roughness"), "n")
 
 
 @query(
