@@ -57,8 +57,8 @@ def _pick(sel: str, vals: list[str]) -> str:
     return "case " + sel.replace("k", "p_partkey") + " " + " ".join(f"when {i} then {v}" for i, v in enumerate(vals)) + " end"
 
 
-# A number such as 2000 in the parameters reads as a year when nothing before it does.
-YEAR_SQL = _pick("k % 5", ["2021", "2020", "1995", "case when p_size in (19, 20) then p_size * 100 end", "2016"])
+# A number such as the 2000 in a datum name or a parameter reads as a year when nothing before it does.
+YEAR_SQL = _pick("k % 5", ["2021", "2020", "1995", "case when p_partkey % 7 = 3 then 2000 when p_size in (19, 20) then p_size * 100 end", "2016"])
 RES_SQL = _pick("k % 4", ["250.0::double", "1000.0::double", "500.0::double", "null::double"])
 # Without a year only download verbs are cut off before the place.
 REGION_SQL = "case when p_partkey % 5 = 3 and p_partkey % 4 = 1 then '绘制' when p_partkey % 5 = 3 and p_partkey % 4 = 2 then '生成' else '' end || " + _pick("k % 3", ["'成都市'", "'四川省'", "'双流区'"])
@@ -262,7 +262,7 @@ union all select page_id, 'https://files.example.org/d' || page_id || '.zip' fro
 def q_cands(spark, sf):
     k = F.col("page_id").cast("string")
     js = F.concat(F.lit("<script>get('/api/list?id="), k, F.lit("'); var u='https://files.example.org/d"), k, F.lit(".zip'; go('https://other.example.org/page')</script>"))
-    return H.extract_url_candidates(table(spark, sf, "pages").withColumn("html", F.concat("html", js)))
+    return H.extract_url_candidates(table(spark, sf, "pages").withColumn("html", F.concat(js, "html")))
 
 
 URLS = """us as (select page_id, url || case page_id % 6 when 0 then '/a.zip' when 1 then '?f=b.csv' when 2 then '/getFile/9' when 3 then '/view' when 4 then '/export?x=1' else '/data.TIF#p' end as u from pages where url not like '%#%' and url not like '%?%')"""
