@@ -293,6 +293,7 @@ def _paired(tg, it, k, n, width, carry, kind, out) -> DataFrame:
     pairs = tbox.mapInArrow(pair, "__chunk string, __unit string")
     left = places.join(pairs, "__chunk")
     right = it.select("__unit", "__v", "__id", *carry).join(pairs, "__unit")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     ntype = _neighbor_type(carry)
     part_schema = T.StructType([T.StructField("__t", T.ArrayType(T.DoubleType())), T.StructField("part", ntype)])
 

@@ -12,7 +12,13 @@ from loamgrid.functions import fixed_values as V
 
 PROBE_ROWS = 200
 # Names of the encodings as the JVM knows them; the byte-order-marked form is read as plain UTF-8.
-JVM_NAME = {"utf-8-sig": "UTF-8", "cp936": "GBK", "cp950": "Big5", "latin1": "ISO-8859-1"}
+JVM_NAME = {"utf-8-sig": "UTF-8", "cp936": "GBK", "cp950": "Big5", "latin1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
+
+
+def csv_options(encoding: str, sep: str) -> dict[str, str]:
+    """Reader options of one parse; two-byte encodings need their line end named."""
+    opts = {"encoding": JVM_NAME.get(encoding, encoding.upper()), "sep": sep}
+    return {**opts, "lineSep": "\n"} if encoding.startswith("utf-16") else opts
 
 
 def list_files(spark: SparkSession, roots: list[str], glob: str = "*") -> DataFrame:
@@ -71,7 +77,7 @@ def probe_candidates(spark: SparkSession, path: str) -> DataFrame:
     allow_all_charsets(spark)
     lines = None
     for e in dict.fromkeys(V.ENCODING_ALIAS.get(e, e) for e in V.ENCODINGS):
-        raw = spark.read.csv(path, sep="\u0001", quote="", encoding=JVM_NAME.get(e, e.upper()), schema="line string").limit(PROBE_ROWS + 1)
+        raw = spark.read.options(quote="", **csv_options(e, "\u0001")).schema("line string").csv(path).limit(PROBE_ROWS + 1)
         part = raw.select(F.lit(e).alias("encoding"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("line", "^﻿", "").alias("line"))
         lines = part if lines is None else lines.unionByName(part)
     by_sep = lines.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEPARATORS])).alias("sep"))
@@ -90,8 +96,8 @@ def scan_csv_best(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
     order = {e: i for i, e in enumerate(V.ENCODINGS)}
     cands = probe_candidates(spark, path).select("encoding", "sep", "score").collect()  # at most 44 rows
     best = min(cands, key=lambda r: (-r["score"], order[r["encoding"]], V.SEPARATORS.index(r["sep"])))
-    enc = JVM_NAME.get(best["encoding"], best["encoding"].upper())
-    return spark.read.csv(path, header=True, sep=best["sep"], encoding=enc), best["encoding"], best["sep"]
+    df = spark.read.options(header=True, **csv_options(best["encoding"], best["sep"])).csv(path)
+    return df, best["encoding"], best["sep"]
 
 
 def read_table_simple(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
