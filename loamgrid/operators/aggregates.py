@@ -137,11 +137,11 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(h).alias("content"))
 
 
-def thin_every_nth(df: DataFrame, order: list[str], most: int, key: Column) -> DataFrame:
+def thin_every_nth(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """Every ceil(n / most)-th row of the global order."""
     from loamgrid.operators.ordering import global_rank
 
-    r = global_rank(df, key, [F.col(c) for c in order], "__r", "__n")
+    r = global_rank(df, order, "__r", "__n")
     step = F.greatest(F.lit(1), F.ceil(F.col("__n") / most))
     return r.filter((F.col("__r") - 1) % step == 0).drop("__r", "__n")
 

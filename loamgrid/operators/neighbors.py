@@ -180,10 +180,12 @@ def knn_join(
         F.col(item_id).cast("long").alias("__id"),
         *[F.col(c).cast("double").alias(c) for c in carry],
     ).filter(complete(F.col("__v")))
-    tg = targets.withColumn("__t", as_vec(target_coords).cast("array<double>"))
     probe = it.select(F.count("*").alias("n"), F.max(F.size("__v")).alias("w")).first()
     n, width = int(probe.n), int(probe.w or 2)
     k = int(min(k, max(1, n)))
+    tv = as_vec(target_coords).cast("array<double>")
+    none = F.array_repeat(F.lit(float("nan")), 2 if kind == "segment" else width)
+    tg = targets.withColumn("__t", F.when(complete(tv), tv).otherwise(none))
     if n == 0:
         return tg.withColumn(out, F.array().cast(_neighbor_type(carry))).drop("__t")
     if n <= broadcast_rows:
@@ -206,22 +208,17 @@ def _mapped(tg, it, k, n, width, carry, kind, out) -> DataFrame:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            vec = b.column("__t")
-            flat = vec.flatten()
-            raw = np.full(b.num_rows * tdim, np.nan)
-            if len(flat) == len(raw):
-                raw = flat.to_numpy(zero_copy_only=False).astype("float64")
-            t = raw.reshape(-1, tdim)
-            ok = np.flatnonzero(~np.isnan(t).any(axis=1))
-            kk = min(k, len(idx.ids))
-            dist = np.zeros((b.num_rows, kk))
-            rows = np.zeros((b.num_rows, kk), dtype=int)
-            for r, d, p in idx.search(t[ok], kk):
-                dist[ok[r]], rows[ok[r]] = d, p
+            t = _matrix(b.column("__t"), tdim)
+            good = ~np.isnan(t).any(axis=1)
+            ok = t[good]
+            dist = np.zeros((len(ok), k))
+            rows = np.zeros((len(ok), k), dtype=int)
+            for r, d, p in idx.search(ok, k):
+                dist[r], rows[r] = d, p
             arr = _neighbor_array(dist, idx.ids[rows], idx.carry[rows], carry)
-            if len(ok) < b.num_rows:
-                good = set(ok.tolist())
-                arr = pa.array([v if i in good else [] for i, v in enumerate(arr.to_pylist())], type=arr.type)
+            if len(ok) < b.num_rows:  # targets without a place keep an empty list
+                ends = np.concatenate([[0], np.cumsum(np.where(good, k, 0))])
+                arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arr.values)
             data = [b.column(f.name) for f in keep] + [arr]
             yield pa.RecordBatch.from_arrays(data, names=[f.name for f in schema.fields])
 

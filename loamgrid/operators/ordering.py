@@ -66,25 +66,55 @@ def exact_quantile_scalar(df: DataFrame, value: str, probs: list[float]) -> Colu
     return exact_quantiles(df, value, probs).select("q").scalar()
 
 
-def global_rank(df: DataFrame, key: Column, order: list[Column], out: str = "rank", total: str | None = None) -> DataFrame:
-    """Row number over the whole table, ordered by (bucket, order).
+def global_rank(df: DataFrame, order: list[str], out: str = "rank", total: str | None = None, buckets: int = 65_536) -> DataFrame:
+    """Row number over the whole table by ``order``; its first column is numeric.
 
-    ``key`` is a coarse order-preserving bucket (a hash prefix, a tile row). Buckets are
-    numbered inside, and offset by the running size of the buckets before them; the list of
-    bucket sizes is the only thing that is ordered in one place, so keep the key coarse.
+    The value range of that column is cut into a fixed number of equal buckets. Rows are numbered
+    inside their bucket and moved on by the number of rows in the buckets before it, so only the
+    bounded list of bucket sizes is ever ordered in one place.
     """
-    keyed = df.withColumn("__b", key)
+    c = F.col(order[0]).cast("double")
+    span = df.agg(F.struct(F.min(c).alias("a"), F.max(c).alias("b"))).scalar()
+    d = df.withColumn("__s", span)
+    key = F.when(F.col("__s.b") > F.col("__s.a"), F.floor((c - F.col("__s.a")) / (F.col("__s.b") - F.col("__s.a")) * buckets)).otherwise(F.lit(0))
+    return _ranked(d.withColumn("__b", key).drop("__s"), [F.col(o) for o in order], out, total)
+
+
+def _ranked(keyed: DataFrame, order: list[Column], out: str, total: str | None) -> DataFrame:
     sizes = keyed.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offs = sizes.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    w = Window.partitionBy("__b").orderBy(*order)
-    res = keyed.join(offs, "__b").withColumn(out, F.row_number().over(w) + F.col("__off"))
+    res = keyed.join(offs, "__b").withColumn(out, F.row_number().over(Window.partitionBy("__b").orderBy(*order)) + F.col("__off"))
     if total:
-        res = res.withColumn(total, df.select(F.count("*")).scalar())
+        res = res.withColumn(total, sizes.select(F.sum("__c")).scalar())
     return res.drop("__b", "__off")
 
 
 def hash_rank(df: DataFrame, text: Column, tie: list[Column] = (), out: str = "rank", total: str | None = None) -> DataFrame:
     """Row number in md5 order of ``text``: a reproducible shuffle; 4096 hash-prefix buckets."""
-    h = df.withColumn("__h", F.md5(text))
-    return global_rank(h, F.substring("__h", 1, 3), [F.col("__h"), *tie], out, total).drop("__h")
+    h = df.withColumn("__h", F.md5(text)).withColumn("__b", F.substring("__h", 1, 3))
+    return _ranked(h, [F.col("__h"), *tie], out, total).drop("__h")
+
+
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, how: str = "sum", out: str = "running", chunks: int = 256) -> DataFrame:
+    """Running sum or maximum per group in ``order``, split so that a hot group spreads over tasks.
+
+    The first order column (a number or a timestamp) is cut into equal ranges per group. Each range
+    is scanned on its own; what the ranges before it add up to comes from one aggregate row per range.
+    """
+    agg = {"sum": F.sum, "max": F.max}[how]
+    first = F.col(order[0])
+    num = F.unix_micros(first.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
+    d = df.withColumn("__o", num).withColumn("__v", value)
+    span = d.groupBy(*by).agg(F.min("__o").alias("__a"), F.max("__o").alias("__z"))
+    d = d.join(span, by)
+    part = F.when(F.col("__z") > F.col("__a"), F.floor((F.col("__o") - F.col("__a")) / (F.col("__z") - F.col("__a")) * chunks)).otherwise(F.lit(0))
+    d = d.withColumn("__p", part).drop("__o", "__a", "__z")
+    tot = d.groupBy(*by, "__p").agg(agg("__v").alias("__t"))
+    prev = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # at most chunks + 1 rows per group
+    tot = tot.select(*by, "__p", agg("__t").over(prev).alias("__before"))
+    w = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = agg("__v").over(w)
+    j = d.join(tot, [*by, "__p"])
+    both = F.coalesce(F.col("__before") + inner, F.col("__before"), inner) if how == "sum" else F.greatest(F.col("__before"), inner)
+    return j.withColumn(out, both).drop("__p", "__v", "__before")

@@ -321,7 +321,7 @@ def q_stop(spark, sf):
     "with r as (select o_orderkey, row_number() over (order by o_orderkey) as rn, count(*) over () as n from orders) select o_orderkey from r where (rn - 1) % ceil(n / 700.0::double) = 0",
 )
 def q_thin(spark, sf):
-    return A.thin_every_nth(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 700, F.floor(F.col("o_orderkey") / 4096))
+    return A.thin_every_nth(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 700)
 
 
 @query("retain_last_n", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn <= 20")
@@ -342,8 +342,7 @@ def q_dedup(spark, sf):
 @query("sort_by_grid_id", "select l_orderkey * 10 + l_linenumber as grid_id, l_quantity, row_number() over (order by l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey) as pos from lineitem")
 def q_sort(spark, sf):
     li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("grid_id"), "l_quantity", "l_partkey", "l_suppkey")
-    order = [F.col(c) for c in ("grid_id", "l_quantity", "l_partkey", "l_suppkey")]
-    return global_rank(li, F.floor(F.col("grid_id") / 40960), order, "pos").drop("l_partkey", "l_suppkey")
+    return global_rank(li, ["grid_id", "l_quantity", "l_partkey", "l_suppkey"], "pos").drop("l_partkey", "l_suppkey")
 
 
 @query(

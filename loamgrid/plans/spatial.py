@@ -53,12 +53,8 @@ def join_positional(a, a_order, b, b_order, cols):
     Both sides get a global row number from range buckets of the first order column, so no
     side is sorted in one task.
     """
-    def numbered(df, order):
-        key = F.floor(F.col(order[0]) / 4096)
-        return global_rank(df, key, [F.col(c) for c in order], "__rn")
-
     same = a.select(F.count("*")).scalar() == b.select(F.count("*")).scalar()
-    na, nb = numbered(a, a_order), numbered(b, b_order).select("__rn", *cols).filter(same)
+    na, nb = global_rank(a, a_order, "__rn"), global_rank(b, b_order, "__rn").select("__rn", *cols).filter(same)
     return na.join(nb, "__rn", "left").drop("__rn")
 
 

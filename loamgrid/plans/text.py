@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import columns as C
@@ -10,6 +9,7 @@ from loamgrid.functions import fixed_values as V
 from loamgrid.functions import html as H
 from loamgrid.functions import text as X
 from loamgrid.operators.aggregates import last_n
+from loamgrid.operators.ordering import running
 from loamgrid.operators.chat import conversation_summary, conversation_title, dedupe_recent
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import table
@@ -380,6 +380,5 @@ def logs(spark, sf):
     f"with {LOGSQL} select task, event_id, least(coalesce(max(p) over (partition by task order by ts, event_id rows between unbounded preceding and current row), 0), 99) as progress from lg",
 )
 def q_progress(spark, sf):
-    w = Window.partitionBy("task").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    p = F.least(F.coalesce(F.max(X.progress_of(F.col("line"))).over(w), F.lit(0)), F.lit(99))
-    return logs(spark, sf).select("task", "event_id", p.alias("progress"))
+    r = running(logs(spark, sf), ["task"], ["ts", "event_id"], X.progress_of(F.col("line")), "max", "top")
+    return r.select("task", "event_id", F.least(F.coalesce("top", F.lit(0)), F.lit(99)).alias("progress"))

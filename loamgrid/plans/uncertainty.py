@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators import uncertainty as U
 from loamgrid.operators.neighbors import knn_join, nearest_distance, nearest_line_distance
-from loamgrid.operators.ordering import exact_quantile_scalar
+from loamgrid.operators.ordering import exact_quantile_scalar, running
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import grid, oof, samples, segments, table
 from loamgrid.session import write_and_read
@@ -125,11 +125,9 @@ def q_wq(spark, sf):
 
 def grouped_weighted_quantile(df, by, value, weight, q):
     """Per-group weighted quantile; equal values merge first, then a running weight per group."""
-    from pyspark.sql import Window
-
     p = df.filter((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(by, value).agg(F.sum(weight).alias("w"))
-    run = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = p.withColumn("cum", F.sum("w").over(run)).withColumn("tot", F.sum("w").over(Window.partitionBy(by)))
+    tot = p.groupBy(by).agg(F.sum("w").alias("tot"))
+    c = running(p, [by], [value], F.col("w"), "sum", "cum").join(tot, by)
     return c.filter(F.col("cum") >= F.lit(float(q)) * F.col("tot")).groupBy(by).agg(F.min(value).alias("q"))
 
 
@@ -139,11 +137,8 @@ def grouped_weighted_quantile(df, by, value, weight, q):
 from (select l_suppkey, l_partkey, sum(l_quantity) as w from lineitem group by 1, 2)""",
 )
 def q_cumw(spark, sf):
-    from pyspark.sql import Window
-
     p = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("w"))
-    run = Window.partitionBy("l_suppkey").orderBy("l_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select("l_suppkey", "l_partkey", r6(F.sum("w").over(run), "cum"))
+    return running(p, ["l_suppkey"], ["l_partkey"], F.col("w"), "sum", "cum").select("l_suppkey", "l_partkey", r6("cum", "cum"))
 
 
 @query(
