@@ -32,10 +32,15 @@ def _grab(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """Binds an expression, so that a lambda or branches that read it often evaluate it once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _first_alias(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Name of the first listed alias contained in the text; one literal array keeps the expression small."""
     arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in pairs])
-    return F.get(F.filter(arr, lambda x: F.contains(text, x["a"])), F.lit(0))["n"]
+    return let(text, lambda t: F.get(F.filter(arr, lambda x: F.contains(t, x["a"])), F.lit(0))["n"])
 
 
 def parse_year(c: Column) -> Column:
@@ -144,18 +149,21 @@ def squeeze(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Collapsed blanks, corrected typing mistakes, single punctuation."""
-    t = squeeze(c)
-    for bad, good in V.TYPOS.items():
-        t = F.replace(t, F.lit(bad), F.lit(good))
+    def fixed(t):
+        for bad, good in V.TYPOS.items():
+            t = F.replace(t, F.lit(bad), F.lit(good))
+        return t
+
+    wrong = "|".join(V.TYPOS)
+    t = let(squeeze(c), lambda t: F.when(t.rlike(wrong), fixed(t)).otherwise(t))
     return squeeze(F.regexp_replace(t, "[，,。；;]{2,}", "，"))
 
 
 def infer_domain(c: Column) -> Column:
     """Vocabulary with more terms in the text."""
-    low = F.lower(c)
-    score = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
-    s, a = score(V.SOIL_TERMS), score(V.CAR_TERMS)
-    return F.when((s == 0) & (a == 0), "unknown").when(s >= a, "soil_dsm").otherwise("auto_dsm")
+    score = lambda t, words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
+    both = let(F.lower(c), lambda t: F.struct(score(t, V.SOIL_TERMS).alias("s"), score(t, V.CAR_TERMS).alias("a")))
+    return let(both, lambda b: F.when((b["s"] == 0) & (b["a"] == 0), "unknown").when(b["s"] >= b["a"], "soil_dsm").otherwise("auto_dsm"))
 
 
 def strip_admin_suffix(c: Column) -> Column:
@@ -243,6 +251,10 @@ def spatial_scales(region: Column, parents: Column) -> Column:
 
 def progress_of(line: Column) -> Column:
     """Stage percentage a log line reaches, NULL when it says nothing."""
+    return let(line, _progress)
+
+
+def _progress(line: Column) -> Column:
     low = F.lower(line)
     part = lambda pat: (F.regexp_extract(line, pat, 1).try_cast("int"), F.regexp_extract(line, pat, 2).try_cast("int"))
     # Counters of the two parameter searches.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.operators.neighbors import knn_join
+from loamgrid.operators.neighbors import knn_reduce
 
 UNIT = 2048
 BLOCK = 512
@@ -20,31 +20,37 @@ MAX_GLOBAL_POINTS = 2000
 # ---------------------------------------------------------------- pair statistics
 
 
-def _pair_stats(a, b, edges):
-    """Per lag class: pairs, sum of distances, sum of half squared differences, over id(a) < id(b).
+def _pair_stats(a, b, edges, own):
+    """Per lag class: pairs, sum of distances, sum of half squared differences.
 
-    ``edges`` None means only the distance range is wanted.
+    Two different units give every pair once; inside one unit (``own``) only the upper triangle
+    counts. Classes are equally wide, the last edge may lie a little further out. ``edges`` None
+    means only the distance range is wanted.
     """
     lo, hi = math.inf, -math.inf
-    acc = None if edges is None else np.zeros((3, len(edges) - 1))
+    n = 0 if edges is None else len(edges) - 1
+    acc = np.zeros((3, n))
     for s in range(0, len(a), BLOCK):
         blk = a[s : s + BLOCK]
-        d = np.sqrt((blk[:, 1:2] - b[None, :, 1]) ** 2 + (blk[:, 2:3] - b[None, :, 2]) ** 2)
-        use = blk[:, 0:1] < b[None, :, 0]
-        dist = d[use]
-        if not dist.size:
+        other = b[s + 1 :] if own else b
+        if not len(other):
             continue
-        if acc is None:
-            lo, hi = min(lo, dist.min()), max(hi, dist.max())
+        dx, dy = blk[:, 1:2] - other[None, :, 1], blk[:, 2:3] - other[None, :, 2]
+        dist = np.sqrt(dx * dx + dy * dy)
+        g = None if edges is None else 0.5 * (blk[:, 3:4] - other[None, :, 3]) ** 2
+        if own:
+            use = np.arange(len(other))[None, :] >= np.arange(len(blk))[:, None]
+            dist, g = dist[use], None if g is None else g[use]
+        if edges is None:
+            lo, hi = min(lo, dist.min(initial=math.inf)), max(hi, dist.max(initial=-math.inf))
             continue
-        g = 0.5 * (blk[:, 3:4] - b[None, :, 3]) ** 2
-        cls = np.searchsorted(edges, dist, side="right") - 1
-        ok = (cls >= 0) & (cls < len(edges) - 1)
-        n = len(edges) - 1
-        acc[0] += np.bincount(cls[ok], minlength=n)
-        acc[1] += np.bincount(cls[ok], weights=dist[ok], minlength=n)
-        acc[2] += np.bincount(cls[ok], weights=g[use][ok], minlength=n)
-    return (lo, hi) if acc is None else acc
+        dist, g = dist.ravel(), g.ravel()
+        step = edges[1] - edges[0]
+        cls = np.floor((dist - edges[0]) / step)
+        cls = np.where(cls < 0, n, np.where(dist >= edges[-1], n, np.minimum(cls, n - 1))).astype(np.int64)
+        for row, w in zip(acc, (None, dist, g)):
+            row += np.bincount(cls, weights=w, minlength=n + 1)[:n]
+    return (lo, hi) if edges is None else acc
 
 
 def _block_pairs(points: DataFrame, edges, tile: float | None = None) -> DataFrame:
@@ -83,11 +89,12 @@ def _block_pairs(points: DataFrame, edges, tile: float | None = None) -> DataFra
         first = ta.slice(0, 1).to_pylist() or [None]
         k = first[0]
         own = k is not None and (k["tx"], k["ty"], k["u"]) == (k["ox"], k["oy"], k["v"])
-        sides = [(ma, mb)] if own else [(ma, mb), (mb, ma)]
+        if own:
+            ma = mb = ma[np.argsort(ma[:, 0])]
+        r = _pair_stats(ma, mb, edges, own)
         if edges is None:
-            r = [_pair_stats(p1, p2, None) for p1, p2 in sides]
-            return pa.table({"lo": [min(v[0] for v in r)], "hi": [max(v[1] for v in r)]})
-        acc = sum(_pair_stats(p1, p2, edges) for p1, p2 in sides)
+            return pa.table({"lo": [r[0]], "hi": [r[1]]})
+        acc = r
         return pa.table({"lag": pa.array(np.arange(acc.shape[1]), pa.int32()), "n": acc[0], "d": acc[1], "g": acc[2]})
 
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(stats, schema)
@@ -181,34 +188,15 @@ def krige_local(targets: DataFrame, points: DataFrame, vario: dict, k: int = 16,
     mean and sets ``fallback``. Needs no shuffle beyond that of the neighbour search.
     """
     pts = points.withColumn("px", F.col("x").cast("double")).withColumn("py", F.col("y").cast("double"))
-    nn = knn_join(targets, pts, k + (1 if exclude_self else 0), carry=["px", "py", value], out="__nn", **kw)
-    if exclude_self:
-        nn = nn.withColumn("__nn", F.slice(F.filter("__nn", lambda p: p["id"] != F.col(exclude_self)), 1, k))
-    keep = [f for f in nn.schema.fields if f.name != "__nn"]
-    schema = T.StructType(keep + [T.StructField("krig", T.DoubleType()), T.StructField("krig_var", T.DoubleType()), T.StructField("fallback", T.BooleanType())])
+    if targets is points:
+        targets = pts
 
-    def solve(batches):
-        for b in batches:
-            nbr = b.column("__nn")
-            n = b.num_rows
-            sizes = np.asarray(nbr.value_lengths())
-            flat = nbr.flatten()
-            cols = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("dist", "px", "py", value)}
-            start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            est, var, bad = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, dtype=bool)
-            for m in np.unique(sizes):
-                if m == 0:
-                    continue
-                rows = np.flatnonzero(sizes == m)
-                for s in range(0, len(rows), 4096):
-                    r = rows[s : s + 4096]
-                    ix = start[r][:, None] + np.arange(m)
-                    e, v, f = _solve_batch(cols["px"][ix], cols["py"][ix], cols[value][ix], cols["dist"][ix], vario)
-                    est[r], var[r], bad[r] = e, v, f
-            data = [b.column(f.name) for f in keep] + [pa.array(est, from_pandas=True), pa.array(var, from_pandas=True), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays(data, names=schema.names)
+    def solve(d, c):
+        parts = [_solve_batch(c[s : s + 2048, :, 0], c[s : s + 2048, :, 1], c[s : s + 2048, :, 2], d[s : s + 2048], vario) for s in range(0, len(d), 2048)]
+        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0), np.empty(0), np.empty(0, dtype=bool)]
 
-    return nn.mapInArrow(solve, schema)
+    fields = [T.StructField("krig", T.DoubleType()), T.StructField("krig_var", T.DoubleType()), T.StructField("fallback", T.BooleanType())]
+    return knn_reduce(targets, pts, k, solve, fields, carry=["px", "py", value], self_id=exclude_self, **kw).drop(*([] if targets is not pts else ["px", "py"]))
 
 
 def _solve_batch(px, py, z, d0, vario):
@@ -270,7 +258,7 @@ def krige_global(targets: DataFrame, points: DataFrame, vario: dict) -> DataFram
 
 def variogram_quality(points: DataFrame, vario: dict, k: int = 16, **kw) -> DataFrame:
     """q1 (mean standardised error, wants 0), q2 (mean square, wants 1), cr, and the score; 1.0 when unknown."""
-    c = krige_local(points, points.withColumnRenamed("id", "pid"), vario, k, exclude_self="id", item_id="pid", **kw)
+    c = krige_local(points, points, vario, k, exclude_self="id", item_id="id", **kw)
     ok = c.filter(~F.col("fallback") & (F.col("krig_var") > 1e-12))
     e = (F.col("krig") - F.col("z")) / F.sqrt("krig_var")
     s = ok.agg(F.count("*").alias("n"), F.avg(e).alias("q1"), F.avg(e * e).alias("q2"), F.exp(F.avg(F.log("krig_var"))).alias("gm"))

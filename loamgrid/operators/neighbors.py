@@ -51,19 +51,23 @@ def _distances(t: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
     return np.sqrt(acc)
 
 
-def _top_k(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k smallest entries per row, ordered by (distance, id)."""
+def _top_k(d: np.ndarray, k: int) -> np.ndarray:
+    """Column numbers of the k smallest entries per row, ordered by (distance, column).
+
+    Callers sort the columns by item id, so equal distances come out in id order.
+    """
     n = d.shape[1]
     if n <= k:
-        pick = np.broadcast_to(np.arange(n), d.shape)
-    else:
-        pick = np.argpartition(d, k - 1, axis=1)[:, :k].copy()
-        kth = np.take_along_axis(d, pick, axis=1).max(axis=1)
-        for r in np.flatnonzero((d <= kth[:, None]).sum(axis=1) > k):
-            hit = np.flatnonzero(d[r] <= kth[r])
-            pick[r] = hit[np.lexsort((ids[hit], d[r, hit]))][:k]
-    order = np.lexsort((ids[pick], np.take_along_axis(d, pick, axis=1)), axis=1)
-    return np.take_along_axis(pick, order, axis=1)
+        return np.argsort(d, axis=1, kind="stable")
+    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+    pick.sort(axis=1)
+    val = np.take_along_axis(d, pick, axis=1)
+    order = np.argsort(val, axis=1, kind="stable")
+    pick, kth = np.take_along_axis(pick, order, axis=1), val.max(axis=1)
+    tied = np.flatnonzero((d <= kth[:, None]).sum(axis=1) > k)
+    if len(tied):
+        pick[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return pick
 
 
 def _boxes(c: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +131,9 @@ class _Index:
             tb = t[rows]
             tiles = _candidate_tiles(tb.min(axis=0), tb.max(axis=0), self.lo, self.hi, self.n, k)
             cand = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in tiles])
+            cand = cand[np.argsort(self.ids[cand], kind="stable")]
             d = _distances(tb, self.coords[cand], self.kind)
-            pick = _top_k(d, self.ids[cand], k)
+            pick = _top_k(d, k)
             yield rows, np.take_along_axis(d, pick, axis=1), cand[pick]
 
 
@@ -153,26 +158,32 @@ def _neighbor_type(carry: list[str]) -> T.ArrayType:
     return T.ArrayType(T.StructType(f + [T.StructField(c, T.DoubleType()) for c in carry]))
 
 
-def knn_join(
-    targets: DataFrame,
-    items: DataFrame,
-    k: int,
-    *,
-    target_coords: list[str] | Column = ("x", "y"),
-    item_coords: list[str] | Column = ("x", "y"),
-    item_id: str = "sample_id",
-    carry: list[str] = (),
-    kind: str = "point",
-    out: str = "neighbors",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def knn_join(targets: DataFrame, items: DataFrame, k: int, *, carry: list[str] = (), out: str = "neighbors", **kw) -> DataFrame:
     """Adds ``out``: the k nearest items of every target as an array ordered by (dist, id).
 
-    Coordinates are column names or one ``array<double>`` column. ``kind='segment'`` takes
-    four item coordinates (x1, y1, x2, y2). Rows with a missing coordinate have no distance:
-    such items are left out, such targets get an empty array.
+    ``target_coords`` and ``item_coords`` are column names or one ``array<double>`` column;
+    ``item_id`` names the item key, ``carry`` item columns to bring along. ``kind='segment'``
+    takes four item coordinates (x1, y1, x2, y2). Rows with a missing coordinate have no
+    distance: such items are left out, such targets get an empty array.
     """
-    carry = list(carry)
+    return _search(targets, items, k, list(carry), None, [T.StructField(out, _neighbor_type(list(carry)))], **kw)
+
+
+def knn_reduce(targets: DataFrame, items: DataFrame, k: int, reduce, fields: list[T.StructField], *, carry: list[str] = (), self_id: str | None = None, **kw) -> DataFrame:
+    """Adds ``fields`` computed from the k nearest items without building neighbour lists.
+
+    ``reduce(dist, carry)`` gets arrays of shape (targets, k) and (targets, k, columns) and
+    returns one array per field. ``self_id`` leaves out the item whose id equals that target
+    column. Targets without a place get NULL.
+    """
+    return _search(targets, items, k, list(carry), reduce, fields, self_id=self_id, **kw)
+
+
+def _search(
+    targets, items, k, carry, reduce, fields, *, target_coords=("x", "y"), item_coords=("x", "y"), item_id="sample_id", kind="point",
+    broadcast_rows=None, self_id=None,
+) -> DataFrame:
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     as_vec = lambda c: c if isinstance(c, Column) else F.array(*[F.col(n).cast("double") for n in c])
     complete = lambda c: ~F.exists(c, lambda v: v.isNull() | F.isnan(v)) & c.isNotNull()
     it = items.select(
@@ -182,26 +193,61 @@ def knn_join(
     ).filter(complete(F.col("__v")))
     probe = it.select(F.count("*").alias("n"), F.max(F.size("__v")).alias("w")).first()
     n, width = int(probe.n), int(probe.w or 2)
-    k = int(min(k, max(1, n)))
+    want = min(k, max(1, n - (1 if self_id else 0)))
+    find = min(n, want + (1 if self_id else 0))
     tv = as_vec(target_coords).cast("array<double>")
     none = F.array_repeat(F.lit(float("nan")), 2 if kind == "segment" else width)
     tg = targets.withColumn("__t", F.when(complete(tv), tv).otherwise(none))
     if n == 0:
-        return tg.withColumn(out, F.array().cast(_neighbor_type(carry))).drop("__t")
-    if n <= broadcast_rows:
-        return _mapped(tg, it, k, n, width, carry, kind, out)
-    return _paired(tg, it, k, n, width, carry, kind, out)
-
-
-def _mapped(tg, it, k, n, width, carry, kind, out) -> DataFrame:
-    tbl = it.limit(n).toArrow()  # n was counted and is at most broadcast_rows
+        return tg.select(*targets.columns, *[(F.array() if reduce is None else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    if targets is items and n <= limit:
+        # The targets are the counted items: cheap to spread when they come from one small file.
+        tg = tg.repartition(max(1, min(tg.sparkSession.sparkContext.defaultParallelism, n // BLOCK)))
+    finish = _finisher(carry, reduce, fields, want, self_id)
+    if n <= limit:
+        return _mapped(tg, it, find, n, width, carry, kind, fields, finish)
+    found = _paired(tg, it, find, n, width, carry, kind)
+    return _applied(found, carry, fields, finish, find)
+
+
+def _finisher(carry, reduce, fields, want, self_id):
+    """Turns (batch, rows with a place, distances, ids, carried values) into the new columns."""
+
+    def finish(batch, good, dist, ids, cv):
+        if reduce is None:
+            arr = _neighbor_array(dist, ids, cv, carry)
+            if not good.all():  # targets without a place keep an empty list
+                ends = np.concatenate([[0], np.cumsum(np.where(good, dist.shape[1], 0))])
+                arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arr.values)
+            return [arr]
+        if self_id and len(dist):
+            me = batch.column(self_id).to_numpy(zero_copy_only=False)[good]
+            rest = np.argsort(ids == me[:, None], axis=1, kind="stable")[:, :want]
+            dist, cv = np.take_along_axis(dist, rest, axis=1), np.take_along_axis(cv, rest[:, :, None], axis=1)
+        cols = []
+        for f, v in zip(fields, reduce(dist, cv)):
+            if v.dtype == bool:
+                full = np.zeros(len(good), dtype=bool)
+                full[good] = v
+                cols.append(pa.array(full, mask=~good))
+            else:
+                full = np.full(len(good), np.nan)
+                full[good] = v
+                cols.append(pa.array(full, from_pandas=True))
+        return cols
+
+    return finish
+
+
+def _mapped(tg, it, k, n, width, carry, kind, fields, finish) -> DataFrame:
+    tbl = it.limit(n).toArrow()  # n was counted and is at most the broadcast limit
     cols = [tbl.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in carry]
     cv = np.stack(cols, axis=1).astype("float64") if cols else np.empty((n, 0))
     ix = _Index(_matrix(tbl.column("__v"), width), tbl.column("__id").combine_chunks().to_numpy(), cv, kind)
     shared = tg.sparkSession.sparkContext.broadcast(ix)
     tdim = 2 if kind == "segment" else width
     keep = [f for f in tg.schema.fields if f.name != "__t"]
-    schema = T.StructType(keep + [T.StructField(out, _neighbor_type(carry))])
+    schema = T.StructType(keep + fields)
 
     def search(batches):
         idx = shared.value
@@ -215,21 +261,39 @@ def _mapped(tg, it, k, n, width, carry, kind, out) -> DataFrame:
             rows = np.zeros((len(ok), k), dtype=int)
             for r, d, p in idx.search(ok, k):
                 dist[r], rows[r] = d, p
-            arr = _neighbor_array(dist, idx.ids[rows], idx.carry[rows], carry)
-            if len(ok) < b.num_rows:  # targets without a place keep an empty list
-                ends = np.concatenate([[0], np.cumsum(np.where(good, k, 0))])
-                arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arr.values)
-            data = [b.column(f.name) for f in keep] + [arr]
-            yield pa.RecordBatch.from_arrays(data, names=[f.name for f in schema.fields])
+            data = [b.column(f.name) for f in keep] + finish(b, good, dist, idx.ids[rows], idx.carry[rows])
+            yield pa.RecordBatch.from_arrays(data, names=schema.names)
 
     return tg.mapInArrow(search, schema)
 
 
+def _applied(found, carry, fields, finish, k) -> DataFrame:
+    """The same last step over neighbour lists that came out of the paired layout."""
+    if fields[0].dataType == _neighbor_type(carry):
+        return found.withColumnRenamed("__nn", fields[0].name)
+    keep = [f for f in found.schema.fields if f.name != "__nn"]
+    schema = T.StructType(keep + fields)
+
+    def apply(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            nn = b.column("__nn")
+            good = np.asarray(nn.value_lengths()) > 0
+            flat = nn.flatten()
+            m = lambda c: flat.field(c).to_numpy(zero_copy_only=False).reshape(-1, k)
+            cv = np.stack([m(c) for c in carry], axis=2) if carry else np.empty((int(good.sum()), k, 0))
+            data = [b.column(f.name) for f in keep] + finish(b, good, m("dist"), m("id"), cv)
+            yield pa.RecordBatch.from_arrays(data, names=schema.names)
+
+    return found.mapInArrow(apply, schema)
+
+
 def _bin(edges: Column, v: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < v))
 
 
-def _paired(tg, it, k, n, width, carry, kind, out) -> DataFrame:
+def _paired(tg, it, k, n, width, carry, kind) -> DataFrame:
     spark = tg.sparkSession
     tdim = 2 if kind == "segment" else width
     anchor = lambda v, j: (F.get(v, F.lit(j)) + F.get(v, F.lit(j + 2))) / 2.0 if kind == "segment" else F.get(v, F.lit(j))
@@ -301,11 +365,13 @@ def _paired(tg, it, k, n, width, carry, kind, out) -> DataFrame:
         c, ids = _matrix(rt.column("__v"), width), rt.column("__id").combine_chunks().to_numpy()
         cols = [rt.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in carry]
         cv = np.stack(cols, axis=1).astype("float64") if cols else np.empty((len(ids), 0))
+        by_id = np.argsort(ids, kind="stable")
+        c, ids, cv = c[by_id], ids[by_id], cv[by_id]
         ts, parts = [], []
         for s0 in range(0, len(t), BLOCK):
             tb = t[s0 : s0 + BLOCK]
             d = _distances(tb, c, kind)
-            p = _top_k(d, ids, min(k, len(ids)))
+            p = _top_k(d, min(k, len(ids)))
             parts.append(_neighbor_array(np.take_along_axis(d, p, axis=1), ids[p], cv[p], carry))
             ts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, tb.size + 1, tdim), pa.int32()), pa.array(tb.ravel())))
         return pa.table({"__t": pa.chunked_array(ts), "part": pa.chunked_array(parts)})
@@ -315,10 +381,10 @@ def _paired(tg, it, k, n, width, carry, kind, out) -> DataFrame:
         .cogroup(right.groupBy("__chunk", "__unit"))
         .applyInArrow(search, part_schema)
         .groupBy("__t")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias(out))
+        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("__nn"))
     )
     empty = F.array().cast(ntype)
-    return tg.join(found, "__t", "left").withColumn(out, F.coalesce(F.col(out), empty)).drop("__t")
+    return tg.join(found, "__t", "left").withColumn("__nn", F.coalesce("__nn", empty)).drop("__t")
 
 
 def _arrow_type(carry: list[str]) -> pa.DataType:
@@ -327,13 +393,10 @@ def _arrow_type(carry: list[str]) -> pa.DataType:
 
 
 def nearest_distance(targets: DataFrame, items: DataFrame, out: str = "dist", **kw) -> DataFrame:
-    """Distance to the closest item."""
-    j = knn_join(targets, items, 1, out="__nn", **kw)
-    return j.withColumn(out, F.get("__nn", F.lit(0))["dist"]).drop("__nn")
+    """Distance to the closest item (with ``self_id``: to the closest other one)."""
+    return knn_reduce(targets, items, 1, lambda d, _: [d[:, 0]], [T.StructField(out, T.DoubleType())], **kw)
 
 
 def nearest_line_distance(points: DataFrame, lines: DataFrame, seg_id: str = "seg_id", out: str = "dist", **kw) -> DataFrame:
     """Smallest point-to-segment distance, exact over all segments."""
-    return nearest_distance(
-        points, lines, out=out, item_coords=["x1", "y1", "x2", "y2"], item_id=seg_id, kind="segment", **kw
-    )
+    return nearest_distance(points, lines, out=out, item_coords=["x1", "y1", "x2", "y2"], item_id=seg_id, kind="segment", **kw)

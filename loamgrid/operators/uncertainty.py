@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loamgrid.functions.quantile import weighted_quantile
-from loamgrid.operators.neighbors import knn_join
+from loamgrid.operators.neighbors import knn_reduce, nearest_distance
 from loamgrid.operators.ordering import exact_quantile_scalar, exact_quantiles
 from loamgrid.session import write_and_read
 
@@ -34,20 +35,21 @@ PARAM_SETS = (
 )
 
 
-def gaussian_qhat(nn: Column, alpha=ALPHA, scale=BANDWIDTH_SCALE, min_bw=MIN_BANDWIDTH, value="abs_residual") -> Column:
-    """Weighted residual quantile of one neighbour array (ordered by distance)."""
-    bw = F.greatest(F.lit(float(min_bw)), F.element_at(nn, -1)["dist"] * F.lit(float(scale)))
-    # The bandwidth travels as a one-element array, so it is evaluated once per row.
-    pairs = F.flatten(
-        F.transform(
-            F.array(bw),
-            lambda b: F.transform(
-                nn,
-                lambda p: F.struct(p[value].alias("v"), F.exp(F.lit(-0.5) * (p["dist"] / b) * (p["dist"] / b)).alias("w")),
-            ),
-        )
-    )
-    return F.when(F.size(nn) > 0, weighted_quantile(pairs, 1.0 - alpha))
+def weighted_quantile_rows(v: np.ndarray, w: np.ndarray, q: float) -> np.ndarray:
+    """Row-wise smallest value whose cumulative weight reaches q of the total; weights of 0 never count."""
+    order = np.lexsort((w, v), axis=1)
+    v, cum = np.take_along_axis(v, order, axis=1), np.cumsum(np.take_along_axis(w, order, axis=1), axis=1)
+    hit = (cum >= q * cum[:, -1:]) & (cum > 0)
+    return np.where(hit.any(axis=1), np.take_along_axis(v, hit.argmax(axis=1)[:, None], axis=1)[:, 0], np.nan)
+
+
+def gaussian_rows(dist, resid, alpha, scale, min_bw):
+    bw = np.maximum(min_bw, dist[:, -1:] * scale)
+    return weighted_quantile_rows(resid, np.exp(-0.5 * (dist / bw) * (dist / bw)), 1.0 - alpha)
+
+
+def doubles(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.DoubleType()) for n in names]
 
 
 def neighbor_count(neighbors: int) -> int:
@@ -66,12 +68,8 @@ def local_qhat(
     **kw,
 ) -> DataFrame:
     """Adds ``qhat``. A sample that is its own target counts itself unless ``exclude_self`` names its id column."""
-    k = neighbor_count(neighbors)
-    j = knn_join(targets, calib, k + (1 if exclude_self else 0), carry=["abs_residual"], out="__nn", **kw)
-    nn = F.col("__nn")
-    if exclude_self:
-        nn = F.slice(F.filter(nn, lambda p: p["id"] != F.col(exclude_self)), 1, k)
-    return j.withColumn("qhat", gaussian_qhat(nn, alpha, scale, min_bw)).drop("__nn")
+    one = lambda d, c: [gaussian_rows(d, c[:, :, 0], alpha, scale, min_bw)]
+    return knn_reduce(targets, calib, neighbor_count(neighbors), one, doubles("qhat"), carry=["abs_residual"], self_id=exclude_self, **kw)
 
 
 def conformal_global_quantile(oof: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -106,8 +104,6 @@ def ranked_value(df: DataFrame, value: str, rank_of) -> Column:
     cuts = v.agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(257)], 10_000))).scalar()
     binned = v.groupBy("v").agg(F.count("*").alias("m"))
     binned = binned.withColumn("c", cuts).withColumn("b", F.size(F.filter("c", lambda e: e < F.col("v")))).drop("c")
-    from pyspark.sql import Window
-
     sizes = binned.groupBy("b").agg(F.sum("m").alias("bm"))
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 258 rows
     sizes = sizes.withColumn("cum", F.sum("bm").over(w)).withColumn("n", F.lit(v.select(F.count("*")).scalar()))
@@ -207,19 +203,14 @@ def composite_score(m: DataFrame) -> DataFrame:
 def gcp_param_search(oof: DataFrame, params=PARAM_SETS, **kw) -> DataFrame:
     """Metrics and score of every parameter set from one neighbour search.
 
-    The neighbours are found once for the largest k; smaller sets are prefixes of that array.
+    The neighbours are found once for the largest k; smaller sets are prefixes of that list.
     """
-    kmax = max(neighbor_count(p[2]) for p in params)
-    nn = knn_join(oof, oof, kmax, carry=["abs_residual"], out="__nn", **kw)
-    sets = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.lit(a).alias("alpha"),
-            gaussian_qhat(F.slice("__nn", 1, neighbor_count(k)), a, s, b).alias("qhat"),
-        )
-        for name, a, k, s, b in params
-    ]
-    long = nn.select("y_true", "pred", F.explode(F.array(*sets)).alias("p")).select("y_true", "pred", "p.*")
+    sets = [(name, a, neighbor_count(k), scale, bw) for name, a, k, scale, bw in params]
+    every = lambda d, c: [gaussian_rows(d[:, :k], c[:, :k, 0], a, scale, bw) for _, a, k, scale, bw in sets]
+    names = [f"q_{name}" for name, *_ in sets]
+    nn = knn_reduce(oof, oof, max(p[2] for p in sets), every, doubles(*names), carry=["abs_residual"], **kw)
+    rows = F.array(*[F.struct(F.lit(p[0]).alias("name"), F.lit(p[1]).alias("alpha"), F.col(q).alias("qhat")) for p, q in zip(sets, names)])
+    long = nn.select("y_true", "pred", F.inline(rows))
     iv = write_and_read(prediction_intervals(long), "param-intervals")
     return composite_score(interval_metrics(iv, F.col("alpha"), by=["name"]))
 
@@ -227,16 +218,15 @@ def gcp_param_search(oof: DataFrame, params=PARAM_SETS, **kw) -> DataFrame:
 def local_qhat_idw(targets: DataFrame, calib: DataFrame, alpha: float = ALPHA, k: int = IDW_NEIGHBORS, **kw) -> DataFrame:
     """Distance-power weights, shrunk towards the global quantile and clamped around it."""
     glob = conformal_global_quantile(calib, alpha).select("q").scalar()
-    j = knn_join(targets, calib, k, carry=["abs_residual"], out="__nn", **kw).withColumn("global_q", glob)
-    pairs = F.transform(
-        "__nn",
-        lambda p: F.struct(p["abs_residual"].alias("v"), (F.lit(1.0) / F.pow(F.greatest(p["dist"], F.lit(1.0)), F.lit(IDW_POWER))).alias("w")),
-    )
-    g = F.col("global_q")
-    loc = F.coalesce(weighted_quantile(pairs, 1.0 - alpha), g)
-    shrunk = F.lit(1.0 - IDW_SHRINK) * loc + F.lit(IDW_SHRINK) * g
+
+    def local(d, c):
+        return [weighted_quantile_rows(c[:, :, 0], 1.0 / np.power(np.maximum(d, 1.0), IDW_POWER), 1.0 - alpha)]
+
+    j = knn_reduce(targets, calib, k, local, doubles("__q"), carry=["abs_residual"], **kw).withColumn("__g", glob)
+    g = F.col("__g")
+    shrunk = F.lit(1.0 - IDW_SHRINK) * F.coalesce("__q", g) + F.lit(IDW_SHRINK) * g
     half = F.least(F.greatest(shrunk, g * F.lit(IDW_MIN_SCALE)), g * F.lit(IDW_MAX_SCALE))
-    return j.withColumn("half_width", half).drop("__nn", "global_q")
+    return j.withColumn("half_width", half).drop("__q", "__g")
 
 
 # ---------------------------------------------------------------- area of applicability
@@ -279,8 +269,8 @@ def aoa_train_di(train: DataFrame, features: list[str], importance=None, id_col:
     stats = standardize_stats(train, features)
     zw = weighted_space(train, features, stats, feature_weights(features, importance))
     kw = {"target_coords": F.col("zw"), "item_coords": F.col("zw"), **kw}
-    nn = knn_join(zw, zw, 2, item_id=id_col, out="__nn", **kw)
-    nn = write_and_read(nn.select(id_col, F.get("__nn", F.lit(1))["dist"].alias("nn_dist")), "train-di")
+    nn = nearest_distance(zw, zw, "nn_dist", item_id=id_col, self_id=id_col, **kw)
+    nn = write_and_read(nn.select(id_col, "nn_dist"), "train-di")
     mean = nn.filter(F.col("nn_dist") > 0).select(F.coalesce(F.avg("nn_dist"), F.lit(1.0))).scalar()
     return nn.withColumn("mean_nn", mean).withColumn("di", F.coalesce(F.col("nn_dist"), F.lit(0.0)) / F.col("mean_nn"))
 
@@ -300,16 +290,15 @@ def aoa_grid_di(cells: DataFrame, train: DataFrame, features: list[str], importa
     stats = standardize_stats(train, features)
     w = feature_weights(features, importance)
     zt, zc = weighted_space(train, features, stats, w), weighted_space(cells, features, stats, w)
-    nn = knn_join(zc, zt, 1, target_coords=F.col("zw"), item_coords=F.col("zw"), item_id=id_col, out="__nn", **kw)
+    nn = nearest_distance(zc, zt, "__nn", target_coords=F.col("zw"), item_coords=F.col("zw"), item_id=id_col, **kw)
     ref = train_di if train_di is not None else aoa_train_di(train, features, importance, id_col, **kw)
     mean = ref.agg(F.max("mean_nn")).scalar()
-    return nn.withColumn("di", F.get("__nn", F.lit(0))["dist"] / mean).drop("__nn", "zw")
+    return nn.withColumn("di", F.col("__nn") / mean).drop("__nn", "zw")
 
 
 def coord_di(targets: DataFrame, samples: DataFrame, **kw) -> DataFrame:
     """Fallback by place: distance to the nearest sample over the mean positive distance."""
-    nn = knn_join(targets, samples, 1, out="__nn", **kw)
-    nn = write_and_read(nn.withColumn("nn_dist", F.get("__nn", F.lit(0))["dist"]).drop("__nn"), "coord-di")
+    nn = write_and_read(nearest_distance(targets, samples, "nn_dist", **kw), "coord-di")
     mean = nn.filter(F.col("nn_dist") > 0).select(F.coalesce(F.avg("nn_dist"), F.lit(1.0))).scalar()
     return nn.withColumn("di", F.col("nn_dist") / mean)
 

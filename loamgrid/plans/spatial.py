@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import columns as C
+from loamgrid.functions.text import let
 from loamgrid.operators import raster as R
 from loamgrid.operators.ordering import exact_quantiles, global_rank
 from loamgrid.plans.registry import query
@@ -289,7 +290,7 @@ def alias_match(df, text, aliases):
         raise ValueError(f"{n} aliases; split the gazetteer by level")
     a = aliases.select(F.struct((-(F.col("level") + F.length("alias"))).alias("neg"), "alias", "target"))
     arr = a.agg(F.array_sort(F.collect_list(a.columns[0]))).scalar()
-    hit = F.get(F.filter("__al", lambda x: F.contains(F.col(text), x["alias"])), F.lit(0))
+    hit = let(F.col(text), lambda t: F.get(F.filter("__al", lambda x: F.contains(t, x["alias"])), F.lit(0)))
     return df.withColumn("__al", arr).withColumn("__h", hit).select(*df.columns, F.col("__h.target").alias("target"), (-F.col("__h.neg")).alias("score"))
 
 

@@ -90,9 +90,8 @@ select vec_id, round(min(d), 6) as nn_dist from d group by vec_id""",
 )
 def q_nn_features(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    j = knn_join(e, e, 2, target_coords=F.col("v"), item_coords=F.col("v"), item_id="vec_id")
-    other = F.filter("neighbors", lambda p: p["id"] != F.col("vec_id"))
-    return j.select("vec_id", r6(F.get(other, F.lit(0))["dist"], "nn_dist"))
+    j = nearest_distance(e, e, "nn_dist", target_coords=F.col("v"), item_coords=F.col("v"), item_id="vec_id", self_id="vec_id")
+    return j.select("vec_id", r6("nn_dist", "nn_dist"))
 
 
 @query(
@@ -342,8 +341,7 @@ def _coord_inside(spark, sf, cells):
     """Cells with coordinate DI and the flag against the 95th percentile of the samples' own DI."""
     o = oof(spark, sf)
     g = U.coord_di(cells, o)
-    nn = knn_join(o, o, 2, out="__nn")
-    nn = write_and_read(nn.select(F.get(F.filter("__nn", lambda p: p["id"] != F.col("sample_id")), F.lit(0))["dist"].alias("d")), "own-di")
+    nn = write_and_read(nearest_distance(o, o, "d", self_id="sample_id").select("d"), "own-di")
     mean = nn.filter(F.col("d") > 0).select(F.coalesce(F.avg("d"), F.lit(1.0))).scalar()
     thr = exact_quantile_scalar(nn.select((F.col("d") / mean).alias("di")), "di", [U.AOA_OUTLIER_QUANTILE])
     return g.withColumn("__t", thr).withColumn("inside", (F.col("di") <= F.col("__t")[0]).cast("int")).drop("__t")

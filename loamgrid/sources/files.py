@@ -83,8 +83,9 @@ def probe_candidates(spark: SparkSession, path: str) -> DataFrame:
     by_sep = lines.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEPARATORS])).alias("sep"))
     cells = by_sep.withColumn("cells", F.transform(F.split("line", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))), lambda c: F.btrim(c, F.lit(' "'))))
     head = cells.groupBy("encoding", "sep").agg(F.min_by("cells", "pos").alias("cols"), F.min("pos").alias("first"))
-    rows = cells.join(head, ["encoding", "sep"]).filter(F.col("pos") > F.col("first"))
-    num = lambda k: F.count_if(C.extract_numeric(F.get("cells", field_position(F.col("cols"), k) - 1)).isNotNull() & (field_position(F.col("cols"), k) > 0))
+    at = head.select("encoding", "sep", "first", *[field_position(F.col("cols"), k).alias(f"at_{k}") for k in V.REQUIRED_FIELDS])
+    rows = cells.join(at, ["encoding", "sep"]).filter(F.col("pos") > F.col("first"))
+    num = lambda k: F.count_if(C.extract_numeric(F.get("cells", F.col(f"at_{k}") - 1)).isNotNull() & (F.col(f"at_{k}") > 0))
     got = rows.groupBy("encoding", "sep").agg(*[num(k).alias(f"n_{k}") for k in V.REQUIRED_FIELDS])
     t = head.join(got, ["encoding", "sep"], "left")
     val = {k: F.coalesce(f"n_{k}", F.lit(0)) for k in V.REQUIRED_FIELDS}
