@@ -8,7 +8,7 @@ searched. Nothing is dropped, so the result is exact.
 
 Two layouts share the numpy kernel:
 
-* the item table has at most ``broadcast_rows`` rows (counted first): the tiled items are
+* the item table has at most ``broadcast_rows`` rows (checked first): the tiled items are
   broadcast and the targets are mapped in place, with no shuffle and no skew;
 * otherwise items and targets are both cut into units of bounded size, units that can
   matter to each other are paired through their boxes, and partial top-k lists merge.
@@ -191,8 +191,11 @@ def _search(
         F.col(item_id).cast("long").alias("__id"),
         *[F.col(c).cast("double").alias(c) for c in carry],
     ).filter(complete(F.col("__v")))
-    probe = it.select(F.count("*").alias("n"), F.max(F.size("__v")).alias("w")).first()
-    n, width = int(probe.n), int(probe.w or 2)
+    head = it.limit(limit + 1).toArrow()  # one job: the whole table when it is within the limit
+    n, small = head.num_rows, head.num_rows <= limit
+    if not small:
+        n = it.count()
+    width = len(head.column("__v")[0].as_py()) if head.num_rows else 2
     want = min(k, max(1, n - (1 if self_id else 0)))
     find = min(n, want + (1 if self_id else 0))
     tv = as_vec(target_coords).cast("array<double>")
@@ -200,12 +203,12 @@ def _search(
     tg = targets.withColumn("__t", F.when(complete(tv), tv).otherwise(none))
     if n == 0:
         return tg.select(*targets.columns, *[(F.array() if reduce is None else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-    if targets is items and n <= limit:
+    if targets is items and small:
         # The targets are the counted items: cheap to spread when they come from one small file.
         tg = tg.repartition(max(1, min(tg.sparkSession.sparkContext.defaultParallelism, n // BLOCK)))
     finish = _finisher(carry, reduce, fields, want, self_id)
-    if n <= limit:
-        return _mapped(tg, it, find, n, width, carry, kind, fields, finish)
+    if small:
+        return _mapped(tg, head, find, width, carry, kind, fields, finish)
     found = _paired(tg, it, find, n, width, carry, kind)
     return _applied(found, carry, fields, finish, find)
 
@@ -239,8 +242,8 @@ def _finisher(carry, reduce, fields, want, self_id):
     return finish
 
 
-def _mapped(tg, it, k, n, width, carry, kind, fields, finish) -> DataFrame:
-    tbl = it.limit(n).toArrow()  # n was counted and is at most the broadcast limit
+def _mapped(tg, tbl, k, width, carry, kind, fields, finish) -> DataFrame:
+    n = tbl.num_rows  # at most the broadcast limit
     cols = [tbl.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in carry]
     cv = np.stack(cols, axis=1).astype("float64") if cols else np.empty((n, 0))
     ix = _Index(_matrix(tbl.column("__v"), width), tbl.column("__id").combine_chunks().to_numpy(), cv, kind)

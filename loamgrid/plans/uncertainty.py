@@ -337,9 +337,8 @@ sd as (select a.sample_id, min(sqrt((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a
 sthr as (select quantile_cont(d / (select avg(d) from sd where d > 0), 0.95) as t from sd)"""
 
 
-def _coord_inside(spark, sf, cells):
+def _coord_inside(o, cells):
     """Cells with coordinate DI and the flag against the 95th percentile of the samples' own DI."""
-    o = oof(spark, sf)
     g = U.coord_di(cells, o)
     nn = write_and_read(nearest_distance(o, o, "d", self_id="sample_id").select("d"), "own-di")
     mean = nn.filter(F.col("d") > 0).select(F.coalesce(F.avg("d"), F.lit(1.0))).scalar()
@@ -353,7 +352,7 @@ def _coord_inside(spark, sf, cells):
     ("grid", "oof"),
 )
 def q_coord(spark, sf):
-    return _coord_inside(spark, sf, _cells(spark, sf)).select("cell", r6("di", "di"), "inside")
+    return _coord_inside(oof(spark, sf), _cells(spark, sf)).select("cell", r6("di", "di"), "inside")
 
 
 RISK = f"""{COORD}, {qhat_ctes('cells', 'cell')},
@@ -364,8 +363,9 @@ rk as materialized (select cell, inside, width, case when width <= t and inside
 
 def risk_cells(spark, sf):
     """Every map cell with interval, DI, inside flag and risk class."""
-    iv = U.grid_intervals(_cells(spark, sf), oof(spark, sf))
-    cells = write_and_read(_coord_inside(spark, sf, iv), "risk-cells")
+    o = write_and_read(oof(spark, sf), "calibration")
+    iv = U.grid_intervals(_cells(spark, sf), o)
+    cells = write_and_read(_coord_inside(o, iv), "risk-cells")
     return U.risk_class(cells)
 
 

@@ -70,3 +70,10 @@ def test_sql_names(spark):
     assert (r["d"], r["n"], r["s"], r["t"], r["w"]) == (5.0, -150.0, "成都", "市", 2.0)
     g = spark.sql("select * from grid_cells(0d, 0d, 25d, 15d, 10d)").collect()
     assert len(g) == 6 and (g[0]["x"], g[0]["y"]) == (5.0, 15.0)
+
+
+def test_weighted_quantile_column(spark):
+    from loamgrid.functions.quantile import weighted_quantile
+
+    df = spark.sql("select array(named_struct('v', 3d, 'w', 1d), named_struct('v', 1d, 'w', 1d), named_struct('v', 2d, 'w', 8d), named_struct('v', 0d, 'w', 0d)) as p")
+    assert [df.select(weighted_quantile(F.col("p"), q)).first()[0] for q in (0.0, 0.1, 0.11, 0.9, 0.95)] == [1.0, 1.0, 2.0, 2.0, 3.0]
