@@ -10,30 +10,19 @@ from pyspark.sql import functions as F
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
 from loamgrid.operators.ordering import exact_quantiles
-from loamgrid.operators.schema import unpivot
+from loamgrid.operators.schema import column_profile, unpivot
 
 
 def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: counts, rates, distinct values, range, mean, sample deviation, near-constant."""
-    long = unpivot(df, cols)
-    v = F.col("value")
-    moments = long.groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.count("value").alias("valid"),
-        F.count_if(v == 0).alias("zeros"),
-        F.min("value").alias("mn"),
-        F.max("value").alias("mx"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-    )
-    dist = long.filter(v.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("m")).groupBy("feature").agg(F.count("*").alias("n_distinct"))
-    a = moments.join(dist, "feature", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    a = column_profile(df, cols, distinct=True)
     return a.select(
         "feature", "n", "valid",
         (F.col("n") - F.col("valid")).alias("missing"),
         (1.0 - F.col("valid") / F.col("n")).alias("missing_rate"),
-        "zeros", (F.col("zeros") / F.col("n")).alias("zero_rate"), "n_distinct", "mn", "mx", "mean", "std",
-        ((F.col("n_distinct") <= 1) | (F.coalesce("std", F.lit(0.0)) < 1e-12)).alias("near_constant"),
+        "zeros", (F.col("zeros") / F.col("n")).alias("zero_rate"), F.col("distinct").alias("n_distinct"),
+        F.col("min").alias("mn"), F.col("max").alias("mx"), "mean", "std",
+        (F.col("constant") | (F.coalesce("std", F.lit(0.0)) < 1e-12)).alias("near_constant"),
     )
 
 

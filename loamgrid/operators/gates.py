@@ -59,7 +59,7 @@ def drop_sparse_constant_features(df: DataFrame, cols: list[str], max_missing: f
     """(feature, keep, reason)."""
     p = column_profile(df, cols)
     rate = 1.0 - F.col("valid") / F.col("n")
-    reason = F.when(rate >= max_missing, "sparse").when(F.col("distinct") <= 1, "constant")
+    reason = F.when(rate >= max_missing, "sparse").when(F.col("constant"), "constant")
     return p.select("feature", reason.isNull().alias("keep"), F.coalesce(reason, F.lit("kept")).alias("reason"), rate.alias("missing_rate"))
 
 

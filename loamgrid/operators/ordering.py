@@ -67,7 +67,7 @@ def exact_quantile_scalar(df: DataFrame, value: str, probs: list[float]) -> Colu
 
 
 def global_rank(df: DataFrame, order: list[str], out: str = "rank", total: str | None = None, buckets: int = 65_536) -> DataFrame:
-    """Row number over the whole table by ``order``; its first column is numeric.
+    """Row number over the whole table by ``order``; its first column is numeric and close to unique.
 
     The value range of that column is cut into a fixed number of equal buckets. Rows are numbered
     inside their bucket and moved on by the number of rows in the buckets before it, so only the

@@ -54,27 +54,31 @@ def pick_first_existing(columns: list[str], candidates: Iterable[str], role: str
 # ---------------------------------------------------------------- per-column statistics
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column: rows, valid, zero, distinct, min, max, mean, deviations.
+def column_profile(df: DataFrame, cols: list[str], distinct: bool = False) -> DataFrame:
+    """One row per column: n, valid, zeros, min, max, mean, std (sample), constant; distinct on request.
 
-    The columns are unpivoted map-side and reduced by (feature, value) first, so a feature
-    with one dominating value sends one partial row per task for it.
+    One aggregate over the wide table, reduced map-side to one row per task. Only the exact
+    distinct counts need the values themselves: they are unpivoted and reduced by (feature, value).
     """
-    long = unpivot(df, cols)
-    per = long.groupBy("feature", "value").agg(F.count("*").alias("m"))
-    v, m = F.col("value"), F.col("m")
-    has = v.isNotNull()
-    mean = F.sum(v * m) / F.sum(F.when(has, m))
-    base = per.groupBy("feature").agg(
-        F.sum("m").alias("n"),
-        F.coalesce(F.sum(F.when(has, m)), F.lit(0)).alias("valid"),
-        F.coalesce(F.sum(F.when(v == 0, m)), F.lit(0)).alias("zeros"),
-        F.count("value").alias("distinct"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        mean.alias("mean"),
+    vals = df.select(*[C.finite(F.col(c).cast("double")).alias(c) for c in cols])
+    one = vals.agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[
+            F.struct(
+                F.count(c).alias("valid"), F.count_if(F.col(c) == 0).alias("zeros"), F.min(c).alias("min"), F.max(c).alias("max"),
+                F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            ).alias(c)
+            for c in cols
+        ],
     )
-    return base
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("__n").alias("n"), F.col(c).alias("s")) for c in cols])
+    p = one.select(F.inline(rows)).select("feature", "n", "s.*")
+    p = p.withColumn("constant", F.coalesce(F.col("min") == F.col("max"), F.lit(True)))
+    if not distinct:
+        return p
+    per = unpivot(df, cols).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.lit(1).alias("one"))
+    d = per.groupBy("feature").agg(F.count("*").alias("distinct"))
+    return p.join(d, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def unpivot(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
@@ -110,9 +114,9 @@ def covariate_decision(df: DataFrame, core: Iterable[str] = ()) -> DataFrame:
     if not free:
         return out
     num = df.select(*[C.extract_numeric(F.col(c)).alias(c) for c in free])
-    p = column_profile(num, free)
+    p = column_profile(num, free, distinct=True)
     need = F.greatest(F.lit(8), F.floor(F.col("n") * 0.2))
-    reason = F.when(F.col("valid") < need, "too_few_numeric").when(F.col("distinct") <= 1, "constant")
+    reason = F.when(F.col("valid") < need, "too_few_numeric").when(F.col("constant"), "constant")
     judged = p.select(F.col("feature").alias("column"), reason.isNull().alias("keep"), F.coalesce(reason, F.lit("kept")).alias("reason"), "valid", "distinct")
     return judged.unionByName(out)
 

@@ -9,7 +9,7 @@ from loamgrid.functions import columns as C
 from loamgrid.operators import aggregates as A
 from loamgrid.operators import raster as R
 from loamgrid.operators.ordering import exact_quantiles, global_rank, hash_rank
-from loamgrid.operators.schema import unpivot
+from loamgrid.operators.schema import column_profile, unpivot
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import areas, oof, samples, table, wide
 
@@ -41,8 +41,14 @@ def q_corr(spark, sf):
 
 @query("missing_zero_audit", f"select feature, round(1 - count(v) / count(*)::double, 6) as missing_rate, count(*) filter (v = 0) as zero_count, round(count(*) filter (v = 0) / count(*)::double, 6) as zero_rate from {UNP} group by feature", ("wide",))
 def q_mz(spark, sf):
-    a = A.feature_audit(wide(spark, sf), FEATS)
-    return a.select("feature", r6("missing_rate", "missing_rate"), F.col("zeros").alias("zero_count"), r6("zero_rate", "zero_rate"))
+    a = missing_zero_audit(wide(spark, sf), FEATS)
+    return a.select("feature", r6("missing_rate", "missing_rate"), "zero_count", r6("zero_rate", "zero_rate"))
+
+
+def missing_zero_audit(df, cols):
+    """Missing rate and zeros per column, from one pass; zero is a value, not a gap."""
+    p = column_profile(df, cols)
+    return p.select("feature", (1.0 - F.col("valid") / F.col("n")).alias("missing_rate"), F.col("zeros").alias("zero_count"), (F.col("zeros") / F.col("n")).alias("zero_rate"))
 
 
 MET = "count(*) as n, round(1 - sum((pred - y_true) * (pred - y_true)) / (var_pop(y_true) * count(*)), 6) as r2, round(sqrt(avg((pred - y_true) * (pred - y_true))), 6) as rmse, round(avg(abs(pred - y_true)), 6) as mae, round(avg(pred - y_true), 6) as bias"
@@ -203,10 +209,9 @@ def q_colsum(spark, sf):
 
 def column_summary(df, cols):
     """Count, range, mean and exact median of listed columns."""
-    long = unpivot(df, cols)
-    a = long.groupBy("feature").agg(F.count("value").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"), F.avg("value").alias("mean"))
-    q = exact_quantiles(long, "value", [0.5], ["feature"])
-    return a.join(q, "feature").select("feature", "n", "mn", "mx", "mean", F.col("q")[0].alias("median"))
+    a = column_profile(df, cols)
+    q = exact_quantiles(unpivot(df, cols), "value", [0.5], ["feature"])
+    return a.join(q, "feature").select("feature", F.col("valid").alias("n"), F.col("min").alias("mn"), F.col("max").alias("mx"), "mean", F.col("q")[0].alias("median"))
 
 
 @query(
