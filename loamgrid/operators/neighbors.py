@@ -28,6 +28,7 @@ BROADCAST_ROWS = 250_000
 MAX_TILES = 16_384
 UNIT_ROWS = 4_096
 BLOCK = 256
+NEAR_BLOCK = 64  # targets searched together; small boxes keep the candidate tiles few
 
 
 # ---------------------------------------------------------------- numpy kernels
@@ -66,7 +67,12 @@ def _top_k(d: np.ndarray, k: int) -> np.ndarray:
     pick, kth = np.take_along_axis(pick, order, axis=1), val.max(axis=1)
     tied = np.flatnonzero((d <= kth[:, None]).sum(axis=1) > k)
     if len(tied):
-        pick[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+        dt = d[tied]
+        m = min(n, int((dt <= kth[tied][:, None]).sum(axis=1).max()))
+        wide = np.argpartition(dt, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), dt.shape).copy()
+        wide.sort(axis=1)
+        first = np.argsort(np.take_along_axis(dt, wide, axis=1), axis=1, kind="stable")[:, :k]
+        pick[tied] = np.take_along_axis(wide, first, axis=1)
     return pick
 
 
@@ -113,7 +119,7 @@ def _candidate_tiles(lo, hi, tile_lo, tile_hi, tile_n, k: int) -> np.ndarray:
 class _Index:
     """Bounded item table, tiled; broadcast as plain arrays."""
 
-    def __init__(self, coords: np.ndarray, ids: np.ndarray, carry: np.ndarray, kind: str, size: int = 128):
+    def __init__(self, coords: np.ndarray, ids: np.ndarray, carry: np.ndarray, kind: str, size: int = NEAR_BLOCK):
         order, starts = _tile_order(_anchor(coords, kind), size)
         self.kind, self.coords, self.ids, self.carry = kind, coords[order], ids[order], carry[order]
         self.starts = starts
@@ -125,7 +131,7 @@ class _Index:
 
     def search(self, t: np.ndarray, k: int):
         """Yields (target rows, distances, item rows) per block of nearby targets."""
-        order, starts = _tile_order(t, BLOCK)
+        order, starts = _tile_order(t, NEAR_BLOCK)
         for s, e in zip(starts, np.append(starts[1:], len(order))):
             rows = order[s:e]
             tb = t[rows]
