@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
+from loamgrid.session import write_and_read
 
 PROBE_ROWS = 200
 # Names of the encodings as the JVM knows them; the byte-order-marked form is read as plain UTF-8.
@@ -50,9 +51,9 @@ def field_position(cols: Column, field: str) -> Column:
     return F.coalesce(F.nullif(F.array_position(norm, hit), F.lit(0)), F.array_position(norm, part), F.lit(0)).cast("int")
 
 
-def csv_parse_score(cols: Column, encoding: Column, valid: dict[str, Column]) -> Column:
-    """How plausible one parse of a table is; ``valid`` holds numeric rows per core field."""
-    has = {k: field_position(cols, k) > 0 for k in V.REQUIRED_FIELDS}
+def csv_parse_score(cols: Column, encoding: Column, valid: dict[str, Column], at: dict[str, Column] | None = None) -> Column:
+    """How plausible one parse of a table is; ``valid`` holds numeric rows per core field, ``at`` known field positions."""
+    has = {k: (at[k] if at else field_position(cols, k)) > 0 for k in V.REQUIRED_FIELDS}
     hits = reduce(lambda a, b: a + b, [h.cast("int") for h in has.values()])
     header = F.concat_ws("|", cols)
     n = F.size(cols)
@@ -80,16 +81,18 @@ def probe_candidates(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.options(quote="", **csv_options(e, "\u0001")).schema("line string").csv(path).limit(PROBE_ROWS + 1)
         part = raw.select(F.lit(e).alias("encoding"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("line", "^﻿", "").alias("line"))
         lines = part if lines is None else lines.unionByName(part)
+    lines = write_and_read(lines, "csv-probe")  # at most 201 lines per encoding, scanned once
     by_sep = lines.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEPARATORS])).alias("sep"))
     cells = by_sep.withColumn("cells", F.transform(F.split("line", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))), lambda c: F.btrim(c, F.lit(' "'))))
     head = cells.groupBy("encoding", "sep").agg(F.min_by("cells", "pos").alias("cols"), F.min("pos").alias("first"))
-    at = head.select("encoding", "sep", "first", *[field_position(F.col("cols"), k).alias(f"at_{k}") for k in V.REQUIRED_FIELDS])
-    rows = cells.join(at, ["encoding", "sep"]).filter(F.col("pos") > F.col("first"))
+    at = head.select("encoding", "sep", "cols", "first", *[field_position(F.col("cols"), k).alias(f"at_{k}") for k in V.REQUIRED_FIELDS])
+    at = write_and_read(at, "csv-heads")  # one row per candidate
+    rows = cells.join(at.drop("cols"), ["encoding", "sep"]).filter(F.col("pos") > F.col("first"))
     num = lambda k: F.count_if(C.extract_numeric(F.get("cells", F.col(f"at_{k}") - 1)).isNotNull() & (F.col(f"at_{k}") > 0))
     got = rows.groupBy("encoding", "sep").agg(*[num(k).alias(f"n_{k}") for k in V.REQUIRED_FIELDS])
-    t = head.join(got, ["encoding", "sep"], "left")
+    t = at.join(got, ["encoding", "sep"], "left")
     val = {k: F.coalesce(f"n_{k}", F.lit(0)) for k in V.REQUIRED_FIELDS}
-    return t.select("encoding", "sep", "cols", csv_parse_score(F.col("cols"), F.col("encoding"), val).alias("score"))
+    return t.select("encoding", "sep", "cols", csv_parse_score(F.col("cols"), F.col("encoding"), val, {k: F.col(f"at_{k}") for k in V.REQUIRED_FIELDS}).alias("score"))
 
 
 def scan_csv_best(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
