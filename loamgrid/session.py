@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -63,3 +65,17 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per Spark context.
+
+    Needed where the job was not submitted with ``--py-files`` and the workers start elsewhere.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_loamgrid_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="loamgrid-pkg-"), "loamgrid")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._loamgrid_shipped = True
