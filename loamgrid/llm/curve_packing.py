@@ -102,11 +102,11 @@ def stream_starts(rows: DataFrame, order: list[str], amount: str) -> DataFrame:
 
     Rows are range-partitioned, sums of whole partitions are added up, and the rest is a window inside a partition.
     """
-    parts = write_and_read(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
-    totals = parts.groupBy("part").agg(F.sum(amount).alias("__sum"))
-    before = totals.select("part", F.coalesce(F.sum("__sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(before, "part").withColumn("start", F.col("__before") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("__before", "part")
+    parts = write_and_read(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    totals = parts.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = totals.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(before, "__part").withColumn("start", F.col("__before") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("__before", "__part")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:

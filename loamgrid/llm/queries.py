@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import chat_parts, curve_packing, host_rules, language_codes
+from loamgrid.llm import chat_parts, curve_packing, host_rules, id_blocks, language_codes, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,15 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_curve_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query("op10_id_blocks")
+def id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = id_blocks.new_folder(docs)
+    return id_blocks.read_documents(id_blocks.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), folder), folder)
+
+
+@query("op1_warc_bundles")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
