@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import chat_parts, curve_packing, host_rules, id_blocks, language_codes, warc_bundles
+from loamgrid.llm import bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_warc_bundles")
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_bottom_k")
+def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
