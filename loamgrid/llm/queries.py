@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, warc_bundles
+from loamgrid.llm import bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_progressive_jpeg")
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.features(progressive_jpeg.store(table(spark, sf_dir, "documents")))
