@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, warc_bundles
+from loamgrid.llm import bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, sentence_pieces, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,10 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_progressive_jpeg")
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.features(progressive_jpeg.store(table(spark, sf_dir, "documents")))
+
+
+@query("op9_sentence_pieces")
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.digests(sentence_pieces.decode(sentence_pieces.encode(docs, model), model))
