@@ -56,6 +56,8 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1. Up to five languages every split of the languages is a bit, beyond that 15 log2(n) drawn splits."""
+    if n < 2:
+        return np.ones((n, 0), int)
     if n <= 5:
         ks = range(1, 1 << max(0, n - 1))
         return np.array([[1 if l == n - 1 or not k >> l & 1 else -1 for k in ks] for l in range(n)]).reshape(n, -1)
