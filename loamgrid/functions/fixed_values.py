@@ -70,6 +70,7 @@ FINE_LIMIT_M = 31.0
 # Tried text encodings and separators.
 ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "gbk", "cp936", "gb2312", "big5", "cp950", "utf-16", "utf-16-le", "utf-16-be", "latin1"]
 ENCODING_ALIAS = {"gb2312": "gb18030", "gb_18030": "gb18030", "windows-936": "gbk", "ms936": "gbk", "ascii": "utf-8"}
+SIMPLE_ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "gbk", "cp936"]
 SEPARATORS = [",", "\t", ";", "|"]
 
 EXTREME_ABS = 1e30

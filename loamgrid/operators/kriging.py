@@ -14,7 +14,6 @@ from loamgrid.operators.neighbors import knn_reduce
 
 UNIT = 2048
 BLOCK = 512
-MAX_GLOBAL_POINTS = 2000
 
 
 # ---------------------------------------------------------------- pair statistics
@@ -229,33 +228,6 @@ def _solve_batch(px, py, z, d0, vario):
     return est, var, bad
 
 
-def krige_global(targets: DataFrame, points: DataFrame, vario: dict) -> DataFrame:
-    """All points at once: only for up to 2000 points (counted first); one inverted matrix is broadcast."""
-    rows = points.select("id", "x", "y", "z").orderBy("id").limit(MAX_GLOBAL_POINTS + 1).collect()
-    if len(rows) > MAX_GLOBAL_POINTS:
-        raise ValueError(f"more than {MAX_GLOBAL_POINTS} points: use krige_local")
-    p = np.array([[r["x"], r["y"], r["z"]] for r in rows], dtype=float)
-    m = len(p)
-    g = lambda h: np.where(h <= 1e-10, 0.0, gamma_numpy(vario["model"], h, vario["nugget"], vario["psill"], vario["range"]))
-    a = np.ones((m + 1, m + 1))
-    a[:m, :m] = g(np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1]))
-    a[m, m] = 0.0
-    shared = targets.sparkSession.sparkContext.broadcast((p, np.linalg.pinv(a)))
-    schema = T.StructType([*targets.schema.fields, T.StructField("krig", T.DoubleType()), T.StructField("krig_var", T.DoubleType())])
-
-    def apply(batches):
-        pts, inv = shared.value
-        for b in batches:
-            x, y = b.column("x").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
-            rhs = np.ones((len(x), m + 1))
-            rhs[:, :m] = g(np.hypot(x[:, None] - pts[None, :, 0], y[:, None] - pts[None, :, 1]))
-            w = rhs @ inv.T
-            data = [*b.columns, pa.array((w[:, :m] * pts[:, 2]).sum(axis=1)), pa.array((w * rhs).sum(axis=1))]
-            yield pa.RecordBatch.from_arrays(data, names=schema.names)
-
-    return targets.mapInArrow(apply, schema)
-
-
 def variogram_quality(points: DataFrame, vario: dict, k: int = 16, **kw) -> DataFrame:
     """q1 (mean standardised error, wants 0), q2 (mean square, wants 1), cr, and the score; 1.0 when unknown."""
     c = krige_local(points, points, vario, k, exclude_self="id", item_id="id", **kw)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.session import write_and_read
+
 ACCURACY = 10_000
 
 
@@ -66,18 +68,22 @@ def exact_quantile_scalar(df: DataFrame, value: str, probs: list[float]) -> Colu
     return exact_quantiles(df, value, probs).select("q").scalar()
 
 
-def global_rank(df: DataFrame, order: list[str], out: str = "rank", total: str | None = None, buckets: int = 65_536) -> DataFrame:
-    """Row number over the whole table by ``order``; its first column is numeric and close to unique.
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``__b``, the number of its range in ``order`` (NULL first), written once so that it stays.
+
+    Spark samples the bounds, so ranges are even whatever the values' distribution; ties are split by later columns.
+    """
+    cut = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return write_and_read(cut.withColumn("__b", F.spark_partition_id()), "ranges")
+
+
+def global_rank(df: DataFrame, order: list[str], out: str = "rank", total: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Row number over the whole table by ``order``, NULL first; the columns together should be unique.
 
-    The value range of that column is cut into a fixed number of equal buckets. Rows are numbered
-    inside their bucket and moved on by the number of rows in the buckets before it, so only the
-    bounded list of bucket sizes is ever ordered in one place.
+    Rows are numbered inside their range and moved on by the number of rows in the ranges before
+    it, so only the bounded list of range sizes is ever ordered in one place.
     """
-    c = F.col(order[0]).cast("double")
-    span = df.agg(F.struct(F.min(c).alias("a"), F.max(c).alias("b"))).scalar()
-    d = df.withColumn("__s", span)
-    key = F.when(F.col("__s.b") > F.col("__s.a"), F.floor((c - F.col("__s.a")) / (F.col("__s.b") - F.col("__s.a")) * buckets)).otherwise(F.lit(0))
-    return _ranked(d.withColumn("__b", key).drop("__s"), [F.col(o) for o in order], out, total)
+    return _ranked(in_ranges(df, order, ranges), [F.col(o) for o in order], out, total)
 
 
 def _ranked(keyed: DataFrame, order: list[Column], out: str, total: str | None) -> DataFrame:
@@ -96,25 +102,22 @@ def hash_rank(df: DataFrame, text: Column, tie: list[Column] = (), out: str = "r
     return _ranked(h, [F.col("__h"), *tie], out, total).drop("__h")
 
 
-def running(df: DataFrame, by: list[str], order: list[str], value: Column, how: str = "sum", out: str = "running", chunks: int = 256) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, how: str = "sum", out: str = "running", ranges: int | None = None) -> DataFrame:
     """Running sum or maximum per group in ``order``, split so that a hot group spreads over tasks.
 
-    The first order column (a number or a timestamp) is cut into equal ranges per group. Each range
-    is scanned on its own; what the ranges before it add up to comes from one aggregate row per range.
+    Rows are cut into even ranges of (group, order). Each range is scanned on its own; what the
+    ranges before it hold of the same group comes from one aggregate row per group and range.
+    NULL groups are a group, NULL order keys come first.
     """
     agg = {"sum": F.sum, "max": F.max}[how]
-    first = F.col(order[0])
-    num = F.unix_micros(first.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
-    d = df.withColumn("__o", num).withColumn("__v", value)
-    span = d.groupBy(*by).agg(F.min("__o").alias("__a"), F.max("__o").alias("__z"))
-    d = d.join(span, by)
-    part = F.when(F.col("__z") > F.col("__a"), F.floor((F.col("__o") - F.col("__a")) / (F.col("__z") - F.col("__a")) * chunks)).otherwise(F.lit(0))
-    d = d.withColumn("__p", part).drop("__o", "__a", "__z")
-    tot = d.groupBy(*by, "__p").agg(agg("__v").alias("__t"))
-    prev = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # at most chunks + 1 rows per group
-    tot = tot.select(*by, "__p", agg("__t").over(prev).alias("__before"))
-    w = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = agg("__v").over(w)
-    j = d.join(tot, [*by, "__p"])
-    both = F.coalesce(F.col("__before") + inner, F.col("__before"), inner) if how == "sum" else F.greatest(F.col("__before"), inner)
-    return j.withColumn(out, both).drop("__p", "__v", "__before")
+    d = in_ranges(df.withColumn("__v", value), [*by, *order], ranges)
+    tot = d.groupBy(*by, "__b").agg(agg("__v").alias("__t"))
+    prev = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ranges a group reaches
+    tot = tot.select(*[F.col(b).alias(f"__k_{b}") for b in by], F.col("__b").alias("__c"), agg("__t").over(prev).alias("__before"))
+    w = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__b") == F.col("__c")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
+    j = d.withColumn("__i", agg("__v").over(w)).join(tot, same)
+    both = F.coalesce(F.col("__before") + F.col("__i"), F.col("__before"), F.col("__i")) if how == "sum" else F.greatest("__before", "__i")
+    return j.select(*df.columns, both.alias(out))

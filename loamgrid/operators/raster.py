@@ -178,7 +178,7 @@ def polygon_join(points: DataFrame, areas: DataFrame, tile: float = 25000.0, how
     return p.join(a, cond, how).drop("tile_x", "tile_y", "__tx", "__ty", "bx0", "by0", "bx1", "by1", "edges")
 
 
-def edge_connected(cells: DataFrame, rows: int, cols: int, max_rounds: int = 10_000) -> DataFrame:
+def edge_connected(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     """Background cells joined to the raster edge by 4-neighbour steps.
 
     Runs of background cells in a row are the nodes, overlapping runs of neighbouring rows the
@@ -195,7 +195,7 @@ def edge_connected(cells: DataFrame, rows: int, cols: int, max_rounds: int = 10_
     pairs = runs.join(up, "row").filter((F.col("c0") <= F.col("d1")) & (F.col("d0") <= F.col("c1"))).select("id", "id2")
     links = cut_lineage(pairs.unionByName(pairs.select(F.col("id2").alias("id"), F.col("id").alias("id2"))))
     lab = runs.select("id", F.col("id").alias("lab"))
-    for _ in range(max_rounds):
+    while True:
         near = links.join(lab.select(F.col("id").alias("id2"), F.col("lab").alias("l2")), "id2").groupBy("id").agg(F.min("l2").alias("l2"))
         nxt = lab.join(near, "id", "left").select("id", "lab", F.least("lab", "l2").alias("new"))
         jump = nxt.select(F.col("id").alias("new"), F.col("new").alias("far"))
@@ -205,8 +205,6 @@ def edge_connected(cells: DataFrame, rows: int, cols: int, max_rounds: int = 10_
         lab = nxt.select("id", F.col("new").alias("lab"))
         if not changed:
             break
-    else:
-        raise RuntimeError("edge search did not settle")
     touching = (F.col("row") == 0) | (F.col("row") == rows - 1) | (F.col("c0") == 0) | (F.col("c1") == cols - 1)
     full = runs.join(lab, "id")
     hit = full.filter(touching).select("lab").distinct()

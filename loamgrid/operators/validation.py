@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.operators.ordering import exact_quantile_scalar, hash_rank
-
-MAX_GROUPS = 100_000
+from loamgrid.operators.ordering import exact_quantile_scalar, global_rank, hash_rank
+from loamgrid.session import write_and_read
 
 
 def blocks_equal(df: DataFrame, k: int = 5, x: str = "lon", y: str = "lat", out: str = "block") -> DataFrame:
@@ -39,11 +37,13 @@ def group_split(df: DataFrame, group: str, seeds: list[int], share: float = 0.3)
     """
     g = df.select(group).distinct()
     s = g.select(F.explode(F.array(*[F.lit(i) for i in seeds])).alias("seed"), group)
-    h = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col(group).cast("string")))
-    w = Window.partitionBy("seed").orderBy(h, group)
-    n = F.count("*").over(Window.partitionBy("seed"))
-    role = F.when(F.row_number().over(w) <= F.ceil(F.lit(float(share)) * n), "test").otherwise("train")
-    return s.select("seed", group, role.alias("role"))
+    s = s.withColumn("__h", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.coalesce(F.col(group).cast("string"), F.lit(""))))).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = s.groupBy("seed", "__b").agg(F.count("*").alias("__c"))  # at most 4096 rows per seed
+    before = Window.partitionBy("seed").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("__n", F.sum("__c").over(Window.partitionBy("seed"))).drop("__c")
+    rank = F.row_number().over(Window.partitionBy("seed", "__b").orderBy("__h", group)) + F.col("__off")
+    role = F.when(rank <= F.ceil(F.lit(float(share)) * F.col("__n")), "test").otherwise("train")
+    return s.join(sizes, ["seed", "__b"]).select("seed", group, role.alias("role"))
 
 
 def split_rows(df: DataFrame, group: str, seeds: list[int], share: float = 0.3) -> DataFrame:
@@ -52,18 +52,40 @@ def split_rows(df: DataFrame, group: str, seeds: list[int], share: float = 0.3)
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """(group, fold): largest group to the lightest fold. The group list is bounded and checked."""
-    g = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows = g.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    heap = [(0, f) for f in range(k)]
-    folds = []
-    for r in sorted(rows, key=lambda r: (-r["n"], r[group])):
-        load, f = heapq.heappop(heap)
-        folds.append((r[group], f))
-        heapq.heappush(heap, (load + r["n"], f))
-    return df.sparkSession.createDataFrame(folds, f"{group} {dict(df.dtypes)[group]}, fold int")
+    """(group, fold): largest group to the lightest fold, equal groups by name, equal loads to the first fold.
+
+    The driver sees how many groups have each size, no group. Of ``m`` groups of size ``n`` the greedy rule takes the
+    ``m`` smallest of the loads each fold would pass through (load, load + n, ...), so a pick's place is arithmetic.
+    """
+    g = write_and_read(df.groupBy(group).agg(F.count("*").alias("n")), "groups")
+    sizes = g.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect()  # distinct sizes, below sqrt(2 * rows)
+    load, runs, done = [0] * k, [], 0
+    for r in sizes:
+        picks = _lightest(load, r["n"], r["m"])
+        runs += [(r["n"], done, f, load[f], p, list(load)) for f, p in enumerate(picks) if p]
+        done += r["m"]
+        load = [x + r["n"] * p for x, p in zip(load, picks)]
+    runs = df.sparkSession.createDataFrame(runs, "n bigint, done bigint, fold int, load bigint, picks bigint, loads array<bigint>")
+    j = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("picks") - 1))).withColumn("at", F.col("load") + F.col("i") * F.col("n"))
+    # Picks before this one: loads below, or equal at an earlier fold.
+    earlier = F.transform("loads", lambda x, i: F.greatest(F.lit(0), F.ceil((F.col("at") - x + F.when(i < F.col("fold"), 1).otherwise(0)) / F.col("n"))).cast("long"))
+    place = F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("done") + 1
+    ranked = global_rank(g.withColumn("__neg", -F.col("n")), ["__neg", group], "__r")
+    return ranked.join(j.select(place.alias("__r"), "fold"), "__r").select(group, "fold")
+
+
+def _lightest(load: list[int], n: int, m: int) -> list[int]:
+    """How many of ``m`` groups of size ``n`` each fold takes, one after another to the lightest."""
+    below = lambda t: [max(0, -(-(t - x) // n)) for x in load]  # picks made at loads under t
+    lo, hi = min(load), max(load) + n * m
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if sum(below(mid)) <= m else (lo, mid - 1)
+    picks = below(lo)
+    for f in range(len(load)):
+        if sum(picks) < m and load[f] + n * picks[f] == lo:
+            picks[f] += 1
+    return picks
 
 
 def random_holdout(df: DataFrame, key: str, seed: int = 42, share: float = 0.3) -> DataFrame:

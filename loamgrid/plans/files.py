@@ -66,7 +66,7 @@ def q_simple(spark, sf):
     return df.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("inspect_table_shape", "select least(count(*), 200) as probe_rows, 6 as columns from part")
+@query("inspect_table_shape", "select least(count(*), 200) as probe_rows, count(*) as all_rows, 6 as columns from part")
 def q_shape(spark, sf):
     return S.table_shape(table(spark, sf, "part"))
 

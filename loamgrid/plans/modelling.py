@@ -204,13 +204,6 @@ def q_kl(spark, sf):
     return K.krige_local(grid(spark), p, _vario(p), 16, item_id="id").select("row", "col", r6("krig", "krig"), r6("krig_var", "krig_var"), "fallback")
 
 
-@query("krige_global")
-def q_kg(spark, sf):
-    t = _points(spark, sf).groupBy(F.floor(F.col("x") / 12000).alias("tx"), F.floor(F.col("y") / 12000).alias("ty")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
-    p = write_and_read(t.select((F.col("tx") * 1000 + F.col("ty")).alias("id"), "x", "y", "z"), "tile-points")
-    return K.krige_global(grid(spark), p, _vario(p)).select("row", "col", r6("krig", "krig"))
-
-
 @query("rf_residuals", "select sample_id, round(y_true - pred, 6) as residual from oof", ("oof",))
 def q_res(spark, sf):
     return oof(spark, sf).select("sample_id", F.round(F.col("y_true") - F.col("pred"), 6).alias("residual"))

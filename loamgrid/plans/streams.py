@@ -34,13 +34,16 @@ def _source(spark, sf, df=None):
 
 
 def _closing(spark, sf):
+    """The event table and the closing row as a stream. Its files are in no order of time, so a replay reads them in
+    one trigger: with several, the lateness of an operator must cover the disorder of its source.
+    """
     e = _events(spark, sf)
     path = scratch_path(spark, "stream-in")
     e.write.parquet(path)
     last = e.orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
     end = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
     end.write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1000).parquet(path), path
+    return spark.readStream.schema(e.schema).parquet(path), path
 
 
 def _drain(spark, df, mode="append"):

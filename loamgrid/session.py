@@ -33,13 +33,15 @@ def build_session(app: str = "loamgrid", cpus: int | str = "*", **conf) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a local session) a temporary folder is set once.
+    Where a local session names none a temporary folder is set once; executors elsewhere could not see it.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
         path = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
         path = getattr(spark.sparkContext, "_loamgrid_dir", None)
+    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="loamgrid-")
         spark.sparkContext._loamgrid_dir = path

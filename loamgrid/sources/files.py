@@ -96,28 +96,44 @@ def probe_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_csv_best(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
-    """The table read once in full with the best (encoding, separator), and these two."""
+    """The table read with the best (encoding, separator), and these two. The score of the first 200 rows proposes an
+    encoding; it is taken only if every line of the file decodes with it, else the next best is tried."""
     order = {e: i for i, e in enumerate(V.ENCODINGS)}
     cands = probe_candidates(spark, path).select("encoding", "sep", "score").collect()  # at most 44 rows
-    best = min(cands, key=lambda r: (-r["score"], order[r["encoding"]], V.SEPARATORS.index(r["sep"])))
+    cands.sort(key=lambda r: (-r["score"], order[r["encoding"]], V.SEPARATORS.index(r["sep"])))
+    clean: dict[str, bool] = {}
+    for best in cands:
+        e = best["encoding"]
+        if clean.setdefault(e, clean[e] if e in clean else decodes(spark, path, e)):
+            break
+    else:
+        best = cands[0]
     df = spark.read.options(header=True, **csv_options(best["encoding"], best["sep"])).csv(path)
     return df, best["encoding"], best["sep"]
 
 
-def read_table_simple(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """First encoding of a short list under which no replacement character appears in the probe."""
+def decodes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether every line of the file decodes: one distributed pass for replacement characters."""
     allow_all_charsets(spark)
-    for e in ("utf-8", "gb18030", "gbk", "big5", "latin1"):
-        probe = spark.read.csv(path, sep="\u0001", encoding=JVM_NAME.get(e, e.upper()), schema="line string").limit(PROBE_ROWS)
-        if probe.filter(F.contains("line", F.lit("�"))).limit(1).count() == 0:
-            break
+    lines = spark.read.options(quote="", **csv_options(encoding, "\u0001")).schema("line string").csv(path)
+    return lines.filter(F.contains("line", F.lit("�"))).isEmpty()
+
+
+def read_table_simple(spark: SparkSession, path: str, sep: str | None = None, schema: str | None = None) -> DataFrame:
+    """First encoding of a short list with which every line decodes; the separator that the header holds most often."""
+    allow_all_charsets(spark)
+    e = next((e for e in V.SIMPLE_ENCODINGS if decodes(spark, path, e)), V.SIMPLE_ENCODINGS[-1])
+    if sep is None:
+        head = spark.read.options(quote="", **csv_options(e, "\u0001")).schema("line string").csv(path).first()
+        sep = max(V.SEPARATORS, key=lambda s: ((head["line"] or "") if head else "").count(s))
     r = spark.read.option("header", True).option("sep", sep).option("encoding", JVM_NAME.get(e, e.upper()))
     return (r.schema(schema) if schema else r).csv(path)
 
 
 def table_shape(df: DataFrame, rows: int = PROBE_ROWS) -> DataFrame:
-    """Rows of the probe and number of columns."""
-    return df.limit(rows).agg(F.count("*").alias("probe_rows")).withColumn("columns", F.lit(len(df.columns)))
+    """Rows of a preview of at most ``rows``, all rows, and number of columns."""
+    n = F.count("*")
+    return df.agg(F.least(n, F.lit(rows)).alias("probe_rows"), n.alias("all_rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
 def extension(path: Column) -> Column:

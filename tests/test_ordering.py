@@ -26,7 +26,7 @@ def test_running_equals_pandas_with_a_hot_group(spark):
     want = p.sort_values("o")
     want = want.assign(s=want.groupby("g").v.cumsum(), m=want.groupby("g").v.cummax()).set_index("o")
     for how, col in (("sum", "s"), ("max", "m")):
-        for row in O.running(df, ["g"], ["o"], F.col("v"), how, chunks=16).collect():
+        for row in O.running(df, ["g"], ["o"], F.col("v"), how, ranges=16).collect():
             assert row["running"] == want.loc[row["o"], col]
 
 
@@ -34,7 +34,7 @@ def test_global_rank(spark):
     r = np.random.default_rng(3)
     v = np.concatenate([r.integers(0, 50, 500), np.full(300, 7)])
     df = spark.createDataFrame(pd.DataFrame({"v": v, "i": np.arange(len(v))}))
-    rows = O.global_rank(df, ["v", "i"], "r", "n", buckets=10).collect()
+    rows = O.global_rank(df, ["v", "i"], "r", "n", ranges=10).collect()
     order = sorted((x["v"], x["i"]) for x in rows)
     assert [order[x["r"] - 1] for x in rows] == [(x["v"], x["i"]) for x in rows]
     assert {x["n"] for x in rows} == {len(v)}
@@ -59,3 +59,24 @@ def test_dedupe_recent_equals_a_plain_walk(spark):
         want.add((conv, turn))
     got = dedupe_recent(df, "conv_id", "turn", span=64).collect()
     assert {(x["conv_id"], x["turn"]) for x in got} == want
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None if i % 10 == 0 else i % 7, None if i % 4 == 0 else i, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, o int, v double")
+    ranked = O.global_rank(df, ["o", "v"], "r", "n", ranges=4).collect()
+    want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+    assert sorted((x["r"], x["v"]) for x in ranked) == [(i + 1, x[2]) for i, x in enumerate(want)]
+    got = {x["v"]: x["running"] for x in O.running(df, ["g"], ["o", "v"], F.col("v"), ranges=4).collect()}
+    sums, expect = {}, {}
+    for g, _, v in want:
+        sums[g] = expect[v] = sums.get(g, 0) + v
+    assert got == expect
+
+
+def test_ranges_stay_even_on_skewed_and_tied_values(spark):
+    r = np.random.default_rng(4)
+    for v in (r.lognormal(0, 3, 8000), np.where(r.random(8000) < 0.9, 1.0, r.random(8000))):
+        df = spark.createDataFrame(pd.DataFrame({"v": v, "i": np.arange(len(v))}))
+        sizes = [x["count"] for x in O.in_ranges(df, ["v", "i"], 8).groupBy("__b").count().collect()]
+        assert max(sizes) <= 2 * len(v) / 8
