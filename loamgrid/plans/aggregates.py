@@ -129,13 +129,13 @@ def mode_per_group(df, by, value):
 
 @query(
     "coarsest_resolution",
-    """with e as (select p_brand, p_size * 1.0::double as r from part where p_size <= 30 or p_brand in ('Brand#1', 'Brand#2', 'Brand#3') union all select p_brand, 10.0::double from part),
+    """with e as (select p_brand, case when p_size <= 30 or p_brand in ('Brand#1', 'Brand#2', 'Brand#3') then p_size * 1.0::double end as r from part union all select p_brand, 10.0::double from part),
 m as (select p_brand, max(r) as coarsest, cast(substr(p_brand, 7) as int) % 4 as k from e group by p_brand)
 select p_brand, coarsest, case when coarsest <= 31 then case k when 0 then 30.0::double when 1 then 250.0::double when 2 then 500.0::double else 1000.0::double end else greatest(1, round_even(coarsest, 0)) end as resolution from m""",
 )
 def q_coarse(spark, sf):
     p = table(spark, sf, "part")
-    own = p.filter((F.col("p_size") <= 30) | F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")).select("p_brand", F.col("p_size").cast("double").alias("r"))
+    own = p.select("p_brand", F.when((F.col("p_size") <= 30) | F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"), F.col("p_size").cast("double")).alias("r"))
     e = own.unionByName(p.select("p_brand", F.lit(10.0).alias("r"))).groupBy("p_brand").agg(F.max("r").alias("coarsest"))
     k = F.substring("p_brand", 7, 9).cast("int") % 4
     level = F.when(k == 0, "county").when(k == 1, "city").when(k == 2, "province").otherwise("country")
@@ -380,23 +380,23 @@ def q_union(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("union_evidence", "select 'layer' as source, p_brand, max(p_size)::double as r from part where p_type = 'PROMO' group by 2 union all select 'declared', p_brand, max(p_size)::double from part where p_type = 'SMALL' group by 2")
+@query("union_evidence", "select 'layer' as source, p_brand, max(p_size)::double as r from part where p_type = 'PROMO' group by 2 union all select 'declared', p_brand, max(p_size)::double from part where p_type <> 'PROMO' group by 2")
 def q_evidence(spark, sf):
     p = table(spark, sf, "part")
-    src = F.when(F.col("p_type") == "PROMO", "layer").when(F.col("p_type") == "SMALL", "declared")
-    return p.filter(F.col("p_type").isin("PROMO", "SMALL")).groupBy(src.alias("source"), "p_brand").agg(F.max("p_size").cast("double").alias("r"))
+    src = F.when(F.col("p_type") == "PROMO", "layer").otherwise("declared")
+    return p.groupBy(src.alias("source"), "p_brand").agg(F.max("p_size").cast("double").alias("r"))
 
 
-@query("intersect_features", "select l_partkey as k from lineitem where l_quantity > 48 intersect select l_partkey from lineitem where l_tax > 0.07")
+@query("intersect_features", "select l_partkey as k from lineitem group by 1 having avg(l_quantity) > 25 intersect select l_partkey from lineitem group by 1 having avg(l_tax) > 0.04")
 def q_intersect(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.filter("l_quantity > 48").select(F.col("l_partkey").alias("k")).intersect(li.filter("l_tax > 0.07").select("l_partkey"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
+    return li.filter("q > 25").select("k").intersect(li.filter("t > 0.04").select("k"))
 
 
-@query("except_features", "select l_partkey as k from lineitem where l_quantity > 48 except select l_partkey from lineitem where l_tax > 0.07")
+@query("except_features", "select l_partkey as k from lineitem group by 1 having avg(l_quantity) > 25 except select l_partkey from lineitem group by 1 having avg(l_tax) > 0.04")
 def q_except(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.filter("l_quantity > 48").select(F.col("l_partkey").alias("k")).subtract(li.filter("l_tax > 0.07").select("l_partkey"))
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
+    return li.filter("q > 25").select("k").subtract(li.filter("t > 0.04").select("k"))
 
 
 @query("distinct_values", "select distinct p_name, p_type from part")

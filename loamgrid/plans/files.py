@@ -168,7 +168,7 @@ def q_granules(spark, sf):
 
 @query(
     "load_band_map",
-    "select p_partkey, 1 as band, p_name as feature, case when p_partkey % 5 = 4 then 'fallback_band_index_names' else 'companion_mapping_file' end as source from part where p_partkey % 5 <> 4 union all select p_partkey, 2, p_type, 'companion_mapping_file' from part where p_partkey % 5 <> 4",
+    "select p_partkey, 1 as band, p_name as feature, 'companion_mapping_file' as source from part union all select p_partkey, 2, p_type, 'companion_mapping_file' from part",
 )
 def q_bands(spark, sf):
     m = F.col("p_partkey") % 3
@@ -176,7 +176,7 @@ def q_bands(spark, sf):
     mapped = F.to_json(F.create_map(F.lit("1"), F.col("p_name"), F.lit("2"), F.col("p_type")))
     plain = F.to_json(F.array("p_name", "p_type"))
     doc = F.when(m == 0, listed).when(m == 1, mapped).otherwise(plain)
-    p = table(spark, sf, "part").filter("p_partkey % 5 <> 4").select("p_partkey", D.band_map(doc).alias("m"))
+    p = table(spark, sf, "part").select("p_partkey", D.band_map(doc).alias("m"))
     return p.select("p_partkey", F.inline("m")).withColumn("source", F.lit("companion_mapping_file"))
 
 

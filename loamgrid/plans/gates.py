@@ -230,13 +230,13 @@ def _stack(spark, sf):
     return feature_stack(raster_cells(spark, sf), ["qty", "disc", "class"])
 
 
-STACK = """st as (select "row", "col", max(case when layer = 'qty' then "value" end) as qty, max(case when layer = 'disc' then "value" end) as disc, max(case when layer = 'class' then "value" end) as class from raster_cells where not (layer = 'disc' and ("row" + "col") % 9 = 0) group by 1, 2)"""
+STACK = """st as (select "row", "col", max(case when layer = 'qty' then "value" end) as qty, max(case when layer = 'disc' and ("row" + "col") % 9 <> 0 then "value" end) as disc, max(case when layer = 'class' then "value" end) as class from raster_cells group by 1, 2)"""
 
 
 def _gappy(spark, sf):
     from loamgrid.operators.raster import feature_stack
 
-    c = raster_cells(spark, sf).filter(~((F.col("layer") == "disc") & ((F.col("row") + F.col("col")) % 9 == 0)))
+    c = raster_cells(spark, sf).withColumn("value", F.when((F.col("layer") != "disc") | ((F.col("row") + F.col("col")) % 9 != 0), F.col("value")))
     return feature_stack(c, ["qty", "disc", "class"])
 
 
@@ -285,12 +285,12 @@ def q_vyear(spark, sf):
     return samples(spark, sf).groupBy("sample_year").agg(F.count("*").alias("n"), F.bool_and(C.valid_year(F.col("sample_year") - 20)).alias("ok"))
 
 
-META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row") * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height,
-  case when layer = 'class' then 'EPSG:4326' else 'EPSG:32648' end as crs from raster_cells where layer <> 'disc' or "row" > 3 group by layer)"""
+META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height,
+  case when layer = 'class' then 'EPSG:4326' else 'EPSG:32648' end as crs from raster_cells group by layer)"""
 
 
 def raster_meta(spark, sf):
-    c = raster_cells(spark, sf).filter("layer <> 'disc' or row > 3")
+    c = raster_cells(spark, sf).withColumn("row", F.col("row") + F.when(F.col("layer") == "disc", 4).otherwise(0))
     return c.groupBy("layer").agg(
         (F.min("col") * 5000.0).alias("x0"),
         (F.lit(180000.0) - F.min("row") * 5000.0).alias("y0"),

@@ -213,9 +213,9 @@ def q_missind(spark, sf):
     return d.select("sample_id", *[c for c in d.columns if c.endswith("__missing")])
 
 
-@query("scale_offset", 'select layer, "row", "col", round("value" * 0.02::double - 273.15::double, 6) as v from raster_cells where layer <> \'class\'', ("raster_cells",))
+@query("scale_offset", 'select layer, "row", "col", round("value" * 0.02::double - 273.15::double, 6) as v from raster_cells', ("raster_cells",))
 def q_scale(spark, sf):
-    return raster_cells(spark, sf).filter("layer <> 'class'").select("layer", "row", "col", r6(scale_offset(F.col("value"), 0.02, -273.15), "v"))
+    return raster_cells(spark, sf).select("layer", "row", "col", r6(scale_offset(F.col("value"), 0.02, -273.15), "v"))
 
 
 def scale_offset(value, scale, offset=0.0):

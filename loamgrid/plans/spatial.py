@@ -40,14 +40,13 @@ def join_by_id(left, right, key, order, cols):
 
 @query(
     "join_positional",
-    """select a.o_orderkey, b.l_partkey from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders) a
-join (select l_partkey, row_number() over (order by l_orderkey, l_linenumber) as rn from lineitem where l_linenumber = 1) b using (rn) where (select count(*) from orders) = (select count(*) from lineitem where l_linenumber = 1)
-union all select o_orderkey, null from orders where (select count(*) from orders) <> (select count(*) from lineitem where l_linenumber = 1)""",
+    """select a.o_orderkey, b.o_custkey from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders) a
+join (select o_custkey, row_number() over (order by o_custkey, o_orderkey) as rn from orders) b using (rn)""",
 )
 def q_positional(spark, sf):
     a = table(spark, sf, "orders").select("o_orderkey")
-    b = table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_partkey", "l_orderkey", "l_linenumber")
-    return join_positional(a, ["o_orderkey"], b, ["l_orderkey", "l_linenumber"], ["l_partkey"])
+    b = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("tie"))
+    return join_positional(a, ["o_orderkey"], b, ["o_custkey", "tie"], ["o_custkey"])
 
 
 def join_positional(a, a_order, b, b_order, cols):
@@ -172,12 +171,11 @@ def q_stack(spark, sf):
 
 @query(
     "mask_grid_join",
-    """select g."row", g."col", coalesce(case when r."value" <= 3 then 1 else 0 end, 255) as mask from grid g left join (select * from raster_cells where layer = 'class' and "row" > 2) r on g."row" = r."row" and g."col" = r."col" where r."value" is not null
-union all select g."row", g."col", 255 from grid g where not exists (select 1 from raster_cells r where layer = 'class' and r."row" > 2 and g."row" = r."row" and g."col" = r."col")""",
+    """select g."row", g."col", case when r."row" <= 2 or r."value" is null then 255 when r."value" <= 3 then 1 else 0 end as mask from grid g left join (select * from raster_cells where layer = 'class') r on g."row" = r."row" and r."col" = g."col" """,
     ("grid", "raster_cells"),
 )
 def q_maskjoin(spark, sf):
-    m = raster_cells(spark, sf).filter("layer = 'class' and row > 2").select("row", "col", (F.col("value") <= 3).cast("int").alias("m"))
+    m = raster_cells(spark, sf).filter("layer = 'class'").select("row", "col", F.when(F.col("row") > 2, (F.col("value") <= 3).cast("int")).alias("m"))
     return grid(spark).join(m, ["row", "col"], "left").select("row", "col", F.coalesce("m", F.lit(255)).alias("mask"))
 
 
@@ -333,12 +331,12 @@ def admin_name_match(queries, names):
 
 @query(
     "parent_filter_join",
-    """select a.area_id, c.c_custkey from (select area_id, name, parent from areas) a join (select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 0) c on a.name = c.n_name and a.parent = c.r_name""",
+    """select a.area_id, c.c_custkey from (select area_id, name, parent from areas) a join (select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey ) c on a.name = c.n_name and a.parent = c.r_name""",
     ("areas",),
 )
 def q_parent(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    c = table(spark, sf, "customer").filter("c_acctbal > 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     req = c.select("c_custkey", F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
     return areas(spark, sf).join(req, ["name", "parent"]).select("area_id", "c_custkey")
 
@@ -361,24 +359,24 @@ def parent_by_overlap(cells):
 
 @query(
     "missing_covariates_anti",
-    """select p_partkey, case when p_type in ('ECONOMY', 'SMALL') then 'priority' when p_type = 'PROMO' then 'derivable' else 'optional' end as status from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49)""",
+    """select p_partkey, case when p_type in ('ECONOMY', 'SMALL') then 'priority' when p_type = 'PROMO' then 'derivable' else 'optional' end as status from part where not exists (select 1 from lineitem where l_partkey = p_partkey group by l_partkey having max(l_quantity) > 49)""",
 )
 def q_anti(spark, sf):
-    have = table(spark, sf, "lineitem").filter("l_quantity > 49").select("l_partkey").distinct()
+    have = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").alias("most")).filter("most > 49")
     m = table(spark, sf, "part").join(have, F.col("p_partkey") == F.col("l_partkey"), "left_anti")
     st = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "priority").when(F.col("p_type") == "PROMO", "derivable").otherwise("optional")
     return m.select("p_partkey", st.alias("status"))
 
 
-@query("manifest_features_semi", "select distinct p_name as feature from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_tax >= 0.08)")
+@query("manifest_features_semi", "select distinct p_name as feature from part where exists (select 1 from lineitem where l_partkey = p_partkey group by l_partkey having max(l_tax) >= 0.08)")
 def q_semi(spark, sf):
-    used = table(spark, sf, "lineitem").filter("l_tax >= 0.08").select("l_partkey")
+    used = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_tax").alias("most")).filter("most >= 0.08")
     return table(spark, sf, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.col("p_name").alias("feature")).distinct()
 
 
-@query("weights_left_join", "select p_partkey, round(coalesce(w, 0), 6) as weight from part left join (select l_partkey, sum(l_discount) as w from lineitem where l_quantity > 45 group by 1) on l_partkey = p_partkey")
+@query("weights_left_join", "select p_partkey, round(coalesce(w, 0), 6) as weight from part left join (select l_partkey, sum(l_discount) as w from lineitem group by 1) on l_partkey = p_partkey")
 def q_wjoin(spark, sf):
-    w = table(spark, sf, "lineitem").filter("l_quantity > 45").groupBy("l_partkey").agg(F.sum("l_discount").alias("w"))
+    w = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_discount").alias("w"))
     return table(spark, sf, "part").join(w, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", r6(F.coalesce("w", F.lit(0.0)), "weight"))
 
 
@@ -453,7 +451,7 @@ def coarsen_resolution(df, w, h, requested, budget, steps=40):
     return d.withColumn("cells", cells(F.col("res")).cast("long"))
 
 
-META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row") * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height from raster_cells where layer <> 'disc' or "row" > 3 group by layer)"""
+META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height from raster_cells group by layer)"""
 
 
 def _meta(spark, sf):
@@ -501,11 +499,11 @@ def q_rasterize(spark, sf):
 
 @query(
     "binary_class_mask",
-    """with m as (select case when r."value" is null then 255 when r."value" = 1 then 1 else 0 end as mask from grid g left join (select * from raster_cells where layer = 'class' and "col" < 40) r on g."row" = r."row" and g."col" = r."col") select mask, count(*) as n from m group by 1""",
+    """with m as (select case when r."value" is null or r."col" >= 40 then 255 when r."value" = 1 then 1 else 0 end as mask from grid g left join (select * from raster_cells where layer = 'class') r on g."row" = r."row" and g."col" = r."col") select mask, count(*) as n from m group by 1""",
     ("grid", "raster_cells"),
 )
 def q_binary(spark, sf):
-    c = raster_cells(spark, sf).filter("layer = 'class' and col < 40").select("row", "col", "value")
+    c = raster_cells(spark, sf).filter("layer = 'class'").select("row", "col", F.when(F.col("col") < 40, F.col("value")).alias("value"))
     m = F.when(F.col("value").isNull(), 255).when(F.rint("value") == 1, 1).otherwise(0)
     return grid(spark).join(c, ["row", "col"], "left").groupBy(m.alias("mask")).agg(F.count("*").alias("n"))
 
@@ -722,13 +720,13 @@ def q_vratio(spark, sf):
 
 @query(
     "sampling_audit",
-    f"""with p as (select sample_id, {CELLAT} from samples s), l(layer) as (values ('qty'), ('disc'), ('class')), j as (select l.layer, case when r."value" is null then 'masked' when r."value" = 0 then 'zero' else 'valid' end as state from p cross join l
-left join (select * from raster_cells where "row" % 4 <> 1) r on r.layer = l.layer and p."row" = r."row" and p."col" = r."col")
+    f"""with p as (select sample_id, {CELLAT} from samples s), l(layer) as (values ('qty'), ('disc'), ('class')), j as (select l.layer, case when r."value" is null or r."row" % 4 = 1 then 'masked' when r."value" = 0 then 'zero' else 'valid' end as state from p cross join l
+left join raster_cells r on r.layer = l.layer and p."row" = r."row" and p."col" = r."col")
 select layer, state, count(*) as n from j group by 1, 2""",
     ("samples", "raster_cells"),
 )
 def q_audit(spark, sf):
-    c = raster_cells(spark, sf).filter("row % 4 <> 1")
+    c = raster_cells(spark, sf).withColumn("value", F.when(F.col("row") % 4 != 1, F.col("value")))
     s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc", "class"], 0.0, TOP, RES)
     long = s.unpivot(["sample_id"], ["qty", "disc", "class"], "layer", "value")
     st = F.when(F.col("value").isNull(), "masked").when(F.col("value") == 0, "zero").otherwise("valid")

@@ -265,13 +265,13 @@ def q_cands(spark, sf):
     return H.extract_url_candidates(table(spark, sf, "pages").withColumn("html", F.concat(js, "html")))
 
 
-URLS = """us as (select page_id, url || case page_id % 6 when 0 then '/a.zip' when 1 then '?f=b.csv' when 2 then '/getFile/9' when 3 then '/view' when 4 then '/export?x=1' else '/data.TIF#p' end as u from pages where url not like '%#%' and url not like '%?%')"""
+URLS = """us as (select page_id, url || case page_id % 6 when 0 then '/a.zip' when 1 then '?f=b.csv' when 2 then '/getFile/9' when 3 then '/view' when 4 then '/export?x=1' else '/data.TIF#p' end as u from pages)"""
 FULLSQL = "lower(regexp_replace(regexp_replace(u, '^[a-zA-Z]+://[^/?#]*', ''), '#.*$', ''))"
 EXTSQL = "(\\.zip|\\.rar|\\.7z|\\.xls|\\.xlsx|\\.csv|\\.tif|\\.tiff|\\.nc|\\.hdf|\\.h5|\\.hdf5|\\.json|\\.geojson)"
 
 
 def _urls(spark, sf):
-    p = table(spark, sf, "pages").filter(~F.contains("url", F.lit("#")) & ~F.contains("url", F.lit("?")))
+    p = table(spark, sf, "pages")
     tails = ["/a.zip", "?f=b.csv", "/getFile/9", "/view", "/export?x=1", "/data.TIF#p"]
     return p.select("page_id", F.concat("url", F.get(F.array(*[F.lit(t) for t in tails]), (F.col("page_id") % 6).cast("int"))).alias("u"))
 

@@ -198,14 +198,13 @@ CTES["wide"] = (
     """select s.*, f.f_qty, f.f_disc, f.f_tax, f.f_price from samples s left join
 (select l_partkey, sum(l_quantity) / count(*) as f_qty, sum(cast(round(l_discount * 100) as bigint))::double / count(*)::double as f_disc,
  sum(cast(round(l_tax * 100) as bigint))::double / count(*)::double as f_tax, sum(cast(round(l_extendedprice * 100) as bigint))::double / count(*)::double as f_price
- from lineitem where l_quantity > 2 group by l_partkey) f on s.sample_id = f.l_partkey""",
+ from lineitem group by l_partkey) f on s.sample_id = f.l_partkey""",
 )
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = (
         table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_quantity") > 2)
         .groupBy("l_partkey")
         .agg(
             (F.sum("l_quantity") / F.count("*")).alias("f_qty"),
