@@ -180,12 +180,22 @@ def variogram_fit(bins: DataFrame, models=MODELS, steps: int = 10) -> DataFrame:
     return b.select("model", "b.nugget", "b.psill", "b.range", F.col("b.s").alias("sse"))
 
 
+def merge_places(points: DataFrame, value: str = "z", item_id: str = "id") -> DataFrame:
+    """One point per place: mean value, smallest id, ``n_merged``. Coinciding points would make kriging systems
+    singular and crowd out the neighbourhood. Points without a value or a place are left out."""
+    ok = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull())
+    return ok.groupBy("x", "y").agg(F.avg(value).alias(value), F.min(item_id).alias(item_id), F.count("*").alias("n_merged"))
+
+
 def krige_local(targets: DataFrame, points: DataFrame, vario: dict, k: int = 16, exclude_self: str | None = None, value: str = "z", **kw) -> DataFrame:
     """Adds ``krig`` and ``krig_var`` from the k nearest points: one (k+1) system per target, solved in batches.
 
     ``vario`` holds model, nugget, psill, range. A singular system falls back to the neighbour
-    mean and sets ``fallback``. Needs no shuffle beyond that of the neighbour search.
+    mean and sets ``fallback``. Points at one place count as one (``merge_places``), so the result
+    does not depend on ids; with ``exclude_self`` the points must be merged already.
     """
+    if exclude_self is None:
+        points = merge_places(points, value, kw.get("item_id", "sample_id"))
     pts = points.withColumn("px", F.col("x").cast("double")).withColumn("py", F.col("y").cast("double"))
     if targets is points:
         targets = pts
@@ -229,7 +239,8 @@ def _solve_batch(px, py, z, d0, vario):
 
 
 def variogram_quality(points: DataFrame, vario: dict, k: int = 16, **kw) -> DataFrame:
-    """q1 (mean standardised error, wants 0), q2 (mean square, wants 1), cr, and the score; 1.0 when unknown."""
+    """Leave-one-place-out: q1 (mean standardised error, wants 0), q2 (mean square, wants 1), cr, and the score; 1.0 when unknown."""
+    points = merge_places(points)
     c = krige_local(points, points, vario, k, exclude_self="id", item_id="id", **kw)
     ok = c.filter(~F.col("fallback") & (F.col("krig_var") > 1e-12))
     e = (F.col("krig") - F.col("z")) / F.sqrt("krig_var")

@@ -95,3 +95,16 @@ def test_edge_fill_on_a_spiral(spark):
             todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
     got = {(x["row"], x["col"]) for x in edge_connected(cells, n, n).collect()}
     assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(seen))))
+
+
+def test_coinciding_samples_do_not_depend_on_ids(spark):
+    p = points(40, 7)
+    many = pd.concat([p, p.assign(z=p.z + 0.2), p.assign(z=p.z - 0.1)], ignore_index=True)
+    t = spark.createDataFrame(pd.DataFrame({"x": [10.0, 55.5, 80.0], "y": [20.0, 71.0, 5.0]}))
+    got = []
+    for ids in (np.arange(len(many)), np.random.default_rng(1).permutation(len(many))):
+        rows = K.krige_local(t, spark.createDataFrame(many.assign(id=ids)), V, 16, item_id="id").collect()
+        assert not any(r["fallback"] for r in rows)
+        got.append(sorted((r["x"], round(r["krig"], 9)) for r in rows))
+    one = K.krige_local(t, spark.createDataFrame(p.assign(z=p.z + 0.1 / 3)), V, 16, item_id="id").collect()
+    assert got[0] == got[1] and np.allclose([z for _, z in got[0]], [r["krig"] for r in sorted(one, key=lambda r: r["x"])])
