@@ -1,10 +1,10 @@
 """Exact k-nearest-neighbour joins without a cross join.
 
-Items (points or line segments) are tiled by sort-tile packing: strips of equal count
-along the first axis, then bins of equal count along the second. Every tile keeps its
-bounding box and row count. For a block of nearby targets, the tile boxes give an upper
-bound on the k-th distance, and only tiles whose lower bound does not exceed it are
-searched. Nothing is dropped, so the result is exact.
+Items (points or line segments) are tiled by k-d packing: parts are halved across their
+widest axis, whatever the number of axes. Every tile keeps its bounding box and row count.
+For a block of nearby targets, an exact search of the closest tiles gives an upper bound on
+the k-th distance, and only tiles whose lower bound does not exceed it are searched.
+Nothing is dropped, so the result is exact.
 
 Two layouts share the numpy kernel:
 
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A layout choice, not a limit: more items, in rows or bytes, are searched unit by unit with the same result.
+BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 250_000
 MAX_TILES = 16_384
 UNIT_ROWS = 4_096
@@ -88,19 +90,23 @@ def _anchor(c: np.ndarray, kind: str) -> np.ndarray:
 
 
 def _tile_order(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row order and tile start offsets of a sort-tile packing on the first two axes."""
+    """Row order and tile start offsets of a k-d packing: parts are halved across their widest axis."""
     n = len(a)
-    if n == 0:
-        return np.empty(0, dtype=int), np.empty(0, dtype=int)
-    strip = max(size, size * math.ceil(math.sqrt(math.ceil(n / size))))
-    order = np.argsort(a[:, 0], kind="stable")
-    second = a[:, 1] if a.shape[1] > 1 else a[:, 0]
+    order = np.arange(n)
     starts: list[int] = []
-    for s in range(0, n, strip):
-        part = order[s : s + strip]
-        order[s : s + strip] = part[np.argsort(second[part], kind="stable")]
-        starts.extend(range(s, min(s + strip, n), size))
-    return order, np.asarray(starts)
+    stack = [(0, n)] if n else []
+    while stack:
+        s, e = stack.pop()
+        if e - s <= size:
+            starts.append(s)
+            continue
+        part = order[s:e]
+        x = a[part]
+        axis = int((x.max(axis=0) - x.min(axis=0)).argmax())
+        half = size * max(1, (e - s) // (2 * size))
+        order[s:e] = part[np.argpartition(x[:, axis], half)]
+        stack += [(s, s + half), (s + half, e)]
+    return order, np.sort(np.asarray(starts, dtype=int))
 
 
 def _candidate_tiles(lo, hi, tile_lo, tile_hi, tile_n, k: int) -> np.ndarray:
@@ -128,6 +134,26 @@ class _Index:
         self.lo = np.minimum.reduceat(blo, starts) if len(starts) else blo
         self.hi = np.maximum.reduceat(bhi, starts) if len(starts) else bhi
         self.n = self.ends - self.starts
+        self.searched = 0
+
+    def _tiles_for(self, tb: np.ndarray, k: int) -> np.ndarray:
+        """Tiles that may hold one of the k nearest: an exact search of the closest tiles gives the bound for all."""
+        lo, hi = tb.min(axis=0), tb.max(axis=0)
+        near = np.maximum(0.0, np.maximum(self.lo - hi, lo - self.hi))
+        dmin = np.sqrt((near * near).sum(axis=1))
+        away = ((self.lo + self.hi - lo - hi) ** 2).sum(axis=1)
+        by = np.lexsort((away, dmin))
+        first = by[: int(np.searchsorted(np.cumsum(self.n[by]), k)) + 1]
+        items = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in first])
+        if len(items) <= k:
+            return np.arange(len(dmin))
+        d = _distances(tb, self.coords[items], self.kind)
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] * (1.0 + 1e-9) + 1e-9
+        kept = np.flatnonzero(dmin <= bound.max())
+        if self.kind != "point":
+            return kept
+        gap = np.maximum(0.0, np.maximum(self.lo[kept] - tb[:, None], tb[:, None] - self.hi[kept]))
+        return kept[(np.sqrt((gap * gap).sum(axis=2)) <= bound[:, None]).any(axis=0)]
 
     def search(self, t: np.ndarray, k: int):
         """Yields (target rows, distances, item rows) per block of nearby targets."""
@@ -135,7 +161,8 @@ class _Index:
         for s, e in zip(starts, np.append(starts[1:], len(order))):
             rows = order[s:e]
             tb = t[rows]
-            tiles = _candidate_tiles(tb.min(axis=0), tb.max(axis=0), self.lo, self.hi, self.n, k)
+            tiles = self._tiles_for(tb, k)
+            self.searched += len(tiles)
             cand = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in tiles])
             cand = cand[np.argsort(self.ids[cand], kind="stable")]
             d = _distances(tb, self.coords[cand], self.kind)
@@ -197,6 +224,9 @@ def _search(
         F.col(item_id).cast("long").alias("__id"),
         *[F.col(c).cast("double").alias(c) for c in carry],
     ).filter(complete(F.col("__v")))
+    first = None if isinstance(item_coords, (tuple, list)) else it.select(F.size("__v")).first()
+    axes = len(item_coords) if isinstance(item_coords, (tuple, list)) else first[0] if first else 1
+    limit = min(limit, BROADCAST_BYTES // (8 * (axes + len(carry) + 2)))
     head = it.limit(limit + 1).toArrow()  # one job: the whole table when it is within the limit
     n, small = head.num_rows, head.num_rows <= limit
     if not small:

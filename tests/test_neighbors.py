@@ -80,3 +80,17 @@ def test_fewer_items_than_k(spark):
     assert all(len(r["neighbors"]) == 3 for r in j.collect())
     e = N.knn_join(spark.createDataFrame(t), spark.createDataFrame(p).limit(0), 4)
     assert all(r["neighbors"] == [] for r in e.collect())
+
+
+def test_few_tiles_are_searched_in_feature_space():
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 10, (40, 5))
+    items = centres[r.integers(0, 40, 20_000)] + r.normal(0, 0.5, (20_000, 5))
+    targets = centres[r.integers(0, 40, 8_000)] + r.normal(0, 0.5, (8_000, 5))
+    index = N._Index(items, np.arange(len(items)), np.zeros((len(items), 0)), "point")
+    blocks = 0
+    for rows, d, _ in index.search(targets, 3):
+        blocks += 1
+        want = np.sort(np.sqrt(((targets[rows][:, None] - items[None]) ** 2).sum(2)), axis=1)[:, :3]
+        assert np.allclose(d, want)
+    assert index.searched / (blocks * len(index.n)) < 0.1
