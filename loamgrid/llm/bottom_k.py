@@ -7,11 +7,12 @@ A text's set is its distinct five-word shingles. The ``k`` smallest hashes of a
    values: texts that reach the similarity share so many sketch values that two of them must meet among these (exact
    for sets up to ``k``, beyond that with a miss chance below 1e-5 at the very threshold). Values of passages that
    many texts share come last and hardly ever matter.
-3. Inside a list everybody is paired with the list's first class only; the union sketch estimates the similarity and
-   drops what is far below; the exact similarity of whole sets confirms links, each class's best pair first.
-4. Linked classes are contracted. Whatever lists then still hold different components is paired across them, without
-   a cap, except members that already stand together, and confirmed likewise. So a group of thousands of near copies
-   never becomes all its pairs, and no link between different texts is lost.
+3. Everybody in a list is paired with a few members of it only; the union sketch estimates the similarity and drops
+   what is far below; the exact similarity of whole sets confirms each class's best pair. Linked classes are contracted.
+4. Lists that then still hold different components are put together by their largest component and worked off in
+   pairs of blocks: inside a task, overlaps of sketches and then of whole sets are counted for members of different
+   components, and only links come out. So a group of thousands of near copies never becomes all its pairs, nothing
+   is capped, and no link between different texts is lost.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer than five words form one shingle;
 repeated rows are copies; rows that share a document id stay separate rows of the result; a null document id is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm.arrays import Hasher, column_bytes, mix, owner, pieces, words
 from loamgrid.llm.components import components
-from loamgrid.session import scratch_path, write_and_read
+from loamgrid.llm.tables import settle
 
 SHINGLE, K = 5, 48
 NEED, OF = 75, 100
@@ -37,6 +38,9 @@ NEED, OF = 75, 100
 FLOOR = 0.5
 #: Sketch values that two linked sets share at least, of ``K``.
 SHARED = 22
+#: Members of each list that all others are paired with first, and the size of blocks after that.
+HUBS = 2
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -83,7 +87,7 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     """row, doc_id, n (set size), s1 and s2 (identity of the set), sketch; written once."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
     got = src.mapInArrow(lambda b: _sketches(b, k), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
-    return write_and_read(got.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    return settle(got.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
 def rare_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
@@ -126,12 +130,118 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose whole sets reach the similarity."""
     got = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    return write_and_read(got.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint"), "links")
+    return settle(got.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def placed_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the root of each row's node."""
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return settle(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """All members of each list, paired with a few members of it only."""
+    hubs = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n")) for i in range(HUBS)]
+    got = lists.join(lists.groupBy("value").agg(F.array(*hubs).alias("hubs"), F.count(F.lit(1)).alias("c")).where("c > 1"), "value")
+    got = got.select(F.explode("hubs").alias("hub"), "node", "n").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+    return got.where((F.col("a") != F.col("b")) & _near_in_size("na", "nb")).select("a", "b").distinct()
+
+
+def units(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """What still stands apart: for each list's largest component ``main`` all members of the lists it leads, in blocks.
+
+    Columns: main, i, j (a pair of blocks), node, root, n. Any two nodes of different components that share a list
+    meet in exactly the block pairs of its unit; blocks hold about ``BLOCK`` nodes or ``BLOCK_SHINGLES`` shingles.
+    """
+    at = lists.join(placed, "node")
+    sizes = at.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("value", "main")
+    inside = F.col("root") == F.col("main")
+    nodes = settle(at.join(main, "value").groupBy("main", "node").agg(F.first("root").alias("root"), F.first("n").alias("n")), "units")
+    parts = lambda c: F.ceil(F.greatest(F.sum(c.cast("long")) / BLOCK, F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    count = nodes.groupBy("main").agg(parts(~inside).alias("outer"), parts(inside).alias("inner"))
+    spot = F.pmod(F.xxhash64("node"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = nodes.join(count, "main").withColumn("block", F.when(inside, F.col("outer") + spot).otherwise(spot))
+    # Block pairs (i, j), i among the outer ones, i <= j.
+    ahead = F.when(F.col("block") < F.col("outer"), F.transform(F.sequence("block", F.col("outer") + F.col("inner") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
+    behind = F.transform(F.sequence(F.lit(0), F.least("block", F.col("outer") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    return rows.select("main", "node", "root", "n", F.explode(F.array_distinct(F.concat(F.coalesce(ahead, F.array().cast("array<struct<i:int,j:int>>")), behind))).alias("p"), "block").select("main", "p.i", "p.j", "block", "node", "root", "n")
+
+
+def _unit_links(node: np.ndarray, root: np.ndarray, block: np.ndarray, i: int, j: int, texts: list[np.ndarray], sketches: list[np.ndarray], k: int, shared: int) -> list[tuple[int, int]]:
+    """Links between different components across blocks i and j, one for each node and other component."""
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    n = np.array([len(t) for t in texts])
+
+    def overlaps(of: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of all intersections, as a product of membership matrices over the values both sides have."""
+        xa, xb = (np.repeat(np.arange(len(s)), [len(of[r]) for r in s]) for s in (a, b))
+        va, vb = (np.concatenate([of[r] for r in s]) for s in (a, b))
+        both = np.intersect1d(va, vb)
+        total = np.zeros((len(a), len(b)), np.float32)
+        pa_, pb_ = np.searchsorted(both, va), np.searchsorted(both, vb)
+        oka, okb = (np.take(both, p, mode="clip") == v if len(both) else np.zeros(len(v), bool) for p, v in ((pa_, va), (pb_, vb)))
+        for lo in range(0, len(both), 4096):
+            ma, mb = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+            for m, x, p, ok in ((ma, xa, pa_, oka), (mb, xb, pb_, okb)):
+                use = ok & (p >= lo) & (p < lo + 4096)
+                m[x[use], p[use] - lo] = 1
+            total += ma @ mb.T
+        return total
+
+    na, nb = n[left][:, None], n[right][None]
+    apart = (root[left][:, None] != root[right][None]) & (na * OF >= nb * NEED) & (nb * OF >= na * NEED)
+    if i == j:
+        apart &= left[:, None] < right[None]
+    if not apart.any():
+        return []
+    least = np.where(np.maximum(na, nb) <= k, np.ceil((na + nb) * NEED / (OF + NEED)), shared)
+    apart &= overlaps(sketches, left, right) >= least
+    ra, rb = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+    if not len(ra):
+        return []
+    common = np.rint(overlaps(texts, left[ra], right[rb])).astype(np.int64)
+    ok = apart[np.ix_(ra, rb)] & (OF * common >= NEED * (n[left[ra]][:, None] + n[right[rb]][None] - common))
+    out, seen = [], set()
+    for x, y in zip(*np.nonzero(ok)):
+        a, b = left[ra[x]], right[rb[y]]
+        key = (root[a], root[b])
+        if key not in seen:
+            seen.add(key)
+            out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def unit_links(rows: DataFrame, texts: DataFrame, classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
+    """All links that are left: whole sets of each pair of blocks are held against one another inside a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            buf, offs = column_bytes(t.column("t"))
+            sets, at = shingle_sets(buf, offs)
+            low = [np.array(x.values) for x in t.column("sketch")]
+            num = {c: t.column(c).to_numpy() for c in ("node", "root", "block")}
+            got = _unit_links(num["node"], num["root"], num["block"], now[1], now[2], [sets[a:b] for a, b in zip(at[:-1], at[1:])], low, k, shared)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(keys[a].tolist())
+                if held and key != now:
+                    yield done()
+                    held.clear()
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    full = rows.join(texts, "node").join(classes.select("node", "sketch"), "node")
+    full = full.select("main", "i", "j", "block", "node", "root", "t", "sketch").repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
+    return settle(full.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -149,9 +259,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str,
 
     src = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("key"), F.col(text).alias("t"))
     got = src.join(want, "key").select("t", "node", "s1", "n").mapInArrow(same, "node bigint, t string").dropDuplicates(["node"])
-    path = scratch_path(docs.sparkSession, "texts")
-    got.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return settle(got, "texts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -159,38 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = sketch_table(docs, id_col, text, k)
     full = rows.where("n > 0")
     heads = full.groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"))
-    heads = write_and_read(heads.select("s1", "s2", "n", F.col("head.row").alias("node"), F.col("head.doc_id").alias("doc_id")), "classes")
+    heads = settle(heads.select("s1", "s2", "n", F.col("head.row").alias("node"), F.col("head.doc_id").alias("doc_id")), "classes")
     classes = full.select("row", "sketch").join(heads, F.col("row") == F.col("node")).drop("row")
-    lists = write_and_read(rare_lists(classes, k), "lists")
+    lists = settle(rare_lists(classes, k), "lists")
     texts = texts_of(docs, classes, lists.select("node").distinct(), id_col, text)
 
-    # Stars: everybody against the first of each list, smallest set first.
-    first = lists.groupBy("value").agg(F.min(F.struct("n", "node")).alias("f"))
-    stars = lists.join(first, "value").select(F.col("f.node").alias("a"), F.col("node").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"))
-    stars = write_and_read(likely(stars.where((F.col("a") != F.col("b")) & _near_in_size("na", "nb")).select("a", "b").distinct(), classes, k), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-    links = confirmed(best, texts)
-    tested = best
-
-    # The other stars, as far as they still join different components.
-    placed = write_and_read(_roots(lists.select("node").distinct(), links), "roots")
-    left = stars.select("a", "b").join(tested, ["a", "b"], "left_anti")
-    links = links.union(confirmed(_apart(left, placed), texts))
-
-    # What lists still hold apart: all but the list's largest component against the whole list.
-    placed = write_and_read(_roots(lists.select("node").distinct(), links), "roots")
-    at = lists.join(placed, "node")
-    sizes = at.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    at = at.join(main, "value")
-    minor = at.where("root != main").select("value", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    whole = at.select("value", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), (F.col("root") == F.col("main")).alias("my"))
-    cross = minor.join(whole, "value").where((F.col("rx") != F.col("ry")) & (F.col("my") | (F.col("x") < F.col("y"))) & _near_in_size("nx", "ny"))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(confirmed(likely(cross.join(done, ["a", "b"], "left_anti"), classes, k), texts))
-
-    roots = _roots(heads.select("node", "s1", "s2", "n", "doc_id"), links)
+    # Everybody against a few of each list, best estimate first.
+    nodes = settle(lists.select("node").distinct(), "nodes")
+    pairs = settle(likely(hub_pairs(lists), classes, k), "pairs")
+    links = confirmed(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"), texts)
+    placed = placed_nodes(nodes, links)
+
+    # The rest, without exception.
+    stars = placed.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = stars.union(unit_links(units(lists, placed), texts, classes, k))
+
+    roots = placed_nodes(heads.select("node", "s1", "s2", "n", "doc_id"), links)
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = roots.join(least, "root").select("s1", "s2", "n", "component_id")
     got = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
@@ -198,15 +290,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    r = placed.select("node", "root")
-    got = pairs.join(r.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(r.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-    return got.where("ra != rb").select("a", "b")
-
-
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stands for its group; of rows with one document id one stays."""
     kept = near_duplicates(docs, id_col, text).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__key")).distinct()
-    kept = write_and_read(kept, "kept")
+    kept = settle(kept, "kept")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")).alias("__key"))
     return row.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")

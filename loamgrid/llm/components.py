@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.session import cut_lineage
+from loamgrid.llm.tables import settle
 
 
 def _toward_least(pairs: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _toward_least(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) of every linked node. Runs until nothing changes."""
     hi, lo = F.greatest(a, b), F.least(a, b)
-    stars = cut_lineage(links.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
+    stars = settle(links.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct(), "stars")
     state = None
     while True:
         sign = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -28,6 +28,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _toward_least(both).where("v > u and v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         near = _toward_least(large)
         small = near.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(near.select("u", F.col("least").alias("v"))).distinct()
-        stars = cut_lineage(small)
+        stars = settle(small, "stars")
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
