@@ -101,7 +101,16 @@ def id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_blocks.read_documents(id_blocks.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), folder), folder)
 
 
-@query("op1_warc_bundles")
+OP1_SQL = """
+with h as (select page_id, coalesce(html, '') as p, sha1(coalesce(html, '')) as x from pages),
+f as (select *, min(page_id) over (partition by p) as first from h)
+select page_id, strlen(p)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f
+"""
+
+
+@query("op1_warc_bundles", OP1_SQL)
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
