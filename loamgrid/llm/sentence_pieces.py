@@ -68,6 +68,7 @@ class PieceTable:
         self.score = {self.text[i]: (-sp.get_score(i), i) for i in normal}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
+        self.parts: dict[str, tuple[str, str] | None] = {}
         if any(BLANK in p.lstrip(BLANK) for p in self.text.values()):
             raise ValueError("pieces that cross words are not supported")
         data = [self.text[i].encode() for i in normal]
@@ -115,10 +116,40 @@ class PieceTable:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def halves(self, text: str) -> tuple[str, str] | None:
+        """The two parts whose merge forms a piece last; none if merging does not lead to it."""
+        if text not in self.parts:
+            parts = list(text)
+            while len(parts) > 2:
+                best = min(((self.score[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
+                if best is None:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            self.parts[text] = tuple(parts) if len(parts) == 2 else None
+        return self.parts[text]
+
     def stands(self, a: int, b: int) -> bool:
-        """Whether two pieces side by side are the merge result of their concatenation."""
-        x, y = self.text[a], self.text[b]
-        return self.merge(x + y) == [x, y]
+        """Whether two pieces side by side are the merge result of their concatenation.
+
+        Goes back in time: the piece that was formed later is taken apart at the boundary, and a merge across the
+        boundary that came before it (or at once, being further left) would have hindered it.
+        """
+        x, y, before, left_wins = self.text[a], self.text[b], float("inf"), False
+        score = self.score
+        while True:
+            across = score.get(x + y)
+            if across is not None and (across[0] < before or left_wins and across[0] == before):
+                return False
+            rx, ry = score[x][0] if len(x) > 1 else -1.0, score[y][0] if len(y) > 1 else -1.0
+            if rx < 0 and ry < 0:
+                return True
+            last = self.halves(x if rx > ry else y)
+            if last is None:
+                return False
+            if rx > ry:
+                x, before, left_wins = last[1], rx, False
+            else:
+                y, before, left_wins = last[0], ry, True
 
 
 class PieceEncoder(WordEncoder):
