@@ -7,18 +7,37 @@ that, further words are encoded each time they come. Files whose rules don't all
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
+from loamgrid.llm.arrays import Hasher, gather, words
+
 #: Words a Python worker keeps; about 150 bytes each.
 REMEMBER = 600_000
 
-_CUT = re.compile(r"(?<!\s) (?!\s)")
-#: A blank next to one of these may belong to it; such texts are cut by ``_CUT``.
-_ODD = [b"  ", *(x for c in b"\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (bytes([c, 32]), bytes([32, c]))), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+#: ASCII white space and separators, and lead bytes of characters some of which are white space.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[*range(9, 14), *range(28, 33), 0x85, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def lone_blanks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Blanks with certainly no white space on either side; byte-level tokenizers begin a word at each."""
+    at = np.flatnonzero(buf == 32)
+    if not len(at):
+        return at
+    # Zeros around stand for the ends of texts, which are no white space.
+    wide = np.concatenate([np.zeros(4, np.uint8), buf, np.zeros(1, np.uint8)])
+    first, last = np.zeros(len(buf) + 1, bool), np.zeros(len(buf) + 1, bool)
+    first[offs] = True
+    last[offs] = True
+    before = wide[at + 3]
+    lead = np.where(before < 0x80, before, np.where(wide[at + 2] >= 0xC0, wide[at + 2], np.where(wide[at + 1] >= 0xC0, wide[at + 1], 0)))
+    return at[(first[at] | ~_DOUBT[lead]) & (last[at + 1] | ~_DOUBT[wide[at + 5]])]
 
 
 class WordEncoder:
@@ -30,7 +49,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.rule = cutting_rule(json.load(f))
+            spec = json.load(f)
+        self.rule = cutting_rule(spec)
+        self.ranked = ranked_merges(spec) if self.rule == "led" else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts: dict[str, list[int]] = {}
         self.remember = remember
         self.known: dict = {}
         self.starts = np.zeros(1024, np.int64)
@@ -40,48 +63,86 @@ class WordEncoder:
 
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text)."""
-        data, keys, per = bytes(buf), [], []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            got = self.cut(data[a:b])
-            per.append(len(got))
-            keys += got
-        at, fresh, mark = self.find(keys)
+        start, stop, bounds = self.cuts(buf, offs)
+        names = Hasher(buf).ranges(start, stop)
+        _, first, which = np.unique(names, return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        at, mark = self.find([data[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())])
+        at = at[which]
         n = self.counts[at]
-        start = self.starts[at]
-        before = np.cumsum(n) - n
-        total = int(n.sum())
-        ids = self.flat[np.repeat(start - before, n) + np.arange(total)]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
-        if fresh > self.remember:
+        ids = self.flat[gather(self.starts[at], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[bounds]
+        if len(self.known) > self.remember:
             self.forget(mark)
         return ids, np.diff(ends)
 
-    def cut(self, text: bytes) -> list:
-        if self.rule == "whole":
-            return [text.decode()]
+    def cuts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, stops, words before each text) of the pieces that can be encoded on their own."""
         if self.rule == "blank":
-            return text.split()
-        if not text:
-            return []
-        if any(x in text for x in _ODD):
-            first, *rest = _CUT.split(text.decode())
-            return [first, *(x.encode() if " " not in x else " " + x for x in rest)]
-        first, *rest = text.split(b" ")
-        return [first.decode(), *rest]
-
-    def find(self, keys: list) -> tuple[np.ndarray, int, int]:
-        """(number of each word, words known now, words known before)."""
+            return words(buf, offs)
+        start = offs[:-1][np.diff(offs) > 0]
+        if self.rule == "led":
+            start = np.unique(np.concatenate([start, lone_blanks(buf, offs)]))
+        stop = np.concatenate([start[1:], [len(buf)]]) if len(start) else start
+        return start, stop, np.searchsorted(start, offs)
+
+    def find(self, keys: list[bytes]) -> tuple[np.ndarray, int]:
+        """(number of each word, words known before)."""
         mark = len(self.known)
         at = list(map(self.known.get, keys))
         if None in at:
-            new = [k for k in dict.fromkeys(keys) if k not in self.known]
-            for lo in range(0, len(new), 20_000):
-                part = new[lo : lo + 20_000]
-                led = " " if self.rule == "led" else ""
-                got = [e.ids for e in self.tokenizer.encode_batch_fast([led + k.decode() if isinstance(k, bytes) else k for k in part], add_special_tokens=False)]
-                self.add(part, got)
+            gc.disable()  # what is remembered is not garbage, and looking through it takes longer than the work
+            new = [k for k, i in zip(keys, at) if i is None]
+            plain = [k for k in new if self.is_plain(k)]
+            for lo in range(0, len(plain), 20_000):
+                part = plain[lo : lo + 20_000]
+                self.add(part, self.encode(part))
+            odd = [k for k in new if k not in self.known]
+            if odd:
+                self.add(odd, self.encode_each(odd))
             at = list(map(self.known.__getitem__, keys))
-        return np.array(at, np.int64), len(self.known), mark
+            gc.enable()
+        return np.array(at, np.int64), mark
+
+    def is_plain(self, key: bytes) -> bool:
+        """Whether a word keeps its ids between others."""
+        if self.rule == "whole":
+            return False
+        word = key.decode()
+        if self.rule == "led":
+            if word[:1] != " ":
+                return False
+            word = word[1:]
+        return word.split() == [word]
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of new words. They pass the tokenizer's stages in one string, and each part that its splitting rule
+        makes of them is merged once, as ``thanked,`` and ``thanked.`` share one."""
+        lead = " " if self.rule == "led" else ""
+        text = (b"" if lead else b" ").join(words).decode()
+        if any(a in text for a in self.added):
+            return self.encode_each(words)
+        if self.ranked is not None:
+            return list(map(self.ranked.encode_ordinary, [w.decode() for w in words]))
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        starts = [m.start() for m in re.finditer(" ", text)]
+        if len(starts) != len(words) - (not lead):
+            return self.encode_each(words)
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        of = np.searchsorted(np.array(starts, np.int64), [a for _, (a, _) in parts], "right") - len(lead)
+        if len(self.parts) > self.remember // 2:
+            self.parts.clear()
+        merged, out = self.parts, [[] for _ in words]
+        for word, (part, _) in zip(of.tolist(), parts):
+            ids = merged.get(part)
+            if ids is None:
+                ids = merged[part] = [t.id for t in self.tokenizer.model.tokenize(part)]
+            out[word] += ids
+        return out
+
+    def encode_each(self, keys: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False)]
 
     def add(self, keys: list, ids: list[list[int]]) -> None:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -91,7 +152,7 @@ class WordEncoder:
         while len(self.starts) < first + len(keys):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for row in ids for x in row), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts[first : first + len(keys)] = self.used + np.cumsum(n) - n
         self.counts[first : first + len(keys)] = n
         self.used += total
@@ -119,6 +180,36 @@ def cutting_rule(spec: dict) -> str:
     return "whole"
 
 
+#: Fixed value: the splitting rule of byte-level tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranked_merges(spec: dict):
+    """A quicker merger of the same vocabulary, where a file's merges stand in the order of their ids; else none.
+
+    Then the pair to merge next is the one whose result has the smallest id, which is all that ranks say.
+    """
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {k: i for k, i in spec["model"]["vocab"].items() if k not in added}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+    ids = [vocab.get(m, -1) for m in merges]
+    if spec["model"].get("ignore_merges") or len(vocab) != 256 + len(merges) or any(a >= b for a, b in zip([255, *ids], ids)):
+        return None
+    byte = byte_alphabet()
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(map(byte.__getitem__, k)): i for k, i in vocab.items()}, special_tokens={})
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
