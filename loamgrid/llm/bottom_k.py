@@ -16,7 +16,8 @@ A text's set is its distinct five-word shingles. The ``k`` smallest hashes of a
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer than five words form one shingle;
 repeated rows are copies; rows that share a document id stay separate rows of the result; a null document id is
-never a component's smallest unless it has no other; an empty table gives an empty result.
+never a component's smallest unless it has no other; an empty table gives an empty result. ``keep_one_each`` goes by
+rows: one row of each component stays, so different texts that share an id, or have none, all stay.
 """
 
 from __future__ import annotations
@@ -80,14 +81,15 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             ends = np.concatenate([[0], np.cumsum(take)])
             low = sets[np.repeat(at[:-1] - ends[:-1], take) + np.arange(ends[-1])]
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), sketch], ["doc_id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n), pa.array(keys[0]), pa.array(keys[1]), sketch], [*rows.schema.names[:-1], "n", "s1", "s2", "sketch"])
 
 
-def sketch_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """row, doc_id, n (set size), s1 and s2 (identity of the set), sketch; written once."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
-    got = src.mapInArrow(lambda b: _sketches(b, k), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
-    return settle(got.withColumn("row", F.monotonically_increasing_id()), "sketches")
+def sketch_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, row: str | None = None) -> DataFrame:
+    """row (of the column ``row``, or numbered here), doc_id, n (set size), s1 and s2 (identity of the set), sketch; written once."""
+    src = docs.select(F.col(id_col).alias("doc_id"), *([F.col(row).alias("row")] if row else []), F.col(text).alias("t"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    got = src.mapInArrow(lambda b: _sketches(b, k), f"{names}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+    return settle(got if row else got.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
 def rare_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
@@ -262,9 +264,8 @@ def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str,
     return settle(got, "texts")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    rows = sketch_table(docs, id_col, text, k)
+def placed_classes(docs: DataFrame, rows: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """node (smallest row), s1, s2, n, doc_id and root of every class of equal sets in the sketch table ``rows``."""
     full = rows.where("n > 0")
     heads = full.groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"))
     heads = settle(heads.select("s1", "s2", "n", F.col("head.row").alias("node"), F.col("head.doc_id").alias("doc_id")), "classes")
@@ -282,7 +283,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = placed.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = stars.union(unit_links(units(lists, placed), texts, classes, k))
 
-    roots = placed_nodes(heads.select("node", "s1", "s2", "n", "doc_id"), links)
+    return placed_nodes(heads.select("node", "s1", "s2", "n", "doc_id"), links)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows = sketch_table(docs, id_col, text, k)
+    roots = placed_classes(docs, rows, id_col, text, k)
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = roots.join(least, "root").select("s1", "s2", "n", "component_id")
     got = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
@@ -290,9 +297,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; of rows with one document id one stays."""
-    kept = near_duplicates(docs, id_col, text).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__key")).distinct()
-    kept = settle(kept, "kept")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")).alias("__key"))
-    return row.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest id, and every row without words.
+
+    Rows are numbered and written first: a number names one row, which an id that is null or repeated does not.
+    """
+    numbered = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "numbered")
+    src = numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("t"))
+    rows = sketch_table(src, "doc_id", "t", k, "row")
+    roots = placed_classes(src, rows, "doc_id", "t", k)
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first"))
+    kept = settle(first.select(F.col("first.node").alias("row")).union(rows.where("n = 0").select("row")), "kept")
+    return numbered.join(kept, "row", "left_semi").select("doc.*")

@@ -113,6 +113,15 @@ def test_near_duplicates(spark, docs, none):
     assert bottom_k.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    say = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    texts = {None: [say("a"), say("b"), say("b"), say("c") + " x", "", None], 7: [say("d"), say("e") + " x", say("f"), ""], 3: [say("e")], 5: [say("c")]}
+    rows = [(i, t, "en", "s", 1) for i, ts in texts.items() for t in ts]
+    want = sorted([(None, say("a")), (None, say("b")), (None, ""), (None, None), (7, say("d")), (7, say("f")), (7, ""), (3, say("e")), (5, say("c"))], key=repr)
+    for n in (1, 4):
+        assert in_order(bottom_k.keep_one_each(frame(spark, rows).repartition(n)).collect(), "doc_id", "text") == want
+
+
 def test_many_near_copies_make_one_component(spark):
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in range(200)]
