@@ -13,7 +13,7 @@ language that sorts first.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -171,8 +171,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text shows a language: rejected are ``und`` texts only; ambiguous ones stay."""
-    model = fit(docs.where(~held_out(id_col)), lang, text)
+def keep_known(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text shows a language: rejected are ``und`` texts only; ambiguous ones stay.
+
+    The codes are fitted on all labelled rows; the label ``und`` names no language. So what is rejected is exactly
+    what has no letter, also where there is no labelled row at all.
+    """
+    model = fit(docs.where(F.col(f"`{lang}`").cast("string") != UNKNOWN), lang, text)
+    if not model.languages:
+        # Any name will do for the one language that texts with a letter then have.
+        model = replace(model, languages=("any",))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__t"))
     return identify(row, model, ["__row"], "__t").where(F.col("lang_pred") != UNKNOWN).select("__row.*")

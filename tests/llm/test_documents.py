@@ -75,6 +75,16 @@ def test_language_codes(spark, none):
     assert language_codes.keep_known(none).count() == 0
 
 
+def test_language_stage_keeps_texts_when_no_language_is_known(spark):
+    texts = [(0, "abcde edcba"), (1, "été"), (2, "12 !"), (3, None)]
+    # With this shift the only labelled row is a held-out one.
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for label in ({}, {0: "und", 1: "und"}, {0: "aa"}):
+        for shift in (0, out):
+            docs = frame(spark, [(i + shift, t, label.get(i), "s", 1) for i, t in texts])
+            assert in_order(language_codes.keep_known(docs).collect(), "doc_id") == [(shift,), (shift + 1,)]
+
+
 def test_ambiguous_texts_are_flagged():
     counts = np.zeros((2, language_codes.BUCKETS))
     texts = [b"abcabcabc" * 9, b"xyzxyzxyz" * 9]
