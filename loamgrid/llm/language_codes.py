@@ -6,7 +6,7 @@ weigh more. A decision is flagged ambiguous when the second codeword is nearly a
 
 Model size: ``buckets`` n-gram counts per language, the only data the driver sees; they are sums over *all* training
 rows. Defined cases: null texts and texts without a letter are ``und`` with score 0; training rows without language
-or text are left out; with no training row at all every text is ``und``; repeated rows count each; ties go to the
+or text are left out; with no training row at all every text is ``und``; texts of one or two bytes show nothing and are ambiguous; repeated rows count each; ties go to the
 language that sorts first.
 """
 
@@ -45,6 +45,11 @@ def ngrams(buf: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (key >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int64)
 
 
+def inside(offs: np.ndarray) -> np.ndarray:
+    """Whether the three bytes that end at each position are all of one text."""
+    return np.arange(offs[-1]) - np.repeat(offs[:-1], np.diff(offs)) >= 2
+
+
 def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[buf])])[offs]
@@ -101,7 +106,7 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", buckets: int =
                 grams = ngrams(buf, buckets)
                 known = sorted(set(names))
                 of = np.repeat([known.index(x) for x in names], np.diff(offs))
-                got = np.bincount(grams + of * buckets, minlength=buckets * len(known)).reshape(len(known), -1)
+                got = np.bincount((grams + of * buckets)[inside(offs)], minlength=buckets * len(known)).reshape(len(known), -1)
                 for name, c in zip(known, got):
                     total[name] = total.get(name, 0) + c
         for name, c in total.items():
@@ -141,8 +146,10 @@ def classify_piece(model: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> t
     sums = np.zeros((len(n), model.odds.shape[1]))
     full = n > 0
     if len(buf):
-        sums[full] = np.add.reduceat(model.odds[ngrams(buf, model.odds.shape[0])], offs[:-1][full], dtype=np.float64)
-    loss = model.losses(sums, n)
+        odds = model.odds[ngrams(buf, model.odds.shape[0])]
+        odds[~inside(offs)] = 0
+        sums[full] = np.add.reduceat(odds, offs[:-1][full], dtype=np.float64)
+    loss = model.losses(sums, np.maximum(n - 2, 0))
     best = loss.argmin(1)
     order = np.sort(loss, 1)
     like = np.exp(-8 * (loss - order[:, :1]))

@@ -85,6 +85,18 @@ def test_language_stage_keeps_texts_when_no_language_is_known(spark):
             assert in_order(language_codes.keep_known(docs).collect(), "doc_id") == [(shift,), (shift + 1,)]
 
 
+def test_language_of_a_text_does_not_hang_on_its_neighbours(spark):
+    assert language_codes.inside(np.array([0, 0, 1, 3, 3, 7])).tolist() == [False] * 5 + [True] * 2
+    r = np.random.default_rng(4)
+    rows = [(i, "".join(r.choice(list("abcde" if i % 2 else "defgh"), int(r.integers(1, 9)))), "ab"[i % 2], "s", 1) for i in range(300)]
+    got = []
+    for n in (1, 7):
+        docs = frame(spark, rows).repartition(n)
+        model = language_codes.fit(docs)
+        got.append(in_order(language_codes.identify(docs, model, ["doc_id"]).collect(), "doc_id", "lang_pred", "score", "ambiguous"))
+    assert got[0] == got[1]
+
+
 def test_ambiguous_texts_are_flagged():
     counts = np.zeros((2, language_codes.BUCKETS))
     texts = [b"abcabcabc" * 9, b"xyzxyzxyz" * 9]
