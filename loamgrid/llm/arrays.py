@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,10 @@ PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Ranges of more bytes are digested one by one.
+LONG = 512
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,36 +55,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << int(n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            step = np.full(size, _BASE)
-            step[0] = 1
-            _powers = np.multiply.accumulate(step)
-            step = np.full(size, _INVERSE)
-            step[0] = 1
-            _inverses = np.multiply.accumulate(step)
-    return _powers, _inverses
-
-
 class Hasher:
-    """Polynomial prefix sums modulo 2^64: the hash of any byte range in constant time."""
+    """64-bit names of byte ranges: eight bytes after another are mixed into a state that begins with the length."""
 
     def __init__(self, buf: np.ndarray):
-        powers, self.inverse = _tables(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * powers[: len(buf)], out=self.sums[1:])
+        self.buf = buf
+        wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Equal for equal bytes, wherever they stand."""
-        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+        size = stop - start
+        out = mix(_START + size.astype(np.uint64))
+        left = np.arange(len(size)) if not len(size) or size.max() <= LONG else np.flatnonzero(size <= LONG)
+        done = 0
+        while True:
+            left = left[size[left] > done] if done or len(left) and size.min() <= 0 else left
+            if not len(left):
+                break
+            out[left] = mix(out[left] ^ (self.eight[start[left] + done] & _MASK[np.minimum(size[left] - done, 8)]))
+            done += 8
+        if len(size) and size.max() > LONG:
+            for i in np.flatnonzero(size > LONG).tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def windows(self, size: int) -> np.ndarray:
-        """Hash of the ``size`` bytes from each position that has so many."""
-        n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+        """Name of the ``size`` bytes, a multiple of eight, from each position that has so many."""
+        n = max(len(self.eight) - size, 0)
+        out = np.full(n, mix(_START + np.uint64(size)))
+        for done in range(0, size, 8):
+            out = mix(out ^ self.eight[done : done + n])
+        return out
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ A text's set is its distinct five-word shingles. The ``k`` smallest hashes of a
    is capped, and no link between different texts is lost.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer than five words form one shingle;
-repeated rows are copies; rows that share a document id stay separate rows of the result; a null document id is
+repeated rows are copies; rows are numbered and written first, so texts are found by row whatever their ids; rows that share a document id stay separate rows of the result; a null document id is
 never a component's smallest unless it has no other; an empty table gives an empty result. ``keep_one_each`` goes by
 rows: one row of each component stays, so different texts that share an id, or have none, all stay.
 """
@@ -84,12 +84,12 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n), pa.array(keys[0]), pa.array(keys[1]), sketch], [*rows.schema.names[:-1], "n", "s1", "s2", "sketch"])
 
 
-def sketch_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, row: str | None = None) -> DataFrame:
-    """row (of the column ``row``, or numbered here), doc_id, n (set size), s1 and s2 (identity of the set), sketch; written once."""
-    src = docs.select(F.col(id_col).alias("doc_id"), *([F.col(row).alias("row")] if row else []), F.col(text).alias("t"))
+def sketch_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, row: str = "row") -> DataFrame:
+    """row (its number in the column ``row``), doc_id, n (set size), s1 and s2 (identity of the set), sketch; written once."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("t"))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     got = src.mapInArrow(lambda b: _sketches(b, k), f"{names}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
-    return settle(got if row else got.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    return settle(got, "sketches")
 
 
 def rare_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
@@ -246,35 +246,23 @@ def unit_links(rows: DataFrame, texts: DataFrame, classes: DataFrame, k: int = K
     return settle(full.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """node and text of the given classes; rows that only share the document id are told apart by their set."""
-    want = classes.join(nodes, "node", "left_semi").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key"), "node", "s1", "s2", "n")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, buf, offs in pieces(batch, "t"):
-                sets, at = shingle_sets(buf, offs)
-                h = mix(sets.view(np.uint64))
-                s = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
-                ok = ((s[at[1:]] - s[at[:-1]]).view(np.int64) == rows.column(2).to_numpy()) & (np.diff(at) == rows.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(0)], ["node", "t"]).filter(pa.array(ok))
-
-    src = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("key"), F.col(text).alias("t"))
-    got = src.join(want, "key").select("t", "node", "s1", "n").mapInArrow(same, "node bigint, t string").dropDuplicates(["node"])
-    return settle(got, "texts")
+def texts_of(numbered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the given classes, each that of its smallest row."""
+    return settle(numbered.select(F.col("row").alias("node"), "t").join(nodes, "node", "left_semi"), "texts")
 
 
-def placed_classes(docs: DataFrame, rows: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """node (smallest row), s1, s2, n, doc_id and root of every class of equal sets in the sketch table ``rows``."""
+def placed_classes(numbered: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """node (smallest row), s1, s2, n, doc_id and root of every class of equal sets in the sketch table ``rows``, whose
+    rows carry the numbers of ``numbered`` (row, doc_id, t)."""
     full = rows.where("n > 0")
     heads = full.groupBy("s1", "s2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"))
     heads = settle(heads.select("s1", "s2", "n", F.col("head.row").alias("node"), F.col("head.doc_id").alias("doc_id")), "classes")
     classes = full.select("row", "sketch").join(heads, F.col("row") == F.col("node")).drop("row")
     lists = settle(rare_lists(classes, k), "lists")
-    texts = texts_of(docs, classes, lists.select("node").distinct(), id_col, text)
+    nodes = settle(lists.select("node").distinct(), "nodes")
+    texts = texts_of(numbered, nodes)
 
     # Everybody against a few of each list, best estimate first.
-    nodes = settle(lists.select("node").distinct(), "nodes")
     pairs = settle(likely(hub_pairs(lists), classes, k), "pairs")
     links = confirmed(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"), texts)
     placed = placed_nodes(nodes, links)
@@ -288,8 +276,9 @@ def placed_classes(docs: DataFrame, rows: DataFrame, id_col: str, text: str, k:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows = sketch_table(docs, id_col, text, k)
-    roots = placed_classes(docs, rows, id_col, text, k)
+    numbered = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("t")), "numbered")
+    rows = sketch_table(numbered, "doc_id", "t", k, "row")
+    roots = placed_classes(numbered, rows, k)
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = roots.join(least, "root").select("s1", "s2", "n", "component_id")
     got = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
@@ -305,7 +294,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     numbered = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "numbered")
     src = numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("t"))
     rows = sketch_table(src, "doc_id", "t", k, "row")
-    roots = placed_classes(src, rows, "doc_id", "t", k)
+    roots = placed_classes(src, rows, k)
     first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first"))
     kept = settle(first.select(F.col("first.node").alias("row")).union(rows.where("n = 0").select("row")), "kept")
     return numbered.join(kept, "row", "left_semi").select("doc.*")

@@ -10,7 +10,7 @@ positions (u8), high bits (u32). All little-endian.
 
 Documents are range-partitioned by id; each task writes files of a bounded number of ids, named by partition and
 number, so running a task again writes the same files. Defined cases: null text is empty and holds the end id alone;
-null document ids come first; rows with equal ids are ordered by text hash; an empty table gives no file and no row.
+null document ids come first; rows with equal ids are ordered by text hash and spread over ranges; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -160,8 +160,9 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_i
         if held:
             yield flush()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    ordered = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("t"))
+    # Rows of one id, or of none, are spread over ranges by their text's hash and length.
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = src.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "t")
     return write_and_read(ordered.mapInArrow(run, "part int, number int, file string, n_docs bigint, n_ids bigint"), "id-files")
 
 

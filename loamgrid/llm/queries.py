@@ -133,6 +133,4 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_sentence_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents")
-    return sentence_pieces.digests(sentence_pieces.decode(sentence_pieces.encode(docs, model), model))
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

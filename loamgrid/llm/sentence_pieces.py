@@ -7,10 +7,12 @@ ranges give all occurrences as edges. Edges are sorted by position and relaxed f
 The model file holds byte-pair pieces, whose merges are not a best path by score. But a sequence of pieces is the
 merge result exactly if every two neighbours are the merge result of their own concatenation, and each prefix of a
 text has one such sequence. So a position is relaxed by the one edge whose piece stands with the last piece before it;
-which pairs stand is found by merging the pair once and remembered. Results equal the library's.
+whether a pair stands is found by taking both pieces back through their merges, all pairs of a step together, and the
+answers are kept in a table of fixed size. Results equal the library's.
 
 Words are cut where a blank follows something else, which no piece crosses; ids of frequent words are remembered in
-each Python worker up to a bound. Characters without a piece become byte pieces.
+each Python worker up to a bound. Characters without a piece become byte pieces. ``round_trip`` encodes, decodes and
+digests a piece of text in one Arrow step, so that a core holds one Python worker.
 
 Defined cases: null and empty texts have no ids; decoding returns the text, whatever its blanks and line feeds
 (a literal blank mark U+2581 comes back as a blank, as in the library); repeated rows stay; an empty table gives an empty result.
@@ -18,20 +20,23 @@ Defined cases: null and empty texts have no ids; decoding returns the text, what
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.llm.arrays import gather, mix
 from loamgrid.llm.arrays import pieces as text_pieces
-from loamgrid.llm.tokens import REMEMBER, WordEncoder
+from loamgrid.llm.tokens import REMEMBER, WordEncoder, WordTable
 
 BLANK = "▁"
-#: Piece pairs a worker remembers.
-PAIRS = 2_000_000
+#: Places for answers on pairs of pieces in a worker; a new answer takes the place of an old one.
+PAIRS = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +70,11 @@ class PieceTable:
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.text = {i: sp.id_to_piece(i) for i in normal}
-        self.score = {self.text[i]: (-sp.get_score(i), i) for i in normal}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.parts: dict[str, tuple[str, str] | None] = {}
         if any(BLANK in p.lstrip(BLANK) for p in self.text.values()):
             raise ValueError("pieces that cross words are not supported")
+        self._merges({i: -sp.get_score(i) for i in normal}, n)
         data = [self.text[i].encode() for i in normal]
         self.ids = np.array(normal, np.int64)
         self.size = np.array([len(d) for d in data], np.int64)
@@ -105,51 +109,51 @@ class PieceTable:
         start = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(which))]
         return start, start + self.size[which], self.ids[which]
 
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merging of a short string: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(((self.score[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def halves(self, text: str) -> tuple[str, str] | None:
-        """The two parts whose merge forms a piece last; none if merging does not lead to it."""
-        if text not in self.parts:
-            parts = list(text)
-            while len(parts) > 2:
-                best = min(((self.score[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
-                if best is None:
-                    break
-                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-            self.parts[text] = tuple(parts) if len(parts) == 2 else None
-        return self.parts[text]
-
-    def stands(self, a: int, b: int) -> bool:
-        """Whether two pieces side by side are the merge result of their concatenation.
+    def _merges(self, cost: dict[int, float], n: int) -> None:
+        """Which pieces two pieces join to, what each costs (the cheapest is merged first) and its two last parts."""
+        number = {t: i for i, t in self.text.items()}
+        for c in {c for t in self.text.values() for c in t} - number.keys():
+            number[c] = n  # a character that is no piece of its own still starts merges
+            n += 1
+        self.cost, chars = np.full(n, -1.0), np.ones(n, np.int64)
+        for t, i in number.items():
+            if len(t) > 1:
+                self.cost[i], chars[i] = cost[i], len(t)
+        found = np.array([(number[t[:k]], number[t[k:]], i) for t, i in number.items() for k in range(1, len(t)) if t[:k] in number and t[k:] in number], np.int64).reshape(-1, 3)
+        code = found[:, 0] << 20 | found[:, 1]
+        order = np.argsort(code)
+        self.codes, self.joins = np.append(code[order], np.int64(1) << 60), np.append(found[order, 2], -1)
+        self.last = np.full((n, 2), -1)
+        for size in range(2, int(chars.max(initial=1)) + 1):
+            part = found[chars[found[:, 2]] == size]
+            part = part[self.stand(part[:, 0], part[:, 1], joined=True)]
+            self.last[part[:, 2]] = part[:, :2]
+
+    def stand(self, x: np.ndarray, y: np.ndarray, joined: bool = False) -> np.ndarray:
+        """Whether two pieces side by side are the merge result of their concatenation; with ``joined``, whether they
+        are so just before they merge themselves.
 
         Goes back in time: the piece that was formed later is taken apart at the boundary, and a merge across the
         boundary that came before it (or at once, being further left) would have hindered it.
         """
-        x, y, before, left_wins = self.text[a], self.text[b], float("inf"), False
-        score = self.score
-        while True:
-            across = score.get(x + y)
-            if across is not None and (across[0] < before or left_wins and across[0] == before):
-                return False
-            rx, ry = score[x][0] if len(x) > 1 else -1.0, score[y][0] if len(y) > 1 else -1.0
-            if rx < 0 and ry < 0:
-                return True
-            last = self.halves(x if rx > ry else y)
-            if last is None:
-                return False
-            if rx > ry:
-                x, before, left_wins = last[1], rx, False
-            else:
-                y, before, left_wins = last[0], ry, True
+        out, left = np.zeros(len(x), bool), np.arange(len(x))
+        before, left_wins = np.full(len(x), np.inf), np.zeros(len(x), bool)
+        while len(left):
+            code = x << 20 | y
+            at = np.searchsorted(self.codes, code)
+            across = np.where(self.codes[at] == code, self.joins[at], -1)
+            c = self.cost[across]
+            stands = (across < 0) | ~((c < before) | left_wins & (c == before))
+            if joined:
+                stands, joined = np.ones(len(x), bool), False
+            cx, cy = self.cost[x], self.cost[y]
+            done = (cx < 0) & (cy < 0)
+            out[left[stands & done]] = True
+            first = cx > cy
+            nx, ny = np.where(first, self.last[x, 1], x), np.where(first, y, self.last[y, 0])
+            on = stands & ~done & (nx >= 0) & (ny >= 0)
+            left, x, y, before, left_wins = left[on], nx[on], ny[on], np.maximum(cx, cy)[on], ~first[on]
+        return out
 
 
 class PieceEncoder(WordEncoder):
@@ -157,15 +161,15 @@ class PieceEncoder(WordEncoder):
 
     def __init__(self, path: str, remember: int = REMEMBER):
         self.table = PieceTable(path)
-        self.rule = "pieces"
-        self.remember = remember
-        self.known: dict[bytes, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-        self.pairs = np.zeros(0, np.int64)
-        self.standing = np.zeros(0, bool)
+        self.pieces, self.rule, self.lowers, self.added = self.table, "pieces", False, []
+        self.remember, self.table = remember, WordTable()
+        self.pairs, self.answers = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
 
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if BLANK.encode() in buf.tobytes():  # the model takes its blank mark for a blank
+            data, ends = buf.tobytes(), offs.tolist()
+            texts = [data[a:b].replace(BLANK.encode(), b" ") for a, b in zip(ends, ends[1:])]
+            buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         size = np.diff(offs)
         extra = (size > 0).astype(np.int64)
         to = np.concatenate([[0], np.cumsum(size + extra)])
@@ -183,77 +187,86 @@ class PieceEncoder(WordEncoder):
         start = np.flatnonzero(first)
         return start, np.concatenate([start[1:], [len(buf)]]) if len(start) else start, np.searchsorted(start, offs)
 
-    def is_plain(self, key: bytes) -> bool:
-        return True
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        data = [w.decode().replace(" ", BLANK).encode() for w in words]
+    def encode(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        table = self.pieces
+        data = [w.replace(b" ", BLANK.encode()) for w in map(bytes, np.split(buf[gather(start, stop - start)], np.cumsum(stop - start)[:-1]))]
         size = np.array([len(d) for d in data], np.int64)
         begin = np.cumsum(size + 1) - size - 1  # one byte between words that no text has
         text = np.frombuffer(b"\xff".join(data) + b"\xff", np.uint8)
-        start, stop, piece = self.table.occurrences(text)
+        start, stop, piece = table.occurrences(text)
 
         # Characters without a piece are edges of their own, which part what stands on either side.
         chars = np.flatnonzero((text & 0xC0) != 0x80)
         chars = chars[text[chars] != 0xFF]
+        width = _width(text, chars)
         whole = np.zeros(len(text) + 1, bool)
-        width = np.select([text[chars] < 0x80, text[chars] < 0xE0, text[chars] < 0xF0], [1, 2, 3], 4)
-        longest = np.zeros(len(text) + 1, np.int64)
-        np.maximum.at(longest, start, np.where(stop - start == _width(text, start), 1, 0))
-        lone = longest[chars] == 0
+        whole[start[stop - start == _width(text, start)]] = True
+        lone = ~whole[chars]
         start = np.concatenate([start, chars[lone]])
         stop = np.concatenate([stop, chars[lone] + width[lone]])
         piece = np.concatenate([piece, np.full(int(lone.sum()), -1)])
 
         # Edges by where they end inside their word, longer ones first; all words advance together.
-        word = np.searchsorted(begin, start, "right") - 1
-        order = np.lexsort((start, stop - begin[word]))
-        start, stop, piece, word = start[order], stop[order], piece[order], word[order]
-        reach = stop - begin[word]
+        first = np.repeat(begin, size + 1)
+        reach = stop - first[start]
+        order = np.argsort(reach * np.int64(len(text) + 1) + start)
+        start, stop, piece, reach = start[order], stop[order], piece[order], reach[order]
         last = np.full(len(text) + 1, -2)
         last[begin] = -1  # the beginning of a word stands with anything
         came = np.zeros(len(text) + 1, np.int64)
-        steps = np.concatenate([[0], np.flatnonzero(np.diff(reach)) + 1, [len(reach)]]) if len(reach) else np.zeros(1, np.int64)
+        steps = np.concatenate([[0], np.flatnonzero(np.diff(reach)) + 1, [len(reach)]])
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
             s, e, t = start[a:b], stop[a:b], piece[a:b]
             before = last[s]
             ok = before != -2
-            ask = ok & (before >= 0) & (t >= 0)
-            ok[ask] = self.stand(before[ask] << 20 | t[ask])
+            ask = np.flatnonzero(ok & (before >= 0) & (t >= 0))
+            ok[ask] = self.stand(before[ask], t[ask])
             last[e[ok]] = t[ok]
             came[e[ok]] = s[ok]
-        out = []
-        for b0, n in zip(begin.tolist(), size.tolist()):
-            ids, at = [], b0 + n
-            while at > b0:
-                t, s = int(last[at]), int(came[at])
-                if t >= 0:
-                    ids.append(t)
-                elif self.table.byte:
-                    ids += [self.table.byte[x] for x in text[s:at][::-1].tolist()]
-                elif not ids or ids[-1] != self.table.unknown:
-                    ids.append(self.table.unknown)
-                at = s
-            out.append(ids[::-1])
-        return out
 
-    def stand(self, pairs: np.ndarray) -> np.ndarray:
-        """Remembered answers; new pairs are merged once."""
-        at = np.searchsorted(self.pairs, pairs)
-        known = np.zeros(len(pairs), bool)
-        inside = at < len(self.pairs)
-        known[inside] = self.pairs[at[inside]] == pairs[inside]
-        if not known.all():
-            new = np.unique(pairs[~known])
-            got = np.array([self.table.stands(p >> 20, p & (1 << 20) - 1) for p in new.tolist()], bool)
-            if len(self.pairs) + len(new) > PAIRS:
-                self.pairs, self.standing = np.zeros(0, np.int64), np.zeros(0, bool)
-                return self.stand(pairs)
-            keys = np.concatenate([self.pairs, new])
-            order = np.argsort(keys)
-            self.pairs, self.standing = keys[order], np.concatenate([self.standing, got])[order]
-            at = np.searchsorted(self.pairs, pairs)
-        return self.standing[at]
+        # Back from the end of every word; byte pieces take a step each.
+        at, word = begin + size, np.arange(len(size))
+        got, of = [], []
+        while len(at):
+            t, s = last[at], came[at]
+            got.append(t << 32 | s)
+            of.append(word)
+            on = s > begin[word]
+            at, word = s[on], word[on]
+        step = np.repeat(np.arange(len(got)), [len(g) for g in got])
+        got, of = np.concatenate(got), np.concatenate(of)
+        order = np.lexsort((-step, of))
+        t, s, of = got[order] >> 32, got[order] & 0xFFFFFFFF, of[order]
+        lone = t < 0
+        if not lone.any():
+            return t.astype(np.uint32), np.bincount(of, minlength=len(size))
+        n = np.where(lone, _width(text, s), 1)
+        if table.byte:
+            byte = np.zeros(256, np.int64)
+            byte[list(table.byte)] = list(table.byte.values())
+            ids = np.repeat(t, n)
+            ids[np.repeat(lone, n)] = byte[text[gather(s[lone], n[lone])]]
+            return ids.astype(np.uint32), np.bincount(np.repeat(of, n), minlength=len(size))
+        t = np.where(lone, table.unknown, t)
+        keep = ~lone | ~np.concatenate([[False], lone[:-1] & (of[1:] == of[:-1])])
+        return t[keep].astype(np.uint32), np.bincount(of[keep], minlength=len(size))
+
+    def stand(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Remembered answers, others found together."""
+        pair = x << 20 | y
+        place = (mix(pair.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pairs[place] != pair)
+        out = self.answers[place]
+        if len(new):
+            _, first, which = np.unique(pair[new], return_index=True, return_inverse=True)
+            one = new[first]
+            found = self.pieces.stand(x[one], y[one])
+            out[new] = found[which]
+            _, last = np.unique(place[one], return_index=True)
+            self.pairs[place[one[last]]], self.answers[place[one[last]]] = pair[one[last]], found[last]
+        return out
 
 
 def _width(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -266,14 +279,19 @@ class PieceDecoder:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.data = []
+        data = []
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
-            self.data.append(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(BLANK, " ").encode())
+            data.append(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(BLANK, " ").encode())
+        self.pool, self.size = np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
-    def text(self, ids: list[int]) -> str:
-        data = b"".join(map(self.data.__getitem__, ids))
-        return data[1 if data[:1] == b" " else 0 :].decode("utf-8", "replace")
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The UTF-8 text of each run of ids; what is no UTF-8 becomes replacement characters."""
+        size = self.size[ids]
+        data = self.pool[gather(self.start[ids], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace").encode() for a, b in zip(ends, ends[1:])]
 
 
 _made: dict = {}
@@ -306,20 +324,30 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = _once(PieceDecoder, model)
         for batch in batches:
-            texts = [dec.text(x) if x is not None else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            got = dec.texts(np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
+            texts = pa.array(got, pa.binary()).cast(pa.string())
+            if batch.column(1).null_count:
+                texts = pa.compute.if_else(batch.column(1).is_valid(), texts, None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
 
     src = encoded.select("doc_id", F.col(ids).alias("ids"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (unsigned 32-bit little-endian ids), text_sha256 of the decoded text."""
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (unsigned 32-bit little-endian ids), text_sha256 of the text decoded from these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, dec = _once(PieceEncoder, model), _once(PieceDecoder, model)
         for batch in batches:
-            lists = [np.array(x.values if x.is_valid else [], "<u4") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()), batch.column(2)], ["doc_id", "n_ids", "ids_crc32", "text_sha256"])
+            for rows, buf, offs in text_pieces(batch, "t"):
+                ids, n = enc.texts(buf, offs)
+                packed = ids.astype("<u4").tobytes()
+                ends = np.cumsum(n)
+                crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                sha = [hashlib.sha256(t).hexdigest() for t in dec.texts(np.frombuffer(packed, "<u4"), n)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_ids", "ids_crc32", "text_sha256"])
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.select("doc_id", "ids", F.sha2("text", 256).alias("text_sha256")).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, text_sha256 string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_ids bigint, ids_crc32 bigint, text_sha256 string")

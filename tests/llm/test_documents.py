@@ -6,10 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from loamgrid.llm import bottom_k, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, sentence_pieces
+from loamgrid.llm.arrays import column_bytes
+from loamgrid.llm.tokens import WordEncoder
 from tests.llm.data import awkward, frame, shingles, words
 
 ROWS = awkward()
@@ -283,4 +286,52 @@ def test_sentence_pieces(spark, docs, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = sentence_pieces.decode(sentence_pieces.encode(docs, path), path).collect()
     assert in_order(got, "doc_id", "ids", "text") == sorted(((i, sp.encode(t or ""), t or "") for i, t, *_ in ROWS), key=repr)
-    assert sentence_pieces.digests(sentence_pieces.decode(sentence_pieces.encode(none, path), path)).count() == 0
+    trip = sentence_pieces.round_trip(docs, path).collect()
+    want = [(i, len(e), zlib.crc32(np.array(e, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in ROWS for e in [sp.encode(t or "")]]
+    assert in_order(trip, "doc_id", "n_ids", "ids_crc32", "text_sha256") == sorted(want, key=repr)
+    assert sentence_pieces.round_trip(none, path).count() == 0
+
+
+def thue_morse(n):
+    """Two words of 2^n letters whose sums of letters times powers are equal for every base modulo 2^64 (n = 10)."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    a, b = thue_morse(10)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, enc = Tokenizer.from_file(public_tokenizers.path(name)), WordEncoder(public_tokenizers.path(name))
+        texts = [a, b, f"{a} {b}", "ab" * 40 + " x", "a\0 a", "Die Straße, die.", "x,\n\ny", None]
+        for _ in range(2):  # new words, then remembered ones
+            ids, n = enc.texts(*column_bytes(pa.array(texts)))
+            at = np.concatenate([[0], np.cumsum(n)])
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    rows = [(1, "p q r s " + a, "en", "x", 1), (2, "p q r s " + b, "en", "x", 1), (3, "u v\n" + a + "\n" + b + "\n" + a, "en", "x", 1)]
+    got = {r["doc_id"]: r for r in bottom_k.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 2, 3]
+    assert {r["doc_id"]: r["n_dup_lines"] for r in host_rules.judge(frame(spark, rows)).collect()}[3] == 1
+
+
+def test_remembering_nothing_changes_no_id():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abCD ,.é\n'1")) for _ in range(60)) for _ in range(300)]
+    t = Tokenizer.from_file(path)
+    for remember in (0, 50, 1 << 20):
+        enc = WordEncoder(path, remember)
+        for lo in range(0, 300, 100):
+            ids, n = enc.texts(*column_bytes(pa.array(texts[lo : lo + 100])))
+            at = np.concatenate([[0], np.cumsum(n)])
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts[lo : lo + 100]]
+
+
+def test_many_rows_without_id_are_near_duplicates_by_row(spark):
+    r = np.random.default_rng(8)
+    say = lambda: " ".join(f"w{k}" for k in r.integers(0, 5000, 30))
+    rows = [(None, say(), "en", "s", 1) for _ in range(3000)]
+    rows += [(None, rows[5][1], "en", "s", 1), (4, rows[9][1] + " more", "en", "s", 1)]
+    got = bottom_k.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == 3002 and sum(g["component_id"] == 4 for g in got) == 2
+    assert len(bottom_k.keep_one_each(frame(spark, rows)).collect()) == 3000
