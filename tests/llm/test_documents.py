@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from loamgrid.llm import bottom_k, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, sentence_pieces
+from loamgrid.llm import best_fit, bottom_k, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, sentence_pieces
 from loamgrid.llm.arrays import column_bytes
 from loamgrid.llm.tokens import WordEncoder
 from tests.llm.data import awkward, frame, shingles, words
@@ -335,3 +335,44 @@ def test_many_rows_without_id_are_near_duplicates_by_row(spark):
     got = bottom_k.near_duplicates(frame(spark, rows)).collect()
     assert len(got) == 3002 and sum(g["component_id"] == 4 for g in got) == 2
     assert len(bottom_k.keep_one_each(frame(spark, rows)).collect()) == 3000
+
+
+def test_best_fit(spark, docs, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = tokens("word_bpe_49k.json", 1)
+    packed = best_fit.pack_documents(docs, path, 128, most=4, group_tokens=2000).collect()
+    got = sorted(packed, key=lambda r: (r["sequence_id"], r["offset"]))
+    ends = {}
+    for r in got:
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["offset"] + r["length"] <= 128
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    want = sorted(((x[0], k, 128 * k, len(t[128 * k : 128 * k + 128]), zlib.crc32(np.array(t[128 * k : 128 * k + 128], "<u4").tobytes())) for x, t in zip(ROWS, ids) for k in range(-(-len(t) // 128))), key=repr)
+    assert in_order(got, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    assert all(np.array(np.frombuffer(r["ids"], f"<u{r['width']}"), "<u4").tobytes() for r in got if zlib.crc32(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes()) == r["ids_crc32"])
+    least = -(-sum(map(len, ids)) // 128)
+    assert len(ends) <= 1.15 * least + 4
+    whole = best_fit.sequences(best_fit.pack_documents(docs, path, 128)).collect()
+    assert sum(r["n_tokens"] for r in whole) == sum(map(len, ids)) and all(len(r["ids"]) == 2 * r["n_tokens"] for r in whole)
+    assert best_fit.pack_documents(none, path).count() == 0
+
+
+def test_open_bins_against_plain_best_fit():
+    r = np.random.default_rng(3)
+    bins, rooms, open_ = best_fit.OpenBins(50, 5), [], []
+    for size in r.integers(1, 51, 2000).tolist():
+        number, offset = bins.place(size)
+        fit = [rooms[i] for i in open_ if rooms[i] >= size]
+        if fit:
+            assert number in open_ and rooms[number] == min(fit) == 50 - offset
+        else:
+            if len(open_) == 5:
+                closed = (set(open_) - set(bins.open_numbers())).pop()
+                assert rooms[closed] == min(rooms[i] for i in open_)
+                open_.remove(closed)
+            assert number == len(rooms) and offset == 0
+            rooms.append(50)
+            open_.append(number)
+        rooms[number] -= size
+        if not rooms[number]:
+            open_.remove(number)
+        assert sorted(open_) == sorted(bins.open_numbers())
