@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import best_fit, bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, progressive_jpeg, sentence_pieces, warc_bundles
+from loamgrid.llm import best_fit, bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, prefix_trie, progressive_jpeg, sentence_pieces, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,39 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: crc32 of the decimal id, byte by byte over a table that eight shifts make; then the trie by lists of turns.
+OP12_SQL = """
+with recursive crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as i))),
+own as (
+  select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+h as (
+  select conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 9 as h
+  from own, crc_table),
+built as (
+  select a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns
+  from h a left join own b on b.conv_id = a.conv_id - a.conv_id % 5),
+p as (select conv_id, len(turns) as size, unnest(range(len(turns) + 1)) as depth, turns from built),
+nodes as (
+  select depth, turns[1:depth] as path, min(conv_id) as conv_id, count(*) as n_convs, bool_and(size = depth) as leaf,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (size = depth), '')) as ends_sha256,
+    (count(*) - 1) * case when depth = 0 then 0 else strlen(any_value(turns[depth].t)) end as own_saved
+  from p group by depth, turns[1:depth]),
+up as (select unnest(range(depth + 1)) as d, path, leaf, own_saved from nodes),
+below as (select d, path[1:d] as path, sum(leaf::int)::bigint as n_leaves, sum(own_saved)::bigint as saved_tokens from up group by d, path[1:d]),
+kids as (select depth - 1 as depth, path[1:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by depth, path[1:depth - 1])
+select n.conv_id, n.depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+from nodes n join below b on b.d = n.depth and b.path = n.path
+left join kids k on k.depth = n.depth and k.path = n.path
+left join nodes q on q.depth = n.depth - 1 and q.path = n.path[1:n.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
