@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import best_fit, bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, prefix_doubling, prefix_trie, progressive_jpeg, sentence_pieces, warc_bundles
+from loamgrid.llm import best_fit, bottom_k, chat_parts, curve_packing, host_rules, id_blocks, language_codes, phrase_index, prefix_doubling, prefix_trie, progressive_jpeg, sentence_pieces, warc_bundles
 from loamgrid.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,31 @@ left join nodes q on q.depth = n.depth - 1 and q.path = n.path[1:n.depth - 1]
 @query("op12_prefix_trie", OP12_SQL)
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = """
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as s from documents),
+w as (select lang, regexp_extract_all(s, '[^\\x20\\x09]+') as w from p),
+spots as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+g as (
+  select lang, unnest([w[i], case when i + 1 <= len(w) then w[i] || ' ' || w[i + 1] end, case when i + 2 <= len(w) then w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end]) as phrase, unnest([1, 2, 3]) as k from spots),
+f as (select lang, k, phrase, count(*) as f from g where phrase is not null group by lang, k, phrase),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select *, split_part(phrase, ' ', 1) as w1, split_part(phrase, ' ', 2) as w2, split_part(phrase, ' ', 3) as w3 from f where k > 1 and f >= 10),
+inner_ as (select lang, phrase, max(f) as f from (select lang, w1 || ' ' || w2 as phrase, f from c where k = 3 union all select lang, w2 || ' ' || w3, f from c where k = 3) group by lang, phrase),
+kept as (select c.* from c left join inner_ i on i.lang = c.lang and i.phrase = c.phrase and c.k = 2 where i.f is null or 100 * i.f < 50 * c.f),
+cuts as (
+  select lang, phrase, f, 1 as cut, w1 as lp, case when k = 2 then w2 else w2 || ' ' || w3 end as rp from kept
+  union all select lang, phrase, f, 2, w1 || ' ' || w2, w3 from kept where k = 3),
+scored as (
+  select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, (1000000::hugeint * c.f * c.f // (l.f::hugeint * r.f))::bigint as score, row_number() over (partition by c.lang, c.phrase order by 1000000::hugeint * c.f * c.f // (l.f::hugeint * r.f), cut) as place
+  from cuts c join f l on l.lang = c.lang and l.phrase = c.lp join f r on r.lang = c.lang and r.phrase = c.rp),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from scored where place = 1)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
+@query("op11_phrase_index", OP11_SQL)
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.collocations(table(spark, sf_dir, "documents"))

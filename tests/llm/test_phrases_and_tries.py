@@ -1,10 +1,15 @@
 """Prefix tries and phrase mining against brute force."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
-from loamgrid.llm import prefix_trie
+import pytest
+from pyspark.sql import functions as F
+
+from loamgrid.llm import phrase_index, prefix_trie
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, place bigint, key string, conv string, depth int, n int"
 
@@ -53,3 +58,61 @@ def test_tries_of_nothing(spark):
     rows = [(c, 0, "user", "gone") for c in (1, 2, 3, 4)]  # their base is absent and each has one turn
     got = prefix_trie.trie(prefix_trie.rebuilt(turn_frame(spark, rows))).collect()
     assert sorted(map(tuple, got), key=repr) == brute_trie(rows)
+
+
+PHRASE = "doc_id bigint, text string, lang string, phrase string, f bigint, word string, shard bigint, id bigint"
+
+
+def brute_collocations(rows, most, least, share, top):
+    counts, n = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n["und" if lang is None else lang] += len(w)
+            for k in range(1, most + 1):
+                for i in range(len(w) - k + 1):
+                    counts["und" if lang is None else lang][tuple(w[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        cand = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in cand.items():
+            longer = [b for q, b in cand.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))]
+            if any(100 * b >= share * a for b in longer):
+                continue
+            score, _, l, r = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))  # noqa: E741
+            kept.append((-score, -a, " ".join(p).encode(), l, r))
+        for rank, (s, a, p, l, r) in enumerate(sorted(kept)[:top], 1):  # noqa: E741
+            out.append((lang, rank, p.decode(), -a, l, r, n[lang], -s))
+    return sorted(out)
+
+
+def phrase_rows(seed, n=160):
+    r = random.Random(seed)
+    vocab = ["a", "B", "the", "of", "é", "Straße", "x" * 40, "y" * 40, "1", "#", " ", "don't", "\x01", "b" * 23, "b" * 24]
+    say = lambda k: "".join(r.choice(vocab[: r.randint(3, 15)]) + r.choice([" ", " ", "  ", "\t", ". ", "\n", ","]) for _ in range(k))
+    rows = [(i, say(r.randint(0, 30)), r.choice(["en", "en", "fr", None, ""])) for i in range(n)]
+    return rows + [(None, None, None), (1, "", "en"), (2, " ,.\n", "de"), (3, "new york city " * 400, "en"), (3, "new york city " * 5, "en"), (4, "z" * 5000, "en")]
+
+
+@pytest.mark.parametrize("most", [2, 3, 4])
+def test_collocations(spark, most):
+    rows = phrase_rows(most)
+    docs = spark.createDataFrame([(*r, "p", 3, "w", 5, 6) for r in rows], PHRASE).repartition(3)
+    got = phrase_index.collocations(docs, most, 10, 50, 60).collect()
+    assert sorted(map(tuple, got)) == brute_collocations(rows, most, 10, 50, 60)
+    assert phrase_index.collocations(docs.limit(0), most).count() == 0
+
+
+def test_shards_hold_whole_texts(spark):
+    rows = phrase_rows(7)
+    docs = spark.createDataFrame([(*r, "p", 3, "w", 5, 6) for r in rows], PHRASE).repartition(2)
+    small = phrase_index.word_counts(phrase_index.shards(docs, size=300, held=900)).collect()
+    assert sorted(small) == sorted(phrase_index.word_counts(phrase_index.shards(docs)).collect())
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(3 * 10**9, 4 * 10**9, 5 * 10**9), (7, 7, 7), (999_999_999_999, 10**12, 10**12)]
+    got = spark.createDataFrame(rows, "a bigint, l bigint, r bigint").select(phrase_index._score(F.col("a"), F.col("l"), F.col("r"))).collect()
+    assert [g[0] for g in got] == [1_000_000 * a * a // (l * r) for a, l, r in rows]  # noqa: E741
