@@ -30,7 +30,7 @@ from loamgrid.llm.tables import settle
 from loamgrid.llm.tokens import SHORT, WordTable
 
 #: Text bytes of a shard, and of all shards that a task fills at a time.
-SHARD_BYTES, HELD_BYTES = 1 << 23, 1 << 25
+SHARD_BYTES, HELD_BYTES = 1 << 22, 1 << 24
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -87,15 +87,17 @@ class Side:
 
     def __init__(self, text: np.ndarray, depth: int, symbols: int):
         n, bits = len(text), max(1, int(symbols).bit_length())
-        shifted = [np.concatenate([text[k:], np.zeros(min(k, n), np.int64)]) for k in range(depth)]
         if bits * depth <= 63:
             key = np.zeros(n, np.int64)
-            for s in shifted:
-                key = key << bits | s
+            for k in range(depth):
+                key <<= bits
+                key[: n - k] |= text[k:]
             order = np.argsort(key)
+            del key
         else:
-            order = np.lexsort(shifted[::-1])
-        self.before = text[order - 1]  # the text begins with a break, so its end stands before it
+            order = np.lexsort([np.concatenate([text[k:], np.zeros(min(k, n), text.dtype)]) for k in range(depth)][::-1])
+        order -= 1
+        self.before = text[order]  # the text begins with a break, so its end stands before it
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
         self.n = n
         self.seats: np.ndarray | None = None
@@ -103,7 +105,7 @@ class Side:
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before the first ``at`` suffixes."""
         if self.seats is None:
-            self.seats = np.sort(self.before * (self.n + 1) + np.arange(self.n))
+            self.seats = np.sort(self.before.astype(np.int64) * (self.n + 1) + np.arange(self.n))
         return np.searchsorted(self.seats, symbol * (self.n + 1) + at) - np.searchsorted(self.seats, symbol * (self.n + 1))
 
 
@@ -128,7 +130,10 @@ class WordIndex:
         Within an interval the other direction orders the extensions by their symbol, so its starts are running counts.
         """
         of = np.repeat(np.arange(len(lo)), count)
-        pair = np.sort(of * (self.symbols + 1) + side.before[gather(lo, count)])
+        pair = of * (self.symbols + 1)
+        del of
+        pair += side.before[gather(lo, count)]
+        pair.sort()
         new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         n = np.diff(np.append(new, len(pair)))
         of, symbol = np.divmod(pair[new], self.symbols + 1)
@@ -215,22 +220,22 @@ def phrase_counts(parts: DataFrame, words: DataFrame, depth: int, least: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[r].as_py(), "<u4").astype(np.int64)
+                ids = np.frombuffer(batch.column(0)[r].as_py(), "<u4")
                 at, number = (batch.column(c)[r].values.to_numpy() for c in (1, 2))
                 if not len(at):
                     continue
-                local = np.zeros(int(max(ids.max(initial=0), at.max() + 1)) + 1, np.int64)
+                local = np.zeros(int(max(ids.max(initial=0), at.max() + 1)) + 1, np.int32)
                 local[at + 1] = np.arange(1, len(at) + 1)
                 text = local[ids]
                 # One break between what can be phrases is enough.
-                text = np.concatenate([[0], text[(text > 0) | np.concatenate([[False], text[:-1] > 0])], [0]])
+                text = np.pad(text[(text > 0) | np.concatenate([[False], text[:-1] > 0])], 1)
                 known = np.concatenate([[0], number])
                 for rows, count in phrases(text, depth, len(at)):
-                    full = np.zeros((len(rows), depth), np.int64)
-                    full[:, : rows.shape[1]] = known[rows]
-                    for lo in range(0, len(full), 1 << 16):
-                        cut = slice(lo, lo + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([*(pa.array(full[cut, k]) for k in range(depth)), pa.array(count[cut])], [*names, "f"])
+                    for lo in range(0, len(rows), 1 << 16):
+                        cut = known[rows[lo : lo + (1 << 16)]]
+                        none = pa.array(np.zeros(len(cut), np.int64))
+                        cols = [pa.array(np.ascontiguousarray(cut[:, k])) if k < rows.shape[1] else none for k in range(depth)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(count[lo : lo + (1 << 16)])], [*names, "f"])
 
     found = parts.select("shard", "ids").join(own, "shard").select("ids", "at", "id").mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "f"]))
     return found.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
