@@ -16,21 +16,23 @@ a table without words gives no phrase. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.arrays import column_bytes, gather
+from loamgrid.llm.arrays import gather, mix, pieces
 from loamgrid.llm.curve_packing import stream_starts
 from loamgrid.llm.tables import settle
 from loamgrid.llm.tokens import SHORT, WordTable
 
 #: Text bytes of a shard, and of all shards that a task fills at a time.
 SHARD_BYTES, HELD_BYTES = 1 << 22, 1 << 24
+#: Bits of the table of phrases that may be extended; a multiple of 2^19 and a power of two.
+FILTER_BITS = 1 << 26
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -145,18 +147,53 @@ class WordIndex:
         return of, symbol, n, near, far
 
 
-def phrases(text: np.ndarray, depth: int, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, counts) of all phrases of 2 to ``depth`` words, level by level: first to the left, then to the right."""
+def phrases(text: np.ndarray, depth: int, symbols: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts) of all phrases of ``depth`` words: intervals are extended first to the left, then to the right.
+
+    With ``known``, a test of shorter phrases, only those of which every shorter part passes.
+    """
     index = WordIndex(text, depth, symbols)
     word, count, near, far = index.words()
-    of, symbol, count, _, far = index.extend(index.left, near, count, far, onward=False)
+    of, symbol, count, _, near = index.extend(index.left, near, count, far, onward=False)
     rows = np.column_stack([symbol, word[of]])
-    yield rows, count
-    near = far
     for level in range(3, depth + 1):
+        if known is not None:
+            keep = known(rows)
+            rows, count, near = rows[keep], count[keep], near[keep]
         of, symbol, count, near, _ = index.extend(index.right, near, count, near, onward=level < depth)
         rows = np.column_stack([rows[of], symbol])
-        yield rows, count
+        if known is not None:
+            keep = known(rows[:, 1:])
+            rows, count, near = rows[keep], count[keep], near[keep]
+    return rows, count
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    """Place of a phrase, given by its word ids, in a filter."""
+    h = np.full(len(ids), np.uint64(ids.shape[1]))
+    for k in range(ids.shape[1]):
+        h = mix(h ^ ids[:, k].astype(np.uint64))
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def phrase_filter(found: DataFrame, names: list[str]) -> np.ndarray:
+    """A bit for every phrase of ``found``, packed; of fixed size, whatever the number of phrases."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bit(np.column_stack([batch.column(k).to_numpy() for k in range(len(names))])))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 19), pa.array(at)], ["chunk", "at"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 19, bool)
+        out[table.column("at").to_numpy() & (1 << 19) - 1] = True
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    got = found.select(*names).mapInArrow(bits, "chunk bigint, at bigint").distinct().groupBy("chunk").applyInArrow(fill, "chunk bigint, bits binary")
+    out = np.zeros((FILTER_BITS >> 19, 1 << 16), np.uint8)
+    for row in got.collect():  # FILTER_BITS / 8 bytes in all
+        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
 
 
 def shards(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = SHARD_BYTES, held: int = HELD_BYTES) -> DataFrame:
@@ -165,36 +202,30 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        open_: dict[str, list[pa.Array]] = {}
+        open_: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         used: dict[str, int] = {}
 
         def flush(name: str) -> pa.RecordBatch:
             nonlocal number
-            buf, offs = column_bytes(pa.concat_arrays(open_.pop(name)))
+            texts = open_.pop(name)
             del used[name]
-            ids, spelt, counts = word_sequence(buf, offs)
+            buf, sizes = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts])
+            ids, spelt, counts = word_sequence(buf, np.concatenate([[0], np.cumsum(sizes)]))
             one = np.array([0, len(spelt)], np.int32)
             row = [pa.array([part << 32 | number]), pa.array([name], pa.string()), pa.ListArray.from_arrays(pa.array(one), spelt), pa.ListArray.from_arrays(pa.array(one), pa.array(counts, pa.int64())), pa.array([ids.astype("<u4").tobytes()], pa.binary())]
             number += 1
             return pa.RecordBatch.from_arrays(row, schema=schema)
 
         for batch in batches:
-            names = batch.column(0).dictionary_encode()
-            codes = names.indices.to_numpy()
-            t = batch.column(1).cast(pa.large_string())
-            for code, name in enumerate(names.dictionary.to_pylist()):
-                rows = np.flatnonzero(codes == code)
-                part_of = t.take(pa.array(rows))
-                ends = np.frombuffer(part_of.buffers()[1], np.int64)[part_of.offset : part_of.offset + len(part_of) + 1]
-                a = 0
-                while a < len(rows):
-                    room = size - used.get(name, 0)
-                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + room, "right")) - 1)
-                    open_.setdefault(name, []).append(part_of.slice(a, b - a))
-                    used[name] = used.get(name, 0) + int(ends[b] - ends[a])
-                    if used[name] >= size or b < len(rows):
+            for rows, buf, offs in pieces(batch, "t", size >> 2):
+                names = rows.column(0).dictionary_encode()
+                codes, sizes = names.indices.to_numpy(), np.diff(offs)
+                for code, name in enumerate(names.dictionary.to_pylist()):
+                    own = np.flatnonzero(codes == code)
+                    open_.setdefault(name, []).append((buf[gather(offs[own], sizes[own])], sizes[own]))
+                    used[name] = used.get(name, 0) + int(sizes[own].sum())
+                    if used[name] >= size:
                         yield flush(name)
-                    a = b
                 while sum(used.values()) > held:
                     yield flush(max(used, key=used.get))
         for name in list(open_):
@@ -212,10 +243,28 @@ def word_counts(parts: DataFrame) -> DataFrame:
 
 def phrase_counts(parts: DataFrame, words: DataFrame, depth: int, least: int) -> DataFrame:
     """w1 ... (ids of ``words``: lang, word, id; 0 behind shorter phrases) and f of phrases of 2 to ``depth`` words that
-    occur ``least`` times or more."""
+    occur ``least`` times or more.
+
+    One pass for each length. Shards leave out phrases that have a shorter part which the pass before found too rare;
+    a bit table of fixed size tells, which may let a phrase too many through but never keeps one back.
+    """
+    spark = parts.sparkSession
     places = parts.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     own = places.groupBy("shard").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
-    names = [f"w{k + 1}" for k in range(depth)]
+    ready = settle(parts.select("shard", "ids").join(own, "shard").select("ids", "at", "id"), "sequences")
+    names, every, told = [f"w{k + 1}" for k in range(depth)], None, {}
+    for size in range(2, depth + 1):
+        got = ready.mapInArrow(_counter(size, dict(told)), ", ".join(f"{n} bigint" for n in [*names[:size], "f"]))
+        found = settle(got.groupBy(*names[:size]).agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+        if size < depth:
+            told[size] = spark.sparkContext.broadcast(phrase_filter(found, names[:size]))
+        full = found.select(*names[:size], *(F.lit(0).cast("long").alias(n) for n in names[size:]), "f")
+        every = full if every is None else every.union(full)
+    return every
+
+
+def _counter(size: int, told: dict[int, Broadcast]):
+    """The phrases of ``size`` words of each shard, with their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,16 +278,18 @@ def phrase_counts(parts: DataFrame, words: DataFrame, depth: int, least: int) ->
                 text = local[ids]
                 # One break between what can be phrases is enough.
                 text = np.pad(text[(text > 0) | np.concatenate([[False], text[:-1] > 0])], 1)
-                known = np.concatenate([[0], number])
-                for rows, count in phrases(text, depth, len(at)):
-                    for lo in range(0, len(rows), 1 << 16):
-                        cut = known[rows[lo : lo + (1 << 16)]]
-                        none = pa.array(np.zeros(len(cut), np.int64))
-                        cols = [pa.array(np.ascontiguousarray(cut[:, k])) if k < rows.shape[1] else none for k in range(depth)]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array(count[lo : lo + (1 << 16)])], [*names, "f"])
+                globally = np.concatenate([[0], number])
+
+                def known(rows: np.ndarray) -> np.ndarray:
+                    bit = _bit(globally[rows])
+                    return told[rows.shape[1]].value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0
+
+                rows, count = phrases(text, size, len(at), known if size > 2 else None)
+                for lo in range(0, len(rows), 1 << 16):
+                    cut = globally[rows[lo : lo + (1 << 16)]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(cut[:, k])) for k in range(size)), pa.array(count[lo : lo + (1 << 16)])], [*(f"w{k + 1}" for k in range(size)), "f"])
 
-    found = parts.select("shard", "ids").join(own, "shard").select("ids", "at", "id").mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "f"]))
-    return found.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return run
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -257,7 +308,7 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, share: i
     often = counted.where(F.col("f") >= least)
     words = settle(stream_starts(often.withColumn("one", F.lit(1).cast("long")), ["lang", "word"], "one").select("lang", "word", "f", (F.col("start") + 1).alias("id")), "vocabulary")
     names = [f"w{k + 1}" for k in range(most_words)]
-    found = settle(phrase_counts(parts, words, most_words, least), "phrases")
+    found = phrase_counts(parts, words, most_words, least)
 
     def padded(cols: list[str]) -> list[Column]:
         return [F.col(c).alias(n) for c, n in zip(cols, names)] + [F.lit(0).cast("long").alias(n) for n in names[len(cols) :]]
