@@ -47,8 +47,9 @@ def group_split(df: DataFrame, group: str, seeds: list[int], share: float = 0.3)
 
 
 def split_rows(df: DataFrame, group: str, seeds: list[int], share: float = 0.3) -> DataFrame:
-    """Every row once per seed with its role: rows multiply map-side after the small role table joins."""
-    return df.join(group_split(df, group, seeds, share), group)
+    """Every row once per seed with its role: rows multiply map-side after the small role table joins. NULL is a group."""
+    roles = group_split(df, group, seeds, share).withColumnRenamed(group, "__g")
+    return df.join(roles, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:

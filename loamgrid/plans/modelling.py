@@ -19,7 +19,9 @@ from loamgrid.session import write_and_read
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 FEATS = ["c_size", "c_cyc", "c_zero", "f_qty", "f_disc", "f_tax", "f_price"]
-SMALL_RF = {"trees": 12, "depth": 6, "leaf": 2, "share": "auto"}
+SEVEN = list(range(1, 8))
+#: The search is over all 16 candidates on 7 splits, with this many trees for each forest.
+TUNE_LOCKS = {"trees": 60}
 KRIG = {"model": "spherical", "nlags": 6, "nearest": 16}
 
 
@@ -112,7 +114,7 @@ t as (select o.sample_id, s.seed, o.x, o.y, o.y_true, m.p from oof o join sp s o
     ("oof",),
 )
 def q_ooft(spark, sf):
-    return oof_table(mean_predictor(oof(spark, sf).select("sample_id", "block", "x", "y", "y_true"), [1, 2, 3, 4, 5])).select(
+    return M.oof_table(mean_predictor(oof(spark, sf).select("sample_id", "block", "x", "y", "y_true"), [1, 2, 3, 4, 5]).withColumnRenamed("seed", "fold")).select(
         "sample_id", "folds", "first_fold", F.round("pred", 5).alias("pred"), F.round("abs_residual", 5).alias("abs_residual")
     )
 
@@ -125,12 +127,6 @@ def mean_predictor(df, seeds):
     return df.join(roles.filter("role = 'test'"), "block").join(m, "seed")
 
 
-def oof_table(preds):
-    """One row per sample from repeated test predictions."""
-    a = preds.groupBy("sample_id").agg(F.count("*").alias("folds"), F.min("seed").alias("first_fold"), F.avg("pred").alias("pred"), F.first("y_true").alias("y_true"), F.first("x").alias("x"), F.first("y").alias("y"))
-    return a.withColumn("abs_residual", F.abs(F.col("y_true") - F.col("pred")))
-
-
 @query(
     "trial_table",
     "with c as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]::double[]) as shrink), g as (select avg(y_true) as m from oof) select shrink, count(*) as n, round(sqrt(avg((shrink * pred + (1 - shrink) * m - y_true) * (shrink * pred + (1 - shrink) * m - y_true))), 6) as rmse, round(avg(abs(shrink * pred + (1 - shrink) * m - y_true)), 6) as mae from oof, c, g group by 1",
@@ -249,87 +245,115 @@ def q_cands(spark, sf):
 
 
 def _train(spark, sf):
-    return write_and_read(wide(spark, sf).withColumn("block", block_of()), "train")
+    rows = wide(spark, sf).withColumn("block", block_of())
+    return write_and_read(rows.repartition(spark.sparkContext.defaultParallelism, "sample_id"), "train")
 
 
 @query("rf_trend")
 def q_rf(spark, sf):
     t = _train(spark, sf)
-    m = M.fit_rfk(t, "som", FEATS, SMALL_RF)
+    m = M.fit_rfk(t, "som", FEATS)
     return m.predict(t).select("sample_id", r6("trend", "trend"))
 
 
 @query("rfk_predict")
 def q_rfk(spark, sf):
     t = _train(spark, sf)
-    m = M.fit_rfk(t, "som", FEATS, SMALL_RF, KRIG)
+    m = M.fit_rfk(t, "som", FEATS, krig=KRIG)
     return m.predict(t).select("sample_id", r6("trend", "trend"), r6("krig", "krig"), r6("pred", "pred"))
 
 
 @query("fit_full")
 def q_full(spark, sf):
-    m = M.fit_rfk(_train(spark, sf), "som", FEATS, SMALL_RF, KRIG)
+    m = M.fit_rfk(_train(spark, sf), "som", FEATS, krig=KRIG)
     return m.residuals.select("id", r6("z", "residual"))
 
 
 @query("feature_importance")
 def q_imp(spark, sf):
-    m = M.fit_rfk(_train(spark, sf), "som", FEATS, SMALL_RF)
+    m = M.fit_rfk(_train(spark, sf), "som", FEATS)
     return m.importance().orderBy(F.desc("importance"), "feature").select("feature", r6("importance", "importance"))
 
 
 @query("rank_features_topk")
 def q_rank(spark, sf):
-    return M.rank_features(_train(spark, sf), "som", FEATS, 6, SMALL_RF).select("feature", r6("importance", "importance"))
+    return M.rank_features(_train(spark, sf), "som", FEATS, 6, M.RF_DEFAULT).select("feature", r6("importance", "importance"))
 
 
 def _metric_cols(df):
-    return df.select(*[c if t == "bigint" or c in ("fold", "mode", "params", "best", "candidate") else r6(c, c) for c, t in df.dtypes])
+    return df.select(*[c if t == "bigint" or c in ("fold", "mode", "params", "best", "candidate", "kriged") else r6(c, c) for c, t in df.dtypes])
 
 
 @query("run_one_split")
 def q_one(spark, sf):
     s = write_and_read(W.split_rows(_train(spark, sf), "block", [1]), "one-split")
-    p = write_and_read(M.run_split(s, "som", FEATS, SMALL_RF, KRIG), "one-pred")
+    p = write_and_read(M.run_split(s, "som", FEATS, M.RF_DEFAULT, KRIG), "one-pred")
     return _metric_cols(regression_metrics(p, medae=True))
 
 
 @query("single_holdout")
 def q_single(spark, sf):
-    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", [7], SMALL_RF)
+    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", [7], M.RF_DEFAULT)
     return _metric_cols(regression_metrics(cv))
 
 
 @query("spatial_cv_rf")
 def q_cvrf(spark, sf):
-    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", [1, 2, 3], SMALL_RF)
+    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", SEVEN, M.RF_DEFAULT)
     return _metric_cols(regression_metrics(cv, by=["fold"]))
 
 
 @query("spatial_cv_rfk")
 def q_cvrfk(spark, sf):
-    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", [1, 2], SMALL_RF, KRIG)
+    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", SEVEN, M.RF_DEFAULT, KRIG)
     return fold_summary(regression_metrics(cv, by=["fold"]))
 
 
 @query("tune_rfk")
 def q_tune(spark, sf):
-    cands = [{"rf": SMALL_RF, "krig": None}, {"rf": {**SMALL_RF, "depth": 3}, "krig": KRIG}]
-    return _metric_cols(M.tune(_train(spark, sf), "som", FEATS, "block", cands, [1, 2]))
+    t = _train(spark, sf)
+    cands = M.candidates(t.agg(F.count("*").alias("n")), "n", locks=TUNE_LOCKS)
+    return _metric_cols(M.tune(t, "som", FEATS, "block", cands, SEVEN, finalists=2))
 
 
 @query("deployable_vs_diagnostic")
 def q_deploy(spark, sf):
+    """Pooled metrics of the model on all features over seven splits and on those that a map has over five; the
+    deployable one is chosen where its error is no more than a tenth larger."""
     t = _train(spark, sf)
-    one = lambda mode, feats: regression_metrics(M.cross_validate(t, "som", feats, "block", [1], SMALL_RF)).withColumn("mode", F.lit(mode))
-    return _metric_cols(one("diagnostic", FEATS).unionByName(one("deployable", ["f_qty", "f_disc", "f_tax"])))
+    one = lambda mode, feats, seeds: regression_metrics(M.cross_validate(t, "som", feats, "block", seeds, M.RF_DEFAULT)).withColumn("mode", F.lit(mode))
+    both = write_and_read(one("diagnostic", FEATS, SEVEN).unionByName(one("deployable", ["f_qty", "f_disc", "f_tax"], SEVEN[:5])), "modes")
+    least = both.select(F.min("rmse")).scalar()
+    near = both.select(F.bool_or((F.col("mode") == "deployable") & (F.col("rmse") <= 1.1 * least))).scalar()
+    return _metric_cols(both).withColumn("chosen", (F.col("mode") == "deployable") == near)
+
+
+@query("oof_refits")
+def q_oof_refits(spark, sf):
+    cv = M.cross_validate(_train(spark, sf), "som", FEATS, "block", list(range(1, 16)), M.RF_DEFAULT)
+    return M.oof_table(cv).select("sample_id", "folds", "first_fold", r6("pred", "pred"), r6("abs_residual", "abs_residual"))
+
+
+def _kfold(spark, sf, labelled, start):
+    t = M.folds(labelled(_train(spark, sf)), F.col("fold") - start)
+    return _metric_cols(regression_metrics(M.predict_folds(t.drop("fold"), "som", FEATS, list(range(5)), M.RF_DEFAULT), by=["fold"]))
+
+
+@query("group_kfold_rf")
+def q_gkf_rf(spark, sf):
+    return _kfold(spark, sf, lambda t: t.join(W.group_kfold(t, "block").withColumnRenamed("block", "__b"), F.col("block").eqNullSafe(F.col("__b"))).drop("__b"), 0)
+
+
+@query("random_kfold_rf")
+def q_rkf_rf(spark, sf):
+    return _kfold(spark, sf, lambda t: W.random_kfold(t, "sample_id"), 1)
 
 
 @query("predict_grid")
 def q_pgrid(spark, sf):
     c = raster_cells(spark, sf)
     s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc"], 0.0, 180000.0, 5000.0)
-    m = M.fit_rfk(write_and_read(s, "grid-train"), "som", ["qty", "disc"], SMALL_RF, KRIG)
+    m = M.fit_rfk(write_and_read(s, "grid-train"), "som", ["qty", "disc"], krig=KRIG)
     g = grid(spark).join(R.feature_stack(c, ["qty", "disc", "class"]), ["row", "col"], "left")
     return M.predict_grid(m, g, F.col("class") <= 5).select("row", "col", r6("pred", "pred"))
 
@@ -338,7 +362,7 @@ def q_pgrid(spark, sf):
 def q_base(spark, sf):
     cols = ["coord_lon_norm", "coord_lat_norm", "coord_dist_center", "coord_lon_lat_interaction", "coord_sin_lon", "coord_cos_lat"]
     t = write_and_read(coordinate_features(samples(spark, sf)), "baseline-train")
-    m = M.fit_rfk(t, "som", cols, SMALL_RF)
+    m = M.fit_rfk(t, "som", cols, M.RF_BASELINE)
     g = grid(spark).withColumn("lon", 102.8 + F.col("x") / 95000.0).withColumn("lat", 29.9 + F.col("y") / 110000.0)
     return M.predict_grid(m, coordinate_features(g)).select("row", "col", r6("pred", "pred"))
 

@@ -72,7 +72,7 @@ def test_intervals_nest_in_alpha_and_own_residual_counts(spark, sf):
 
 def test_forest_predicts_better_than_the_mean(spark, sf):
     t = wide(spark, sf).withColumn("block", block_of()).cache()
-    m = M.fit_rfk(t, "som", ["c_size", "c_cyc", "f_qty"], {"trees": 10, "depth": 5, "leaf": 1, "share": "auto"}, {"nlags": 6, "nearest": 8})
+    m = M.fit_rfk(t, "som", ["c_size", "c_cyc", "f_qty"], {"trees": 20, "depth": 5, "leaf": 1, "share": "auto"}, {"nlags": 6, "nearest": 8})
     p = m.predict(t).agg(F.avg(F.pow(F.col("pred") - F.col("som"), 2)).alias("e"), F.var_pop("som").alias("v")).first()
     assert p["e"] < 0.5 * p["v"]
     assert abs(sum(r["importance"] for r in m.importance().collect()) - 1.0) < 1e-9
@@ -108,3 +108,36 @@ def test_coinciding_samples_do_not_depend_on_ids(spark):
         got.append(sorted((r["x"], round(r["krig"], 9)) for r in rows))
     one = K.krige_local(t, spark.createDataFrame(p.assign(z=p.z + 0.1 / 3)), V, 16, item_id="id").collect()
     assert got[0] == got[1] and np.allclose([z for _, z in got[0]], [r["krig"] for r in sorted(one, key=lambda r: r["x"])])
+
+
+def test_splits_keep_rows_without_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7) for i in range(100)], "sample_id int, block int")
+    assert W.split_rows(df, "block", [1, 2]).groupBy("seed").count().select("count").distinct().first()[0] == 100
+    assert M.holdouts(df, "block", [1, 2]).count() == 100
+
+
+def test_held_out_predictions_come_from_refits(spark, sf):
+    t = wide(spark, sf).withColumn("block", block_of())
+    rf = {"trees": 15, "depth": 6, "leaf": 2, "split": 4, "share": "0.8"}
+    cv = M.cross_validate(t, "som", ["c_size", "c_cyc", "f_qty"], "block", [1, 2, 3], rf).toPandas()
+    roles = W.split_rows(t.select("sample_id", "block"), "block", [1, 2, 3]).filter("role = 'test'").toPandas()
+    assert sorted(zip(cv.fold, cv.sample_id)) == sorted(zip(roles.seed, roles.sample_id))
+    one = M.run_split(W.split_rows(t, "block", [2]), "som", ["c_size", "c_cyc", "f_qty"], rf, None).toPandas()
+    assert len(one) == (cv.fold == 2).sum() and ((one.pred - one.y_true) ** 2).mean() < one.y_true.var()
+    oof_ = M.oof_table(spark.createDataFrame(cv)).toPandas()
+    assert oof_.folds.sum() == len(cv) and (oof_.abs_residual >= 0).all()
+    k = M.predict_folds(M.folds(W.random_kfold(t, "sample_id"), F.col("fold") - 1).drop("fold"), "som", ["c_size"], list(range(5)), rf)
+    assert k.count() == k.select("sample_id").distinct().count() == t.filter("som is not null").count()
+
+
+def test_tuning_locks_and_stops(spark, sf):
+    t = wide(spark, sf).withColumn("block", block_of())
+    n = t.agg(F.count("*").alias("n"))
+    free, locked = M.candidates(n, "n"), M.candidates(n, "n", locks={"trees": 5, "depth": 3, "leaf": 1, "split": 2, "share": "1.0"})
+    assert len(free) == 16 and free[0]["rf"]["trees"] == 1200 and {c["rf"]["trees"] for c in locked} == {5}
+    same = M.candidates(n, "n", locks={"trees": 5, "depth": 3, "leaf": 1, "split": 2, "share": "1.0", "variogram": "linear", "nlags": 6, "nearest": 16})
+    assert len(same) == 1
+    got = M.tune(t, "som", ["c_size", "c_cyc"], "block", [{**c, "rf": {**c["rf"], "trees": 5}} for c in free], list(range(1, 8)), finalists=1).collect()
+    assert len(got) == 16 and sum(r["best"] for r in got) == 1 and sum(r["kriged"] for r in got) == 1
+    few = M.tune(t, "som", ["c_size", "c_cyc"], "block", [{"rf": {**c["rf"], "trees": 5}} for c in free], [1, 2], goal_r2=-9.0, wave=4).collect()
+    assert len(few) == 4
