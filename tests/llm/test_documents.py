@@ -202,6 +202,19 @@ def test_repeats(spark, docs, none):
     assert prefix_doubling.remove_repeats(none).count() == 0
 
 
+def test_repeats_in_many_rows_without_id(spark):
+    r = np.random.default_rng(12)
+    say = lambda k: bytes(r.integers(97, 123, k)).decode()
+    passage = say(80)
+    rows = [(1, say(20) + passage + say(20), "en", "s", 1)]
+    rows += [(None, say(int(r.integers(0, 60))) + passage + say(30), "en", "s", 1) for _ in range(3000)]
+    rows += [(7, say(60) + passage[:60], "en", "s", 1) for _ in range(20)] + [rows[5], rows[5]]
+    want = sorted((w[:5] for w in brute_repeats(rows)), key=repr)
+    assert in_order(prefix_doubling.remove_repeats(frame(spark, rows)).collect(), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    kept = Counter(hashlib.sha256(x["text"].encode()).hexdigest() for x in prefix_doubling.without_repeats(frame(spark, rows)).collect())
+    assert kept == Counter(w[4] for w in want)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_repeats_in_periodic_and_cut_texts(spark, seed):
     r = np.random.default_rng(seed)
