@@ -129,7 +129,7 @@ class IdFile:
         return unpack_blocks(self.data, self.start[a:b])[start - a * BLOCK : stop - a * BLOCK]
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, ids_per_file: int = 1 << 22) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, ids_per_file: int = 1 << 20) -> DataFrame:
     """Writes the files and returns their list: part, number, file, n_docs, n_ids, in ascending order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
