@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
+from loamgrid.functions import projection as P
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
@@ -189,6 +190,25 @@ def project_local_metric(df: DataFrame, lon: str = "lon", lat: str = "lat") -> D
     return d.withColumn("mx", x).withColumn("my", F.radians(lat) * EARTH_RADIUS_M).drop("__l0")
 
 
+def project_metric(df: DataFrame, crs: str | P.Albers = "EPSG:32648", lon: str = "lon", lat: str = "lat", out: tuple[str, str] = ("mx", "my")) -> DataFrame:
+    """Adds projected metres: a UTM code, ``utm`` (each row in its own zone, column ``zone``) or an Albers cone.
+
+    Places outside the globe, NaN and infinities become NULL. A narrow map: nothing is shuffled.
+    """
+    ok = F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90)
+    x, y = F.when(ok, F.col(lon).cast("double")), F.when(ok, F.col(lat).cast("double"))
+    if isinstance(crs, P.Albers):
+        e, n = crs.forward(x, y)
+    elif crs.lower() == "utm":
+        df = df.withColumn("zone", P.utm_zone(x))
+        e, n = P.utm_forward(x, y, F.col("zone"), y < 0)
+    else:
+        zone, south = P.parse_crs(crs)
+        e, n = P.utm_forward(x, y, F.lit(zone), south)
+    keep = lambda c: F.when(F.abs(c) < 1e300, c)
+    return df.withColumns({out[0]: keep(e), out[1]: keep(n)})
+
+
 def coordinate_features(df: DataFrame) -> DataFrame:
     """Normalised place, distance to the centre, interaction and angles."""
     st = df.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
+from loamgrid.functions import projection as P
 from loamgrid.operators import schema as S
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import raw_samples, raster_cells, samples, table, wide
@@ -165,6 +166,55 @@ def q_project(spark, sf):
     return S.project_local_metric(samples(spark, sf)).select("sample_id", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"))
 
 
+D = lambda v: f"{v:.17e}::double"
+SUM_OF = lambda coefs, f, g, u, v: " + ".join(f"{D(c)} * {f}({2 * (j + 1)} * {u}) * {g}({2 * (j + 1)} * {v})" for j, c in enumerate(coefs))
+#: Latitudes reach south of the equator and longitudes go around the globe, so that zones and both grids are met.
+PLACES = "places as (select sample_id, lon + 30.0::double * (sample_id % 12) - 180 as lon, case when sample_id % 2 = 0 then lat else -lat end as lat from (select sample_id, lon - 100 as lon, lat from samples))"
+UTM = f"""{PLACES}, zoned as (select *, cast(floor((lon + 180) / 6) as bigint) % 60 + 1 as zone from places),
+c as (select *, sinh(atanh(sin(radians(lat))) - {D(P.E)} * atanh({D(P.E)} * sin(radians(lat)))) as t, radians(lon - (zone * 6 - 183)) as l from zoned),
+d as (select *, atan2(t, cos(l)) as xi, atanh(sin(l) / sqrt(1 + t * t)) as eta from c),
+utm as (select *, {D(P.UTM_SCALE * P.RECTIFYING)} * (eta + {SUM_OF(P.ALPHA, "cos", "sinh", "xi", "eta")}) + 500000 as e, {D(P.UTM_SCALE * P.RECTIFYING)} * (xi + {SUM_OF(P.ALPHA, "sin", "cosh", "xi", "eta")}) + case when lat < 0 then 10000000 else 0 end as n from d)"""
+
+
+def _places(spark, sf):
+    s = samples(spark, sf)
+    lon = F.col("lon") - 100.0 + 30.0 * (F.col("sample_id") % 12) - 180.0
+    return s.select("sample_id", lon.alias("lon"), F.when(F.col("sample_id") % 2 == 0, F.col("lat")).otherwise(-F.col("lat")).alias("lat"))
+
+
+@query("project_utm", f"with {UTM} select sample_id, zone, round(e, 3) as mx, round(n, 3) as my from utm", ("samples",))
+def q_utm(spark, sf):
+    return S.project_metric(_places(spark, sf), "utm").select("sample_id", "zone", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"))
+
+
+@query("project_utm_inverse", f"with {PLACES} select sample_id, round(lon, 9) as lon, round(lat, 9) as lat from places", ("samples",))
+def q_utm_back(spark, sf):
+    d = S.project_metric(_places(spark, sf), "utm")
+    lon, lat = P.utm_inverse(F.col("mx"), F.col("my"), F.col("zone"), F.col("lat") < 0)
+    return d.select("sample_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+CONE = P.Albers(25.0, 47.0, 0.0, 105.0)
+_N, _C, _R0 = CONE.cone
+
+
+@query(
+    "project_albers",
+    f"""with q as (select sample_id, lon, {D(1 - P.E2)} * (sin(radians(lat)) / (1 - {D(P.E2)} * pow(sin(radians(lat)), 2)) + atanh({D(P.E)} * sin(radians(lat))) / {D(P.E)}) as q from samples),
+r as (select sample_id, {D(P.SEMI_MAJOR / _N)} * sqrt({D(_C)} - {D(_N)} * q) as r, {D(_N)} * radians(lon - 105) as turn from q)
+select sample_id, round(r * sin(turn), 3) as mx, round({D(_R0)} - r * cos(turn), 3) as my from r""",
+    ("samples",),
+)
+def q_albers(spark, sf):
+    return S.project_metric(samples(spark, sf).select("sample_id", "lon", "lat"), CONE).select("sample_id", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"))
+
+
+@query("project_albers_inverse", "select sample_id, round(lon, 9) as lon, round(lat, 9) as lat from samples", ("samples",))
+def q_albers_back(spark, sf):
+    lon, lat = CONE.inverse(F.col("mx"), F.col("my"))
+    return S.project_metric(samples(spark, sf), CONE).select("sample_id", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
 @query(
     "coordinate_features",
     """with c as (select avg(lon) as x0, avg(lat) as y0, greatest(max(lon) - min(lon), 1e-6) as sx, greatest(max(lat) - min(lat), 1e-6) as sy from samples)
