@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
-from loamgrid.functions.text import let, strip_admin_suffix
 from loamgrid.operators import raster as R
+from loamgrid.operators.gazetteer import admin_name_match, alias_match
 from loamgrid.operators.ordering import exact_quantiles, global_rank
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import areas, grid, raster_cells, samples, table
-from loamgrid.session import write_and_read
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 TOP, RES = 180000.0, 5000.0
@@ -276,24 +275,6 @@ def q_alias(spark, sf):
     return alias_match(o.select("o_orderkey", txt.alias("txt")), "txt", al).filter("target is not null").select("o_orderkey", "target", "score")
 
 
-PIECE = 3
-
-
-def alias_match(df, text, aliases):
-    """Best alias contained in the text by (level + length, alias, target), null where there is none.
-
-    Texts and aliases meet on the first three characters of the alias (on the whole of shorter ones), then the full
-    test decides, so a gazetteer of any size is searched without comparing all texts with all aliases.
-    """
-    a = aliases.filter(F.length("alias") > 0).select((-(F.col("level") + F.length("alias"))).alias("neg"), "alias", "target", F.substring("alias", 1, PIECE).alias("__k"))
-    rows = write_and_read(df.withColumn("__id", F.monotonically_increasing_id()), "texts")
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.col(text), i, F.lit(n)))
-    pieces = F.flatten(F.array(*[cut(n) for n in range(1, PIECE + 1)]))
-    keys = rows.filter(F.length(text) > 0).select("__id", F.col(text).alias("__t"), F.explode(F.array_distinct(pieces)).alias("__k"))
-    hit = keys.join(a, "__k").filter(F.contains("__t", "alias")).groupBy("__id").agg(F.min(F.struct("neg", "alias", "target")).alias("__h"))
-    return rows.join(hit, "__id", "left").select(*df.columns, F.col("__h.target").alias("target"), (-F.col("__h.neg")).alias("score"))
-
-
 SUFSQL = "(" + "|".join(V.ADMIN_SUFFIXES) + ")$"
 
 
@@ -311,24 +292,6 @@ def q_adminname(spark, sf):
     return admin_name_match(qs, names)
 
 
-def admin_name_match(queries, names):
-    """Equal, equal without suffix, or one stripped name inside the other.
-
-    Containment is an equi join on the two-character pieces of the shorter name's start, then
-    the full test, so names are not compared all against all.
-    """
-    q = queries.withColumn("qs", strip_admin_suffix(F.col("q")))
-    c = names.withColumn("cs", strip_admin_suffix(F.col("c")))
-    pieces = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
-    head = lambda s: F.substring(s, 1, 2)
-    q_in_c = q.withColumn("k", head(F.col("qs"))).join(c.withColumn("k", F.explode(pieces(F.col("c")))), "k").filter(F.contains("c", "qs"))
-    c_in_q = q.withColumn("k", F.explode(pieces(F.col("q")))).join(c.withColumn("k", head(F.col("cs"))), "k").filter(F.contains("q", "cs"))
-    cols = ["q", "c", "qs", "cs"]
-    allp = q_in_c.select(*cols).unionByName(c_in_q.select(*cols)).distinct()
-    how = F.when(F.col("q") == F.col("c"), "equal").when(F.col("qs") == F.col("cs"), "stripped").otherwise("contained")
-    return allp.select("q", "c", how.alias("how"))
-
-
 @query(
     "parent_filter_join",
     """select a.area_id, c.c_custkey from (select area_id, name, parent from areas) a join (select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey ) c on a.name = c.n_name and a.parent = c.r_name""",

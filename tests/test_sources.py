@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.operators.validation import _lightest, group_kfold
-from loamgrid.plans.spatial import alias_match
 from loamgrid.session import scratch_path
 from loamgrid.sources import files as S
 from loamgrid.streaming import events as E
@@ -49,13 +48,6 @@ def test_folds_equal_the_greedy_rule(spark, seed):
     assert sum(_lightest([5, 0, 9], 2, 7)) == 7
 
 
-def test_aliases_of_any_length(spark):
-    al = spark.createDataFrame([("ab", "T2", 5), ("abcd", "T4", 1), ("x", "T1", 9), ("zzzz", "TZ", 9)], "alias string, target string, level int")
-    df = spark.createDataFrame([(1, "..abcd"), (2, "ab"), (3, "x ab"), (4, "none"), (5, None), (6, ""), (2, "ab")], "id int, t string")
-    got = sorted((r["id"], r["target"], r["score"]) for r in alias_match(df, "t", al).select("id", F.coalesce("target", F.lit("-")).alias("target"), F.coalesce("score", F.lit(0)).alias("score")).collect())
-    assert got == [(1, "T2", 7), (2, "T2", 7), (2, "T2", 7), (3, "T1", 10), (4, "-", 0), (5, "-", 0), (6, "-", 0)]
-
-
 def test_sessions_over_several_triggers(spark):
     path, out, ck = (scratch_path(spark, n) for n in ("in", "out", "ck"))
     base = spark.range(600).select((F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
