@@ -111,9 +111,11 @@ def _lag_rows(parts: DataFrame) -> DataFrame:
 
 
 def variogram_bins(points: DataFrame, nlags: int = 6) -> DataFrame:
-    """Equal-width lag classes over the full distance range (the last one closed)."""
+    """Equal-width lag classes over the full distance range (the last one closed); none for fewer than two points."""
     r = _block_pairs(points, None).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    step = (r["hi"] - r["lo"]) / nlags
+    if r["lo"] is None or not math.isfinite(r["lo"]):
+        return points.sparkSession.createDataFrame([], "lag int, pairs long, mean_dist double, gamma double")
+    step = (r["hi"] - r["lo"]) / nlags or 1.0
     edges = np.array([r["lo"] + i * step for i in range(nlags)] + [r["hi"] + 0.001])
     return _lag_rows(_block_pairs(points, edges))
 
@@ -121,63 +123,101 @@ def variogram_bins(points: DataFrame, nlags: int = 6) -> DataFrame:
 # ---------------------------------------------------------------- model
 
 
-def gamma_column(model: str, h: Column, nugget: Column, psill: Column, rng: Column) -> Column:
-    """Semivariance of a model at distance h (effective range 3 for the exponential, 7/4 for the gaussian form)."""
+#: Exponents of the power form are tried up to here; below 2 the form stays a valid variogram.
+MAX_EXPONENT = 1.999
+MODELS = ("spherical", "exponential", "gaussian", "linear", "power")
+#: The sill may exceed the largest semivariance by this factor; the slopes of the open forms are free.
+SILL_FACTOR = {"linear": 1e9, "power": 1e9}
+
+
+def shape_column(model: str, h: Column, rng: Column, exponent: Column) -> Column:
+    """A model at distance h without nugget and for a sill of one (effective range 3 for the exponential, 7/4 for the gaussian form)."""
+    t = h / rng
     if model == "spherical":
-        t = h / rng
-        return F.when(h <= rng, psill * (1.5 * t - 0.5 * t * t * t) + nugget).otherwise(psill + nugget)
+        return F.when(t <= 1.0, 1.5 * t - 0.5 * t * t * t).otherwise(1.0)
     if model == "exponential":
-        return psill * (1.0 - F.exp(-h / (rng / 3.0))) + nugget
+        return 1.0 - F.exp(-3.0 * t)
     if model == "gaussian":
-        s = rng * 4.0 / 7.0
-        return psill * (1.0 - F.exp(-(h * h) / (s * s))) + nugget
-    if model == "linear":
-        return psill / rng * h + nugget
-    return psill * F.pow(h / rng, F.lit(1.5)) + nugget
+        return 1.0 - F.exp(-(1.75 * t) * (1.75 * t))
+    return t if model == "linear" else F.pow(t, exponent)
 
 
-def gamma_numpy(model: str, h: np.ndarray, nugget: float, psill: float, rng: float) -> np.ndarray:
+def gamma_numpy(model: str, h: np.ndarray, nugget: float, psill: float, rng: float, exponent: float = 1.5) -> np.ndarray:
+    t = h / rng
     if model == "spherical":
-        t = np.minimum(h / rng, 1.0)
+        t = np.minimum(t, 1.0)
         return psill * (1.5 * t - 0.5 * t**3) + nugget
     if model == "exponential":
-        return psill * (1.0 - np.exp(-h / (rng / 3.0))) + nugget
+        return psill * (1.0 - np.exp(-3.0 * t)) + nugget
     if model == "gaussian":
-        return psill * (1.0 - np.exp(-(h**2) / (rng * 4.0 / 7.0) ** 2)) + nugget
-    if model == "linear":
-        return psill / rng * h + nugget
-    return psill * (h / rng) ** 1.5 + nugget
+        return psill * (1.0 - np.exp(-((1.75 * t) ** 2))) + nugget
+    return psill * (t if model == "linear" else t**exponent) + nugget
 
 
-MODELS = ("spherical", "exponential", "gaussian", "linear", "power")
+def lag_weights(bins: DataFrame, weighted: bool) -> DataFrame:
+    """Bins as (h, g, w): a logistic weight that falls from one to zero around 0.7 of the lags' range, or one everywhere."""
+    h = F.col("mean_dist")
+    ends = bins.agg(F.struct(F.min("mean_dist").alias("lo"), F.max("mean_dist").alias("hi"))).scalar()
+    b = bins.withColumn("__e", ends)
+    width = F.col("__e.hi") - F.col("__e.lo")
+    # The curve's middle at 0.7 of the range, and 0.9 and 0.1 one tenth of the range beside it.
+    w = 1.0 / (1.0 + F.exp(-(2.1972 / (0.1 * width)) * (0.7 * width + F.col("__e.lo") - h)))
+    return b.select(h.alias("h"), F.col("gamma").alias("g"), F.when(F.lit(weighted) & (width > 0), w).otherwise(1.0).alias("w"))
 
 
-def variogram_fit(bins: DataFrame, models=MODELS, steps: int = 10) -> DataFrame:
-    """Least-squares grid fit per model: best (nugget, psill, range) and its error.
+def variogram_fit(bins: DataFrame, models=MODELS, steps: int = 400, weighted: bool = False) -> DataFrame:
+    """Bounded weighted least squares per model: nugget, psill, range, exponent and the weighted squared error.
 
-    The bins are at most 30 rows; they travel as one array and every candidate row is scored
-    in place, so the fit is a narrow map over the candidate grid and one small reduce.
+    For a given range every model is linear in nugget and sill, so their best values within the bounds (nugget up to the
+    largest semivariance, sill up to ten times that) follow in closed form: the free optimum where it lies
+    inside, else the best point of the four edges. The range runs over ``steps`` values up to the largest lag; the linear
+    form has none, and the power form's exponent runs up to 1.999 instead (its range is the largest lag). Ties go to
+    the smaller range or exponent. The bins, one row per lag class, travel as one array; candidates are scored in place.
     """
-    arr = bins.agg(F.array_sort(F.collect_list(F.struct("mean_dist", "gamma"))).alias("b"))
-    top = arr.select(
-        "b",
-        F.array_max(F.transform("b", lambda p: p["gamma"])).alias("gmax"),
-        F.array_max(F.transform("b", lambda p: p["mean_dist"])).alias("dmax"),
+    arr = lag_weights(bins, weighted).agg(F.array_sort(F.collect_list(F.struct("h", "g", "w"))).alias("b"))
+    c = arr.select("b", F.array_max(F.transform("b", lambda p: p["g"])).alias("gmax"), F.array_max(F.transform("b", lambda p: p["h"])).alias("dmax"))
+    span = lambda m: F.struct(F.lit(m).alias("model"), F.lit(steps if m == "linear" else 1).alias("first"), F.lit(SILL_FACTOR.get(m, 10.0)).alias("factor"))
+    c = c.select("*", F.inline(F.array(*[span(m) for m in models]))).select("*", F.explode(F.sequence("first", F.lit(steps))).alias("i"))
+    share = F.col("i") / float(steps)
+    c = c.withColumn("range", F.when(F.col("model").isin("linear", "power"), F.col("dmax")).otherwise(F.col("dmax") * share))
+    c = c.withColumn("exponent", F.when(F.col("model") == "power", MAX_EXPONENT * share)).withColumn("top", F.col("gmax") * F.col("factor"))
+
+    def shape(p):
+        out = None
+        for m in models:
+            f = shape_column(m, p["h"], F.col("range"), F.col("exponent"))
+            out = F.when(F.col("model") == m, f) if out is None else out.when(F.col("model") == m, f)
+        return F.struct(out.alias("f"), p["g"].alias("g"), p["w"].alias("w"))
+
+    c = c.filter("dmax > 0").withColumn("p", F.transform("b", shape))
+    total = lambda fn: F.aggregate("p", F.lit(0.0), lambda a, p: a + fn(p))
+    c = c.select(
+        "model", "i", "range", "exponent", "gmax", "top", "p", total(lambda p: p["w"]).alias("sw"), total(lambda p: p["w"] * p["f"]).alias("sf"), total(lambda p: p["w"] * p["f"] * p["f"]).alias("sff"),
+        total(lambda p: p["w"] * p["g"]).alias("sg"), total(lambda p: p["w"] * p["f"] * p["g"]).alias("sfg"),
+    )
+    sw, sf, sff, sg, sfg, top, gmax = (F.col(n) for n in ("sw", "sf", "sff", "sg", "sfg", "top", "gmax"))
+    zero = F.lit(0.0)
+    within = lambda v, hi: F.least(F.greatest(F.coalesce(v, zero), zero), hi)
+    det = sw * sff - sf * sf
+    free = F.try_divide(sw * sfg - sf * sg, F.when(det > 1e-9 * sw * sff, det))
+    nugget = (sg - free * sf) / sw
+    inside = (nugget >= 0) & (nugget <= gmax) & (free >= 0) & (free <= top)
+    at = lambda n, s, ok=None: F.struct((n if ok is None else F.when(ok, n)).alias("nugget"), s.alias("psill"))
+    options = F.array(
+        at(nugget, free, inside), at(zero, within(F.try_divide(sfg, sff), top)), at(gmax, within(F.try_divide(sfg - gmax * sf, sff), top)),
+        at(within(sg / sw, gmax), zero), at(within((sg - top * sf) / sw, gmax), top),
     )
-    grid = F.sequence(F.lit(1), F.lit(steps))
-    c = top.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")).select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    c = c.select("*", F.explode(grid).alias("j")).select("*", F.explode(grid).alias("k"))
-    c = c.withColumn("nugget", F.col("gmax") * F.col("i") / (2.0 * steps)).withColumn("psill", F.col("gmax") * F.col("j") / (0.8 * steps)).withColumn("range", F.col("dmax") * F.col("k") / steps)
+    c = c.select("model", "i", "range", "exponent", "gmax", "p", F.posexplode(options).alias("edge", "v")).filter(F.col("v.nugget").isNotNull())
+    err = F.aggregate("p", F.lit(0.0), lambda a, p: a + p["w"] * F.pow(F.col("v.nugget") + F.col("v.psill") * p["f"] - p["g"], F.lit(2.0)))
+    c = c.withColumn("sse", err).withColumn("size", F.round(F.coalesce(F.try_divide(F.col("sse"), F.col("gmax") * F.col("gmax")), F.lit(0.0)), 10))
+    best = c.groupBy("model").agg(F.min(F.struct("size", "i", "edge", "v", "range", "exponent", "sse")).alias("s"))
+    return best.select("model", "s.v.nugget", "s.v.psill", "s.range", "s.exponent", "s.sse")
 
-    def sse(m):
-        return F.aggregate("b", F.lit(0.0), lambda a, p: a + F.pow(gamma_column(m, p["mean_dist"], F.col("nugget"), F.col("psill"), F.col("range")) - p["gamma"], F.lit(2.0)))
 
-    err = None
-    for m in models:
-        err = F.when(F.col("model") == m, sse(m)) if err is None else err.when(F.col("model") == m, sse(m))
-    c = c.withColumn("sse", err)
-    b = c.groupBy("model").agg(F.min(F.struct(F.round("sse", 9).alias("s"), "i", "j", "k", "nugget", "psill", "range")).alias("b"))
-    return b.select("model", "b.nugget", "b.psill", "b.range", F.col("b.s").alias("sse"))
+def fitted(points: DataFrame, model: str = "spherical", nlags: int = 6, weighted: bool = False) -> dict | None:
+    """The fit of one model as kriging takes it; None where all points lie at one place."""
+    r = variogram_fit(variogram_bins(points, nlags), [model], weighted=weighted).first()
+    return r and {k: r[k] for k in ("model", "nugget", "psill", "range")} | {"exponent": r["exponent"] or 1.5}
 
 
 def merge_places(points: DataFrame, value: str = "z", item_id: str = "id") -> DataFrame:
@@ -190,7 +230,7 @@ def merge_places(points: DataFrame, value: str = "z", item_id: str = "id") -> Da
 def krige_local(targets: DataFrame, points: DataFrame, vario: dict, k: int = 16, exclude_self: str | None = None, value: str = "z", **kw) -> DataFrame:
     """Adds ``krig`` and ``krig_var`` from the k nearest points: one (k+1) system per target, solved in batches.
 
-    ``vario`` holds model, nugget, psill, range. A singular system falls back to the neighbour
+    ``vario`` holds model, nugget, psill, range and, for the power form, exponent. A singular system falls back to the neighbour
     mean and sets ``fallback``. Points at one place count as one (``merge_places``), so the result
     does not depend on ids; with ``exclude_self`` the points must be merged already.
     """
@@ -210,7 +250,7 @@ def krige_local(targets: DataFrame, points: DataFrame, vario: dict, k: int = 16,
 
 def _solve_batch(px, py, z, d0, vario):
     n, m = px.shape
-    g = lambda h: gamma_numpy(vario["model"], h, vario["nugget"], vario["psill"], vario["range"])
+    g = lambda h: gamma_numpy(vario["model"], h, vario["nugget"], vario["psill"], vario["range"], vario.get("exponent", 1.5))
     d = np.sqrt((px[:, :, None] - px[:, None, :]) ** 2 + (py[:, :, None] - py[:, None, :]) ** 2)
     a = np.ones((n, m + 1, m + 1))
     a[:, :m, :m] = np.where(d <= 1e-10, 0.0, g(d))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators.aggregates import regression_metrics
 from loamgrid.operators.forest import fit_forests, pack
-from loamgrid.operators.kriging import krige_local, variogram_bins, variogram_fit
+from loamgrid.operators.kriging import fitted, krige_local
 from loamgrid.operators.ordering import exact_quantiles
 from loamgrid.operators.schema import unpivot
 from loamgrid.operators.validation import group_split
@@ -127,8 +127,7 @@ def residual_variogram(res: DataFrame, krig: dict | None) -> dict | None:
     s = res.agg(F.count("*").alias("n"), F.stddev_pop("z").alias("sd")).first()
     if s["n"] < 8 or s["sd"] < 1e-9:
         return None
-    best = variogram_fit(variogram_bins(res, krig.get("nlags", 6)), [krig.get("model", "spherical")]).first()
-    return {"model": best["model"], "nugget": best["nugget"], "psill": best["psill"], "range": best["range"]}
+    return fitted(res, krig.get("model", "spherical"), krig.get("nlags", 6), krig.get("weighted", False))
 
 
 def fit_rfk(df: DataFrame, target: str, features: list[str], rf: dict = RF_DEFAULT, krig: dict | None = None, id_col: str = "sample_id", weight: str | None = None) -> RfkModel:
@@ -218,7 +217,7 @@ def candidates(study: DataFrame, n: str, count: int = CANDIDATES, locks: dict |
     out = []
     for r in rows:
         p = {**r.asDict(), **(locks or {})}
-        one = {"rf": {k: p[k] for k in ("trees", "depth", "leaf", "split", "share")}, "krig": {"model": p["variogram"], "nlags": p["nlags"], "nearest": p["nearest"]}}
+        one = {"rf": {k: p[k] for k in ("trees", "depth", "leaf", "split", "share")}, "krig": {"model": p["variogram"], "nlags": p["nlags"], "nearest": p["nearest"], "weighted": p["weighted"]}}
         if one not in out:
             out.append(one)
     return out

@@ -169,23 +169,40 @@ def q_vb(spark, sf):
     return K.variogram_bins(_points(spark, sf), 6).select("lag", "pairs", F.round("mean_dist", 4).alias("mean_dist"), r6("gamma", "gamma"))
 
 
-@query(
-    "variogram_fit",
-    f"""with {VB}, top as (select max(gamma) as gmax, max(mean_dist) as dmax from vb), c as (select i, j, k, gmax * i / 20.0::double as nugget, gmax * j / 8.0::double as psill, dmax * k / 10.0::double as rng from top, unnest(range(0, 10)) a(i), unnest(range(1, 11)) b(j), unnest(range(1, 11)) d(k)),
-e as (select 'spherical' as model, i, j, k, nugget, psill, rng, sum(pow(case when mean_dist <= rng then psill * (1.5::double * mean_dist / rng - 0.5::double * pow(mean_dist / rng, 3)) + nugget else psill + nugget end - gamma, 2)) as sse from c, vb group by all
-union all select 'exponential', i, j, k, nugget, psill, rng, sum(pow(psill * (1 - exp(-mean_dist / (rng / 3))) + nugget - gamma, 2)) from c, vb group by all
-union all select 'linear', i, j, k, nugget, psill, rng, sum(pow(psill / rng * mean_dist + nugget - gamma, 2)) from c, vb group by all)
-select model, round(nugget, 6) as nugget, round(psill, 6) as psill, round(rng, 4) as "range", round(sse, 4) as sse from (select *, row_number() over (partition by model order by round(sse, 9), i, j, k) as rn from e) where rn = 1""",
-    ("oof",),
-)
+def _fit_sql(weight):
+    """The closed-form fit: sums per candidate, the free optimum or the best of four edges, then the least error."""
+    within = lambda v, hi: f"least(greatest(coalesce({v}, 0.0::double), 0.0::double), {hi})"
+    return f"""with {VB}, top as (select max(gamma) as gmax, max(mean_dist) as dmax, min(mean_dist) as dmin from vb), b as (select mean_dist as h, gamma as g, {weight} as w from vb, top),
+c as (select model, i, case when model in ('linear', 'power') then dmax else dmax * i / 400.0::double end as rng, 1.999::double * i / 400.0::double as ex, gmax, gmax * factor as top
+ from top, (values ('spherical', 1, 10.0::double), ('exponential', 1, 10.0::double), ('gaussian', 1, 10.0::double), ('linear', 400, 1e9::double), ('power', 1, 1e9::double)) m(model, first, factor), unnest(range(1, 401)) r(i) where i >= first),
+f as (select model, i, rng, ex, gmax, top, g, w, case model when 'spherical' then case when h <= rng then 1.5::double * (h / rng) - 0.5::double * pow(h / rng, 3) else 1.0::double end when 'exponential' then 1 - exp(-3.0::double * h / rng) when 'gaussian' then 1 - exp(-pow(1.75::double * h / rng, 2)) when 'linear' then h / rng else pow(h / rng, ex) end as f from c, b),
+s as (select model, i, rng, ex, gmax, top, sum(w) as sw, sum(w * f) as sf, sum(w * f * f) as sff, sum(w * g) as sg, sum(w * f * g) as sfg from f group by all),
+d as (select *, case when sw * sff - sf * sf > 1e-9::double * sw * sff then (sw * sfg - sf * sg) / (sw * sff - sf * sf) end as fr from s),
+o as (select model, i, rng, ex, gmax, 0 as edge, (sg - fr * sf) / sw as nugget, fr as psill from d where (sg - fr * sf) / sw between 0 and gmax and fr between 0 and top
+ union all select model, i, rng, ex, gmax, 1, 0, {within("sfg / sff", "top")} from d union all select model, i, rng, ex, gmax, 2, gmax, {within("(sfg - gmax * sf) / sff", "top")} from d
+ union all select model, i, rng, ex, gmax, 3, {within("sg / sw", "gmax")}, 0 from d union all select model, i, rng, ex, gmax, 4, {within("(sg - top * sf) / sw", "gmax")}, top from d),
+e as (select o.model, o.i, o.rng, o.ex, o.gmax, edge, nugget, psill, sum(w * pow(nugget + psill * f - g, 2)) as sse from o join f on o.model = f.model and o.i = f.i group by all)
+select model, round(nugget, 5) as nugget, round(psill, 5) as psill, round(rng, 3) as "range", case when model = 'power' then round(ex, 6) end as exponent, round(sse, 4) as sse
+from (select *, row_number() over (partition by model order by round(sse / (gmax * gmax), 10), i, edge) as rn from e) where rn = 1"""
+
+
+def _fit(spark, sf, weighted):
+    f = K.variogram_fit(K.variogram_bins(_points(spark, sf), 6), weighted=weighted)
+    return f.select("model", F.round("nugget", 5).alias("nugget"), F.round("psill", 5).alias("psill"), F.round("range", 3).alias("range"), r6("exponent", "exponent"), F.round("sse", 4).alias("sse"))
+
+
+@query("variogram_fit", _fit_sql("1.0::double"), ("oof",))
 def q_vf(spark, sf):
-    f = K.variogram_fit(K.variogram_bins(_points(spark, sf), 6), ("spherical", "exponential", "linear"))
-    return f.select("model", r6("nugget", "nugget"), r6("psill", "psill"), F.round("range", 4).alias("range"), F.round("sse", 4).alias("sse"))
+    return _fit(spark, sf, False)
+
+
+@query("variogram_fit_weighted", _fit_sql("1 / (1 + exp(-(2.1972::double / (0.1::double * (dmax - dmin))) * (0.7::double * (dmax - dmin) + dmin - mean_dist)))"), ("oof",))
+def q_vfw(spark, sf):
+    return _fit(spark, sf, True)
 
 
 def _vario(points):
-    b = K.variogram_fit(K.variogram_bins(points, 6), ("spherical",)).first()
-    return {"model": b["model"], "nugget": b["nugget"], "psill": b["psill"], "range": b["range"]}
+    return K.fitted(points)
 
 
 @query("variogram_quality")

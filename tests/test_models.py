@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.operators import kriging as K
@@ -51,6 +52,52 @@ def test_pair_statistics_equal_brute_force(spark, monkeypatch):
     assert sum(r["pairs"] for r in b) == len(d)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("model", K.MODELS)
+def test_variogram_fit_finds_the_model_and_no_grid_point_is_better(spark, model, weighted):
+    h = np.linspace(5.0, 100.0, 12)
+    truth = {"nugget": 0.3, "psill": 2.0, "rng": 60.0 if model in ("spherical", "exponential", "gaussian") else 100.0, "exponent": 1.999 * 0.4}
+    for noise in (0.0, 0.2):
+        g = K.gamma_numpy(model, h, **truth) + noise * np.sin(7 * h)
+        df = spark.createDataFrame(pd.DataFrame({"mean_dist": h, "gamma": g}))
+        r = K.variogram_fit(df, [model], weighted=weighted).first()
+        got = (r["nugget"], r["psill"], r["range"], r["exponent"] or 1.5)
+        if not noise:
+            assert np.allclose(got[:3], (truth["nugget"], truth["psill"], truth["rng"]), rtol=1e-6)
+        w = 1 / (1 + np.exp(-(2.1972 / 9.5) * (0.7 * 95 + 5 - h))) if weighted else np.ones(12)
+        loss = lambda n, s, a, e: float((w * (K.gamma_numpy(model, h, n, s, a, e) - g) ** 2).sum())
+        assert abs(loss(*got) - r["sse"]) < 1e-9
+        for n in np.linspace(0, g.max(), 12):
+            for s in np.linspace(0, 4, 12):
+                for t in np.arange(1, 401, 21) / 400:
+                    a, e = (100.0, 1.999 * t) if model in ("linear", "power") else (100.0 * t, 1.5)
+                    assert loss(n, s, a, e) >= r["sse"] - 1e-8
+
+
+def test_variogram_fit_of_constant_falling_and_missing_values(spark):
+    fit = lambda rows: {r["model"]: r for r in K.variogram_fit(spark.createDataFrame(rows, "mean_dist double, gamma double")).collect()}
+    assert all(abs(r["psill"]) < 1e-9 and r["sse"] < 1e-12 for r in fit([(1.0, 0.0), (2.0, 0.0)]).values())
+    down = fit([(1.0, 3.0), (2.0, 2.0), (3.0, 1.0)])
+    assert set(down) == set(K.MODELS) and all(r["nugget"] <= 3.0 and r["psill"] >= 0 for r in down.values()) and abs(down["linear"]["nugget"] - 2.0) < 1e-9
+    assert fit([]) == {}
+    one = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "id int, x double, y double, z double")
+    assert K.variogram_bins(one).count() == 0 and K.fitted(one) is None
+    place = K.variogram_bins(spark.createDataFrame([(i, 0.0, 0.0, float(i)) for i in range(3)], "id int, x double, y double, z double"))
+    assert [r["pairs"] for r in place.collect()] == [3]
+
+
+def test_power_kriging_uses_its_exponent(spark):
+    p = points(40, 4)
+    v = {"model": "power", "nugget": 0.0, "psill": 1.0, "range": 50.0, "exponent": 0.8}
+    t = spark.createDataFrame(pd.DataFrame({"x": [10.0], "y": [20.0]}))
+    got = K.krige_local(t, spark.createDataFrame(p), v, len(p), item_id="id").first()["krig"]
+    g = lambda h: np.where(h == 0, 0.0, (h / 50.0) ** 0.8)
+    a = np.ones((41, 41))
+    a[:40, :40] = g(np.hypot(p.x.values[:, None] - p.x.values, p.y.values[:, None] - p.y.values))
+    a[40, 40] = 0
+    assert abs(got - float(np.linalg.solve(a, np.append(g(np.hypot(p.x - 10, p.y - 20)), 1.0))[:40] @ p.z.values)) < 1e-6
+
+
 def test_splits_are_disjoint_by_group(spark, sf):
     b = samples(spark, sf).withColumn("block", block_of())
     s = W.split_rows(b, "block", [1, 2, 3])
