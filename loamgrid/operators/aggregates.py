@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from loamgrid.functions import fixed_values as V
 from loamgrid.operators.ordering import exact_quantiles
 from loamgrid.operators.schema import column_profile, unpivot
 
+#: Rows that are multiplied at a time.
+PAIR_ROWS = 4096
+
 
 def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: counts, rates, distinct values, range, mean, sample deviation, near-constant."""
@@ -26,12 +31,53 @@ def feature_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def pair_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per pair of columns (i < j, by place in ``cols``) over the rows that hold both: n, r; NULL r for a constant one.
+
+    One Arrow pass: every task sums the products of its rows by matrix multiplication into five matrices of the columns'
+    size and returns a row per pair, so what is shuffled depends on tasks and columns only. Values are taken
+    less their column's mean (first pass), which keeps the sums exact enough for large offsets. NaN and infinities
+    count as missing.
+    """
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    x = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c)
+    mean = list(x.agg(*[one(c) for c in x.columns]).first()) if cols else []
+    centre = np.array([m if m is not None else 0.0 for m in mean])
+    k = len(cols)
+    at = np.triu_indices(k, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((6, k, k))
+        for b in batches:
+            for s in range(0, b.num_rows, PAIR_ROWS):
+                part = b.slice(s, PAIR_ROWS)
+                v = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(float) - centre
+                has = ~np.isnan(v)
+                v, m = np.where(has, v, 0.0), has.astype(float)
+                for a, (left, right) in zip(acc, ((m, m), (v, m), (m, v), (v * v, m), (m, v * v), (v, v))):
+                    a += left.T @ right
+        if acc[0].any():
+            names = ("n", "sa", "sb", "saa", "sbb", "sab")
+            cells = {"i": pa.array(at[0], pa.int32()), "j": pa.array(at[1], pa.int32())} | {n: pa.array(a[at]) for n, a in zip(names, acc)}
+            yield pa.RecordBatch.from_pydict(cells)
+
+    if k < 2:
+        return df.sparkSession.createDataFrame([], "i int, j int, n long, r double")
+    t = x.mapInArrow(sums, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double")
+    t = t.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    varies = (spread("sa", "saa") > 1e-12 * F.col("saa")) & (spread("sb", "sbb") > 1e-12 * F.col("sbb"))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.sqrt(spread("sa", "saa")) * F.sqrt(spread("sb", "sbb")))
+    r = F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return t.filter("n > 0").select("i", "j", F.col("n").cast("long").alias("n"), r.alias("r"))
+
+
 def high_corr_pairs(df: DataFrame, cols: list[str], least: float = 0.98) -> DataFrame:
-    """Pairs of features with |r| at or above the limit: one pass, one aggregate per pair, nothing exploded."""
-    pairs = list(itertools.combinations(cols, 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows)).filter(F.abs("r") >= least)
+    """Pairs of features with |r| at or above the limit, over the rows that hold both (``pair_moments``)."""
+    names = F.array(*[F.lit(c) for c in cols])
+    p = pair_moments(df, cols).filter(F.abs("r") >= least)
+    return p.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
 
 
 def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "pred", by: list[str] = (), medae: bool = False) -> DataFrame:

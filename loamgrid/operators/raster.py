@@ -23,12 +23,13 @@ def cell_of(x: Column, y: Column, x0: Column | float, y0: Column | float, res: C
 def sample_at_points(points: DataFrame, cells: DataFrame, layers: list[str], x0: float, y0: float, res: float) -> DataFrame:
     """Adds one column per layer with the value of the cell under each point.
 
-    All layers share one equi join on (row, col): the stack is built by one partial
-    aggregation and points outside the grid simply find no partner.
+    Only cells under a point are stacked (a semi join on the distinct places of points comes first), and all layers
+    share one equi join on (row, col). Points outside the grid or without a place find no partner.
     """
     row, col = cell_of(F.col("x"), F.col("y"), x0, y0, res)
     p = points.withColumn("row", row).withColumn("col", col)
-    return p.join(feature_stack(cells, layers), ["row", "col"], "left")
+    under = cells.join(p.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    return p.join(feature_stack(under, layers), ["row", "col"], "left")
 
 
 def align_nearest(cells: DataFrame, grid: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
