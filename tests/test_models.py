@@ -182,8 +182,9 @@ def test_tuning_locks_and_stops(spark, sf):
     n = t.agg(F.count("*").alias("n"))
     free, locked = M.candidates(n, "n"), M.candidates(n, "n", locks={"trees": 5, "depth": 3, "leaf": 1, "split": 2, "share": "1.0"})
     assert len(free) == 16 and free[0]["rf"]["trees"] == 1200 and {c["rf"]["trees"] for c in locked} == {5}
-    same = M.candidates(n, "n", locks={"trees": 5, "depth": 3, "leaf": 1, "split": 2, "share": "1.0", "variogram": "linear", "nlags": 6, "nearest": 16})
+    same = M.candidates(n, "n", locks={"trees": 5, "depth": 3, "leaf": 1, "split": 2, "share": "1.0", "variogram": "linear", "nlags": 6, "nearest": 16, "weighted": False})
     assert len(same) == 1
+    assert {c["krig"]["weighted"] for c in free} == {False, True}
     got = M.tune(t, "som", ["c_size", "c_cyc"], "block", [{**c, "rf": {**c["rf"], "trees": 5}} for c in free], list(range(1, 8)), finalists=1).collect()
     assert len(got) == 16 and sum(r["best"] for r in got) == 1 and sum(r["kriged"] for r in got) == 1
     few = M.tune(t, "som", ["c_size", "c_cyc"], "block", [{"rf": {**c["rf"], "trees": 5}} for c in free], [1, 2], goal_r2=-9.0, wave=4).collect()
