@@ -1,7 +1,7 @@
 """Map projections of the WGS84 ellipsoid as column expressions: transverse Mercator (UTM) and Albers' conic.
 
 Angles are degrees, lengths metres. Series run to the fourth power of the third flattening, so forward and inverse
-agree within a thousandth of a millimetre in and around a zone. NULL in any argument gives NULL.
+agree within a tenth of a millimetre in and around a zone. NULL in any argument gives NULL.
 """
 
 from __future__ import annotations
