@@ -10,8 +10,8 @@ Two layouts share the numpy kernel:
 
 * the item table has at most ``broadcast_rows`` rows (checked first): the tiled items are
   broadcast and the targets are mapped in place, with no shuffle and no skew;
-* otherwise items and targets are both cut into units of bounded size, units that can
-  matter to each other are paired through their boxes, and partial top-k lists merge.
+* otherwise a k-d tree cuts items and targets into units of bounded size; a search of a target's own unit
+  bounds its k-th distance, only units within that bound are searched for it, and partial top-k lists merge.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamgrid.session import write_and_read
+
 # A layout choice, not a limit: more items, in rows or bytes, are searched unit by unit with the same result.
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 250_000
-MAX_TILES = 16_384
+MAX_TILES = 65_536
+SAMPLE_PER_LEAF = 8
 UNIT_ROWS = 4_096
 BLOCK = 256
 NEAR_BLOCK = 64  # targets searched together; small boxes keep the candidate tiles few
@@ -109,19 +112,6 @@ def _tile_order(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.sort(np.asarray(starts, dtype=int))
 
 
-def _candidate_tiles(lo, hi, tile_lo, tile_hi, tile_n, k: int) -> np.ndarray:
-    """Tiles that may hold one of the k nearest items of some target in box [lo, hi]."""
-    near = np.maximum(0.0, np.maximum(tile_lo - hi, lo - tile_hi))
-    far = np.maximum(np.abs(tile_hi - lo), np.abs(hi - tile_lo))
-    dmin = np.sqrt((near * near).sum(axis=1))
-    dmax = np.sqrt((far * far).sum(axis=1))
-    by_far = np.argsort(dmax, kind="stable")
-    cum = np.cumsum(tile_n[by_far])
-    pos = min(int(np.searchsorted(cum, k)), len(by_far) - 1)
-    bound = dmax[by_far[pos]]
-    return np.flatnonzero(dmin <= bound * (1.0 + 1e-9) + 1e-9)
-
-
 class _Index:
     """Bounded item table, tiled; broadcast as plain arrays."""
 
@@ -328,100 +318,187 @@ def _applied(found, carry, fields, finish, k) -> DataFrame:
     return found.mapInArrow(apply, schema)
 
 
-def _bin(edges: Column, v: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < v))
+class _Splits:
+    """A complete k-d tree over a sample of anchors: every node halves its part of the sample across the widest axis.
 
+    Only the cuts come from the sample; each row has exactly one leaf, and leaf boxes and counts are taken from all rows.
+    """
 
-def _paired(tg, it, k, n, width, carry, kind) -> DataFrame:
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = max(0, math.ceil(math.log2(max(1, leaves))))
+        nodes = (1 << self.depth) - 1
+        self.axis, self.cut = np.zeros(nodes, dtype=int), np.full(nodes, np.inf)
+        parts = [sample]
+        for node in range(nodes):  # in order of levels, so each part is there when its node is reached
+            x, parts[node] = parts[node], None
+            left = right = x[:0]
+            if len(x) > 1:
+                axis = int((x.max(axis=0) - x.min(axis=0)).argmax())
+                v = np.sort(x[:, axis])
+                half = v[(len(v) - 1) // 2]
+                self.axis[node], self.cut[node] = axis, half if half < v[-1] else np.nextafter(half, -np.inf)
+                up = x[:, axis] > self.cut[node]
+                left, right = x[~up], x[up]
+            else:
+                left = x
+            parts += [left, right]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(x), dtype=int), np.arange(len(x))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[rows, self.axis[node]] > self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def _with_leaf(df: DataFrame, column: str, kind: str, shared, out: str) -> DataFrame:
+    """Adds the leaf of every row of ``df``."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.LongType())])
+
+    def run(batches):
+        splits = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = _anchor(_matrix(b.column(column), len(b.column(column)[0])), kind)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(splits.leaf(x))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _leaves_for(t: np.ndarray, bound: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Per target the leaves whose box is no farther than its bound; nearby targets are looked at together."""
+    out: list = [None] * len(t)
+    order, starts = _tile_order(t, NEAR_BLOCK)
+    limit = bound * (1.0 + 1e-9) + 1e-9
+    box = lambda rows, at: np.maximum(0.0, np.maximum(lo[at] - t[rows].max(axis=0), t[rows].min(axis=0) - hi[at]))
+    reach = lambda rows, at: at[np.sqrt((box(rows, at) ** 2).sum(axis=1)) <= limit[rows].max()]
+    close = reach(order, np.arange(len(lo))) if len(t) else np.empty(0, dtype=int)
+    for s, e in zip(starts, np.append(starts[1:], len(order))):
+        rows = order[s:e]
+        at = reach(rows, close)
+        gap = np.maximum(0.0, np.maximum(lo[at] - t[rows][:, None], t[rows][:, None] - hi[at]))
+        for r, hit in zip(rows, np.sqrt((gap * gap).sum(axis=2)) <= limit[rows][:, None]):
+            out[r] = at[hit]
+    return out
+
+
+def _far_bound(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """An upper bound of the k-th distance from leaf boxes and counts alone."""
+    out = np.empty(len(t))
+    for i, p in enumerate(t):
+        far = np.sqrt((np.maximum(np.abs(hi - p), np.abs(p - lo)) ** 2).sum(axis=1))
+        by = np.argsort(far, kind="stable")
+        out[i] = far[by[min(int(np.searchsorted(np.cumsum(n[by]), k)), len(by) - 1)]]
+    return out
+
+
+def _nearest_lists(lt: pa.Table, rt: pa.Table, k: int, tdim: int, width: int, carry: list[str], kind: str):
+    """Targets, their k-th distances and neighbour lists within the given items, by blocks of targets."""
+    t = _matrix(lt.column("__t"), tdim)
+    c, ids = _matrix(rt.column("__v"), width), rt.column("__id").combine_chunks().to_numpy()
+    cols = [rt.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in carry]
+    cv = np.stack(cols, axis=1).astype("float64") if cols else np.empty((len(ids), 0))
+    by_id = np.argsort(ids, kind="stable")
+    c, ids, cv = c[by_id], ids[by_id], cv[by_id]
+    for s in range(0, len(t), BLOCK):
+        tb = t[s : s + BLOCK]
+        d = _distances(tb, c, kind)
+        p = _top_k(d, min(k, len(ids)))
+        d = np.take_along_axis(d, p, axis=1)
+        yield tb, d[:, -1] if len(ids) >= k else np.full(len(tb), np.inf), _neighbor_array(d, ids[p], cv[p], carry)
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """New column identities, so that a frame can be cogrouped with one it was joined with."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _points(t: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, t.shape[1]), pa.int32()), pa.array(t.ravel()))
+
+
+def _first_pass(tg, it, k, n, width, carry, kind) -> tuple[DataFrame, DataFrame]:
+    """Items with their ``__unit``, and every target place with what a search of its own unit tells.
+
+    Items are cut by a k-d tree whose cuts halve a sample of bounded size (``SAMPLE_PER_LEAF`` rows a leaf); leaves
+    above ``UNIT_ROWS`` rows are split by hash, so units are bounded at any size. Places are cut by the same tree into
+    chunks of at most about ``UNIT_ROWS``. An exact search of the first unit of a place's own leaf bounds its k-th
+    distance; ``__units`` are the other units that this bound cannot exclude, ``part`` the neighbours found so far.
+    """
     spark = tg.sparkSession
     tdim = 2 if kind == "segment" else width
-    anchor = lambda v, j: (F.get(v, F.lit(j)) + F.get(v, F.lit(j + 2))) / 2.0 if kind == "segment" else F.get(v, F.lit(j))
-    second = 1 if tdim > 1 else 0
     # Of items at one place only the k smallest ids can matter: bounds a hot place.
     w = Window.partitionBy("__v").orderBy("__id")
     it = it.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
-    it = it.withColumn("__a0", anchor(F.col("__v"), 0)).withColumn("__a1", anchor(F.col("__v"), second))
-
-    cap = max(UNIT_ROWS, math.ceil(n / MAX_TILES))
-    s = max(1, min(int(math.sqrt(MAX_TILES)), math.ceil(math.sqrt(n / cap))))
-    probs = [i / s for i in range(1, s)] or [0.5]
-    xe = [float(v) for v in it.select(F.percentile_approx("__a0", probs, 1000)).first()[0]]
-    xcol = F.array(*[F.lit(v) for v in xe])
-    it = it.withColumn("__strip", _bin(xcol, F.col("__a0")))
-    strips = it.groupBy("__strip").agg(F.percentile_approx("__a1", probs, 1000).alias("__ye"))  # at most s rows of s values
-    it = it.join(F.broadcast(strips), "__strip").withColumn("__leaf", F.col("__strip") * (s + 1) + _bin(F.col("__ye"), F.col("__a1")))
-    sizes = it.groupBy("__leaf").agg(F.ceil(F.count("*") / cap).cast("int").alias("__ns"))  # at most (s+1)^2 rows
-    it = it.join(F.broadcast(sizes), "__leaf").withColumn(
-        "__unit", F.concat_ws(":", "__leaf", F.pmod(F.xxhash64("__id", "__v"), F.col("__ns")))
-    )
+    leaves = min(MAX_TILES, math.ceil(n / UNIT_ROWS))
+    share = min(1.0, leaves * SAMPLE_PER_LEAF / n)
+    some = it.filter(F.pmod(F.xxhash64("__id", "__v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("__v").toArrow()  # about leaves * SAMPLE_PER_LEAF rows
+    splits = spark.sparkContext.broadcast(_Splits(_anchor(_matrix(some.column("__v"), width), kind) if some.num_rows else np.empty((0, tdim)), leaves))
+
+    it = _with_leaf(it, "__v", kind, splits, "__leaf")
     low = lambda v, j: F.least(F.get(v, F.lit(j)), F.get(v, F.lit(j + 2))) if kind == "segment" else F.get(v, F.lit(j))
     high = lambda v, j: F.greatest(F.get(v, F.lit(j)), F.get(v, F.lit(j + 2))) if kind == "segment" else F.get(v, F.lit(j))
-    meta = it.groupBy("__unit").agg(
+    it = write_and_read(it, "items")  # read for the boxes, in the first pass and in the search
+    meta = it.groupBy("__leaf").agg(
         F.count("*").alias("n"),
         F.array(*[F.min(low(F.col("__v"), j)) for j in range(tdim)]).alias("lo"),
         F.array(*[F.max(high(F.col("__v"), j)) for j in range(tdim)]).alias("hi"),
-    ).toArrow()  # at most MAX_TILES + n / cap <= 2 * MAX_TILES rows
-    units = np.asarray(meta.column("__unit").to_pylist())
-    boxes = (_matrix(meta.column("lo"), tdim), _matrix(meta.column("hi"), tdim), meta.column("n").to_numpy())
-    shared = spark.sparkContext.broadcast((units, *boxes))
+    ).toArrow()  # at most 2 * MAX_TILES rows
+    leaf, count = meta.column("__leaf").to_numpy(), meta.column("n").to_numpy()
+    parts = -(-count // UNIT_ROWS)
+    shared = spark.sparkContext.broadcast((leaf, _matrix(meta.column("lo"), tdim), _matrix(meta.column("hi"), tdim), count, parts))
+    size = spark.createDataFrame(pa.table({"__leaf": leaf, "__ns": parts}))
+    unit = lambda l, i: l * (1 << 32) + i
+    it = it.join(F.broadcast(size), "__leaf").withColumn("__unit", unit(F.col("__leaf"), F.pmod(F.xxhash64("__id", "__v"), F.col("__ns")))).drop("__leaf", "__ns")
 
-    # Distinct target places, cut into chunks of bounded size.
     places = tg.select("__t").distinct().filter(~F.exists("__t", lambda v: v.isNull() | F.isnan(v)))
-    places = places.withColumn("__strip", _bin(xcol, F.get("__t", F.lit(0))))
-    places = places.join(F.broadcast(strips), "__strip", "left").withColumn(
-        "__reg", F.col("__strip") * (s + 1) + F.coalesce(_bin(F.col("__ye"), F.get("__t", F.lit(second))), F.lit(0))
-    )
-    chunks = places.groupBy("__reg").agg(F.ceil(F.count("*") / UNIT_ROWS).cast("int").alias("__nc"))
-    places = places.join(F.broadcast(chunks), "__reg").select(
-        "__t", F.concat_ws(":", "__reg", F.pmod(F.xxhash64("__t"), F.col("__nc"))).alias("__chunk")
-    )
-    tbox = places.groupBy("__chunk").agg(
-        F.array(*[F.min(F.get("__t", F.lit(j))) for j in range(tdim)]).alias("lo"),
-        F.array(*[F.max(F.get("__t", F.lit(j))) for j in range(tdim)]).alias("hi"),
-    )
-
-    def pair(batches):
-        names, ulo, uhi, un = shared.value
-        for b in batches:
-            lo, hi = _matrix(b.column("lo"), tdim), _matrix(b.column("hi"), tdim)
-            for i, c in enumerate(b.column("__chunk").to_pylist()):
-                hit = _candidate_tiles(lo[i], hi[i], ulo, uhi, un, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c] * len(hit), pa.string()), pa.array(names[hit].tolist(), pa.string())], names=["__chunk", "__unit"]
-                )
-
-    pairs = tbox.mapInArrow(pair, "__chunk string, __unit string")
-    left = places.join(pairs, "__chunk")
-    right = it.select("__unit", "__v", "__id", *carry).join(pairs, "__unit")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    places = write_and_read(_with_leaf(places, "__t", "point", splits, "__leaf"), "places")
+    chunks = places.groupBy("__leaf").agg(F.ceil(F.count("*") / UNIT_ROWS).alias("__nc"))  # at most 2 * MAX_TILES rows
+    places = places.join(F.broadcast(chunks), "__leaf").select("__t", "__leaf", unit(F.col("__leaf"), F.pmod(F.xxhash64("__t"), F.col("__nc"))).alias("__chunk"))
+    home = places.select("__chunk", unit(F.col("__leaf"), F.lit(0)).alias("__unit")).distinct()
+    right = _renewed(it.join(home, "__unit").select("__chunk", "__v", "__id", *carry))
     ntype = _neighbor_type(carry)
-    part_schema = T.StructType([T.StructField("__t", T.ArrayType(T.DoubleType())), T.StructField("part", ntype)])
+    schema = T.StructType([T.StructField("__chunk", T.LongType()), T.StructField("__t", T.ArrayType(T.DoubleType())), T.StructField("part", ntype), T.StructField("__units", T.ArrayType(T.LongType()))])
+
+    def search(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        number, lo, hi, rows, pieces = shared.value
+        found = list(_nearest_lists(lt, rt, k, tdim, width, carry, kind)) if rt.num_rows else []
+        t = np.concatenate([f[0] for f in found]) if found else _matrix(lt.column("__t"), tdim)
+        bound = np.concatenate([f[1] for f in found]) if found else np.full(len(t), np.inf)
+        short = np.isinf(bound)
+        bound[short] = _far_bound(t[short], lo, hi, rows, k)
+        own = lt.column("__chunk")[0].as_py() >> 32 if lt.num_rows else -1
+        lists = []
+        for at in _leaves_for(t, bound, lo, hi):
+            first = np.repeat(number[at] << 32, pieces[at])
+            which = np.arange(len(first)) - np.repeat(np.cumsum(pieces[at]) - pieces[at], pieces[at])
+            ids = first + which
+            lists.append(ids[ids != own << 32])
+        ends = np.concatenate([[0], np.cumsum([len(u) for u in lists])])
+        units = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.empty(0, dtype=int)))
+        got = pa.chunked_array([f[2] for f in found]) if found else pa.array([[]] * len(t), _arrow_type(carry))
+        return pa.table({"__chunk": pa.array([lt.column("__chunk")[0].as_py()] * len(t) if len(t) else [], pa.int64()), "__t": _points(t), "part": got, "__units": units})
+
+    first = places.select("__chunk", "__t").groupBy("__chunk").cogroup(right.groupBy("__chunk")).applyInArrow(search, schema)
+    return it, write_and_read(first, "bounds")
+
+
+def _paired(tg, it, k, n, width, carry, kind) -> DataFrame:
+    tdim = 2 if kind == "segment" else width
+    it, first = _first_pass(tg, it, k, n, width, carry, kind)
+    left = first.select("__chunk", "__t", F.explode("__units").alias("__unit"))
+    right = it.select("__unit", "__v", "__id", *carry).join(left.select("__chunk", "__unit").distinct(), "__unit")
+    right = _renewed(right)
+    ntype = _neighbor_type(carry)
+    schema = T.StructType([T.StructField("__t", T.ArrayType(T.DoubleType())), T.StructField("part", ntype)])
 
     def search(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        t = _matrix(lt.column("__t"), tdim) if lt.num_rows else np.empty((0, tdim))
         if lt.num_rows == 0 or rt.num_rows == 0:
             return pa.table({"__t": pa.array([], pa.list_(pa.float64())), "part": pa.array([], _arrow_type(carry))})
-        c, ids = _matrix(rt.column("__v"), width), rt.column("__id").combine_chunks().to_numpy()
-        cols = [rt.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in carry]
-        cv = np.stack(cols, axis=1).astype("float64") if cols else np.empty((len(ids), 0))
-        by_id = np.argsort(ids, kind="stable")
-        c, ids, cv = c[by_id], ids[by_id], cv[by_id]
-        ts, parts = [], []
-        for s0 in range(0, len(t), BLOCK):
-            tb = t[s0 : s0 + BLOCK]
-            d = _distances(tb, c, kind)
-            p = _top_k(d, min(k, len(ids)))
-            parts.append(_neighbor_array(np.take_along_axis(d, p, axis=1), ids[p], cv[p], carry))
-            ts.append(pa.ListArray.from_arrays(pa.array(np.arange(0, tb.size + 1, tdim), pa.int32()), pa.array(tb.ravel())))
-        return pa.table({"__t": pa.chunked_array(ts), "part": pa.chunked_array(parts)})
-
-    found = (
-        left.groupBy("__chunk", "__unit")
-        .cogroup(right.groupBy("__chunk", "__unit"))
-        .applyInArrow(search, part_schema)
-        .groupBy("__t")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("__nn"))
-    )
+        found = list(_nearest_lists(lt, rt, k, tdim, width, carry, kind))
+        return pa.table({"__t": pa.chunked_array([_points(f[0]) for f in found]), "part": pa.chunked_array([f[2] for f in found])})
+
+    rest = left.groupBy("__chunk", "__unit").cogroup(right.groupBy("__chunk", "__unit")).applyInArrow(search, schema)
+    found = first.select("__t", "part").unionByName(rest).groupBy("__t").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("__nn"))
     empty = F.array().cast(ntype)
     return tg.join(found, "__t", "left").withColumn("__nn", F.coalesce("__nn", empty)).drop("__t")
 

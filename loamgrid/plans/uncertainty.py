@@ -82,18 +82,26 @@ def q_line(spark, sf):
     return nearest_line_distance(samples(spark, sf), segments(spark, sf)).select("sample_id", r6("dist", "dist"))
 
 
-@query(
-    "nn_distance_features",
-    """with d as (select a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as d
+FEATURE_NN = """with d as (select a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as d
   from embeddings a cross join embeddings b where a.vec_id <> b.vec_id)
-select vec_id, round(min(d), 6) as nn_dist from d group by vec_id""",
-)
+select vec_id, round(min(d), 6) as nn_dist from d group by vec_id"""
+
+
+@query("nn_distance_features", FEATURE_NN)
 def q_nn_features(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     j = nearest_distance(e, e, "nn_dist", target_coords=F.col("v"), item_coords=F.col("v"), item_id="vec_id", self_id="vec_id")
     return j.select("vec_id", r6("nn_dist", "nn_dist"))
 
 
+@query("nn_distance_features_units", FEATURE_NN)
+def q_nn_features_units(spark, sf):
+    """The same in the layout for tables above the broadcast bound."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    j = nearest_distance(e, e, "nn_dist", target_coords=F.col("v"), item_coords=F.col("v"), item_id="vec_id", self_id="vec_id", broadcast_rows=0)
+    return j.select("vec_id", r6("nn_dist", "nn_dist"))
+
+
 @query(
     "conformal_global_quantile",
     """with n as (select count(*) as n from oof), o as (select *, row_number() over (order by abs_residual) as rn from oof),
@@ -317,6 +325,12 @@ def q_gdi(spark, sf):
     return U.aoa_grid_di(_covcells(spark, sf), samples(spark, sf), FEATURES, IMPORTANCE).select("cell", r6("di", "di"))
 
 
+@query("aoa_grid_di_units", f"with {GDI} select cell, round(di, 6) as di from gdi", ("samples",))
+def q_gdi_units(spark, sf):
+    """Dissimilarity of map cells in the layout for samples above the broadcast bound."""
+    return U.aoa_grid_di(_covcells(spark, sf), samples(spark, sf), FEATURES, IMPORTANCE, broadcast_rows=0).select("cell", r6("di", "di"))
+
+
 @query(
     "aoa_inside",
     f"with {GDI} select cell, case when di <= threshold then 1 else 0 end as inside from gdi, thr",

@@ -94,3 +94,50 @@ def test_few_tiles_are_searched_in_feature_space():
         want = np.sort(np.sqrt(((targets[rows][:, None] - items[None]) ** 2).sum(2)), axis=1)[:, :3]
         assert np.allclose(d, want)
     assert index.searched / (blocks * len(index.n)) < 0.1
+
+
+def clusters(spark, n, seed, first=0):
+    r = np.random.default_rng(5)
+    centres = r.normal(0, 10, (40, 5))
+    r = np.random.default_rng(seed)
+    a = centres[r.integers(0, 40, n)] + r.normal(0, 0.5, (n, 5))
+    df = pd.DataFrame({"sample_id": np.arange(first, first + n), "v": a.tolist()})
+    return a, spark.createDataFrame(df, "sample_id long, v array<double>")
+
+
+def test_few_unit_pairs_in_feature_space(spark, monkeypatch):
+    monkeypatch.setattr(N, "UNIT_ROWS", 100)
+    a, items = clusters(spark, 12_000, 1)
+    b, targets = clusters(spark, 4_000, 2)
+    it = items.select(F.col("v").alias("__v"), F.col("sample_id").alias("__id"))
+    parts, first = N._first_pass(targets.withColumn("__t", F.col("v")), it, 3, 12_000, 5, [], "point")
+    assert parts.groupBy("__unit").count().agg(F.max("count")).first()[0] <= 150
+    units, chunks = parts.select("__unit").distinct().count(), first.select("__chunk").distinct().count()
+    links = first.select("__chunk", F.explode("__units")).distinct().count() + chunks
+    assert links < 0.1 * units * chunks
+    per_target = first.agg(F.avg(F.size("__units")) + 1).first()[0]
+    assert per_target < 0.05 * units
+
+    j = N.nearest_distance(targets, items, target_coords=F.col("v"), item_coords=F.col("v"), broadcast_rows=0)
+    got = {r["sample_id"]: r["dist"] for r in j.select("sample_id", "dist").collect()}
+    for i in range(0, 4_000, 7):
+        assert abs(got[i] - np.sqrt(((a - b[i]) ** 2).sum(1)).min()) < 1e-9
+
+
+def test_units_stay_bounded_above_the_number_of_leaves(spark, monkeypatch):
+    monkeypatch.setattr(N, "UNIT_ROWS", 50)
+    monkeypatch.setattr(N, "MAX_TILES", 4)
+    t, p = cloud(200, 1), cloud(2_000, 2)
+    p.loc[:99, ["x", "y"]] = [500.0, 250.0]
+    j = N.knn_join(spark.createDataFrame(t), spark.createDataFrame(p), 5, broadcast_rows=0)
+    got = {r["sample_id"]: r["neighbors"] for r in j.select("sample_id", "neighbors").collect()}
+    for i, want in enumerate(brute(t, p, 5)):
+        assert [(round(n["dist"], 9), n["id"]) for n in got[i]] == want
+
+
+def test_a_tree_of_equal_points_has_one_full_leaf():
+    same = np.ones((64, 3))
+    leaves = N._Splits(same, 8).leaf(same)
+    assert len(set(leaves.tolist())) == 1
+    x = np.random.default_rng(1).normal(size=(512, 3))
+    assert np.bincount(N._Splits(x, 8).leaf(x), minlength=8).tolist() == [64] * 8
