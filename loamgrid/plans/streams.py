@@ -122,3 +122,33 @@ def q_tumbling(spark, sf):
 def q_stalled(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("task"), "ts")
     return E.stalled_tasks(e, e.select(F.max("ts")).scalar(), "4 hours")
+
+
+STALL_PARTS = 2
+
+
+@query(
+    "stalled_tasks_stream",
+    """with l as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as nx from events)
+select user_id as task, ts as last_seen from l where nx is null or nx - ts >= interval 4 hours""",
+)
+def q_stalled_stream(spark, sf):
+    """The event table in parts by time, one trigger each, every tenth line a part late; a last line closes all runs."""
+    e = _events(spark, sf).select(F.col("user_id").alias("task"), "ts", "event_id")
+    first, last = e.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    if first is None:
+        return spark.createDataFrame([], "task bigint, last_seen timestamp_ntz")
+    step = (last - first) / STALL_PARTS + 1.0
+    part = F.floor((F.col("ts").cast("double") - first) / step) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    e = e.withColumn("part", part)
+    late = 2 * step + 1  # a part late is at most two parts behind the newest line
+    path, ck, out = (scratch_path(spark, n) for n in ("stall-in", "stall-ck", "stall-out"))
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("task"), F.lit(last + late + 2 * 86400.0).cast("timestamp").alias("ts"))
+    with E.with_rocksdb(spark):
+        for n in range(STALL_PARTS + 2):
+            now = e.filter(F.col("part") == n).select("task", "ts") if n <= STALL_PARTS else end
+            now.write.mode("append").parquet(path)
+            src = spark.readStream.schema("task bigint, ts timestamp").parquet(path)
+            E.write_stream(E.stalled_stream(src, 4 * 3_600_000, f"{int(late)} seconds"), out, ck, "parquet").awaitTermination()
+    got = spark.read.schema("task bigint, last_seen timestamp").parquet(out).filter("task >= 0")
+    return got.select("task", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))

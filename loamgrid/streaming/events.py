@@ -6,6 +6,7 @@ Late data: rows older than the watermark are dropped; their number is in the que
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loamgrid.functions.text import progress_of
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def session_expiry(events: DataFrame, client: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a client that end when no heartbeat comes for the gap (append mode)."""
@@ -58,40 +61,91 @@ def stalled_tasks(logs: DataFrame, now: Column, interval: str = "10 minutes", ta
 
 
 class StallTimer(StatefulProcessor):
-    """Per task: the last log time, and an event-time timer that fires when the interval passes without a line."""
+    """Per task the runs of lines that are less than the interval apart, and an event-time timer at the end of each.
+
+    A late line may lengthen a run, bridge two or start one between them, so runs stay until the watermark has passed their
+    end by the interval: then no line that is still accepted can touch them, and the timer reports the stall. The state is
+    two numbers a run, and only runs younger than the watermark less the interval are held.
+    """
 
     def __init__(self, interval_ms: int):
-        self.interval_ms = interval_ms
+        self.interval = interval_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts bigint")
+        self.runs = handle.getValueState("runs", "starts array<bigint>, ends array<bigint>")
+
+    def _held(self) -> tuple[list[int], list[int]]:
+        return tuple(list(c) for c in self.runs.get()) if self.runs.exists() else ([], [])
+
+    def _due(self, end: int) -> int:
+        """Timers take milliseconds: the first one that is not before the end of the interval."""
+        return -(-(end + self.interval) // 1000)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(r["ms"].max()) for r in rows)
-        old = self.last.get()[0] if self.last.exists() else None
-        if old is None or newest > old:
-            if old is not None:
-                self.handle.deleteTimer(old + self.interval_ms)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.interval_ms)
+        starts, ends = self._held()
+        for r in rows:
+            old = ends
+            us = r["us"].dropna().unique().tolist()
+            starts, ends = join_runs(starts + us, ends + us, self.interval)
+            for e in set(old) - set(ends):
+                self.handle.deleteTimer(self._due(e))
+            for e in set(ends) - set(old):
+                self.handle.registerTimer(self._due(e))
+        if ends:
+            self.runs.update((starts, ends))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0]
-        self.last.clear()
-        yield pd.DataFrame({"task": [key[0]], "last_ms": [last]})
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        starts, ends = self._held()
+        rest = [(a, e) for a, e in zip(starts, ends) if e + self.interval > now]
+        if rest:
+            self.runs.update(([a for a, _ in rest], [e for _, e in rest]))
+        else:
+            self.runs.clear()
+        last = [e for e in ends if e + self.interval <= now]
+        if last:
+            yield pd.DataFrame({"task": [key[0]] * len(last), "last_us": last})
 
     def close(self) -> None:
         pass
 
 
+def join_runs(starts: list[int], ends: list[int], gap: int) -> tuple[list[int], list[int]]:
+    """Intervals less than ``gap`` apart become one; ordered by time."""
+    out: list[list[int]] = []
+    for a, e in sorted(zip(starts, ends)):
+        if out and a - out[-1][1] < gap:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([a, e])
+    return [a for a, _ in out], [e for _, e in out]
+
+
 def stalled_stream(logs: DataFrame, interval_ms: int, late: str = "1 minute", task: str = "task", ts: str = "ts") -> DataFrame:
-    """Stream form of :func:`stalled_tasks` with one timer per task; state is one number per task."""
-    s = logs.withWatermark(ts, late).select(F.col(task).alias("task"), ts, F.unix_millis(ts).alias("ms"))
-    return s.groupBy("task").transformWithStateInPandas(
-        statefulProcessor=StallTimer(interval_ms), outputStructType="task long, last_ms long", outputMode="append", timeMode="eventTime"
+    """Stream form of :func:`stalled_tasks`: every time a task had no line for the interval, with its last line before it.
+
+    Emitted once the watermark has passed the interval, whatever the triggers; lines up to ``late`` behind the newest one
+    count as if they had come in time. Needs the RocksDB state store (``with_rocksdb``).
+    """
+    s = logs.withWatermark(ts, late).filter(F.col(ts).isNotNull()).select(F.col(task).alias("task"), ts, F.unix_micros(ts).alias("us"))
+    kind = s.schema["task"].dataType.simpleString()
+    ended = s.groupBy("task").transformWithStateInPandas(
+        statefulProcessor=StallTimer(interval_ms), outputStructType=f"task {kind}, last_us long", outputMode="append", timeMode="eventTime"
     )
+    return ended.select("task", F.timestamp_micros("last_us").alias("last_seen"))
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """The state store that stateful processors need, for queries started inside; the session's own choice comes back."""
+    old = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, old) if old else spark.conf.unset(STATE_STORE)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "json", mode: str = "append"):

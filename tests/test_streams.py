@@ -1,6 +1,5 @@
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.session import scratch_path
@@ -29,25 +28,31 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     assert [b for _, b in got] == [1, 1]
 
 
-def test_stalled_stream_fires_once(spark):
-    src, path, schema = source(spark, [(1, at(0), "a"), (2, at(0), "a"), (2, at(50), "b"), (3, at(60), "end")])
-    ck, out = scratch_path(spark, "ck"), scratch_path(spark, "out")
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(conf, None)
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        q = E.write_stream(E.stalled_stream(src, 30 * 60_000), out, ck, "parquet")
-        try:
-            q.awaitTermination()
-        except Exception as e:  # the state server needs packages that may be absent
-            pytest.skip(f"stateful processor unavailable: {str(e)[:200]}")
-        rows = spark.read.schema("task long, last_ms long").parquet(out).collect()
-        assert [r["task"] for r in rows] == [1]
-    finally:
-        if old:
-            spark.conf.set(conf, old)
-        else:
-            spark.conf.unset(conf)
+def test_stalls_do_not_depend_on_triggers_and_late_lines(spark):
+    lines = [(1, 0), (1, 20), (1, 45), (1, 100), (2, 0), (2, 29), (2, 59), (2, 89), (3, 10), (3, 40), (3, 41), (None, 5)]
+    want = sorted([(1, 45), (1, 100), (2, 29), (2, 59), (2, 89), (3, 10), (3, 41), (None, 5)], key=str)
+    arrivals = [
+        [lines],
+        [[(1, 0), (1, 45), (2, 0), (3, 10), (3, 41), (None, 5)], [(1, 20), (2, 29), (2, 59), (3, 40)], [(1, 100), (2, 89)]],
+    ]
+    for parts in arrivals:
+        src, path, schema = source(spark, [(t, at(m), "") for t, m in parts[0]])
+        ck, out = scratch_path(spark, "ck"), scratch_path(spark, "out")
+        with E.with_rocksdb(spark):
+            for part in [*parts[1:], [(9, 1000)], None]:
+                E.write_stream(E.stalled_stream(src, 30 * 60_000, "2 hours"), out, ck, "parquet").awaitTermination()
+                if part:
+                    spark.createDataFrame([(t, at(m), "") for t, m in part], schema).coalesce(1).write.mode("append").parquet(path)
+        rows = spark.read.schema("task long, last_seen timestamp").parquet(out).select("task", F.unix_micros("last_seen").alias("us")).collect()
+        zero = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+        assert sorted([(r["task"], (r["us"] - zero) / 60_000_000) for r in rows], key=str) == [(t, float(m)) for t, m in want]
+
+
+def test_runs_join_across_late_lines():
+    assert E.join_runs([0, 50, 20], [10, 60, 45], 15) == ([0], [60])
+    assert E.join_runs([0, 50, 20], [10, 60, 45], 10) == ([0, 20], [10, 60])
+    assert E.join_runs([0, 20], [10, 30], 11) == ([0], [30])
+    assert E.join_runs([], [], 5) == ([], [])
 
 
 def test_batch_stall(spark):
