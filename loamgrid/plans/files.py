@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import GRID_RES, areas, raster_cells, raw_samples, samples, segments, table
+from loamgrid.plans.views import areas, raster_cells, raw_samples, samples, segments, table
 from loamgrid.session import scratch_path
 from loamgrid.sources import documents as D
 from loamgrid.sources import files as S

@@ -9,7 +9,7 @@ from loamgrid.functions import fixed_values as V
 from loamgrid.operators import gates as G
 from loamgrid.operators import schema as S
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import raster_cells, raw_samples, samples, table, wide
+from loamgrid.plans.views import layout, raster_cells, raw_samples, samples, table, wide
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 FEATS = ["c_size", "c_cyc", "c_zero", "f_qty", "f_disc", "f_tax", "f_price"]
@@ -285,16 +285,17 @@ def q_vyear(spark, sf):
     return samples(spark, sf).groupBy("sample_year").agg(F.count("*").alias("n"), F.bool_and(C.valid_year(F.col("sample_year") - 20)).alias("ok"))
 
 
-META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height,
+META = """meta as (select layer, min("col") * (select res from layout) as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * (select res from layout) as y0, any_value((select res from layout)) as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height,
   case when layer = 'class' then 'EPSG:4326' else 'EPSG:32648' end as crs from raster_cells group by layer)"""
 
 
 def raster_meta(spark, sf):
+    res = layout(spark, sf).res
     c = raster_cells(spark, sf).withColumn("row", F.col("row") + F.when(F.col("layer") == "disc", 4).otherwise(0))
     return c.groupBy("layer").agg(
-        (F.min("col") * 5000.0).alias("x0"),
-        (F.lit(180000.0) - F.min("row") * 5000.0).alias("y0"),
-        F.lit(5000.0).alias("res"),
+        (F.min("col") * res).alias("x0"),
+        (F.lit(180000.0) - F.min("row") * res).alias("y0"),
+        F.lit(res).alias("res"),
         (F.max("col") - F.min("col") + 1).alias("width"),
         (F.max("row") - F.min("row") + 1).alias("height"),
     ).withColumn("crs", F.when(F.col("layer") == "class", "EPSG:4326").otherwise("EPSG:32648"))

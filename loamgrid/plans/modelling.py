@@ -14,7 +14,7 @@ from loamgrid.operators.aggregates import fold_summary, regression_metrics
 from loamgrid.operators.ordering import exact_quantiles
 from loamgrid.operators.schema import coordinate_features, unpivot
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import areas, block_of, grid, oof, raster_cells, samples, table, wide
+from loamgrid.plans.views import GRID_TOP, areas, block_of, grid, layout, oof, raster_cells, samples, table, wide
 from loamgrid.session import write_and_read
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
@@ -214,7 +214,7 @@ def q_vq(spark, sf):
 @query("krige_local")
 def q_kl(spark, sf):
     p = _points(spark, sf)
-    return K.krige_local(grid(spark), p, _vario(p), 16, item_id="id").select("row", "col", r6("krig", "krig"), r6("krig_var", "krig_var"), "fallback")
+    return K.krige_local(grid(spark, sf), p, _vario(p), 16, item_id="id").select("row", "col", r6("krig", "krig"), r6("krig_var", "krig_var"), "fallback")
 
 
 @query("rf_residuals", "select sample_id, round(y_true - pred, 6) as residual from oof", ("oof",))
@@ -369,9 +369,9 @@ def q_rkf_rf(spark, sf):
 @query("predict_grid")
 def q_pgrid(spark, sf):
     c = raster_cells(spark, sf)
-    s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc"], 0.0, 180000.0, 5000.0)
+    s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc"], 0.0, GRID_TOP, layout(spark, sf).res)
     m = M.fit_rfk(write_and_read(s, "grid-train"), "som", ["qty", "disc"], krig=KRIG)
-    g = grid(spark).join(R.feature_stack(c, ["qty", "disc", "class"]), ["row", "col"], "left")
+    g = grid(spark, sf).join(R.feature_stack(c, ["qty", "disc", "class"]), ["row", "col"], "left")
     return M.predict_grid(m, g, F.col("class") <= 5).select("row", "col", r6("pred", "pred"))
 
 
@@ -380,13 +380,13 @@ def q_base(spark, sf):
     cols = ["coord_lon_norm", "coord_lat_norm", "coord_dist_center", "coord_lon_lat_interaction", "coord_sin_lon", "coord_cos_lat"]
     t = write_and_read(coordinate_features(samples(spark, sf)), "baseline-train")
     m = M.fit_rfk(t, "som", cols, M.RF_BASELINE)
-    g = grid(spark).withColumn("lon", 102.8 + F.col("x") / 95000.0).withColumn("lat", 29.9 + F.col("y") / 110000.0)
+    g = grid(spark, sf).withColumn("lon", 102.8 + F.col("x") / 95000.0).withColumn("lat", 29.9 + F.col("y") / 110000.0)
     return M.predict_grid(m, coordinate_features(g)).select("row", "col", r6("pred", "pred"))
 
 
 @query(
     "model_table",
-    """with p as (select sample_id, lon, lat, som, landcover, cast(floor((180000 - s.y) / 5000) as int) as r, cast(floor(s.x / 5000) as int) as c from samples s), v as (select layer, "row", "col", case when layer = 'disc' and ("row" + "col") % 7 = 0 then null else "value" end as v from raster_cells),
+    """with p as (select sample_id, lon, lat, som, landcover, cast(floor((180000 - s.y) / (select res from layout)) as int) as r, cast(floor(s.x / (select res from layout)) as int) as c from samples s), v as (select layer, "row", "col", case when layer = 'disc' and ("row" + "col") % 7 = 0 then null else "value" end as v from raster_cells),
 j as (select p.sample_id, lon, lat, som, landcover, max(case when layer = 'qty' then v end) as cov_qty, max(case when layer = 'disc' then v end) as cov_disc from p left join v on p.r = v."row" and p.c = v."col" group by all),
 m as (select quantile_cont(cov_qty, 0.5) as q, quantile_cont(cov_disc, 0.5) as d from j where som is not null)
 select sample_id, round(lon, 6) as lon, round(lat, 6) as lat, som, case when exists (select 1 from inside i where i.sample_id = j.sample_id) then 1 else 0 end as in_aoi, case when cov_qty is null then 1 else 0 end + case when cov_disc is null then 1 else 0 end as missing_n,
@@ -395,12 +395,12 @@ round(coalesce(cov_qty, q), 6) as cov_qty, round(coalesce(cov_disc, d), 6) as co
 )
 def q_model_table(spark, sf):
     c = raster_cells(spark, sf).withColumn("value", F.when((F.col("layer") == "disc") & ((F.col("row") + F.col("col")) % 7 == 0), None).otherwise(F.col("value")))
-    return model_table(samples(spark, sf), c, areas(spark, sf)).select(
+    return model_table(samples(spark, sf), c, areas(spark, sf), layout(spark, sf).res).select(
         "sample_id", r6("lon", "lon"), r6("lat", "lat"), "som", "in_aoi", "missing_n", r6("cov_qty", "cov_qty"), r6("cov_disc", "cov_disc"), F.col("landcover__class_1").alias("class_1")
     )
 
 
-def model_table(samples_df, cells, aoi, layers=("qty", "disc"), max_missing=0.5):
+def model_table(samples_df, cells, aoi, res, layers=("qty", "disc"), max_missing=0.5):
     """Model-ready rows: sampled layers, area flag, missing counts, one-hot classes, row gate, median fill.
 
     The gated table is written once and read back: it is the only source of training, and the
@@ -409,7 +409,7 @@ def model_table(samples_df, cells, aoi, layers=("qty", "disc"), max_missing=0.5)
     from loamgrid.operators.gates import filter_valid_core, row_missing
     from loamgrid.operators.schema import one_hot_classes
 
-    s = R.sample_at_points(samples_df, cells, list(layers), 0.0, 180000.0, 5000.0)
+    s = R.sample_at_points(samples_df, cells, list(layers), 0.0, GRID_TOP, res)
     s = s.select("*", *[F.col(l).alias(f"cov_{l}") for l in layers]).drop(*layers)
     hit = R.polygon_join(samples_df.select("sample_id", "x", "y"), aoi).select("sample_id").distinct().withColumn("in_aoi", F.lit(1))
     covs = [f"cov_{l}" for l in layers]

@@ -11,10 +11,10 @@ from loamgrid.operators import raster as R
 from loamgrid.operators.gazetteer import admin_name_match, alias_match
 from loamgrid.operators.ordering import exact_quantiles, global_rank
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import areas, grid, raster_cells, samples, table
+from loamgrid.plans.views import GRID_TOP, areas, grid, layout, raster_cells, samples, table
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
-TOP, RES = 180000.0, 5000.0
+TOP = GRID_TOP
 
 
 # ---------------------------------------------------------------- joins
@@ -111,7 +111,7 @@ def q_bbox(spark, sf):
     return first_box(samples(spark, sf), _boxes(spark, sf), "sample_id")
 
 
-CELLAT = 'cast(floor((180000 - s.y) / 5000) as int) as "row", cast(floor(s.x / 5000) as int) as "col"'
+CELLAT = 'cast(floor((180000 - s.y) / (select res from layout)) as int) as "row", cast(floor(s.x / (select res from layout)) as int) as "col"'
 
 
 @query(
@@ -120,7 +120,7 @@ CELLAT = 'cast(floor((180000 - s.y) / 5000) as int) as "row", cast(floor(s.x / 5
     ("samples", "raster_cells"),
 )
 def q_sample_one(spark, sf):
-    return R.sample_at_points(samples(spark, sf), raster_cells(spark, sf), ["qty"], 0.0, TOP, RES).select("sample_id", "qty")
+    return R.sample_at_points(samples(spark, sf), raster_cells(spark, sf), ["qty"], 0.0, TOP, layout(spark, sf).res).select("sample_id", "qty")
 
 
 @query(
@@ -130,32 +130,32 @@ from p left join raster_cells r on p."row" = r."row" and p."col" = r."col" group
     ("samples", "raster_cells"),
 )
 def q_sample_stack(spark, sf):
-    return R.sample_at_points(samples(spark, sf), raster_cells(spark, sf), ["qty", "disc", "class"], 0.0, TOP, RES).select("sample_id", "qty", "disc", "class")
+    return R.sample_at_points(samples(spark, sf), raster_cells(spark, sf), ["qty", "disc", "class"], 0.0, TOP, layout(spark, sf).res).select("sample_id", "qty", "disc", "class")
 
 
-def _shifted(spark):
-    return grid(spark).withColumn("x", F.col("x") + 1200.0).withColumn("y", F.col("y") - 700.0)
+def _shifted(spark, sf):
+    return grid(spark, sf).withColumn("x", F.col("x") + 1200.0).withColumn("y", F.col("y") - 700.0)
 
 
 @query(
     "align_raster_nearest",
-    """select g."row", g."col", r."value" from grid g left join raster_cells r on r.layer = 'class' and r."row" = floor((180000 - (g.y - 700)) / 5000) and r."col" = floor((g.x + 1200) / 5000)""",
+    """select g."row", g."col", r."value" from grid g left join raster_cells r on r.layer = 'class' and r."row" = floor((180000 - (g.y - 700)) / (select res from layout)) and r."col" = floor((g.x + 1200) / (select res from layout))""",
     ("grid", "raster_cells"),
 )
 def q_nearest(spark, sf):
-    return R.align_nearest(raster_cells(spark, sf).filter("layer = 'class'"), _shifted(spark), 0.0, TOP, RES)
+    return R.align_nearest(raster_cells(spark, sf).filter("layer = 'class'"), _shifted(spark, sf), 0.0, TOP, layout(spark, sf).res)
 
 
 @query(
     "align_raster_bilinear",
-    """with f as (select "row", "col", (x + 1200) / 5000.0::double - 0.5::double as fx, (180000 - (y - 700)) / 5000.0::double - 0.5::double as fy from grid),
+    """with f as (select "row", "col", (x + 1200) / (select res from layout) - 0.5::double as fx, (180000 - (y - 700)) / (select res from layout) - 0.5::double as fy from grid),
 e as (select f."row", f."col", floor(fy) + dr as r, floor(fx) + dc as c, (case when dr = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) * (case when dc = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) as w
   from f cross join (values (0), (1)) a(dr) cross join (values (0), (1)) b(dc))
 select e."row", e."col", round(sum(w * v."value") / sum(w), 3) as "value" from e join raster_cells v on v.layer = 'qty' and v."row" = e.r and v."col" = e.c where w > 0 group by 1, 2""",
     ("grid", "raster_cells"),
 )
 def q_bilinear(spark, sf):
-    a = R.align_bilinear(raster_cells(spark, sf).filter("layer = 'qty'"), _shifted(spark), 0.0, TOP, RES)
+    a = R.align_bilinear(raster_cells(spark, sf).filter("layer = 'qty'"), _shifted(spark, sf), 0.0, TOP, layout(spark, sf).res)
     return a.select("row", "col", F.round("value", 3).alias("value"))
 
 
@@ -175,7 +175,7 @@ def q_stack(spark, sf):
 )
 def q_maskjoin(spark, sf):
     m = raster_cells(spark, sf).filter("layer = 'class'").select("row", "col", F.when(F.col("row") > 2, (F.col("value") <= 3).cast("int")).alias("m"))
-    return grid(spark).join(m, ["row", "col"], "left").select("row", "col", F.coalesce("m", F.lit(255)).alias("mask"))
+    return grid(spark, sf).join(m, ["row", "col"], "left").select("row", "col", F.coalesce("m", F.lit(255)).alias("mask"))
 
 
 @query(
@@ -414,7 +414,7 @@ def coarsen_resolution(df, w, h, requested, budget, steps=40):
     return d.withColumn("cells", cells(F.col("res")).cast("long"))
 
 
-META = """meta as (select layer, min("col") * 5000.0::double as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * 5000.0::double as y0, 5000.0::double as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height from raster_cells group by layer)"""
+META = """meta as (select layer, min("col") * (select res from layout) as x0, 180000.0::double - min("row" + case when layer = 'disc' then 4 else 0 end) * (select res from layout) as y0, any_value((select res from layout)) as res, max("col") - min("col") + 1 as width, max("row") - min("row") + 1 as height from raster_cells group by layer)"""
 
 
 def _meta(spark, sf):
@@ -456,8 +456,8 @@ GIN = """gin as (select g."row", g."col", area_id from grid g cross join area_ed
 
 @query("rasterize_polygon", f'with {GIN} select g."row", g."col", case when count(area_id) > 0 then 1 else 0 end as mask from grid g left join gin i on g."row" = i."row" and g."col" = i."col" group by 1, 2', ("grid", "area_edges"))
 def q_rasterize(spark, sf):
-    hit = R.polygon_join(grid(spark), areas(spark, sf)).select("row", "col").distinct().withColumn("m", F.lit(1))
-    return grid(spark).join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("m", F.lit(0)).alias("mask"))
+    hit = R.polygon_join(grid(spark, sf), areas(spark, sf)).select("row", "col").distinct().withColumn("m", F.lit(1))
+    return grid(spark, sf).join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("m", F.lit(0)).alias("mask"))
 
 
 @query(
@@ -468,7 +468,7 @@ def q_rasterize(spark, sf):
 def q_binary(spark, sf):
     c = raster_cells(spark, sf).filter("layer = 'class'").select("row", "col", F.when(F.col("col") < 40, F.col("value")).alias("value"))
     m = F.when(F.col("value").isNull(), 255).when(F.rint("value") == 1, 1).otherwise(0)
-    return grid(spark).join(c, ["row", "col"], "left").groupBy(m.alias("mask")).agg(F.count("*").alias("n"))
+    return grid(spark, sf).join(c, ["row", "col"], "left").groupBy(m.alias("mask")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -478,7 +478,7 @@ def q_binary(spark, sf):
 )
 def q_clip(spark, sf):
     c = raster_cells(spark, sf).filter("layer = 'qty'")
-    return clip_to_region(c, areas(spark, sf), 0.0, TOP, RES).select("row", "col", "value")
+    return clip_to_region(c, areas(spark, sf), 0.0, TOP, layout(spark, sf).res).select("row", "col", "value")
 
 
 def clip_to_region(cells, region, x0, y0, res):
@@ -524,13 +524,14 @@ def subdataset_score(name, idx):
     return s - F.when(C.contains_any(low, BAD_PARTS), 50).otherwise(0) - idx
 
 
-EDGE = """ev as (select layer, case when "row" in (0, 35) or "col" in (0, 45) then 1 else 0 end as e, round(case when layer = 'class' and ("row" in (0, 35) or "col" in (0, 45)) and ("row" + "col") % 3 > 0 then 7.0::double else "value" end, 6) as v from raster_cells),
+EDGE = """ev as (select layer, case when "row" in (0, (select n_rows - 1 from layout)) or "col" in (0, (select n_cols - 1 from layout)) then 1 else 0 end as e, round(case when layer = 'class' and ("row" in (0, (select n_rows - 1 from layout)) or "col" in (0, (select n_cols - 1 from layout))) and ("row" + "col") % 3 > 0 then 7.0::double else "value" end, 6) as v from raster_cells),
 c as (select layer, v, sum(e) as en, count(*) as gn from ev group by 1, 2), t as (select layer, sum(en) as te, sum(gn) as tg from c group by 1),
 k as (select c.*, te, tg, row_number() over (partition by c.layer order by en desc, v) as rn from c join t on c.layer = t.layer where en > 0)"""
 
 
 def _edgy(spark, sf):
-    edge = F.col("row").isin(0, 35) | F.col("col").isin(0, 45)
+    size = layout(spark, sf)
+    edge = F.col("row").isin(0, size.rows - 1) | F.col("col").isin(0, size.cols - 1)
     v = F.when((F.col("layer") == "class") & edge & ((F.col("row") + F.col("col")) % 3 > 0), 7.0).otherwise(F.col("value"))
     return raster_cells(spark, sf).withColumn("value", v)
 
@@ -541,7 +542,7 @@ def _edgy(spark, sf):
     ("raster_cells",),
 )
 def q_edge(spark, sf):
-    return edge_background(_edgy(spark, sf), 36, 46).select("layer", "value", "edge_n")
+    return edge_background(_edgy(spark, sf), *layout(spark, sf)[:2]).select("layer", "value", "edge_n")
 
 
 # Fill values that count as background wherever they lead the edge.
@@ -559,24 +560,24 @@ def edge_background(cells, rows, cols, width=1, top=6):
     return k.filter(F.col("value").isin(SENTINELS) | (F.abs("value") > 1e20) | (share >= 0.22) | ((share >= 0.12) & (glob >= 0.08)))
 
 
-FLOOD = """bg as (select "row" as r, "col" as c from raster_cells where layer = 'class' and "value" <= 4), fl(r, c) as (select r, c from bg where r in (0, 35) or c in (0, 45) union select b.r, b.c from fl f join bg b on abs(f.r - b.r) + abs(f.c - b.c) = 1)"""
+FLOOD = """bg as (select "row" as r, "col" as c from raster_cells where layer = 'class' and "value" <= 4), fl(r, c) as (select r, c from bg where r in (0, (select n_rows - 1 from layout)) or c in (0, (select n_cols - 1 from layout)) union select b.r, b.c from fl f join bg b on abs(f.r - b.r) + abs(f.c - b.c) = 1)"""
 
 
 @query("edge_connected_region", f'with recursive {FLOOD} select r as "row", c as "col" from fl', ("raster_cells",))
 def q_flood(spark, sf):
     bg = raster_cells(spark, sf).filter("layer = 'class' and value <= 4")
-    return R.edge_connected(bg, 36, 46)
+    return R.edge_connected(bg, *layout(spark, sf)[:2])
 
 
 @query(
     "raster_valid_mask",
-    f"""with recursive bg as (select "row" as r, "col" as c from raster_cells where layer = 'class' and "value" = 7), fl(r, c) as (select r, c from bg where r in (0, 35) or c in (0, 45) union select b.r, b.c from fl f join bg b on abs(f.r - b.r) + abs(f.c - b.c) = 1)
+    f"""with recursive bg as (select "row" as r, "col" as c from raster_cells where layer = 'class' and "value" = 7), fl(r, c) as (select r, c from bg where r in (0, (select n_rows - 1 from layout)) or c in (0, (select n_cols - 1 from layout)) union select b.r, b.c from fl f join bg b on abs(f.r - b.r) + abs(f.c - b.c) = 1)
 select "row", "col", not (abs("value" - 3) <= 1e-6) and not exists (select 1 from fl where r = "row" and c = "col") as valid from raster_cells where layer = 'class'""",
     ("raster_cells",),
 )
 def q_valid(spark, sf):
     c = raster_cells(spark, sf).filter("layer = 'class'")
-    return raster_valid_mask(c, 3.0, [7.0], 36, 46)
+    return raster_valid_mask(c, 3.0, [7.0], *layout(spark, sf)[:2])
 
 
 def raster_valid_mask(cells, nodata, background, rows, cols):
@@ -673,11 +674,12 @@ def raster_stats(cells):
 
 @query(
     "valid_ratio",
-    """select layer, round(count("value") / (36 * 46)::double, 6) as ratio, count("value") / (36 * 46)::double < 0.2 as warn from raster_cells group by layer""",
+    """select layer, round(count("value") / (select n_rows * n_cols from layout)::double, 6) as ratio, count("value") / (select n_rows * n_cols from layout)::double < 0.2 as warn from raster_cells group by layer""",
     ("raster_cells",),
 )
 def q_vratio(spark, sf):
-    c = raster_cells(spark, sf).groupBy("layer").agg((F.count("value") / F.lit(36.0 * 46)).alias("r"))
+    size = layout(spark, sf)
+    c = raster_cells(spark, sf).groupBy("layer").agg((F.count("value") / F.lit(float(size.rows * size.cols))).alias("r"))
     return c.select("layer", r6("r", "ratio"), (F.col("r") < 0.2).alias("warn"))
 
 
@@ -690,7 +692,7 @@ select layer, state, count(*) as n from j group by 1, 2""",
 )
 def q_audit(spark, sf):
     c = raster_cells(spark, sf).withColumn("value", F.when(F.col("row") % 4 != 1, F.col("value")))
-    s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc", "class"], 0.0, TOP, RES)
+    s = R.sample_at_points(samples(spark, sf), c, ["qty", "disc", "class"], 0.0, TOP, layout(spark, sf).res)
     long = s.unpivot(["sample_id"], ["qty", "disc", "class"], "layer", "value")
     st = F.when(F.col("value").isNull(), "masked").when(F.col("value") == 0, "zero").otherwise("valid")
     return long.groupBy("layer", st.alias("state")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from loamgrid.operators import uncertainty as U
 from loamgrid.operators.neighbors import knn_join, nearest_distance, nearest_line_distance
 from loamgrid.operators.ordering import exact_quantile_scalar, running
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import grid, oof, samples, segments, table
+from loamgrid.plans.views import grid, layout, oof, samples, segments, table
 from loamgrid.session import write_and_read
 
 
@@ -30,11 +30,11 @@ def qhat_ctes(targets: str, idc: str, alpha=0.1, k=60, scale=0.6, min_bw=200.0,
 {p}qh as (select tid, min(r) as qhat from {p}cw where cum >= {1 - alpha}::double * tot group by tid)"""
 
 
-GRID_ID = '(select "row" * 46 + "col" as cell, * from grid)'
+GRID_ID = '(select "row" * (select n_cols from layout) + "col" as cell, * from grid)'
 
 
-def _grid(spark):
-    return grid(spark).withColumn("cell", F.col("row") * 46 + F.col("col"))
+def _grid(spark, sf):
+    return grid(spark, sf).withColumn("cell", (F.col("row") * layout(spark, sf).cols + F.col("col")).cast("bigint"))
 
 
 @query(
@@ -44,7 +44,7 @@ select tid as cell, rn, pid, round(d, 6) as d from nn where rn <= 60""",
     ("grid", "oof"),
 )
 def q_knn(spark, sf):
-    j = knn_join(_grid(spark), oof(spark, sf), 60, carry=["abs_residual"])
+    j = knn_join(_grid(spark, sf), oof(spark, sf), 60, carry=["abs_residual"])
     return j.select("cell", F.posexplode("neighbors").alias("pos", "n")).select(
         "cell", (F.col("pos") + 1).alias("rn"), F.col("n.id").alias("pid"), r6(F.col("n.dist"), "d")
     )
@@ -67,7 +67,7 @@ select cell, round(d, 6) as d, round(d / (select avg(d) from d where d > 0), 6)
     ("grid", "oof"),
 )
 def q_nn_geo(spark, sf):
-    return U.coord_di(_grid(spark), oof(spark, sf)).select("cell", r6("nn_dist", "d"), r6("di", "ratio"))
+    return U.coord_di(_grid(spark, sf), oof(spark, sf)).select("cell", r6("nn_dist", "d"), r6("di", "ratio"))
 
 
 @query(
@@ -160,7 +160,7 @@ select tid as cell, round(least(greatest(0.65::double * lq.q + 0.35::double * g.
     ("grid", "oof"),
 )
 def q_idw(spark, sf):
-    return U.local_qhat_idw(_grid(spark), oof(spark, sf)).select("cell", r6("half_width", "half_width"))
+    return U.local_qhat_idw(_grid(spark, sf), oof(spark, sf)).select("cell", r6("half_width", "half_width"))
 
 
 IV = f"""{qhat_ctes('oof', 'sample_id')},
@@ -262,7 +262,7 @@ CELLS = f"""cells as materialized (select g.cell, g.x, g.y, (select round(avg(y_
 
 def _cells(spark, sf):
     mean = oof(spark, sf).select(F.round(F.avg("y_true"), 6)).scalar()
-    return _grid(spark).select("cell", "x", "y").withColumn("pred", mean)
+    return _grid(spark, sf).select("cell", "x", "y").withColumn("pred", mean)
 
 
 @query(

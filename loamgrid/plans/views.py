@@ -5,19 +5,34 @@ Every view exists twice: as a DataFrame for Spark and as a CTE for the SQL check
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRID_RES = 5000.0
 GRID_TOP = 180000.0
-GRID_ROWS = 36
-GRID_COLS = 46
+#: The map's cells grow with the samples: at 500 times s * s samples a side of 5000 m is cut into s cells.
+SAMPLES_PER_STEP = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Layout(NamedTuple):
+    """Rows and columns of the map and the side of its cells in metres."""
+
+    rows: int
+    cols: int
+    res: float
+
+
+def layout(spark: SparkSession, sf_dir: str) -> Layout:
+    s = max(1, math.isqrt(table(spark, sf_dir, "part").count() // SAMPLES_PER_STEP))  # counted from the file footers
+    return Layout(36 * s, 46 * s, 5000.0 / s)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     xi = ((k * 7919) % 2400).cast("double")
@@ -52,9 +67,10 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers from one scan and one shuffle of ``lineitem``."""
     li = table(spark, sf_dir, "lineitem")
+    size = layout(spark, sf_dir)
     cells = li.groupBy(
-        (F.col("l_orderkey") % 36).cast("int").alias("row"),
-        (F.col("l_partkey") % 46).cast("int").alias("col"),
+        (F.col("l_orderkey") % size.rows).cast("int").alias("row"),
+        (F.col("l_partkey") % size.cols).cast("int").alias("col"),
     ).agg(
         F.round(F.avg("l_quantity"), 6).alias("qty"),
         F.round(F.avg("l_discount") * 100, 6).alias("disc"),
@@ -67,12 +83,13 @@ def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("layer", "row", "col", "value")
 
 
-def grid(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    r = spark.range(GRID_ROWS).select(F.col("id").cast("int").alias("row"))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = layout(spark, sf_dir)
+    r = spark.range(size.rows).select(F.col("id").cast("int").alias("row"))
     return (
-        r.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(GRID_COLS - 1))))
-        .withColumn("x", (F.col("col") * 5000 + 2500).cast("double"))
-        .withColumn("y", (F.lit(180000) - F.col("row") * 5000 - 2500).cast("double"))
+        r.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size.cols - 1))))
+        .withColumn("x", (F.col("col") + 0.5).cast("double") * size.res)
+        .withColumn("y", F.lit(GRID_TOP) - (F.col("row") + 0.5).cast("double") * size.res)
     )
 
 
@@ -135,21 +152,25 @@ from part""",
        concat('site-', cast(sample_year as varchar), '.csv') as file_name
 from samples""",
     ),
-    "raster_cells": (
+    "layout": (
         (),
-        """select 'qty' as layer, cast(l_orderkey % 36 as int) as "row", cast(l_partkey % 46 as int) as "col", round(avg(l_quantity), 6) as "value"
+        f"""select 36 * s as n_rows, 46 * s as n_cols, 5000.0::double / s as res from (select greatest(1, floor(sqrt(count(*) // {SAMPLES_PER_STEP})))::bigint as s from part)""",
+    ),
+    "raster_cells": (
+        ("layout",),
+        """select 'qty' as layer, cast(l_orderkey % (select n_rows from layout) as int) as "row", cast(l_partkey % (select n_cols from layout) as int) as "col", round(avg(l_quantity), 6) as "value"
 from lineitem group by 1, 2, 3
 union all
-select 'disc', cast(l_orderkey % 36 as int), cast(l_partkey % 46 as int), round(avg(l_discount) * 100, 6)
+select 'disc', cast(l_orderkey % (select n_rows from layout) as int), cast(l_partkey % (select n_cols from layout) as int), round(avg(l_discount) * 100, 6)
 from lineitem group by 1, 2, 3
 union all
-select 'class', cast(l_orderkey % 36 as int), cast(l_partkey % 46 as int), cast((max(l_orderkey) + max(l_partkey)) % 9 + 1 as double)
+select 'class', cast(l_orderkey % (select n_rows from layout) as int), cast(l_partkey % (select n_cols from layout) as int), cast((max(l_orderkey) + max(l_partkey)) % 9 + 1 as double)
 from lineitem group by 1, 2, 3""",
     ),
     "grid": (
-        (),
-        """select cast(r as int) as "row", cast(c as int) as "col", cast(c * 5000 + 2500 as double) as x, cast(180000 - r * 5000 - 2500 as double) as y
-from (select unnest(range(0,36)) as r) r cross join (select unnest(range(0,46)) as c) c""",
+        ("layout",),
+        """select cast(r as int) as "row", cast(c as int) as "col", (c + 0.5::double) * res as x, 180000.0::double - (r + 0.5::double) * res as y
+from (select unnest(range(0, n_rows)) as r from layout) r cross join (select unnest(range(0, n_cols)) as c from layout) c cross join layout""",
     ),
     "oof": (
         ("samples",),

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loamgrid.plans.views import CTES, grid, layout
 from tools.check import TABLES, norm
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -35,6 +37,16 @@ def test_equals_sql(spark, sf, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("n, rows", [(0, 36), (499, 36), (1999, 36), (2000, 72), (4500, 108), (20_000, 216)])
+def test_the_map_grows_with_the_samples(spark, tmp_path, n, rows):
+    spark.range(n).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    size = layout(spark, str(tmp_path))
+    assert size.rows == rows and tuple(size) == con.execute(CTES["layout"][1]).fetchone()
+    assert grid(spark, str(tmp_path)).count() == size.rows * size.cols
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert sum(r["n_cells"] for r in rows) == 36 * 46 and {r["risk"] for r in rows} <= {1, 2, 3, 4}
