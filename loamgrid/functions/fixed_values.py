@@ -170,3 +170,7 @@ PROGRESS_LATE = [
     ("完成联合寻参", 72), ("空间7:3验证完成", 75), ("空间7:3验证", 73), ("随机7:3验证完成", 77), ("随机7:3验证", 76), ("重复验证完成", 79),
     ("已训练正式出图rfk模型", 81), ("预测网格", 84), ("开始生成正式geotiff", 88), ("clean rfk 建模完成", 94), ("正式制图流程结束", 98), ("任务成功完成", 99),
 ]
+
+# Headers of the band number and of the feature name in a band table.
+BAND_HEADERS = ["band", "band_index", "index", "波段", "波段号", "band_id"]
+BAND_NAME_HEADERS = ["feature_name", "name", "feature", "variable", "covariate", "字段名", "变量名", "协变量", "band_name"]

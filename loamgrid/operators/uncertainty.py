@@ -25,6 +25,10 @@ IDW_SHRINK = 0.35
 IDW_MIN_SCALE = 0.65
 IDW_MAX_SCALE = 1.80
 
+# Most distinct values that one task orders, and the parts into which more are cut.
+ORDERED = 100_000
+RANK_PARTS = 256
+
 # The interval parameter sets that are compared.
 PARAM_SETS = (
     ("baseline", 0.10, 60, 0.6, 200.0),
@@ -95,23 +99,28 @@ def conformal_global_quantile(oof: DataFrame, alpha: float = ALPHA) -> DataFrame
 
 
 def ranked_value(df: DataFrame, value: str, rank_of) -> Column:
-    """Value at an exact rank (1-based) as a scalar: counts per hash-free value range first.
+    """Value at an exact rank (1-based; ``rank_of`` maps the number of values to it) as a scalar; NULL without values.
 
-    The approximate quantiles give 257 cut points; the rows per range are counted, the range
-    that holds the rank is found, and only its values are ordered.
+    Distinct values are counted and written once. Their range is cut into 256 parts of even size, the part that holds the
+    rank is kept, and so on until at most ``ORDERED`` distinct values are left: only those are ever ordered in one place.
     """
     v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    cuts = v.agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(257)], 10_000))).scalar()
-    binned = v.groupBy("v").agg(F.count("*").alias("m"))
-    binned = binned.withColumn("c", cuts).withColumn("b", F.size(F.filter("c", lambda e: e < F.col("v")))).drop("c")
-    sizes = binned.groupBy("b").agg(F.sum("m").alias("bm"))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most 258 rows
-    sizes = sizes.withColumn("cum", F.sum("bm").over(w)).withColumn("n", F.lit(v.select(F.count("*")).scalar()))
-    sizes = sizes.withColumn("r", rank_of(F.col("n"))).filter((F.col("cum") >= F.col("r")) & (F.col("cum") - F.col("bm") < F.col("r")))
-    inner = binned.join(F.broadcast(sizes), "b")
-    wi = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inner = inner.withColumn("pos", F.col("cum") - F.col("bm") + F.sum("m").over(wi))
-    return inner.filter(F.col("pos") >= F.col("r")).agg(F.min("v")).scalar()
+    d = write_and_read(v.groupBy("v").agg(F.count("*").alias("m")), "values")
+    k, n = d.agg(F.count("*"), F.sum("m")).first()
+    if not k:
+        return F.lit(None).cast("double")
+    rank = df.sparkSession.range(1).select(rank_of(F.lit(n)).cast("long")).first()[0]
+    while k > ORDERED:
+        cuts = d.agg(F.array_distinct(F.percentile_approx("v", [i / RANK_PARTS for i in range(RANK_PARTS + 1)], 10_000))).first()[0]
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda e: e < F.col("v")))
+        sizes = d.groupBy(part.alias("b")).agg(F.count("*").alias("k"), F.sum("m").alias("m")).orderBy("b").collect()  # RANK_PARTS + 1 rows
+        for b, k, m in sizes:
+            if m >= rank:
+                break
+            rank -= m
+        d = d.filter(part == b)
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most ORDERED rows
+    return d.withColumn("c", F.sum("m").over(w)).filter(F.col("c") >= rank).agg(F.min("v")).scalar()
 
 
 def interval_score(y: Column, lo: Column, hi: Column, alpha: float) -> Column:

@@ -10,6 +10,7 @@ from loamgrid.operators import aggregates as A
 from loamgrid.operators import raster as R
 from loamgrid.operators.ordering import exact_quantiles, global_rank, hash_rank
 from loamgrid.operators.schema import column_profile, unpivot
+from loamgrid.operators import rules
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import areas, oof, samples, table, wide
 
@@ -235,23 +236,23 @@ def temporal_composite(df, by, year, ts="ts", value="value"):
 
 @query("role_summary", "select count(*) as files, count(*) filter (p_type = 'PROMO') as promo, count(*) filter (p_type = 'SMALL') as small, count(*) filter (p_size > 25) as can_model from part")
 def q_role(spark, sf):
-    return table(spark, sf, "part").agg(F.count("*").alias("files"), F.count_if(F.col("p_type") == "PROMO").alias("promo"), F.count_if(F.col("p_type") == "SMALL").alias("small"), F.count_if(F.col("p_size") > 25).alias("can_model"))
+    return rules.role_summary(table(spark, sf, "part"), F.col("p_type"), {"promo": "PROMO", "small": "SMALL"}, F.col("p_size") > 25)
 
 
 @query("sample_rows_ready", "select p_brand, coalesce(sum(p_size) filter (p_type <> 'PROMO'), 0)::bigint as rows_ready from part group by 1")
 def q_ready(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.coalesce(F.sum(F.when(F.col("p_type") != "PROMO", F.col("p_size"))), F.lit(0)).alias("rows_ready"))
+    return rules.rows_ready(table(spark, sf, "part"), ["p_brand"], F.col("p_size"), F.col("p_type") != "PROMO")
 
 
 @query("source_status_rollup", "select event_type, user_id % 3 as grp, count(*) as n, round(sum(value), 4) as total, count(*) filter (value > 10) as big from events group by rollup (event_type, user_id % 3)")
 def q_rollup(spark, sf):
     e = table(spark, sf, "events").withColumn("grp", F.col("user_id") % 3)
-    return e.rollup("event_type", "grp").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("value") > 10).alias("big"))
+    return rules.status_rollup(e, ["event_type", "grp"], F.col("value"), F.col("value") > 10).withColumn("total", F.round("total", 4))
 
 
 @query("readiness_gate", "select p_brand, count(*) filter (p_type = 'PROMO') >= 1 and count(*) filter (p_size > 45) >= 5 as ready from part group by 1")
 def q_gate(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(((F.count_if(F.col("p_type") == "PROMO") >= 1) & (F.count_if(F.col("p_size") > 45) >= 5)).alias("ready"))
+    return rules.readiness_gate(table(spark, sf, "part"), ["p_brand"], F.col("p_type") == "PROMO", F.col("p_size") > 45, 1, 5)
 
 
 @query(

@@ -168,16 +168,22 @@ def q_granules(spark, sf):
 
 @query(
     "load_band_map",
-    "select p_partkey, 1 as band, p_name as feature, 'companion_mapping_file' as source from part union all select p_partkey, 2, p_type, 'companion_mapping_file' from part",
+    """with p as (select p_partkey, p_name, p_type, p_partkey % 6 as m, regexp_replace(p_name, '\\s+', '_', 'g') as a, regexp_replace(p_type, '\\s+', '_', 'g') as b from part)
+select p_partkey, 1 as band, case when m < 4 then a when m = 4 and p_partkey % 4 = 0 then a else 'stack_band_01' end as feature, case when m < 4 then 'companion_mapping_file' when m = 4 and p_partkey % 4 = 0 then 'band_description' else 'fallback_band_index_names' end as source from p
+union all select p_partkey, 2, case when m < 4 then b else 'stack_band_02' end, case when m < 4 then 'companion_mapping_file' when m = 4 and p_partkey % 4 = 0 then 'band_description' else 'fallback_band_index_names' end from p""",
 )
 def q_bands(spark, sf):
-    m = F.col("p_partkey") % 3
+    """Maps as a list, a mapping, names alone and a table; two files in six hold none, some of them with a description."""
+    m = F.col("p_partkey") % 6
     listed = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("band"), F.col("p_name").alias("feature_name")), F.struct(F.lit(2).alias("band"), F.col("p_type").alias("feature_name"))).alias("bands")))
     mapped = F.to_json(F.create_map(F.lit("1"), F.col("p_name"), F.lit("2"), F.col("p_type")))
     plain = F.to_json(F.array("p_name", "p_type"))
-    doc = F.when(m == 0, listed).when(m == 1, mapped).otherwise(plain)
-    p = table(spark, sf, "part").select("p_partkey", D.band_map(doc).alias("m"))
-    return p.select("p_partkey", F.inline("m")).withColumn("source", F.lit("companion_mapping_file"))
+    csv = F.concat(F.lit("Variable,Band_Index\n"), "p_type", F.lit(",2\n"), "p_name", F.lit(",1\n"))
+    doc = F.when(m == 0, listed).when(m == 1, mapped).when(m == 2, plain)
+    found = F.when(m == 3, D.band_table(csv)).otherwise(F.coalesce(D.band_map(doc), F.array().cast("array<struct<band:int,feature:string>>")))
+    p = table(spark, sf, "part").withColumn("m", found).withColumn("described", F.when((m == 4) & (F.col("p_partkey") % 4 == 0), F.array("p_name")).otherwise(F.array().cast("array<string>")))
+    named = D.band_names(p, F.lit(2), F.col("m"), F.col("described"), F.lit("stack"))
+    return named.select("p_partkey", "band", F.col("name").alias("feature"), "source")
 
 
 @query(

@@ -8,6 +8,7 @@ from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
 from loamgrid.operators import gates as G
 from loamgrid.operators import schema as S
+from loamgrid.operators import rules
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import layout, raster_cells, raw_samples, samples, table, wide
 
@@ -277,7 +278,7 @@ def q_complete(spark, sf):
 
 @query("resolution_acceptable", "select p_partkey, p_size * 10 <= 250 as ok from part")
 def q_resok(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 10 <= 250).alias("ok"))
+    return table(spark, sf, "part").select("p_partkey", rules.resolution_acceptable(F.col("p_size") * 10, F.lit(250)).alias("ok"))
 
 
 @query("valid_year", "select sample_year, count(*) as n, bool_and(sample_year - 20 between 1980 and 2035) as ok from samples group by 1", ("samples",))

@@ -8,6 +8,7 @@ from loamgrid.functions import columns as C
 from loamgrid.functions import fixed_values as V
 from loamgrid.functions import projection as P
 from loamgrid.operators import schema as S
+from loamgrid.operators import rules
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import raw_samples, raster_cells, samples, table, wide
 
@@ -277,8 +278,8 @@ def scale_offset(value, scale, offset=0.0):
     "select l_orderkey, l_linenumber, round(sin(radians(l_quantity * 7.2::double)), 6) as s, round(cos(radians(l_quantity * 7.2::double)), 6) as c from lineitem",
 )
 def q_aspect(spark, sf):
-    a = F.radians(F.col("l_quantity") * 7.2)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r6(F.sin(a), "s"), r6(F.cos(a), "c"))
+    s, c = rules.aspect_sincos(F.col("l_quantity") * 7.2)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r6(s, "s"), r6(c, "c"))
 
 
 @query("twi_proxy", "select l_orderkey, l_linenumber, round(ln(1.0::double / (tan(radians(l_quantity)) + 0.001::double)), 6) as twi from lineitem")
@@ -297,8 +298,9 @@ def twi_proxy(slope_deg):
 )
 def q_soil(spark, sf):
     q, d, t = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
+    mean, span = rules.middle_and_range(q, d)
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", r6(F.lit(100.0) - q - t, "silt"), r6((q + d) / 2, "tmean"), r6(q - d, "trange"), r6(q - t, "pr_pet")
+        "l_orderkey", "l_linenumber", r6(rules.silt(q, t), "silt"), r6(mean, "tmean"), r6(span, "trange"), r6(rules.water_balance(q, t), "pr_pet")
     )
 
 

@@ -10,6 +10,7 @@ from loamgrid.functions import fixed_values as V
 from loamgrid.operators import raster as R
 from loamgrid.operators.gazetteer import admin_name_match, alias_match
 from loamgrid.operators.ordering import exact_quantiles, global_rank
+from loamgrid.operators import rules
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import GRID_TOP, areas, grid, layout, raster_cells, samples, table
 
@@ -301,7 +302,7 @@ def q_parent(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     req = c.select("c_custkey", F.col("n_name").alias("name"), F.col("r_name").alias("parent"))
-    return areas(spark, sf).join(req, ["name", "parent"]).select("area_id", "c_custkey")
+    return rules.parent_filter_join(areas(spark, sf), req).select("area_id", "c_custkey")
 
 
 @query(
@@ -467,7 +468,7 @@ def q_rasterize(spark, sf):
 )
 def q_binary(spark, sf):
     c = raster_cells(spark, sf).filter("layer = 'class'").select("row", "col", F.when(F.col("col") < 40, F.col("value")).alias("value"))
-    m = F.when(F.col("value").isNull(), 255).when(F.rint("value") == 1, 1).otherwise(0)
+    m = rules.binary_class_mask(F.col("value"), 1)
     return grid(spark, sf).join(c, ["row", "col"], "left").groupBy(m.alias("mask")).agg(F.count("*").alias("n"))
 
 
@@ -493,8 +494,7 @@ def clip_to_region(cells, region, x0, y0, res):
     "select p_brand, p_partkey from (select *, row_number() over (partition by p_brand order by case when 2000 + p_size % 25 = 2020 then 0 else 1 end, p_partkey) as rn from part) where rn = 1",
 )
 def q_band(spark, sf):
-    miss = F.when(F.lit(2000) + F.col("p_size") % 25 == 2020, 0).otherwise(1)
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.min(F.struct(miss.alias("m"), "p_partkey")).alias("b")).select("p_brand", "b.p_partkey")
+    return rules.choose_band(table(spark, sf, "part"), ["p_brand"], "p_partkey", F.lit(2000) + F.col("p_size") % 25, 2020)
 
 
 @query(
@@ -615,16 +615,18 @@ def percentile_stretch(cells, lo=0.02, hi=0.98):
 @query("write_back_nodata", """select "row", "col", case when "value" > 25 then "value" else -9999.0::double end as v from raster_cells where layer = 'qty'""", ("raster_cells",))
 def q_nodata(spark, sf):
     c = raster_cells(spark, sf).filter("layer = 'qty'")
-    return c.select("row", "col", F.when(F.col("value") > 25, F.col("value")).otherwise(F.lit(-9999.0)).alias("v"))
+    return c.select("row", "col", rules.write_back_nodata(F.col("value"), F.col("value") > 25).alias("v"))
 
 
 @query(
     "map_extent_km",
-    "select c_nationkey, round((max(c_acctbal) - min(c_acctbal)) / 100 * 111.32::double * cos(radians(30)), 6) as width_km from customer group by 1",
+    """with w as (select c_nationkey, greatest((max(c_acctbal) - min(c_acctbal)) / 100 * 111.32::double * cos(radians(30)), 0.1) as w from customer group by 1)
+select c_nationkey, round(w, 6) as width_km, (select max(b) from (values (0.1::double), (0.2), (0.5), (1), (2), (5), (10), (20), (50), (100), (200), (500), (1000)) v(b) where b <= w * 0.2::double or b = 0.1) as scale_km from w""",
 )
 def q_extent(spark, sf):
-    b = table(spark, sf, "customer").groupBy("c_nationkey").agg((F.max("c_acctbal") - F.min("c_acctbal")).alias("w"))
-    return b.select("c_nationkey", r6(F.col("w") / 100 * 111.32 * F.cos(F.radians(F.lit(30))), "width_km"))
+    b = table(spark, sf, "customer").groupBy("c_nationkey").agg((F.min("c_acctbal") / 100).alias("west"), (F.max("c_acctbal") / 100).alias("east"))
+    b = b.withColumn("w", rules.map_width_km(F.col("west"), F.lit(20.0), F.col("east"), F.lit(40.0)))
+    return b.select("c_nationkey", r6(F.col("w"), "width_km"), rules.scale_bar_km(F.col("w")).alias("scale_km"))
 
 
 @query(
@@ -657,7 +659,7 @@ def block_fraction(cells, k, cls, least=0.05):
 
 @query("downsample_stride", """select layer, "row", "col", "value" from raster_cells where "row" % 3 = 0 and "col" % 3 = 0""", ("raster_cells",))
 def q_stride(spark, sf):
-    return raster_cells(spark, sf).filter("row % 3 = 0 and col % 3 = 0")
+    return rules.downsample_stride(raster_cells(spark, sf), 3)
 
 
 @query("raster_stats", """select layer, count("value") as n, min("value") as mn, max("value") as mx, round(avg("value"), 6) as mean, round(stddev_pop("value"), 6) as std from raster_cells group by layer""", ("raster_cells",))

@@ -11,6 +11,7 @@ from loamgrid.functions import text as X
 from loamgrid.operators.aggregates import last_n
 from loamgrid.operators.ordering import running
 from loamgrid.operators.chat import conversation_summary, conversation_title, dedupe_recent
+from loamgrid.operators import rules
 from loamgrid.plans.registry import query
 from loamgrid.plans.views import table
 
@@ -225,9 +226,8 @@ def q_scales(spark, sf):
     "select p_type, p_partkey, score from (select p_type, p_partkey, 100 - p_size + case when contains(p_name, 'bolt') then 50 else 0 end + case when p_brand = 'Brand#7' then 100 else 0 end as score, row_number() over (partition by p_type order by 100 - p_size + case when contains(p_name, 'bolt') then 50 else 0 end + case when p_brand = 'Brand#7' then 100 else 0 end desc, p_partkey) as rn from part) where rn = 1",
 )
 def q_product(spark, sf):
-    score = 100 - F.col("p_size") + F.when(F.contains("p_name", F.lit("bolt")), 50).otherwise(0) + F.when(F.col("p_brand") == "Brand#7", 100).otherwise(0)
-    b = table(spark, sf, "part").groupBy("p_type").agg(F.min(F.struct((-score).alias("neg"), "p_partkey")).alias("b"))
-    return b.select("p_type", "b.p_partkey", (-F.col("b.neg")).alias("score"))
+    score = rules.product_score(F.col("p_size"), (F.contains("p_name", F.lit("bolt")), 50), (F.col("p_brand") == "Brand#7", 100))
+    return rules.best_product(table(spark, sf, "part"), ["p_type"], score, "p_partkey")
 
 
 # ---------------------------------------------------------------- pages

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.functions import fixed_values as V
 from loamgrid.operators.raster import edges_of_ring
 
 OVERPASS = "elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>>>"
@@ -55,6 +56,24 @@ def band_map(text: Column) -> Column:
     return F.filter(out, lambda b: (b["band"] >= 1) & (b["feature"] != ""))
 
 
+def band_table(text: Column) -> Column:
+    """The same from a delimited table: a band and a name column found by their headers, or a single column of names.
+
+    Empty lines do not count; rows without a number above 0 or without a name go; a table without these columns is empty.
+    """
+    lines = F.filter(F.split(F.regexp_replace(text, "^\ufeff", ""), r"\r\n|\r|\n"), lambda l: F.trim(l) != "")
+    cells = F.transform(lines, lambda l: F.transform(F.split(l, ","), lambda c: F.trim(c)))
+    head = F.transform(F.get(cells, F.lit(0)), lambda c: F.lower(c))
+    at = lambda names: F.get(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(head, n)), lambda i: i > 0), F.lit(0)).cast("int") - 1
+    band, name = at(V.BAND_HEADERS), at(V.BAND_NAME_HEADERS)
+    rows = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
+    table = F.transform(rows, lambda r: F.struct(F.get(r, band).try_cast("int").alias("band"), F.get(r, name).alias("feature")))
+    single = F.transform(rows, lambda r, i: F.struct((i + 1).alias("band"), F.get(r, F.lit(0)).alias("feature")))
+    empty = F.array().cast("array<struct<band:int,feature:string>>")
+    out = F.when(band.isNotNull() & name.isNotNull(), table).when(F.size(head) == 1, single).otherwise(empty)
+    return F.when(text.isNotNull(), F.filter(F.coalesce(out, empty), lambda b: (b["band"] >= 1) & (b["feature"] != "")))
+
+
 def band_names(df: DataFrame, count: Column, mapped: Column, described: Column, stem: Column) -> DataFrame:
     """Name of every band: companion map, else descriptions, else stem and number; and where they came from."""
     src = F.when(F.size(mapped) > 0, "companion_mapping_file").when(F.exists(described, lambda d: F.trim(d) != ""), "band_description").otherwise("fallback_band_index_names")
