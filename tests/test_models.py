@@ -189,3 +189,14 @@ def test_tuning_locks_and_stops(spark, sf):
     assert len(got) == 16 and sum(r["best"] for r in got) == 1 and sum(r["kriged"] for r in got) == 1
     few = M.tune(t, "som", ["c_size", "c_cyc"], "block", [{"rf": {**c["rf"], "trees": 5}} for c in free], [1, 2], goal_r2=-9.0, wave=4).collect()
     assert len(few) == 4
+
+
+def test_large_map_is_not_broadcast(spark, monkeypatch, sf):
+    """The planner knows the size of the map's table."""
+    from loamgrid.plans import views
+
+    monkeypatch.setattr(views, "layout", lambda *_: views.Layout(1728, 2208, 5000 / 48))
+    g = views.grid(spark, sf)
+    assert int(str(g._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 10 << 20
+    plan = g.join(spark.range(1 << 30).select(F.col("id").alias("row"), F.col("id").alias("v")), "row")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
