@@ -200,3 +200,28 @@ def test_large_map_is_not_broadcast(spark, monkeypatch, sf):
     assert int(str(g._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 10 << 20
     plan = g.join(spark.range(1 << 30).select(F.col("id").alias("row"), F.col("id").alias("v")), "row")
     assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pair_statistics_of_many_tiles(spark, monkeypatch):
+    """Blocks, tiles and nodes against all pairs, with places that repeat and values that are missing."""
+    g = np.random.default_rng(8)
+    p = np.column_stack([g.uniform(0, 2e5, 3000), g.uniform(0, 1e5, 3000), g.normal(50, 3, 3000)])
+    p[:300, :2] = p[0, :2]
+    i, j = np.triu_indices(len(p), 1)
+    d, v = np.hypot(p[i, 0] - p[j, 0], p[i, 1] - p[j, 1]), 0.5 * (p[i, 2] - p[j, 2]) ** 2
+    monkeypatch.setattr(K, "BLOCK_LEAST", 700)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 200)
+    looked = [0]
+    near = K._dist
+    monkeypatch.setattr(K, "_dist", lambda a, b, x, y: (looked.__setitem__(0, looked[0] + len(x) * a.x.shape[1] * b.x.shape[1]), near(a, b, x, y))[1])
+    t = K._Tiles(p, 50.0)
+    lo, hi = K._pair_range(t, t, True)
+    assert lo == 0.0 and abs(hi - d.max()) < 1e-9 and looked[0] < len(d) / 4
+    df = spark.createDataFrame([(n, *map(float, r)) for n, r in enumerate(p)] + [(9000, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    for got, cls in ((K.variogram_bins(df, 6).collect(), np.minimum(d // (d.max() / 6), 5)), (K.lag_pairs(df, 2000.0, 20000.0).collect(), np.where(d < 20000, d // 2000, -1))):
+        assert sorted(r["lag"] for r in got) == sorted(set(cls.astype(int)) - {-1})
+        for r in got:
+            at = cls == r["lag"]
+            assert r["pairs"] == at.sum() and abs(r["mean_dist"] / d[at].mean() - 1) < 1e-11 and abs(r["gamma"] / v[at].mean() - 1) < 1e-11
+    gone = K.variogram_bins(df.withColumn("z", F.when(F.col("id") != 7, F.col("z"))), 6).collect()
+    assert sum(r["pairs"] for r in gone) == len(d)
