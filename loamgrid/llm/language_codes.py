@@ -179,14 +179,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text shows a language: rejected are ``und`` texts only; ambiguous ones stay.
+    """The rows of ``docs`` whose text shows a language: rejected are ``und`` texts and those whose decoding is ambiguous.
 
-    The codes are fitted on all labelled rows; the label ``und`` names no language. So what is rejected is exactly
-    what has no letter, also where there is no labelled row at all.
+    The codes are fitted on all labelled rows; the label ``und`` names no language. With fewer than two languages there
+    is nothing to decide between, and only texts without a letter are rejected, also where there is no labelled row at all.
     """
     model = fit(docs.where(F.col(f"`{lang}`").cast("string") != UNKNOWN), lang, text)
     if not model.languages:
         # Any name will do for the one language that texts with a letter then have.
         model = replace(model, languages=("any",))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__t"))
-    return identify(row, model, ["__row"], "__t").where(F.col("lang_pred") != UNKNOWN).select("__row.*")
+    return identify(row, model, ["__row"], "__t").where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("__row.*")

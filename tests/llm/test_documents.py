@@ -88,6 +88,12 @@ def test_language_stage_keeps_texts_when_no_language_is_known(spark):
             assert in_order(language_codes.keep_known(docs).collect(), "doc_id") == [(shift,), (shift + 1,)]
 
 
+def test_language_stage_drops_what_the_codes_cannot_tell(spark):
+    rows = [(0, "abcabcabc" * 9, "a", "s", 1), (1, "xyzxyzxyz" * 9, "b", "s", 1), (2, "abcabcabc" * 9 + "xyzxyzxyz" * 9, None, "s", 1), (3, "12", None, "s", 1)]
+    kept = language_codes.keep_known(frame(spark, rows)).collect()
+    assert in_order(kept, "doc_id") == [(0,), (1,)]
+
+
 def test_language_of_a_text_does_not_hang_on_its_neighbours(spark):
     assert language_codes.inside(np.array([0, 0, 1, 3, 3, 7])).tolist() == [False] * 5 + [True] * 2
     r = np.random.default_rng(4)
