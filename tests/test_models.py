@@ -191,17 +191,6 @@ def test_tuning_locks_and_stops(spark, sf):
     assert len(few) == 4
 
 
-def test_large_map_is_not_broadcast(spark, monkeypatch, sf):
-    """The planner knows the size of the map's table."""
-    from loamgrid.plans import views
-
-    monkeypatch.setattr(views, "layout", lambda *_: views.Layout(1728, 2208, 5000 / 48))
-    g = views.grid(spark, sf)
-    assert int(str(g._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 10 << 20
-    plan = g.join(spark.range(1 << 30).select(F.col("id").alias("row"), F.col("id").alias("v")), "row")
-    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
-
-
 def test_pair_statistics_of_many_tiles(spark, monkeypatch):
     """Blocks, tiles and nodes against all pairs, with places that repeat and values that are missing."""
     g = np.random.default_rng(8)
@@ -225,3 +214,23 @@ def test_pair_statistics_of_many_tiles(spark, monkeypatch):
             assert r["pairs"] == at.sum() and abs(r["mean_dist"] / d[at].mean() - 1) < 1e-11 and abs(r["gamma"] / v[at].mean() - 1) < 1e-11
     gone = K.variogram_bins(df.withColumn("z", F.when(F.col("id") != 7, F.col("z"))), 6).collect()
     assert sum(r["pairs"] for r in gone) == len(d)
+
+
+def test_scores_in_gathered_batches(monkeypatch):
+    """Trees are read once for many batches; rows keep their order."""
+    from loamgrid.operators import forest
+
+    monkeypatch.setattr(forest, "GATHER", 10)
+    parts = list(forest._gathered(np.full((4, 1), i) for i in range(7)))
+    assert [len(p) for p in parts] == [3, 3, 1] and [int(x[0, 0]) for p in parts for x in p] == list(range(7))
+
+
+def test_large_map_is_not_broadcast(spark, monkeypatch, sf):
+    """The planner knows the size of the map's table."""
+    from loamgrid.plans import views
+
+    monkeypatch.setattr(views, "layout", lambda *_: views.Layout(1728, 2208, 5000 / 48))
+    g = views.grid(spark, sf)
+    assert int(str(g._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 10 << 20
+    plan = g.join(spark.range(1 << 30).select(F.col("id").alias("row"), F.col("id").alias("v")), "row")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
