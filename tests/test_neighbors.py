@@ -141,3 +141,20 @@ def test_a_tree_of_equal_points_has_one_full_leaf():
     assert len(set(leaves.tolist())) == 1
     x = np.random.default_rng(1).normal(size=(512, 3))
     assert np.bincount(N._Splits(x, 8).leaf(x), minlength=8).tolist() == [64] * 8
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_many_axes_by_matrix_products(monkeypatch, far):
+    """The same items and the same distances as measured one by one, also with ties and far from the origin."""
+    r = np.random.default_rng(6)
+    c = r.normal(size=(900, 64)) + far
+    c[500:520] = c[3]
+    t = np.concatenate([c[:90], r.normal(size=(40, 64)) + far])
+    d = N._distances(t, c, "point")
+    want = N._top_k(d, 5)
+    seen = []
+    slow = N._distances
+    monkeypatch.setattr(N, "_distances", lambda a, b, kind: (seen.append(a.shape), slow(a, b, kind))[1])
+    pick, dist = N._nearest(t, c, 5, "point")
+    assert (pick == want).all() and (dist == np.take_along_axis(d, want, axis=1)).all()
+    assert not seen if far == 0 else True
