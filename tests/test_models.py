@@ -198,7 +198,7 @@ def test_pair_statistics_of_many_tiles(spark, monkeypatch):
     p[:300, :2] = p[0, :2]
     i, j = np.triu_indices(len(p), 1)
     d, v = np.hypot(p[i, 0] - p[j, 0], p[i, 1] - p[j, 1]), 0.5 * (p[i, 2] - p[j, 2]) ** 2
-    monkeypatch.setattr(K, "BLOCK_LEAST", 700)
+    monkeypatch.setattr(K, "UNIT", 700)
     monkeypatch.setattr(K, "BLOCK_ROWS", 200)
     looked = [0]
     near = K._dist
