@@ -216,6 +216,20 @@ def test_pair_statistics_of_many_tiles(spark, monkeypatch):
     assert sum(r["pairs"] for r in gone) == len(d)
 
 
+def test_pairs_of_one_class_are_halved_no_further(monkeypatch):
+    """Two far blocks in one class are one pair of tiles, however many points they have."""
+    g = np.random.default_rng(3)
+    blocks = [np.column_stack([g.uniform(0, 100, 4096) + x, g.uniform(0, 100, 4096), g.normal(size=4096)]) for x in (0.0, 5000.0)]
+    d = np.hypot(blocks[0][:, 0, None] - blocks[1][:, 0], blocks[0][:, 1, None] - blocks[1][:, 1])
+    v = 0.5 * (blocks[0][:, 2, None] - blocks[1][:, 2]) ** 2
+    a, b = (K._Tiles(p, 0.0) for p in blocks)
+    seen, count = [0], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *w: (seen.__setitem__(0, seen[0] + len(x)), count(x, *w))[1])
+    got = K._pair_stats(a, b, np.array([0.0, 1000.0, 20000.0]) + [0, 0, 0.001], False)
+    assert seen[0] < 100 and got[0].tolist() == [0, d.size]
+    assert abs(got[1][1] / d.sum() - 1) < 1e-11 and abs(got[2][1] / v.sum() - 1) < 1e-11
+
+
 def test_scores_in_gathered_batches(monkeypatch):
     """Trees are read once for many batches; rows keep their order."""
     from loamgrid.operators import forest
