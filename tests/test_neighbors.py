@@ -74,6 +74,31 @@ def test_lines(spark, monkeypatch, limit):
         assert abs(got[i] - best) < 1e-9
 
 
+@pytest.mark.parametrize("rows", [16, 1 << 16])
+def test_items_are_gathered_for_chunks_of_targets(spark, monkeypatch, rows):
+    """No neighbour lists are merged where the items of a chunk are little data; rows without a place stay, equal rows too."""
+    monkeypatch.setattr(N, "UNIT_ROWS", 60)
+    monkeypatch.setattr(N, "CHUNK_ROWS", rows)
+    t, p = cloud(2_000, 1, 0.05), cloud(1_500, 2, 0.1)
+    df = spark.createDataFrame(pd.concat([t, t[:9]], ignore_index=True)).withColumn("x", F.when(F.col("sample_id") != 500, F.col("x")))
+    with monkeypatch.context() as m:
+        m.setattr(N, "_paired", lambda *a: pytest.fail("lists are merged"))
+        j = N.knn_join(df, spark.createDataFrame(p), 60, carry=["v"], broadcast_rows=0)
+    got = [(r["sample_id"], [(round(n["dist"], 9), n["id"]) for n in r["neighbors"]]) for r in j.collect()]
+    want = dict(enumerate(brute(t, p, 60))) | {500: []}
+    assert len(got) == 2_009 and {i for i, _ in got} == set(range(2_000))
+    assert all(n == want[i] for i, n in got)
+    far = N.nearest_distance(df.withColumn("x", F.col("x") + 1e6), spark.createDataFrame(p), self_id="sample_id", broadcast_rows=0)
+    assert far.filter("dist > 9e5").count() == 2_008 and far.filter("dist is null").count() == 1
+
+
+def test_chunks_keep_columns_that_are_never_null(spark, monkeypatch):
+    monkeypatch.setattr(N, "UNIT_ROWS", 60)
+    t, p = spark.createDataFrame(cloud(500, 1)), spark.createDataFrame(cloud(600, 2))
+    j = N.nearest_distance(t.withColumn("zw", F.array(F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0)))), p, target_coords=F.col("zw"), broadcast_rows=0)
+    assert j.filter("zw[0] = x and dist >= 0").count() == 500
+
+
 def test_fewer_items_than_k(spark):
     t, p = cloud(5, 1), cloud(3, 2)
     j = N.knn_join(spark.createDataFrame(t), spark.createDataFrame(p), 10)
