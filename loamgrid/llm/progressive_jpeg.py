@@ -8,6 +8,9 @@ numpy, chroma is brought to full resolution and RGB comes out as one tensor.
 coefficient: byte ``b`` becomes coefficient ``256 + b`` at its place in zigzag order, 64 bytes to a block, four blocks
 of luma to one of each chroma. Direct terms come in two scans, the rest in two spectral bands and two refinements.
 
+``features`` stores the tensors as a column and computes features from what it reads back. Tensors are larger than the
+pictures (two bytes for each byte of payload before compression), so they are stored for a slice of the files at a time.
+
 Symbols are decoded one by one, but for two kinds of stretch that numpy reads at once: scans that consist of one
 symbol throughout, and correction bits inside end-of-band runs. Any file may hold them; stored payloads are made of them.
 
@@ -22,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm.arrays import pieces
-from loamgrid.llm.tables import settle
+from loamgrid.llm.tables import release, settle, slices
 
 
 def _zigzag() -> np.ndarray:
@@ -386,6 +390,11 @@ def feature(rgb: np.ndarray) -> str:
 
 # --- media columns
 
+#: Slices whose tensors are stored one after another, and rows of a stored file, of which slices are made.
+SLICES, FILE_ROWS = 16, 1 << 11
+_DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+_DIGEST_SQL = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+
 
 def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes and ``media``, written to the shared folder and read back."""
@@ -397,38 +406,54 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offs)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
-    return settle(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary"), "media")
+    return settle(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary"), "media", file_rows=FILE_ROWS)
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def tensors(media: DataFrame, column: str = "media") -> DataFrame:
-    """Every picture as ``height``, ``width`` and ``rgb`` (bytes of the full-resolution tensor) beside its id."""
+    """Every picture as ``height``, ``width`` and ``rgb`` (bytes of the full-resolution tensor) beside the other columns, with
+    digests of the payload that it holds and of its file."""
+    keep = [c for c in media.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"height": pa.int32(), "width": pa.int32(), "rgb": pa.binary(), **_DIGESTS}
         for batch in batches:
-            for rows, buf, offs in pieces(batch, "media"):
-                for r in range(rows.num_rows):
-                    x = Picture(bytes(buf[offs[r] : offs[r + 1]])).rgb()
-                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(r, 1), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
+            for rows, buf, offs in pieces(batch, column):
+                out = []
+                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                    data = bytes(buf[a:b])
+                    pic = Picture(data)
+                    back, x = payload_of(pic), pic.rgb()
+                    out.append((x.shape[0], x.shape[1], x.tobytes(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(zip(*out), kinds.values()))], [*keep, *kinds])
 
-    src = media.select("doc_id", F.col(column).alias("media"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, height int, width int, rgb binary")
+    return media.select(*keep, column).mapInArrow(run, f"{_types(media, keep)}, height int, width int, rgb binary, {_DIGEST_SQL}")
 
 
-def features(media: DataFrame) -> DataFrame:
-    """What is read back from each stored picture, and a feature of its tensor."""
+def means(pictures: DataFrame) -> DataFrame:
+    """The feature of every stored tensor in its place, beside the other columns."""
+    keep = [c for c in pictures.columns if c not in ("height", "width", "rgb")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for rows, buf, offs in pieces(batch, "media"):
-                out = []
-                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                    data = bytes(buf[a:b])
-                    pic = Picture(data)
-                    back = payload_of(pic)
-                    out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(pic.rgb())))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_bytes", *names])
+            sizes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"))
+            found = [feature(np.frombuffer(x.as_buffer(), np.uint8).reshape(h, w, 3)) for h, w, x in sizes]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "feature"])
+
+    return pictures.mapInArrow(run, f"{_types(pictures, keep)}, feature string")
 
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+
+def features(media: DataFrame) -> DataFrame:
+    """What is read back from each stored picture, and a feature of its stored tensor.
+
+    The tensors of a slice are written, read back and deleted before the next slice.
+    """
+    out = []
+    for part in slices(media, SLICES):
+        pictures = settle(tensors(part), "tensors")
+        out.append(settle(means(pictures), "features"))
+        release(pictures)
+    return reduce(DataFrame.unionByName, out)

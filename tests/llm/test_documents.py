@@ -298,6 +298,26 @@ def test_media(spark, docs, none):
     assert progressive_jpeg.features(progressive_jpeg.store(none)).count() == 0
 
 
+def test_features_come_from_stored_tensors(spark, docs, monkeypatch):
+    want = sorted(map(tuple, progressive_jpeg.features(progressive_jpeg.store(docs)).collect()), key=repr)
+    pictures, settle = [], progressive_jpeg.settle
+
+    def spy(df, name, **kw):
+        out = settle(df, name, **kw)
+        if name == "tensors":
+            pictures.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(progressive_jpeg, "settle", spy)
+    monkeypatch.setattr(progressive_jpeg, "FILE_ROWS", 2)
+    monkeypatch.setattr(progressive_jpeg, "SLICES", 3)
+    stored = progressive_jpeg.store(docs)
+    assert sorted(map(tuple, progressive_jpeg.features(stored).collect()), key=repr) == want
+    shapes = [(p["doc_id"], p["rgb"]) for p in pictures]
+    files = [(r["doc_id"], progressive_jpeg.Picture(bytes(r["media"])).rgb().tobytes()) for r in stored.collect()]
+    assert sorted(shapes, key=repr) == sorted(files, key=repr) and len(shapes) == len(ROWS)
+
+
 def test_sentence_pieces(spark, docs, none):
     import sentencepiece
 
