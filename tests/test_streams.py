@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loamgrid.session import scratch_path
@@ -59,3 +60,25 @@ def test_batch_stall(spark):
     df = spark.createDataFrame([(1, at(0)), (2, at(55))], "task long, ts timestamp")
     got = E.stalled_tasks(df, F.lit(at(60)).cast("timestamp"), "30 minutes").collect()
     assert [r["task"] for r in got] == [1]
+
+
+def test_runs_of_a_bucket_are_one_value():
+    runs = E._runs(["a", None, "b", "a", None, "a"], [0, 5, 50, 20, 9, 90], [10, 6, 60, 45, 9, 95])
+    got = E.join_task_runs(runs, 15)
+    assert sorted(map(tuple, got.itertuples(index=False)), key=repr) == sorted([("a", 0, 45), (None, 5, 9), ("b", 50, 60), ("a", 90, 95)], key=repr)
+
+    class Store:
+        value, timers = None, set()
+        exists, get, update, clear = (lambda s: s.value is not None), (lambda s: s.value), (lambda s, v: setattr(s, "value", v)), (lambda s: setattr(s, "value", None))
+        getValueState, registerTimer, deleteTimer = (lambda s, *a: s), (lambda s, t: s.timers.add(t)), (lambda s, t: s.timers.remove(t))
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda s: s.now
+
+    store, timer = Store(), E.StallTimer(10)
+    timer.init(store)
+    lines = pd.DataFrame({"task": ["a", "b", "b"], "us": [1_000_000, 2_000_000, 2_009_000]})
+    assert list(timer.handleInputRows((0,), iter([lines]), None)) == [] and store.timers == {1010}
+    store.timers, store.now = set(), 1010  # it has gone off
+    assert pd.concat(timer.handleExpiredTimer((0,), store, store)).values.tolist() == [["a", 1_000_000]] and store.timers == {2019}
+    store.timers, store.now = set(), 2019
+    assert pd.concat(timer.handleExpiredTimer((0,), store, store)).values.tolist() == [["b", 2_009_000]]
+    assert store.value is None and not store.timers
