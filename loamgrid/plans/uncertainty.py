@@ -8,7 +8,7 @@ from loamgrid.operators import uncertainty as U
 from loamgrid.operators.neighbors import knn_join, nearest_distance, nearest_line_distance
 from loamgrid.operators.ordering import exact_quantile_scalar, running
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import grid, layout, oof, samples, segments, table
+from loamgrid.plans.views import grid, layout, oof, samples, segments, spread, table
 from loamgrid.session import write_and_read
 
 
@@ -79,7 +79,7 @@ select sample_id, round(min(sqrt((x - (x1 + t * dx)) * (x - (x1 + t * dx)) + (y
     ("samples", "segments"),
 )
 def q_line(spark, sf):
-    return nearest_line_distance(samples(spark, sf), segments(spark, sf)).select("sample_id", r6("dist", "dist"))
+    return nearest_line_distance(spread(samples(spark, sf)), segments(spark, sf)).select("sample_id", r6("dist", "dist"))
 
 
 FEATURE_NN = """with d as (select a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as d

@@ -183,3 +183,23 @@ def test_many_axes_by_matrix_products(monkeypatch, far):
     pick, dist = N._nearest(t, c, 5, "point")
     assert (pick == want).all() and (dist == np.take_along_axis(d, want, axis=1)).all()
     assert not seen if far == 0 else True
+
+
+def test_long_segments_do_not_widen_the_tiles_of_short_ones():
+    r = np.random.default_rng(12)
+    a = r.uniform(0, 200_000, (20_000, 2))
+    far, long, axis = r.uniform(-2000, 2000, (20_000, 2)), np.flatnonzero(r.random(20_000) < 0.1), r.integers(0, 2, 20_000)
+    far[long, axis[long]] = r.uniform(-200_000, 200_000, len(long))
+    c, t = np.column_stack([a, a + far]), r.uniform(0, 200_000, (4000, 2))
+    ix = N._Index(c, np.arange(len(c)), np.empty((len(c), 0)), "segment")
+    for n, (rows, d, items) in enumerate(ix.search(t, 3)):
+        if n < 3:
+            assert np.array_equal(np.sort(N._distances(t[rows], c, "segment"), axis=1)[:, :3], d)
+    assert ix.searched / (n + 1) < 0.35 * len(ix.starts)
+
+
+def test_targets_of_one_file_are_dealt_to_many_tasks(spark, sf):
+    import __spark_entry__ as e
+
+    for name in ("nearest_line_distance", "request_spec"):
+        assert e.queries()[name](spark, sf).select(F.spark_partition_id()).distinct().count() > 4
