@@ -13,7 +13,7 @@ from loamgrid.operators.ordering import running
 from loamgrid.operators.chat import conversation_summary, conversation_title, dedupe_recent
 from loamgrid.operators import rules
 from loamgrid.plans.registry import query
-from loamgrid.plans.views import table
+from loamgrid.plans.views import spread, table
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
@@ -51,7 +51,7 @@ def requests(spark, sf):
         cols.append(F.get(arr, idx))
     size = F.col("p_size")
     tail = F.concat(F.lit("，n_estimators="), (size * 100).cast("string"), F.lit(" 最大深度"), size.cast("string"))
-    return table(spark, sf, "part").select(k, size, F.concat(*cols, tail).alias("t"))
+    return spread(table(spark, sf, "part").select(k, size)).select(k, size, F.concat(*cols, tail).alias("t"))
 
 
 def _pick(sel: str, vals: list[str]) -> str:
