@@ -12,6 +12,8 @@ from loamgrid.functions import fixed_values as V
 from loamgrid.session import write_and_read
 
 PROBE_ROWS = 200
+#: Characters of a line that the probe scores: read with a foreign line end, a whole file is one line.
+PROBE_CHARS = 1 << 18
 # Names of the encodings as the JVM knows them; the byte-order-marked form is read as plain UTF-8.
 JVM_NAME = {"utf-8-sig": "UTF-8", "cp936": "GBK", "cp950": "Big5", "latin1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
 
@@ -79,7 +81,7 @@ def probe_candidates(spark: SparkSession, path: str) -> DataFrame:
     lines = None
     for e in dict.fromkeys(V.ENCODING_ALIAS.get(e, e) for e in V.ENCODINGS):
         raw = spark.read.options(quote="", **csv_options(e, "\u0001")).schema("line string").csv(path).limit(PROBE_ROWS + 1)
-        part = raw.select(F.lit(e).alias("encoding"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("line", "^﻿", "").alias("line"))
+        part = raw.select(F.lit(e).alias("encoding"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace(F.left("line", F.lit(PROBE_CHARS)), "^﻿", "").alias("line"))
         lines = part if lines is None else lines.unionByName(part)
     lines = write_and_read(lines, "csv-probe")  # at most 201 lines per encoding, scanned once
     by_sep = lines.select("*", F.explode(F.array(*[F.lit(s) for s in V.SEPARATORS])).alias("sep"))

@@ -58,3 +58,15 @@ def test_sessions_over_several_triggers(spark):
     got = E.session_expiry(src, gap="30 minutes", late="1 day")
     E.write_stream(got, out, ck, "parquet", "append").awaitTermination()
     assert spark.read.schema(got.schema).parquet(out).filter("user_id >= 0").agg(F.sum("beats")).first()[0] == 600
+
+
+def test_a_file_without_line_ends_in_an_encoding_is_no_line_of_its_length(spark, monkeypatch):
+    monkeypatch.setattr(S, "PROBE_CHARS", 400)
+    path = scratch_path(spark, "probe-gbk")
+    S.allow_all_charsets(spark)
+    rows = spark.range(3000).select(F.col("id").alias("点号"), (F.col("id") % 90).alias("经度"), (F.col("id") % 40).alias("纬度"), F.lit("7 g/kg").alias("有机质"))
+    rows.coalesce(1).write.csv(path, header=True, sep=";", encoding="GBK")
+    cols = S.probe_candidates(spark, path).select("encoding", F.length(F.concat_ws("", "cols")).alias("n")).collect()
+    assert len(cols) > 20 and max(r["n"] for r in cols) <= 400
+    df, enc, sep = S.scan_csv_best(spark, path)
+    assert (df.count(), enc, sep) == (3000, "gb18030", ";")
