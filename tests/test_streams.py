@@ -82,3 +82,19 @@ def test_runs_of_a_bucket_are_one_value():
     store.timers, store.now = set(), 2019
     assert pd.concat(timer.handleExpiredTimer((0,), store, store)).values.tolist() == [["b", 2_009_000]]
     assert store.value is None and not store.timers
+
+
+def test_null_tasks_take_no_stall_of_others(spark):
+    lines = [(t if t % 7 else None, (t * 37 + k * k * 13) % 3000) for t in range(400) for k in range(6)]
+    want = set()
+    for task in {t for t, _ in lines}:
+        mine = sorted({m for t, m in lines if t == task})
+        want |= {(task, a) for a, b in zip(mine, [*mine[1:], 10**9]) if b - a >= 30}
+    src, path, schema = source(spark, [(t, at(m), "") for t, m in lines])
+    ck, out = scratch_path(spark, "ck"), scratch_path(spark, "out")
+    with E.with_rocksdb(spark):
+        E.write_stream(E.stalled_stream(src, 30 * 60_000, "1 minute"), out, ck, "parquet").awaitTermination()
+        spark.createDataFrame([(9, at(9000), "")], schema).coalesce(1).write.mode("append").parquet(path)
+        E.write_stream(E.stalled_stream(src, 30 * 60_000, "1 minute"), out, ck, "parquet").awaitTermination()
+    rows = spark.read.schema("task long, last_seen timestamp").parquet(out).collect()
+    assert sorted([(r["task"], r["last_seen"]) for r in rows], key=str) == sorted([(t, at(m)) for t, m in want], key=str)
