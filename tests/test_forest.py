@@ -124,3 +124,53 @@ def test_forests_of_nothing(spark):
     df = spark.createDataFrame(table(10)).withColumn("y", F.lit(None).cast("double"))
     got = T.fit_forests(T.pack(df, F.col("id"), F.col("y"), cols()), 3, [{"trees": 4}])
     assert [r["trend"] for r in got.predict(df, cols()).collect()] == [None] * 10
+
+
+def test_trees_for_all_cores_are_grown_without_a_shuffle(spark, monkeypatch):
+    p = table(1500, 5)
+    df = spark.createDataFrame(p).repartition(4)
+    rows, spec = T.pack(df, F.col("id"), F.col("y"), cols()), {"trees": 40, "depth": 9, "leaf": 2, "split": 5, "share": "1.0"}
+    plans, rest = [], T._grow_rest
+
+    def seen(*args):
+        made = rest(*args)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(T, "_grow_rest", seen), monkeypatch.setattr(T, "SLAB", 400), monkeypatch.setattr(T, "SHELF", 200)
+    trend = lambda: T.fit_forests(rows, 3, [spec], local=100).predict(df, cols()).select("id", "trend").toPandas().sort_values("id").trend
+    want = trend()  # few chunks: histograms and nodes are sent
+    monkeypatch.setattr(T, "CHUNK", 1)
+    assert np.allclose(trend(), want)
+    assert "Exchange" in plans[0] and "Exchange" not in plans[1]
+
+
+def test_test_rows_only_are_scored(spark):
+    p = table(300, 2)
+    p["test"] = (p.id % 2) + 2 * (p.id % 3 == 0)
+    df = spark.createDataFrame(p)
+    got = T.fit_forests(T.pack(df, F.col("id"), F.col("y"), cols(), test=F.col("test")), 3, [{"trees": 3, "fold": 0}, {"trees": 3, "fold": 1}])
+    every, held = (got.scores(df, F.col("id"), cols(), F.col("test"), h).toPandas().sort_values(["spec", "key"]).reset_index(drop=True) for h in (False, True))
+    assert len(every) == 600 and held.held.all() and held.equals(every[every.held].reset_index(drop=True))
+
+
+def test_rows_numbered_anew_give_the_same_trees(monkeypatch):
+    p = table(3000, 9)
+    x, y = p[["a", "b", "c"]].to_numpy(), p.y.to_numpy()
+    x[:, 1] = np.arange(3000)
+    for share in ("1.0", "sqrt"):
+        trees = []
+        for levels in ((), range(60), T.RENEW):
+            monkeypatch.setattr(T, "RENEW", frozenset(levels))
+            trees.append(T.grow(x, y, p.w.to_numpy(), np.arange(3000) % 3, np.arange(3), {"share": share, "leaf": 2}))
+        for t in trees[1:]:
+            assert all(np.array_equal(getattr(t, c), getattr(trees[0], c), equal_nan=True) for c in ("feature", "threshold", "child", "value", "gain"))
+    assert len(trees[0].dump()) < 10 * len(trees[0].feature) + 2000
+
+
+def test_rows_by_tree_and_value_are_stable():
+    r = np.random.default_rng(3)
+    for v in (r.normal(size=100_000), r.integers(0, 90_000, 100_000).astype(float), r.integers(0, 4, 100_000).astype(float)):
+        for m in (1, 3, 70_000):
+            tree = r.integers(0, m, len(v))
+            assert np.array_equal(T._sorted(v, tree, m), np.lexsort((v, tree)))
