@@ -151,12 +151,12 @@ def grid_intervals(cells: DataFrame, calib: DataFrame, **kw) -> DataFrame:
     )
 
 
-def coverage_by_width_bin(iv: DataFrame, alpha: float = ALPHA, bins: int = CCB_BINS, by: list[str] = ()) -> DataFrame:
-    """Coverage per width-quantile bin (right-closed, equal edges merged) per group."""
+def coverage_by_width_bin(iv: DataFrame, alpha: float = ALPHA, bins: int = CCB_BINS, by: list[str] = (), few: bool = False) -> DataFrame:
+    """Coverage per width-quantile bin (right-closed, equal edges merged) per group; ``few`` as in ``exact_quantiles``."""
     by = list(by)
-    q = exact_quantiles(iv, "interval_width", [i / bins for i in range(bins + 1)], by)
+    q = exact_quantiles(iv, "interval_width", [i / bins for i in range(bins + 1)], by, few=few)
     if by:
-        b = iv.join(q, by)
+        b = iv.join(F.broadcast(q) if few else q, by)
     else:
         b = iv.withColumn("q", q.select("q").scalar())
     edge = F.array_distinct("q")
@@ -164,8 +164,12 @@ def coverage_by_width_bin(iv: DataFrame, alpha: float = ALPHA, bins: int = CCB_B
     return b.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(F.col("covered").cast("double")).alias("coverage"))
 
 
-def interval_metrics(iv: DataFrame, alpha: float | Column = ALPHA, bins: int = CCB_BINS, by: list[str] = ()) -> DataFrame:
-    """PICP, MPIW, NMPIW, binned coverage error, interval score and median width per group."""
+def interval_metrics(iv: DataFrame, alpha: float | Column = ALPHA, bins: int = CCB_BINS, by: list[str] = (), few: bool = False) -> DataFrame:
+    """PICP, MPIW, NMPIW, binned coverage error, interval score and median width per group.
+
+    ``few`` as in ``exact_quantiles``: then the groups' quantiles go to the rows. Rows that repeat are small files, and the
+    planner would take them for the side to broadcast.
+    """
     by = list(by)
     nominal = F.lit(1.0) - (alpha if isinstance(alpha, Column) else F.lit(alpha))
     pen = F.lit(2.0) / (alpha if isinstance(alpha, Column) else F.lit(alpha))
@@ -179,8 +183,8 @@ def interval_metrics(iv: DataFrame, alpha: float | Column = ALPHA, bins: int = C
         F.avg(score).alias("interval_score"),
         F.max(nominal).alias("nominal"),
     )
-    err = coverage_by_width_bin(iv, bins=bins, by=by)
-    med = exact_quantiles(iv, "interval_width", [0.5], by, out="__m")
+    err = coverage_by_width_bin(iv, bins=bins, by=by, few=few)
+    med = exact_quantiles(iv, "interval_width", [0.5], by, out="__m", few=few)
     if by:
         base = base.join(med, by)
         err = err.join(base.select(*by, F.col("nominal").alias("__nom")), by)
@@ -221,7 +225,7 @@ def gcp_param_search(oof: DataFrame, params=PARAM_SETS, **kw) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(p[0]).alias("name"), F.lit(p[1]).alias("alpha"), F.col(q).alias("qhat")) for p, q in zip(sets, names)])
     long = nn.select("y_true", "pred", F.inline(rows))
     iv = write_and_read(prediction_intervals(long), "param-intervals")
-    return composite_score(interval_metrics(iv, F.col("alpha"), by=["name"]))
+    return composite_score(interval_metrics(iv, F.col("alpha"), by=["name"], few=True))
 
 
 def local_qhat_idw(targets: DataFrame, calib: DataFrame, alpha: float = ALPHA, k: int = IDW_NEIGHBORS, **kw) -> DataFrame:

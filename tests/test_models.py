@@ -117,6 +117,24 @@ def test_intervals_nest_in_alpha_and_own_residual_counts(spark, sf):
     assert q(0.1, exclude_self="sample_id") != q(0.1)
 
 
+def test_the_search_over_intervals_broadcasts_groups_not_rows(spark):
+    """Rows that repeat are small files: the planner took them for the side to broadcast. The figures are those of each set on its own."""
+    r = np.random.default_rng(3)
+    p = pd.DataFrame({"sample_id": np.arange(600), "x": r.uniform(0, 2e5, 600), "y": r.uniform(0, 1e5, 600), "y_true": r.normal(50, 3, 600)})
+    p["pred"] = 50.0
+    p["abs_residual"] = (p.y_true - p.pred).abs()
+    o = spark.createDataFrame(p)
+    m = U.gcp_param_search(o)
+    lines = m._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [[line for line in lines[i:] if "Aggregate" in line or "Scan" in line][0] for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert below and not [line for line in below if "FileScan" in line]
+    got = {row["name"]: row for row in m.collect()}
+    assert len(got) == len(U.PARAM_SETS)
+    for name, a, k, scale, bw in U.PARAM_SETS[::2]:
+        one = U.interval_metrics(U.prediction_intervals(U.local_qhat(o, o, alpha=a, neighbors=k, scale=scale, min_bw=bw)), a).first()
+        assert all(abs(got[name][c] - one[c]) < 1e-9 for c in ("n", "picp", "mpiw", "nmpiw", "ccb", "interval_score", "median_width"))
+
+
 def test_forest_predicts_better_than_the_mean(spark, sf):
     t = wide(spark, sf).withColumn("block", block_of()).cache()
     m = M.fit_rfk(t, "som", ["c_size", "c_cyc", "f_qty"], {"trees": 20, "depth": 5, "leaf": 1, "share": "auto"}, {"nlags": 6, "nearest": 8})
