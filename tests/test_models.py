@@ -209,6 +209,25 @@ def test_tuning_locks_and_stops(spark, sf):
     assert len(few) == 4
 
 
+def test_the_search_judges_every_candidate_whole(spark, sf, monkeypatch):
+    """All trees and the kriging of all candidates; candidates with one forest grow it once."""
+    from loamgrid.plans import modelling as P
+
+    seen, tune, fit = [], M.tune, M.fit_forests
+
+    def small(df, target, features, group, cands, seeds, **kw):
+        seen.append((cands, seeds, kw))
+        return tune(df, target, features, group, [{**c, "rf": {**c["rf"], "trees": 5}} for c in cands[:3]], seeds[:1], **kw)
+
+    monkeypatch.setattr(P.M, "tune", small)
+    monkeypatch.setattr(M, "fit_forests", lambda rows, n, specs: seen.append(specs) or fit(rows, n, specs))
+    got = P.q_tune(spark, sf).collect()
+    (cands, seeds, kw), specs = seen
+    assert len(cands) == 16 and {c["rf"]["trees"] for c in cands} == {500, 800, 1200} and len(seeds) == 7
+    assert kw.get("finalists") is None and len(got) == 3 and all(r["kriged"] for r in got)
+    assert cands[0]["rf"] == cands[1]["rf"] and len(specs) == 2
+
+
 def test_pair_statistics_of_many_tiles(spark, monkeypatch):
     """Blocks, tiles and nodes against all pairs, with places that repeat and values that are missing."""
     g = np.random.default_rng(8)
