@@ -203,3 +203,40 @@ def test_targets_of_one_file_are_dealt_to_many_tasks(spark, sf):
 
     for name in ("nearest_line_distance", "request_spec"):
         assert e.queries()[name](spark, sf).select(F.spark_partition_id()).distinct().count() > 4
+
+
+@pytest.mark.parametrize("axes", [3, 12])
+def test_units_are_read_where_they_are_needed(spark, monkeypatch, axes):
+    """Neither items nor targets are sent for a pair of units; ties, equal places, missing values and short lists are those of brute force."""
+    monkeypatch.setattr(N, "UNIT_ROWS", 60)
+    r = np.random.default_rng(11)
+    a = r.normal(size=(700, axes)).round(1)
+    a[:80] = a[100]
+    rows = [(i, [float(v) for v in x], float(i % 7)) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "sample_id long, v array<double>, c double")
+    targets = df.withColumn("v", F.when(F.col("sample_id") != 300, F.col("v")))
+    it = df.select(F.col("v").alias("__v"), F.col("sample_id").alias("__id"), "c")
+    none = F.array_repeat(F.lit(float("nan")), axes)
+    got = N._paired(targets.withColumn("__t", F.coalesce("v", none)), it, 9, 700, axes, ["c"], "point")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "explode" not in plan
+    found = {x["sample_id"]: x["__nn"] for x in got.collect()}
+    assert len(found) == 700 and found[300] == []
+    d = N._distances(a, a, "point")
+    for i in set(range(700)) - {300}:
+        want = np.lexsort((np.arange(700), d[i]))[:9]
+        assert [(n["dist"], n["id"], n["c"]) for n in found[i]] == [(d[i, j], j, float(j % 7)) for j in want]
+    few = N._paired(targets.withColumn("__t", F.coalesce("v", none)), it.filter("__id < 105 and __id >= 100"), 5, 5, axes, ["c"], "point")
+    assert {len(x["__nn"]) for x in few.collect()} == {0, 5}
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1.0, 1e6), (1e20, 0.0), (1e-20, 0.0)])
+def test_pairs_within_a_bound_in_many_axes(scale, shift):
+    r = np.random.default_rng(4)
+    c, t = (r.normal(size=(n, 20)) * scale + shift for n in (900, 300))
+    c[5:9] = c[4]
+    d = N._distances(t, c, "point")
+    bound = np.sort(d, axis=1)[:, 3]
+    row, item, got = N._Wide(c).within(t, bound)
+    want = np.nonzero(d <= bound[:, None])
+    assert np.array_equal(row, want[0]) and np.array_equal(item, want[1]) and np.array_equal(got, d[want])
