@@ -174,3 +174,23 @@ def test_rows_by_tree_and_value_are_stable():
         for m in (1, 3, 70_000):
             tree = r.integers(0, m, len(v))
             assert np.array_equal(T._sorted(v, tree, m), np.lexsort((v, tree)))
+
+
+def test_whole_tops_are_those_of_all_blocks(spark, monkeypatch):
+    """A task that holds all binned rows grows the tops that histograms level by level give, bit by bit."""
+    p = table(1500, 5)
+    p["y"], p["w"], p["test"] = (64 * p.y).round() / 64, p.id % 4 + 1.0, p.id % 4  # sums without rounding, in whatever order
+    df = spark.createDataFrame(p).repartition(4)
+    rows = T.pack(df, F.col("id"), F.col("y"), cols(), F.col("w"), F.col("test"))
+    specs = [{"trees": 20, "depth": 4, "leaf": 3, "split": 8, "share": "sqrt", "fold": 0}, {"trees": 20, "share": "1.0", "fold": 1}]
+    seen, all_blocks, whole = [], T._grow_tops, []
+    monkeypatch.setattr(T, "CHUNK", 1), monkeypatch.setattr(T, "SLAB", 400), monkeypatch.setattr(T, "SHELF", 200)
+    monkeypatch.setattr(T, "_grow_tops", lambda *a: seen.append(all_blocks(*a)) or seen[-1])
+    alone = T._grow_whole_tops
+    monkeypatch.setattr(T, "_grow_whole_tops", lambda *a: whole.append(1) or alone(*a))
+    for held in (T.HELD, 0):
+        monkeypatch.setattr(T, "HELD", held)
+        T.fit_forests(rows, 3, specs, local=100)
+    assert whole == [1] and len(seen[0]) == 40 and max(len(t[0].feature) for t in seen[0]) > 10
+    for (a,), (b,) in zip(*seen):
+        assert all(getattr(a, c) == getattr(b, c) for c in ("feature", "threshold", "child", "gain", "depth", "size", "open"))
